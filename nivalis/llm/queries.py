@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from nivalis.llm import chat_format, decontaminate, language_id, token_counts
+from nivalis.llm import chat_format, decontaminate, jaccard_join, language_id, language_model, media, pieces, substring_dedup, token_counts, toxicity
 from nivalis.llm.tables import read
 
 
@@ -14,10 +15,38 @@ def _tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.edited_copies(media.rendered(read(spark, sf_dir, "embeddings")))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.held_out_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(read(spark, sf_dir, "documents"), threshold=0.8, shingle=5)
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.strip_repeats(read(spark, sf_dir, "documents"), window=50)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _tokenizer_path("piece_bpe_32k.model")
+    docs = read(spark, sf_dir, "documents")
+    encoded = pieces.decode(pieces.encode(docs, path), path)
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), _tokenizer_path("byte_bpe_50k.json"), limit=512)
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.held_out_scores(read(spark, sf_dir, "documents"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat_format.with_control_case(read(spark, sf_dir, "conversations"))
     return chat_format.read_back(chat_format.prefix_examples(rows))
@@ -34,7 +63,13 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_media_copies": op1_media_copies,
+        "op2_toxicity": op2_toxicity,
+        "op3_jaccard_join": op3_jaccard_join,
+        "op4_substring_dedup": op4_substring_dedup,
+        "op5_pieces": op5_pieces,
         "op6_token_counts": op6_token_counts,
+        "op7_language_model": op7_language_model,
         "op8_chat_format": op8_chat_format,
         "op9_language_id": op9_language_id,
         "op10_decontaminate": op10_decontaminate,
