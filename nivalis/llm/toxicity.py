@@ -237,7 +237,7 @@ def fit(
     docs: DataFrame,
     labels: DataFrame,
     strength: float = 3.0,
-    margin: float = 0.7,
+    margin: float = 3.0,
     min_docs: int = 3,
     max_features: int = 200_000,
     max_labelled: int = 400_000,
