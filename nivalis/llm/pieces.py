@@ -2,17 +2,18 @@
 
 A text becomes `\\u2581` plus itself with spaces as `\\u2581`, cut before every run of `\\u2581` that
 follows another character; no piece crosses such a cut, so each unit can be encoded alone.  Each
-distinct unit is encoded once: its substrings of at most the longest piece's length are exploded
-and equi-joined to the piece table, the edges found are grouped by unit, and a Spark higher-order
-aggregate folds them into a segmentation.  Two folds are given:
+distinct unit is encoded once.  In the `lattice` style its substrings of at most the longest piece's
+length are exploded and equi-joined to the piece table, the edges found are grouped by unit, and a
+Spark higher-order aggregate folds them into a segmentation.  Two folds are given:
 
 - `viterbi`: the segmentation of the largest score sum, for unigram models;
 - `merges`: replays the model's merges (best piece first, leftmost among equals) over the lattice,
   for BPE models, whose scores are ranks; there the largest sum is not what the model means, and
   only this fold gives the library's ids.
 
-Units of more than `_LONG` characters, for which a fold is quadratic, are merged with a heap in
-Python.  Characters without a piece become their UTF-8 bytes' pieces.
+The lattice costs too much on large vocabularies of units (figures in the README), so `heap`, which
+merges each distinct unit in Python, is the default style; it also serves units of more than `_LONG`
+characters, for which a fold is quadratic.  Both styles give the same ids.  Characters without a piece become their UTF-8 bytes' pieces.
 
 The `listed` most frequent units (a bounded table) are sent to all tasks, which turn documents into
 unit numbers; the other units of a document are joined to the encodings by hash, and both meet by
@@ -42,8 +43,8 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[0x20] = True
 _GAP = np.uint64(0xD1B54A32D192ED03)
 _LONG = 40
-_HELD = 1_500_000
-_NEVER = 1 << 40
+_HELD = 400_000
+_NEVER = 1 << 30
 
 
 @dataclass(frozen=True)
@@ -74,7 +75,7 @@ def piece_table(spark: SparkSession, model: Model) -> DataFrame:
     """(piece, id, rank, score): rank orders merges, best first; equal scores have equal ranks."""
     ranks = {s: k for k, s in enumerate(sorted({s for s, n in zip(model.scores, model.normal, strict=True) if n}, reverse=True))}
     rows = [(p, i, ranks[s], s) for i, (p, s, n) in enumerate(zip(model.pieces, model.scores, model.normal, strict=True)) if n]
-    return spark.createDataFrame(pd.DataFrame(rows, columns=["piece", "id", "rank", "score"]), "piece string, id int, rank long, score double")
+    return spark.createDataFrame(pd.DataFrame(rows, columns=["piece", "id", "rank", "score"]), "piece string, id int, rank int, score double")
 
 
 class Units:
@@ -116,31 +117,39 @@ def distinct_units(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, texts, counts = [], [], []
 
-        def merged() -> pd.DataFrame:
+        def merge() -> None:
             key, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
             n = np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
-            return pd.DataFrame({"unit": key.view(np.int64), "text": np.concatenate(texts)[first], "n": n})
+            text = np.concatenate(texts)[first]
+            keys[:], texts[:], counts[:] = [key], [text], [n]
+
+        def handed() -> pd.DataFrame:
+            made = pd.DataFrame({"unit": keys[0].view(np.int64), "text": texts[0], "n": counts[0]})
+            keys.clear(), texts.clear(), counts.clear()
+            return made
 
         for pdf in batches:
             batch = pdf["text"].tolist()
-            for lo, hi in by_bytes(batch, 8_000_000):
+            for lo, hi in by_bytes(batch):
                 units = Units(batch[lo:hi])
                 key, first, n = np.unique(units.hashes, return_index=True, return_counts=True)
                 keys.append(key)
                 texts.append(np.array([units.text(i) for i in first], dtype=object))
                 counts.append(n)
-                if len(keys) > 1 and sum(map(len, keys)) > _HELD:
-                    yield merged()
-                    keys, texts, counts = [], [], []
+                if sum(map(len, keys)) > _HELD:
+                    merge()
+                    if len(keys[0]) > _HELD // 2:
+                        yield handed()
         if keys:
-            yield merged()
+            merge()
+            yield handed()
 
     made = docs.select("text").mapInPandas(run, "unit long, text string, n long")
     return made.groupBy("unit").agg(F.first("text").alias("text"), F.sum("n").alias("n"))
 
 
-def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """(unit, text, n, edges): for every unit the pieces at its places, as (begin, size, id, rank, score)."""
+def lattice(units: DataFrame, pieces: DataFrame, longest: int, values: tuple[str, ...] = ("rank", "score")) -> DataFrame:
+    """(unit, text, n, edges): for every unit the pieces at its places, as (begin, size, id, values...)."""
     size = F.length("text")
     places = F.flatten(
         F.transform(
@@ -152,11 +161,14 @@ def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     )
     some = units.filter(size > 0).select("unit", "text", "n", F.explode(places).alias("at"))
     some = some.withColumn("piece", F.expr("substring(text, at.begin + 1, at.size)"))
-    found = some.join(F.broadcast(pieces), "piece", "left")  # as large as the vocabulary
-    edge = F.when(
-        F.col("id").isNotNull(), F.struct(F.col("at.begin").alias("begin"), F.col("at.size").alias("size"), "id", "rank", "score")
+    head = (F.col("at.begin") == 0) & (F.col("at.size") == 1)  # carries what a unit's rows have in common
+    slim = some.select(
+        "unit", "piece", "at", F.when(head, F.col("text")).alias("text"), F.when(head, F.col("n")).alias("n")
     )
-    return found.groupBy("unit").agg(F.first("text").alias("text"), F.first("n").alias("n"), F.collect_list(edge).alias("edges"))
+    found = slim.join(F.broadcast(pieces), "piece", "left")  # as large as the vocabulary
+    found = found.filter(F.col("id").isNotNull() | F.col("text").isNotNull())
+    edge = F.when(F.col("id").isNotNull(), F.struct(F.col("at.begin").alias("begin"), F.col("at.size").alias("size"), "id", *values))
+    return found.groupBy("unit").agg(F.max("text").alias("text"), F.max("n").alias("n"), F.collect_list(edge).alias("edges"))
 
 
 def _bound(value: Column, use) -> Column:
@@ -270,28 +282,30 @@ def merge_with_heap(text: str, ranks: dict[str, tuple[int, int]], first_byte: in
     return out
 
 
-def encode_units(units: DataFrame, path: str, fold: str = "merges") -> DataFrame:
-    """(unit, text, n, ids) of distinct units."""
+def encode_units(units: DataFrame, path: str, fold: str = "merges", style: str = "heap") -> DataFrame:
+    """(unit, text, n, ids) of distinct units. `style` "heap" merges each unit in Python (BPE only);
+    "lattice" explodes, joins and folds. Both give the same ids."""
     model = load(path)
-    pieces = piece_table(units.sparkSession, model)
-    normal = [s for s, n in zip(model.scores, model.normal, strict=True) if n]
-    short = units.filter(F.length("text") <= _LONG) if fold == "merges" else units
-    grid = lattice(short, pieces, model.longest)
-    size = F.length("text")
-    cuts = fold_merges(F.col("edges"), size) if fold == "merges" else fold_viterbi(F.col("edges"), size, min(normal) - 10)
-    out = grid.withColumn("cuts", cuts).select("unit", "text", "n", segment_ids(F.col("text"), F.col("cuts"), F.col("edges"), model.first_byte).alias("ids"))
-    if fold != "merges":
-        return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = load(path)
-        order = {s: k for k, s in enumerate(sorted(set(m.scores), reverse=True))}
+        order = {s: k for k, s in enumerate(sorted({s for s, n in zip(m.scores, m.normal, strict=True) if n}, reverse=True))}
         ranks = {p: (order[s], i) for i, (p, s, n) in enumerate(zip(m.pieces, m.scores, m.normal, strict=True)) if n}
         for pdf in batches:
             yield pdf.assign(ids=[merge_with_heap(t, ranks, m.first_byte) for t in pdf["text"]])
 
-    long = units.filter(F.length("text") > _LONG).select("unit", "text", "n")
-    return out.unionByName(long.mapInPandas(run, "unit long, text string, n long, ids array<int>"))
+    heap = lambda df: df.select("unit", "text", "n").mapInPandas(run, "unit long, text string, n long, ids array<int>")
+    if fold == "merges" and style == "heap":
+        return heap(units)
+    normal = [s for s, n in zip(model.scores, model.normal, strict=True) if n]
+    short = units.filter(F.length("text") <= _LONG) if fold == "merges" else units
+    grid = lattice(short, piece_table(units.sparkSession, model), model.longest, ("rank",) if fold == "merges" else ("score",))
+    size = F.length("text")
+    cuts = fold_merges(F.col("edges"), size) if fold == "merges" else fold_viterbi(F.col("edges"), size, min(normal) - 10)
+    out = grid.withColumn("cuts", cuts).select(
+        "unit", "text", "n", segment_ids(F.col("text"), F.col("cuts"), F.col("edges"), model.first_byte).alias("ids")
+    )
+    return out.unionByName(heap(units.filter(F.length("text") > _LONG))) if fold == "merges" else out
 
 
 def decoded(ids: Column, path: str) -> Column:
@@ -324,13 +338,21 @@ def _list(encoded: DataFrame, listed: int) -> Listed:
     bins = F.floor(F.log2("n") * 8)
     spread = encoded.groupBy(bins.alias("bin")).agg(F.count("*").alias("v")).toPandas().sort_values("bin", ascending=False)
     fits = spread["v"].cumsum() <= listed
-    none = pd.DataFrame({"unit": [], "n": [], "ids": []})
-    short = F.size("ids") <= 64
-    top = encoded.filter((bins >= float(spread["bin"][fits].min())) & short).select("unit", "n", "ids").toPandas() if fits.any() else none
+    if not fits.any():
+        return Listed(HashTable(np.zeros(0, np.uint64)), np.zeros(1, np.int32), np.zeros(0, np.uint16))
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[["unit", "n"]].assign(data=[np.asarray(x, dtype=np.int32).tobytes() for x in pdf["ids"]])
+
+    chosen = encoded.filter((bins >= float(spread["bin"][fits].min())) & (F.size("ids") <= 64)).select("unit", "n", "ids")
+    top = chosen.mapInPandas(packed, "unit long, n long, data binary").toPandas()
     top = top.sort_values(["n", "unit"], ascending=[False, True])
-    sizes = np.array([len(x) for x in top["ids"]], dtype=np.int64)
-    ids = np.concatenate([*top["ids"], []]).astype(np.int32)
-    return Listed(HashTable(top["unit"].to_numpy(np.int64).view(np.uint64)), np.concatenate(([0], np.cumsum(sizes))).astype(np.int64), ids)
+    sizes = np.array([len(x) // 4 for x in top["data"]], dtype=np.int64)
+    ids = np.frombuffer(b"".join(top["data"]), dtype=np.int32)
+    ids = ids.astype(np.uint16 if not len(ids) or ids.max() < 1 << 16 else np.int32)  # small, as every executor keeps a copy on disk
+    begins = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return Listed(HashTable(top["unit"].to_numpy(np.int64).view(np.uint64)), begins, ids)
 
 
 def _pack(numbers: np.ndarray) -> bytes:
@@ -372,7 +394,7 @@ def _numbered(docs: DataFrame, table) -> DataFrame:
 
 
 def encode(
-    docs: DataFrame, path: str, fold: str = "merges", listed: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, path: str, fold: str = "merges", listed: int = 1 << 19, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, ids) for every row."""
     docs = docs.select(
@@ -388,7 +410,7 @@ def encode(
     meet = numbered.select("*", key).join(known, ["key", "th"], "left").select("doc_id", "codes", "rare", "known")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        begins, ids = table.value.begins, table.value.ids
+        begins, ids = table.value.begins.astype(np.int64), table.value.ids
         for pdf in batches:
             out = []
             for codes, rare, known in zip(pdf["codes"], pdf["rare"], pdf["known"], strict=True):

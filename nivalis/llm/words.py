@@ -123,16 +123,27 @@ def by_bytes(texts: list[str | None], limit: int = PIECE_BYTES) -> Iterator[tupl
 
 
 class HashTable:
-    """Membership and position of 64-bit keys in a fixed set, behind a one-byte filter."""
+    """Membership and position of 64-bit keys in a fixed set, behind a one-byte filter that is not
+    sent along but made where the table is used."""
 
     def __init__(self, keys: np.ndarray):
-        self.order = np.argsort(keys, kind="stable")
+        self.order = np.argsort(keys, kind="stable").astype(np.int32)
         self.keys = keys[self.order]
-        bits = max(12, int(np.ceil(np.log2(max(1, len(keys)) * 8))))
-        self.mask = np.uint64((1 << min(bits, 24)) - 1)
+        self._sieve()
+
+    def _sieve(self) -> None:
+        bits = max(12, int(np.ceil(np.log2(max(1, len(self.keys)) * 8))))
+        self.mask = np.uint64((1 << min(bits, 23)) - 1)
         self.filter = np.zeros(int(self.mask) + 1, dtype=bool)
         self.filter[(self.keys & self.mask).astype(np.int64)] = True
 
+    def __getstate__(self):
+        return self.order, self.keys
+
+    def __setstate__(self, state):
+        self.order, self.keys = state
+        self._sieve()
+
     def find(self, values: np.ndarray) -> np.ndarray:
         """Index into the given keys, or -1."""
         out = np.full(len(values), -1, dtype=np.int64)

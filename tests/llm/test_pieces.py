@@ -54,6 +54,14 @@ def test_viterbi_equals_brute_force(spark):
         assert abs(got - best(r.text)) < 1e-6 and "".join(p for p in spelled if not p.startswith("<0x")) == r.text.replace(odd, "")
 
 
+def test_lattice_and_heap_give_the_library_ids(spark, library):
+    words = sorted({w for t in texts() for w in (t or "").replace("▁", " ").split(" ") if w} | {"tion" * 30, "international"})
+    units = spark.createDataFrame([(i, "▁" + w, 1) for i, w in enumerate(words)], "unit long, text string, n long")
+    for style in ("lattice", "heap"):
+        out = P.encode_units(units, PATH, "merges", style).collect()
+        assert len(out) == len(words) and all(r.ids == library.encode(words[r.unit]) for r in out)
+
+
 def test_query_equals_the_library(spark, library):
     d = "/root/testdata/sf0.01"
     want = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()}
