@@ -52,7 +52,7 @@ SELECT region, {sql_pearson('o', 'm')} AS spearman FROM r GROUP BY 1""", K, keys
 register("m08_pseudo_huber", lambda g: M.summarize_regression(g("skill"), "T3", MODELS, ["region"], ["PHL"]), f"{LONG}\n--\nSELECT model, region, {sql_metrics('PHL')} FROM long GROUP BY 1, 2", K, keys="model region", vals="PHL")
 register(
     "m09_row_correlation", lambda g: M.row_correlation(g("skill").select("site", "time", "gbt_T3"), g("skill").groupBy("time").agg(F.avg("T3").alias("y")), "site", "time", "gbt_T3", "y"),
-    f"y AS (SELECT time AS t, avg(T3) AS y FROM skill GROUP BY 1)\n--\nSELECT site, {sql_pearson('y', 'gbt_T3')} AS R FROM skill JOIN y ON time = t GROUP BY 1", K, ints="site", vals="R",
+    f"yy AS (SELECT time AS t, avg(T3) AS target FROM skill GROUP BY 1)\n--\nSELECT site, {sql_pearson('target', 'gbt_T3')} AS R FROM skill JOIN yy ON time = t GROUP BY 1", K, ints="site", vals="R",
 )
 register("m10_summarize_regression", lambda g: M.summarize_regression(g("skill"), "T3", MODELS, ["region", "site"]), f"{LONG}\n--\nSELECT model, region, site, {sql_metrics('RMSE', 'MAE', 'Bias', 'R', 'R2')} FROM long GROUP BY 1, 2, 3", K, keys="model region", ints="site", vals="RMSE MAE Bias R R2")
 EVENT = "e AS (SELECT model, region, count(*) FILTER (o <= -2 AND m <= -2) AS tp, count(*) FILTER (o > -2 AND m <= -2) AS fp, count(*) FILTER (o <= -2 AND m > -2) AS fn, count(*) FILTER (o > -2 AND m > -2) AS tn FROM long WHERE o IS NOT NULL AND m IS NOT NULL GROUP BY 1, 2)"
