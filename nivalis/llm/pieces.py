@@ -347,12 +347,14 @@ def _list(encoded: DataFrame, listed: int) -> Listed:
 
     chosen = encoded.filter((bins >= float(spread["bin"][fits].min())) & (F.size("ids") <= 64)).select("unit", "n", "ids")
     top = chosen.mapInPandas(packed, "unit long, n long, data binary").toPandas()
-    top = top.sort_values(["n", "unit"], ascending=[False, True])
-    sizes = np.array([len(x) // 4 for x in top["data"]], dtype=np.int64)
-    ids = np.frombuffer(b"".join(top["data"]), dtype=np.int32)
+    units, n, data = top["unit"].to_numpy(np.int64), top["n"].to_numpy(np.int64), top["data"].to_numpy()
+    order = np.lexsort((units, -n))
+    units, data = units[order], data[order]
+    sizes = np.array([len(x) // 4 for x in data], dtype=np.int64)
+    ids = np.frombuffer(b"".join(data), dtype=np.int32)
     ids = ids.astype(np.uint16 if not len(ids) or ids.max() < 1 << 16 else np.int32)  # small, as every executor keeps a copy on disk
     begins = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-    return Listed(HashTable(top["unit"].to_numpy(np.int64).view(np.uint64)), begins, ids)
+    return Listed(HashTable(units.view(np.uint64)), begins, ids)
 
 
 def _pack(numbers: np.ndarray) -> bytes:
@@ -394,7 +396,7 @@ def _numbered(docs: DataFrame, table) -> DataFrame:
 
 
 def encode(
-    docs: DataFrame, path: str, fold: str = "merges", listed: int = 1 << 19, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, path: str, fold: str = "merges", listed: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, ids) for every row."""
     docs = docs.select(
