@@ -13,6 +13,8 @@ from nivalis.sources.adapters import table, with_adapters
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 DIGITS = 7
+#: Keeps decimal values off exact halves, where engines round apart.
+_OFF_HALVES = 3.3e-09
 
 
 def register(name: str, run: Callable, sql: str | None = None, adapters: Sequence[str] = (), keys: str = "", times: str = "", ints: str = "", vals: str = "", digits: int = DIGITS) -> None:
@@ -26,7 +28,7 @@ def register(name: str, run: Callable, sql: str | None = None, adapters: Sequenc
             *(F.col(k) for k in keys_),
             *(F.date_format(t, "yyyy-MM-dd HH:mm:ss").alias(t) for t in times_),
             *(F.col(i).cast("long").alias(i) for i in ints_),
-            *((F.round(F.col(v).cast("double"), digits) + F.lit(0.0)).alias(v) for v in vals_),
+            *((F.round(F.col(v).cast("double") + F.lit(_OFF_HALVES), digits) + F.lit(0.0)).alias(v) for v in vals_),
         )
 
     QUERIES[name] = query
@@ -35,7 +37,7 @@ def register(name: str, run: Callable, sql: str | None = None, adapters: Sequenc
             *(f'"{k}"' for k in keys_),
             *(f"strftime(\"{t}\", '%Y-%m-%d %H:%M:%S') AS \"{t}\"" for t in times_),
             *(f'CAST("{i}" AS BIGINT) AS "{i}"' for i in ints_),
-            *(f'CAST(round(CAST("{v}" AS DOUBLE), {digits}) + 0e0 AS DOUBLE) AS "{v}"' for v in vals_),
+            *(f'CAST(round(CAST("{v}" AS DOUBLE) + {_OFF_HALVES!r}, {digits}) + 0e0 AS DOUBLE) AS "{v}"' for v in vals_),
         ])
         body = sql.strip()
         if body[:6].upper() == "SELECT":
