@@ -1,23 +1,27 @@
-"""SentencePiece encoding and decoding as relational joins over a lattice of substrings.
+"""SentencePiece encoding and decoding over a lattice of substrings.
 
-A text becomes `\\u2581` plus itself with spaces as `\\u2581`, cut before every run of `\\u2581` that
-follows another character; no piece crosses such a cut, so each unit can be encoded alone.  Each
-distinct unit is encoded once.  In the `lattice` style its substrings of at most the longest piece's
-length are exploded and equi-joined to the piece table, the edges found are grouped by unit, and a
-Spark higher-order aggregate folds them into a segmentation.  Two folds are given:
+A text becomes `\u2581` plus itself with spaces as `\u2581`, cut before every run of `\u2581` that
+follows another character; no piece crosses such a cut, so each unit can be encoded alone.  Every
+substring of a unit, up to the longest piece's length, is looked up in the piece table; the edges
+found are grouped by unit and folded into a segmentation.  Two folds are given:
 
 - `viterbi`: the segmentation of the largest score sum, for unigram models;
 - `merges`: replays the model's merges (best piece first, leftmost among equals) over the lattice,
   for BPE models, whose scores are ranks; there the largest sum is not what the model means, and
   only this fold gives the library's ids.
 
-The lattice costs too much on large vocabularies of units (figures in the README), so `heap`, which
-merges each distinct unit in Python, is the default style; it also serves units of more than `_LONG`
-characters, for which a fold is quadratic.  Both styles give the same ids.  Characters without a piece become their UTF-8 bytes' pieces.
+and two styles:
 
-The `listed` most frequent units (a bounded table) are sent to all tasks, which turn documents into
-unit numbers; the other units of a document are joined to the encodings by hash, and both meet by
-document.  Decoding joins nothing: a constant array maps ids to bytes.
+- `lattice`: relational. Distinct units are exploded into substrings and equi-joined to the piece
+  table, edges are grouped by unit, a Spark higher-order aggregate folds them, and the encodings go
+  back to the texts by joins;
+- `columns`, the default, as the former costs too much on large vocabularies of units (figures in
+  the README): the same lattice and the `merges` fold as numpy columns, for the units that a task
+  meets. A task keeps encodings of at most `_KEPT` units. Nothing is shuffled.
+
+Units of more than `_LONG` characters, for which a fold is quadratic, are merged with a heap. Units
+of a task are told apart by 64-bit hashes. Both styles give the same ids.  Characters without a piece
+become their UTF-8 bytes' pieces.  Decoding joins nothing: a constant array maps ids to bytes.
 
 Defined cases: null and empty texts have no ids; repeated rows are encoded each; ids out of range
 and control ids decode to nothing; an empty table gives an empty table.
@@ -32,18 +36,16 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nivalis.llm.tables import settle
-from nivalis.llm.words import HashTable, by_bytes, mix, split_words
+from nivalis.llm import piece_columns as columns
+from nivalis.llm.words import by_bytes
 
 MARK = "▁"
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[0x20] = True
-_GAP = np.uint64(0xD1B54A32D192ED03)
 _LONG = 40
-_HELD = 400_000
+_KEPT = 400_000
 _NEVER = 1 << 30
 
 
@@ -73,79 +75,21 @@ def load(path: str) -> Model:
 
 def piece_table(spark: SparkSession, model: Model) -> DataFrame:
     """(piece, id, rank, score): rank orders merges, best first; equal scores have equal ranks."""
-    ranks = {s: k for k, s in enumerate(sorted({s for s, n in zip(model.scores, model.normal, strict=True) if n}, reverse=True))}
-    rows = [(p, i, ranks[s], s) for i, (p, s, n) in enumerate(zip(model.pieces, model.scores, model.normal, strict=True)) if n]
+    rows = [(p, i, rank, model.scores[i]) for p, (rank, i) in _ranked(model).items()]
     return spark.createDataFrame(pd.DataFrame(rows, columns=["piece", "id", "rank", "score"]), "piece string, id int, rank int, score double")
 
 
-class Units:
-    """Hashes of all units of a batch of texts, laid end to end, and what they are."""
-
-    def __init__(self, texts: list[str | None]):
-        texts = [t.replace(MARK, " ") if t and MARK in t else t for t in texts]  # the model takes both alike
-        words = split_words(texts, _SPACE)
-        n = np.array([len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts], dtype=np.int64)
-        begin = np.concatenate(([0], np.cumsum(n + 1)))[:-1]
-        owner = np.repeat(np.arange(len(texts)), np.diff(words.offsets))
-        before = np.concatenate(([0], words.ends[:-1])) if len(words.ends) else words.ends
-        before = np.maximum(before, begin[owner]) if len(owner) else before
-        gaps = words.starts - before + (before == begin[owner])  # one space comes before every text
-        last = np.maximum(np.append(words.ends, 0)[words.offsets[1:] - 1], begin)
-        last = np.where(np.diff(words.offsets) > 0, last, begin)
-        tail = begin + n - last
-        tail = np.where(tail > 0, tail + (np.diff(words.offsets) == 0), 0)
-        hashes = mix(words.hashes + gaps.astype(np.uint64) * _GAP)
-        trailing = np.flatnonzero(tail > 0)
-        at = words.offsets[1:][trailing]
-        self.hashes = np.insert(hashes, at, mix(tail[trailing].astype(np.uint64) * _GAP))
-        self.gaps = np.insert(gaps, at, tail[trailing])
-        self.word = np.insert(np.arange(len(hashes)), at, -1)
-        self.offsets = words.offsets + np.concatenate(([0], np.cumsum(tail > 0)))
-        self._words = words
-
-    def text(self, i: int) -> str:
-        w = self.word[i]
-        return MARK * int(self.gaps[i]) + ("" if w < 0 else self._words.text(w).decode("utf-8", "surrogatepass"))
-
-    def doc(self, k: int) -> slice:
-        return slice(int(self.offsets[k]), int(self.offsets[k + 1]))
-
-
-def distinct_units(docs: DataFrame) -> DataFrame:
-    """(unit, text, n) of all (text) rows; each task sends a unit once or a few times."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, texts, counts = [], [], []
+def distinct_units(texts: DataFrame) -> DataFrame:
+    """(unit, text, n) of all (text) rows."""
+    units = texts.select(F.explode(_units(F.col("text"))).alias("text"))
+    return units.groupBy("text").agg(F.count("*").alias("n")).select(F.xxhash64("text").alias("unit"), "text", "n")
 
-        def merge() -> None:
-            key, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-            n = np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
-            text = np.concatenate(texts)[first]
-            keys[:], texts[:], counts[:] = [key], [text], [n]
 
-        def handed() -> pd.DataFrame:
-            made = pd.DataFrame({"unit": keys[0].view(np.int64), "text": texts[0], "n": counts[0]})
-            keys.clear(), texts.clear(), counts.clear()
-            return made
-
-        for pdf in batches:
-            batch = pdf["text"].tolist()
-            for lo, hi in by_bytes(batch):
-                units = Units(batch[lo:hi])
-                key, first, n = np.unique(units.hashes, return_index=True, return_counts=True)
-                keys.append(key)
-                texts.append(np.array([units.text(i) for i in first], dtype=object))
-                counts.append(n)
-                if sum(map(len, keys)) > _HELD:
-                    merge()
-                    if len(keys[0]) > _HELD // 2:
-                        yield handed()
-        if keys:
-            merge()
-            yield handed()
-
-    made = docs.select("text").mapInPandas(run, "unit long, text string, n long")
-    return made.groupBy("unit").agg(F.first("text").alias("text"), F.sum("n").alias("n"))
+def _units(text: Column) -> Column:
+    """A text's units in order; none of an empty or null text."""
+    marked = F.concat(F.lit(MARK), F.translate(text, " ", MARK))
+    found = F.regexp_extract_all(marked, F.lit(f"{MARK}+[^{MARK}]*"), 0)
+    return F.when(F.length(text) > 0, found).otherwise(F.array().cast("array<string>"))
 
 
 def lattice(units: DataFrame, pieces: DataFrame, longest: int, values: tuple[str, ...] = ("rank", "score")) -> DataFrame:
@@ -282,21 +226,22 @@ def merge_with_heap(text: str, ranks: dict[str, tuple[int, int]], first_byte: in
     return out
 
 
-def encode_units(units: DataFrame, path: str, fold: str = "merges", style: str = "heap") -> DataFrame:
-    """(unit, text, n, ids) of distinct units. `style` "heap" merges each unit in Python (BPE only);
-    "lattice" explodes, joins and folds. Both give the same ids."""
+def _ranked(m: Model) -> dict[str, tuple[int, int]]:
+    """Rank and id of each piece; the best has rank 0, equal scores have equal ranks."""
+    order = {s: k for k, s in enumerate(sorted({s for s, n in zip(m.scores, m.normal, strict=True) if n}, reverse=True))}
+    return {p: (order[s], i) for i, (p, s, n) in enumerate(zip(m.pieces, m.scores, m.normal, strict=True)) if n}
+
+
+def encode_units(units: DataFrame, path: str, fold: str = "merges") -> DataFrame:
+    """(unit, text, n, ids) of distinct units, relationally: explode, equi-join, group and fold."""
     model = load(path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = load(path)
-        order = {s: k for k, s in enumerate(sorted({s for s, n in zip(m.scores, m.normal, strict=True) if n}, reverse=True))}
-        ranks = {p: (order[s], i) for i, (p, s, n) in enumerate(zip(m.pieces, m.scores, m.normal, strict=True)) if n}
+        ranks = _ranked(m)
         for pdf in batches:
             yield pdf.assign(ids=[merge_with_heap(t, ranks, m.first_byte) for t in pdf["text"]])
 
-    heap = lambda df: df.select("unit", "text", "n").mapInPandas(run, "unit long, text string, n long, ids array<int>")
-    if fold == "merges" and style == "heap":
-        return heap(units)
     normal = [s for s, n in zip(model.scores, model.normal, strict=True) if n]
     short = units.filter(F.length("text") <= _LONG) if fold == "merges" else units
     grid = lattice(short, piece_table(units.sparkSession, model), model.longest, ("rank",) if fold == "merges" else ("score",))
@@ -305,7 +250,10 @@ def encode_units(units: DataFrame, path: str, fold: str = "merges", style: str =
     out = grid.withColumn("cuts", cuts).select(
         "unit", "text", "n", segment_ids(F.col("text"), F.col("cuts"), F.col("edges"), model.first_byte).alias("ids")
     )
-    return out.unionByName(heap(units.filter(F.length("text") > _LONG))) if fold == "merges" else out
+    if fold != "merges":
+        return out
+    long = units.filter(F.length("text") > _LONG).select("unit", "text", "n")
+    return out.unionByName(long.mapInPandas(run, "unit long, text string, n long, ids array<int>"))
 
 
 def decoded(ids: Column, path: str) -> Column:
@@ -325,110 +273,80 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", text_col: str =
     return encoded.withColumn(text_col, F.regexp_replace(plain, "^ ", ""))
 
 
-@dataclass(frozen=True)
-class Listed:
-    """Encodings of the most frequent units, in order of falling count."""
-
-    units: HashTable
-    begins: np.ndarray
-    ids: np.ndarray
-
+class Encoder:
+    """Ids of batches of texts; keeps the encodings of units it has met."""
 
-def _list(encoded: DataFrame, listed: int) -> Listed:
-    bins = F.floor(F.log2("n") * 8)
-    spread = encoded.groupBy(bins.alias("bin")).agg(F.count("*").alias("v")).toPandas().sort_values("bin", ascending=False)
-    fits = spread["v"].cumsum() <= listed
-    if not fits.any():
-        return Listed(HashTable(np.zeros(0, np.uint64)), np.zeros(1, np.int32), np.zeros(0, np.uint16))
+    def __init__(self, path: str):
+        m = load(path)
+        self.ranks, self.first_byte = _ranked(m), m.first_byte
+        names = list(self.ranks)
+        rank, ids = np.array([self.ranks[p] for p in names], dtype=np.int64).T
+        self.pieces = columns.Pieces(names, ids, rank, m.first_byte)
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[int, int] = {}
+        self.ids, self.begins, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self, units: columns.Units, which: np.ndarray) -> None:
+        long = units.sizes[which] > _LONG
+        short, tall = which[~long], which[long]
+        ids, sizes = columns.encode(units.codes[columns.runs(units.begins[short], units.sizes[short])], units.sizes[short], self.pieces)
+        parts = [self.ids, ids]
+        for i in tall:
+            text = units.codes[units.begins[i] : units.begins[i] + units.sizes[i]].tobytes().decode("utf-32-le", "surrogatepass")
+            parts.append(np.array(merge_with_heap(text, self.ranks, self.first_byte), dtype=np.int32))
+        sizes = np.concatenate((sizes, [len(x) for x in parts[2:]])).astype(np.int64)
+        self.place.update(zip(units.hashes[np.concatenate((short, tall))].tolist(), range(len(self.sizes), len(self.sizes) + len(which)), strict=True))
+        self.begins = np.concatenate((self.begins, len(self.ids) + np.cumsum(sizes) - sizes))
+        self.sizes = np.concatenate((self.sizes, sizes))
+        self.ids = np.concatenate(parts)
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts laid end to end, and how many each has."""
+        if len(self.place) > _KEPT:
+            self.forget()
+        units = columns.Units(texts)
+        keys, first, own = np.unique(units.hashes, return_index=True, return_inverse=True)
+        names = keys.tolist()
+        self._learn(units, first[[k not in self.place for k in names]] if names else first)
+        at = np.fromiter(map(self.place.__getitem__, names), dtype=np.int64, count=len(names))[own]
+        total = np.concatenate(([0], np.cumsum(self.sizes[at])))
+        return self.ids[columns.runs(self.begins[at], self.sizes[at])], np.diff(total[units.offsets])
+
+
+def _in_columns(docs: DataFrame, path: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(path)
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for lo, hi in by_bytes(texts):
+                ids, sizes = encoder([t or "" for t in texts[lo:hi]])
+                offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+                made = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), made], names=["doc_id", "ids"])
 
-    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf[["unit", "n"]].assign(data=[np.asarray(x, dtype=np.int32).tobytes() for x in pdf["ids"]])
-
-    chosen = encoded.filter((bins >= float(spread["bin"][fits].min())) & (F.size("ids") <= 64)).select("unit", "n", "ids")
-    top = chosen.mapInPandas(packed, "unit long, n long, data binary").toPandas()
-    units, n, data = top["unit"].to_numpy(np.int64), top["n"].to_numpy(np.int64), top["data"].to_numpy()
-    order = np.lexsort((units, -n))
-    units, data = units[order], data[order]
-    sizes = np.array([len(x) // 4 for x in data], dtype=np.int64)
-    ids = np.frombuffer(b"".join(data), dtype=np.int32)
-    ids = ids.astype(np.uint16 if not len(ids) or ids.max() < 1 << 16 else np.int32)  # small, as every executor keeps a copy on disk
-    begins = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-    return Listed(HashTable(units.view(np.uint64)), begins, ids)
-
-
-def _pack(numbers: np.ndarray) -> bytes:
-    """Numbers below 2**28 in 7-bit groups, small numbers in few bytes."""
-    size = 1 + (numbers >= 1 << 7) + (numbers >= 1 << 14) + (numbers >= 1 << 21)
-    begin = np.cumsum(size) - size
-    out = np.empty(int(size.sum()), dtype=np.uint8)
-    for j in range(4):
-        has = size > j
-        out[begin[has] + j] = (numbers[has] >> (7 * j) & 127) | ((size[has] > j + 1) << 7)
-    return out.tobytes()
-
-
-def _unpack(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, dtype=np.uint8).astype(np.int64)
-    if not len(raw):
-        return raw
-    first = np.flatnonzero(np.concatenate(([True], raw[:-1] < 128)))
-    place = np.arange(len(raw)) - np.repeat(first, np.diff(np.append(first, len(raw))))
-    return np.add.reduceat((raw & 127) << (7 * place), first)
-
-
-def _numbered(docs: DataFrame, table) -> DataFrame:
-    """(doc_id, th, codes, rare): unit numbers plus one, 0 for a unit that is not listed; those in order."""
+    return docs.mapInArrow(run, "doc_id long, ids array<int>")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts, out = pdf["text"].tolist(), []
-            for lo, hi in by_bytes(texts):
-                units = Units(texts[lo:hi])
-                at = table.value.units.find(units.hashes) + 1
-                for k in range(hi - lo):
-                    own = at[units.doc(k)]
-                    out.append((_pack(own), units.hashes[units.doc(k)][own == 0].view(np.int64)))
-            made = pd.DataFrame(out, columns=["codes", "rare"])
-            yield made.assign(doc_id=pdf["doc_id"].to_numpy(), th=pdf["th"].to_numpy())
 
-    return docs.mapInPandas(run, "codes binary, rare array<long>, doc_id long, th long")
+def _by_joins(docs: DataFrame, path: str, fold: str) -> DataFrame:
+    """Distinct texts and distinct units are encoded once; equal texts meet by two hashes."""
+    keyed = docs.withColumns({"th": F.xxhash64("text"), "tm": F.crc32(F.encode("text", "UTF-8"))})
+    texts = keyed.filter(F.length("text") > 0).groupBy("th", "tm").agg(F.first("text").alias("text"))
+    encoded = encode_units(distinct_units(texts), path, fold).select(F.col("text").alias("unit"), "ids")
+    places = texts.select("th", "tm", F.posexplode(_units(F.col("text"))).alias("k", "unit"))
+    met = places.join(encoded, "unit").groupBy("th", "tm")
+    ids = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"]))
+    whole = keyed.drop("text").join(met.agg(ids.alias("ids")), ["th", "tm"], "left")
+    return whole.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
 
 
 def encode(
-    docs: DataFrame, path: str, fold: str = "merges", listed: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, path: str, fold: str = "merges", style: str = "columns", id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """(doc_id, ids) for every row."""
-    docs = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th")
-    )
-    encoded = settle(encode_units(distinct_units(docs), path, fold).select("unit", "n", "ids"), "pieces")
-    table = docs.sparkSession.sparkContext.broadcast(_list(encoded, listed))  # at most `listed` units of 64 ids
-    numbered = _numbered(docs, table)
-    key = F.coalesce("doc_id", F.lit(0)).alias("key")  # with the hash of the text, so that ids may be null
-    rare = numbered.select(key, "th", F.explode(F.array_distinct("rare")).alias("unit")).distinct()
-    known = rare.join(encoded.select("unit", "ids"), "unit").groupBy("key", "th")
-    known = known.agg(F.collect_list(F.struct("unit", "ids")).alias("known"))
-    meet = numbered.select("*", key).join(known, ["key", "th"], "left").select("doc_id", "codes", "rare", "known")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        begins, ids = table.value.begins.astype(np.int64), table.value.ids
-        for pdf in batches:
-            out = []
-            for codes, rare, known in zip(pdf["codes"], pdf["rare"], pdf["known"], strict=True):
-                at = _unpack(codes) - 1
-                sizes = np.where(at >= 0, begins[at + 1] - begins[at], 0)
-                own = {} if known is None else {x["unit"]: np.asarray(x["ids"], dtype=np.int32) for x in known}
-                more = [own[u] for u in rare]
-                sizes[at < 0] = [len(x) for x in more]
-                made = np.empty(int(sizes.sum()), dtype=np.int32)
-                to = np.cumsum(sizes) - sizes
-                listed_at = np.repeat(at >= 0, sizes)
-                source = np.arange(len(made)) + np.repeat(np.where(at >= 0, begins[at], 0) - to, sizes)
-                made[listed_at] = ids[source[listed_at]]
-                if more:
-                    made[~listed_at] = np.concatenate(more)
-                out.append(made)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": out})
-
-    return meet.mapInPandas(run, "doc_id long, ids array<int>").withColumnRenamed("doc_id", id_col)
+    """(doc_id, ids) for every row. The style `columns` has the fold `merges` only."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    if style == "columns" and fold != "merges":
+        raise ValueError("style 'columns' replays merges; use style 'lattice'")
+    out = _in_columns(docs, path) if style == "columns" else _by_joins(docs, path, fold)
+    return out.withColumnRenamed("doc_id", id_col)

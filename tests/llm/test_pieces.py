@@ -23,8 +23,8 @@ def texts():
 
 def test_ids_equal_the_library_and_decode_to_the_text(documents, library):
     rows = [(i, t, "en") for i, t in enumerate(texts())] + [(None, "null id tion", "en"), (3, "   ", "en")]
-    for listed in (1 << 20, 20):
-        out = P.decode(P.encode(documents(rows), PATH, listed=listed), PATH).collect()
+    for style in ("columns", "lattice"):
+        out = P.decode(P.encode(documents(rows), PATH, style=style), PATH).collect()
         assert len(out) == len(rows)
         want = {i: t or "" for i, t, _ in rows}
         for r in out:
@@ -54,12 +54,24 @@ def test_viterbi_equals_brute_force(spark):
         assert abs(got - best(r.text)) < 1e-6 and "".join(p for p in spelled if not p.startswith("<0x")) == r.text.replace(odd, "")
 
 
-def test_lattice_and_heap_give_the_library_ids(spark, library):
+def test_columns_and_heap_give_the_library_ids(library, monkeypatch):
+    words = sorted({w for t in texts() for w in (t or "").replace("▁", " ").split(" ") if w} | {"tion" * 30, "international"})
+    for long, kept, places in ((40, 400_000, 500_000), (0, 400_000, 500_000), (1 << 20, 10, 30)):
+        monkeypatch.setattr(P, "_LONG", long)
+        monkeypatch.setattr(P, "_KEPT", kept)
+        monkeypatch.setattr(P.columns, "_PLACES", places)
+        encode = P.Encoder(PATH)
+        for lo in range(0, len(words), 7):
+            ids, sizes = encode(words[lo : lo + 7])
+            assert ids.tolist() == [i for w in words[lo : lo + 7] for i in library.encode(w)]
+            assert sizes.tolist() == [len(library.encode(w)) for w in words[lo : lo + 7]]
+
+
+def test_lattice_gives_the_library_ids(spark, library):
     words = sorted({w for t in texts() for w in (t or "").replace("▁", " ").split(" ") if w} | {"tion" * 30, "international"})
     units = spark.createDataFrame([(i, "▁" + w, 1) for i, w in enumerate(words)], "unit long, text string, n long")
-    for style in ("lattice", "heap"):
-        out = P.encode_units(units, PATH, "merges", style).collect()
-        assert len(out) == len(words) and all(r.ids == library.encode(words[r.unit]) for r in out)
+    out = P.encode_units(units, PATH, "merges").collect()
+    assert len(out) == len(words) and all(r.ids == library.encode(words[r.unit]) for r in out)
 
 
 def test_query_equals_the_library(spark, library):
