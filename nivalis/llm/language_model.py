@@ -8,7 +8,7 @@ share its unknown word, whose probability is divided by count: P(w) = P(unknown
 The network starts at the word frequencies.  In each round every task trains a copy by truncated
 back-propagation on its own part of that round's documents, and the copies are averaged, weighted
 by tokens, in two levels of grouped averages; only one network's worth of numbers ever reaches the
-driver.  `share` of the training documents, by hash of id, teach the recurrent weights.
+driver.  The rounds share out all training documents, by hash of id, so each teaches once.
 
 Counts of the most frequent words (at most `listed`) are sent to all tasks; the other words of the
 documents are joined to the count table.
@@ -152,7 +152,6 @@ def fit(
     width: int = 64,
     hidden: int = 16,
     listed: int = 1 << 18,
-    share: float = 0.5,
     rounds: int = 2,
     rate: float = 0.01,
     window: int = 16,
@@ -164,7 +163,7 @@ def fit(
     net = initial_net(known, hidden, width)
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("round")), F.lit(1 << 20)) / (1 << 20)
     for k in range(rounds):
-        part = docs.filter((place >= share * k / rounds) & (place < share * (k + 1) / rounds))
+        part = docs.filter((place >= k / rounds) & (place < (k + 1) / rounds))
         net = train_round(part, known, net, rate, window, lanes)
     return counts, known, net
 

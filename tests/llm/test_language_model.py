@@ -72,3 +72,12 @@ def test_query_counts_and_gain(spark):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:4]
         assert abs(r.base_score - want[r.doc_id][4]) < 1e-4
     assert sum(r.score for r in out if r.held_out) > sum(r.base_score for r in out if r.held_out)
+
+
+def test_every_training_document_teaches_once(documents, monkeypatch):
+    seen = []
+    monkeypatch.setattr(L, "train_round", lambda docs, known, net, *rest: seen.append([r.doc_id for r in docs.collect()]) or net)
+    for rounds in (1, 2, 3):
+        seen.clear()
+        L.fit(documents([(i, "a b", "en") for i in range(200)]), vocabulary=6, width=2, rounds=rounds)
+        assert len(seen) == rounds and sorted(sum(seen, [])) == list(range(200))
