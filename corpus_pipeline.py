@@ -12,8 +12,9 @@ documents.
 4. decontaminate   drops documents that hold a 10-word window of a benchmark item.
 5. pieces          returns doc_id, n_pieces and the piece ids of the text.
 
-A null doc_id cannot be told from another, so such rows pass the stages on their text alone and
-are never dropped as copies.  Empty tables stay empty.
+A row is a document, whether or not another has its doc_id: stages 1 to 4 tell rows apart by a key
+of their own.  Rows that repeat an id go by their own texts; a null doc_id counts as larger than any
+other.  Empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -24,32 +25,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nivalis.llm import decontaminate, jaccard_join, language_id, pieces, substring_dedup
-from nivalis.llm.tables import read, remainder, shared_folder
+from nivalis.llm.tables import read, remainder, settle, shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows whose id is not among `gone`; rows without an id stay."""
-    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti")
+def _keyed(docs: DataFrame, ordered: bool = False) -> DataFrame:
+    """The documents with a `row` of their own each, written so that it stays. If `ordered`, row
+    grows with doc_id, and rows without an id come last."""
+    docs = docs.select(COLUMNS)
+    if ordered:
+        docs = docs.orderBy(F.col("doc_id").asc_nulls_last())
+    return settle(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+
+
+def _without(keyed: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows that are not among `gone`."""
+    return keyed.join(gone.select("row"), "row", "left_anti").select(COLUMNS)
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     profiles = language_id.fit_profiles(docs.filter(remainder("doc_id", 4) != 2), top=300)
-    found = language_id.identify(docs, profiles)
-    return _without(docs.select(COLUMNS), found.filter(F.col("lang_pred") == language_id.UNDETERMINED))
+    keyed = _keyed(docs)
+    found = language_id.identify(keyed.select(F.col("row").alias("doc_id"), "text"), profiles).withColumnRenamed("doc_id", "row")
+    return _without(keyed, found.filter(F.col("lang_pred") == language_id.UNDETERMINED))
 
 
 def keep_one_of_a_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard_join.near_duplicates(docs, threshold=0.8, shingle=5)
-    named = docs.select(COLUMNS).filter("doc_id is not null").dropDuplicates(["doc_id"])
-    kept = _without(named, found.filter("class_id < doc_id"))
-    return kept.unionByName(docs.select(COLUMNS).filter("doc_id is null"))
+    keyed = _keyed(docs, ordered=True)
+    found = jaccard_join.near_duplicates(keyed, threshold=0.8, shingle=5, id_col="row")
+    return _without(keyed, found.filter("class_id < row"))
 
 
 def take_repeats_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = substring_dedup.strip_repeats(docs, window=50).filter("n_removed > 0").select("doc_id", "kept")
-    joined = docs.select(COLUMNS).join(found, "doc_id", "left").filter("kept is null or kept != ''")
+    keyed = _keyed(docs, ordered=True)
+    found = substring_dedup.strip_repeats(keyed, window=50, id_col="row").filter("n_removed > 0").select("row", "kept")
+    joined = keyed.join(found, "row", "left").filter("kept is null or kept != ''")
     return joined.select(
         "doc_id",
         F.coalesce("kept", "text").alias("text"),
@@ -60,8 +71,9 @@ def take_repeats_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.matches(docs, read(spark, sf_dir, "benchmark"), window=10)
-    return _without(docs.select(COLUMNS), found.filter(F.size("items") > 0))
+    keyed = _keyed(docs)
+    found = decontaminate.matches(keyed, read(spark, sf_dir, "benchmark"), window=10, id_col="row")
+    return _without(keyed, found.filter(F.size("items") > 0))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

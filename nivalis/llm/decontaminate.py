@@ -28,6 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nivalis.llm.tables import settle
 from nivalis.llm.words import ALNUM_SEPARATORS, LOWER_AZ, HashTable, by_bytes, split_words, window_hashes
 
 #: Leading words by which positions are admitted to a suffix array.
@@ -128,14 +129,14 @@ def search_shard(texts: list[str | None], test: TestSuffixes) -> list[tuple[int,
     return out
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
-    """The benchmark in blocks; only one block at a time is on the driver."""
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[int, list[tuple[str, str | None]]]]:
+    """The number of blocks and a block of the benchmark each; only one block at a time is on the driver."""
     rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).dropna()
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     blocks = max(1, -(-int(total) // block_bytes))
     for k in range(blocks):
         mine = rows if blocks == 1 else rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        yield [(r["item"], r["text"]) for r in mine.toLocalIterator()]
+        yield blocks, [(r["item"], r["text"]) for r in mine.toLocalIterator()]
 
 
 def matches(
@@ -148,12 +149,14 @@ def matches(
     item_text_col: str = "text",
     block_bytes: int = 32_000_000,
 ) -> DataFrame:
-    """One row per document and block: (id, n_words, begins, ends, items), where words
-    begins[i]..ends[i]-1 are the disjoint maximal matches. A single block gives one row a document."""
+    """One row per input row: (id, n_words, begins, ends, items), where words begins[i]..ends[i]-1
+    are the disjoint maximal matches. With several blocks, rows get a written key to be merged by."""
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.lit(0).cast("long").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     passes = []
-    for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
+    for blocks, block in _blocks(benchmark, item_col, item_text_col, block_bytes):
+        if blocks > 1 and not passes:
+            rows = settle(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
         sent = docs.sparkSession.sparkContext.broadcast(test_suffixes(block, window))
 
         def search(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
@@ -161,6 +164,7 @@ def matches(
                 texts = pdf["text"].tolist()
                 found = [x for lo, hi in by_bytes(texts) for x in search_shard(texts[lo:hi], sent.value)]
                 yield pd.DataFrame({
+                    "row": pdf["row"],
                     "id": pdf["id"],
                     "n_words": [x[0] for x in found],
                     "begins": [x[1].astype(np.int32) for x in found],
@@ -168,12 +172,14 @@ def matches(
                     "items": [x[3] for x in found],
                 })
 
-        passes.append(rows.mapInPandas(search, f"id {kind}, n_words long, begins array<int>, ends array<int>, items array<string>"))
+        passes.append(rows.mapInPandas(search, f"row long, id {kind}, n_words long, begins array<int>, ends array<int>, items array<string>"))
     out = passes[0]
     for more in passes[1:]:
         out = out.unionByName(more)
     if len(passes) > 1:
-        merged = out.groupBy("id", "n_words").agg(
+        merged = out.groupBy("row").agg(
+            F.first("id").alias("id"),
+            F.first("n_words").alias("n_words"),
             F.array_sort(F.flatten(F.collect_list(F.arrays_zip("begins", "ends")))).alias("spans"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         )
@@ -191,7 +197,7 @@ def matches(
             ).otherwise(F.concat(acc, F.array(x))),
         )
         out = merged.withColumn("spans", joined).select("id", "n_words", "spans.begins", "spans.ends", "items")
-    return out.withColumnRenamed("id", id_col)
+    return out.select(F.col("id").alias(id_col), "n_words", "begins", "ends", "items")
 
 
 def report(found: DataFrame) -> DataFrame:

@@ -60,3 +60,12 @@ def test_query_equals_brute_force(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
     items = [tuple(r) for r in spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", "text").collect()]
     assert collected(op10_decontaminate(spark, d)) == brute(docs, items, 10)
+
+
+def test_many_blocks_keep_repeated_and_null_ids_apart(spark, documents):
+    rows = [(1, "a b c"), (1, "x y z"), (1, "a b c"), (None, "d e f"), (None, "a b c"), (None, "q q q")]
+    bench = spark.createDataFrame([(1, "a b c"), (2, "d e f"), (3, "g h i")], "item_id long, text string")
+    for block_bytes in (32_000_000, 20):
+        found = D.matches(documents([(d, t, "en") for d, t in rows]), bench, block_bytes=block_bytes).collect()
+        got = sorted((r.doc_id or 0, r.n_words, list(r["items"])) for r in found)
+        assert got == [(0, 3, []), (0, 3, ["1"]), (0, 3, ["2"]), (1, 3, []), (1, 3, ["1"]), (1, 3, ["1"])]
