@@ -13,8 +13,8 @@ as lambda S - ln(K n) exceeds zero.  The largest and the summed significance of
 through a logistic fit on the same documents, which gives the score.
 
 Training reads at most about `max_labelled` labelled documents (chosen by hash of the id), so
-labels are sent to the executors with a bounded size; the model keeps at most `max_features`
-features, those with the most labelled documents.
+labels are sent to the executors with a bounded size; the model keeps every feature that `min_docs`
+of them hold, so that bound is the model's as well.
 
 Defined cases: null and empty texts have no segment and get the score of a document without one;
 without labels of both classes every score is 0; labels that repeat an id count as toxic if any
@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nivalis.llm.tables import remainder
+from nivalis.llm.tables import remainder, settle
 from nivalis.llm.words import _BASE, _INVERSE, ALNUM_SEPARATORS, LOWER_AZ, HashTable, Words, _CODES, _power, by_bytes, mix, split_words
 
 #: Bytes of the prefixes that back a word up.
@@ -115,21 +115,22 @@ def feature_counts(labelled: DataFrame) -> DataFrame:
     )
 
 
-def fit_log_odds(labelled: DataFrame, strength: float, margin: float, min_docs: int, max_features: int) -> LogOdds | None:
+def fit_log_odds(labelled: DataFrame, strength: float, margin: float, min_docs: int) -> LogOdds | None:
     classes = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not classes.get(True) or not classes.get(False):
         return None
     base = classes[True] / (classes[True] + classes[False])
-    kept = feature_counts(labelled).filter(F.col("toxic") + F.col("clean") >= min_docs)
-    kept = kept.orderBy(F.desc(F.col("toxic") + F.col("clean")), "feature").limit(max_features).toPandas()
-    rates: dict[int, float] = {}
+    kept = settle(feature_counts(labelled).filter(F.col("toxic") + F.col("clean") >= min_docs), "features")
+    number = [F.col(c).cast("int").alias(c) for c in ("toxic", "clean")]
+    keys, rate = np.zeros(0, dtype=np.uint64), np.zeros(0)
     for n in _ORDER:
-        own = kept[kept["level"] == n]
-        prior = np.array([rates.get(p, base) for p in own["parent"]])
-        rate = (own["toxic"] + strength * prior) / (own["toxic"] + own["clean"] + strength)
-        rates.update(zip(own["feature"].tolist(), rate.tolist(), strict=True))
-    keys = np.fromiter(rates, dtype=np.int64, count=len(rates)).view(np.uint64)
-    rate = np.clip(np.fromiter(rates.values(), dtype=float, count=len(rates)), 1e-6, 1 - 1e-6)
+        own = kept.filter(F.col("level") == n).select("feature", "parent", *number).toPandas()  # one level at a time on the driver
+        at = HashTable(keys).find(own["parent"].to_numpy(np.int64).view(np.uint64))
+        prior = np.append(rate, base)[at]
+        toxic, clean = own["toxic"].to_numpy(), own["clean"].to_numpy()
+        keys = np.concatenate((keys, own["feature"].to_numpy(np.int64).view(np.uint64)))
+        rate = np.concatenate((rate, (toxic + strength * prior) / (toxic + clean + strength)))
+    rate = np.clip(rate, 1e-6, 1 - 1e-6)
     odds = np.log(rate / (1 - rate)) - np.log(base / (1 - base))
     return LogOdds(HashTable(keys), np.clip(odds, -2, 6) - margin, -margin)
 
@@ -200,29 +201,35 @@ def _summary(n: int, sums: np.ndarray, lam: float, log_k: float) -> tuple[float,
 
 
 def calibrate(labelled: DataFrame, odds: LogOdds) -> Calibration | None:
-    """Fit on labelled documents that the log-odds have not seen; a row each reaches the driver,
-    which the bound on labelled documents bounds."""
+    """Fit on labelled documents that the log-odds have not seen; a few numbers of each reach the
+    driver, which the bound on labelled documents bounds."""
     sent = labelled.sparkSession.sparkContext.broadcast(odds)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = list(_segment_sums(pdf["text"].tolist(), sent.value))
-            top = [sorted(s, reverse=True)[:64] for _, s in found]
-            yield pd.DataFrame({"toxic": pdf["toxic"], "n": [n for n, _ in found], "sums": top})
+            yield pd.DataFrame({"toxic": pdf["toxic"], "n": [n for n, _ in found], "sums": [s for _, s in found]})
 
-    rows = labelled.select("text", "toxic").mapInPandas(run, "toxic boolean, n long, sums array<double>").toPandas()
+    made = settle(labelled.select("text", "toxic").mapInPandas(run, "toxic boolean, n long, sums array<double>"), "segments")
+    rows = made.select("toxic", "n", F.coalesce(F.array_max("sums"), F.lit(0.0)).alias("best")).toPandas()
     toxic = rows["toxic"].to_numpy(bool)
     if toxic.all() or not toxic.any():
         return None
     clean = rows[~toxic]
-    best, n = np.array([s[0] if len(s) else 0.0 for s in clean["sums"]]), clean["n"].to_numpy(float)
+    best, n = clean["best"].to_numpy(float), clean["n"].to_numpy(float)
     lam = 1.0
     for _ in range(20):  # a Gumbel law of scale 1/lambda about (ln K + ln n) / lambda
         spread = np.std(best - np.log(np.maximum(n, 1)) / lam)
         lam = float(np.clip(np.pi / np.sqrt(6) / max(spread, 0.05), 0.1, 10))
     log_k = float(np.mean(lam * best - np.log(np.maximum(n, 1))) - np.euler_gamma)
-    seen = np.array([_summary(k, np.asarray(s), lam, log_k) for k, s in zip(rows["n"], rows["sums"], strict=True)])
-    x, y = np.column_stack((np.ones(len(seen)), seen)), toxic.astype(float)
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            seen = [_summary(k, np.asarray(s), lam, log_k) for k, s in zip(pdf["n"], pdf["sums"], strict=True)]
+            yield pd.DataFrame(seen, columns=["largest", "summed"]).assign(toxic=pdf["toxic"].to_numpy())
+
+    seen = made.mapInPandas(summed, "largest double, summed double, toxic boolean").toPandas()
+    x, y = np.column_stack((np.ones(len(seen)), seen["largest"], seen["summed"])), seen["toxic"].to_numpy(float)
     w = np.zeros(3)
     for _ in range(50):  # Newton's method with a small ridge
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -239,7 +246,6 @@ def fit(
     strength: float = 3.0,
     margin: float = 3.0,
     min_docs: int = 3,
-    max_features: int = 200_000,
     max_labelled: int = 400_000,
 ) -> Model | None:
     """A model from documents (doc_id, text) and labels (doc_id, toxic). A fifth of the labelled
@@ -250,7 +256,7 @@ def fit(
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * max_labelled / n))
     labelled = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most about max_labelled rows
     fold = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("fold")), F.lit(5))
-    odds = fit_log_odds(labelled.filter(fold != 0), strength, margin, min_docs, max_features)
+    odds = fit_log_odds(labelled.filter(fold != 0), strength, margin, min_docs)
     return None if odds is None else Model(odds, calibrate(labelled.filter(fold == 0), odds))
 
 

@@ -51,3 +51,22 @@ def test_held_out_accuracy(spark):
     held = [(r.predicted, truth[r.doc_id]) for r in op2_toxicity(spark, d).collect() if r.held_out and r.doc_id in truth]
     hit = sum(p and t for p, t in held)
     assert hit / sum(t for _, t in held) > 0.75 and hit / max(1, sum(p for p, _ in held)) > 0.75
+
+
+def test_every_feature_with_enough_documents_is_kept(spark, documents):
+    text = " ".join(f"w{i}" for i in range(210_000))
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(12)], "doc_id long, quality int, toxic int")
+    model = T.fit(documents([(i, text, "en") for i in range(12)]), labels)
+    assert len(model.odds.scores) >= 210_000
+
+
+def test_calibration_sums_all_segments_of_a_document(spark):
+    words = T.split_words(["bad ok"], T.ALNUM_SEPARATORS, T.LOWER_AZ)
+    odds = T.LogOdds(T.HashTable(words.hashes.copy()), np.where(words.hashes == words.hashes[0], 5.0, -9.0), -9.0)
+    rows = [("bad ok " * (80 + 40 * k), k % 3 > 0) for k in range(9)] + [("ok " * (5 + k), False) for k in range(24)]
+    rows += [("bad ok " * k, True) for k in range(1, 6)]
+    made = T.calibrate(spark.createDataFrame(rows, "text string, toxic boolean"), odds)
+    seen = [T._summary(n, np.asarray(s), made.lam, made.log_k) for n, s in T._segment_sums([t for t, _ in rows], odds)]
+    x, y = np.column_stack((np.ones(len(seen)), np.array(seen))), np.array([t for _, t in rows], dtype=float)
+    slope = x.T @ (y - 1 / (1 + np.exp(-np.clip(x @ made.weights, -30, 30)))) - 1e-2 * made.weights
+    assert max(x[:, 2]) > np.log(64) and np.abs(slope).max() < 1e-5
