@@ -17,14 +17,13 @@ END, UNKNOWN = 0, 1
 
 @dataclass
 class Net:
-    """`table` holds the input embeddings, already multiplied into the gates."""
+    """`table` holds the input embeddings, already multiplied into the gates. The last row of the
+    output weights is their bias: states carry a one behind their numbers."""
 
     table: np.ndarray  # words x 3 hidden
     gates: np.ndarray  # hidden x 3 hidden: update, reset, candidate
-    to_class: np.ndarray  # hidden x classes
-    class_bias: np.ndarray
-    to_word: np.ndarray  # classes x hidden x width
-    word_bias: np.ndarray  # classes x width
+    to_class: np.ndarray  # hidden + 1 x classes
+    to_word: np.ndarray  # classes x hidden + 1 x width
 
     @staticmethod
     def create(counts: np.ndarray, hidden: int, width: int, seed: int = 5) -> Net:
@@ -34,20 +33,17 @@ class Net:
         padded = np.zeros(classes * width)
         padded[: len(counts)] = counts
         mass = padded.reshape(classes, width)
+        total = mass.sum(axis=1)
         with np.errstate(divide="ignore"):
-            word_bias = np.where(mass > 0, np.log(mass), -1e4)
+            word_bias = np.where(mass > 0, np.log(mass) - np.log(total)[:, None], -1e4)
         draw = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
-        return Net(
-            draw(classes * width, 3 * hidden),
-            draw(hidden, 3 * hidden),
-            draw(hidden, classes) * 0,
-            np.log(mass.sum(axis=1)).astype(np.float32),
-            draw(classes, hidden, width) * 0,
-            word_bias.astype(np.float32),
-        )
+        to_class = np.zeros((hidden + 1, classes), np.float32)
+        to_word = np.zeros((classes, hidden + 1, width), np.float32)
+        to_class[-1], to_word[:, -1] = np.log(total / total.sum()), word_bias
+        return Net(draw(classes * width, 3 * hidden), draw(hidden, 3 * hidden), to_class, to_word)
 
     def parts(self) -> list[np.ndarray]:
-        return [self.table, self.gates, self.to_class, self.class_bias, self.to_word, self.word_bias]
+        return [self.table, self.gates, self.to_class, self.to_word]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.parts()])
@@ -72,7 +68,7 @@ class Lanes:
 
 
 def pack(docs: list[np.ndarray], lanes: int) -> Lanes:
-    """Longest documents first, each to the lane that is shortest so far. Each document must end with END."""
+    """Longest documents first, each to the lane that is shortest so far. """
     lanes = max(1, min(lanes, len(docs)))
     heap, held = [(0, k) for k in range(lanes)], [[] for _ in range(lanes)]
     for d in sorted(range(len(docs)), key=lambda d: -len(docs[d])):
@@ -94,75 +90,94 @@ def pack(docs: list[np.ndarray], lanes: int) -> Lanes:
     return Lanes(inputs, targets, fresh, doc, (loads[None, :] > np.arange(steps)[:, None]).sum(axis=1))
 
 
-def _step(net: Net, word: np.ndarray, h: np.ndarray):
+def _step(net: Net, word: np.ndarray, h: np.ndarray, gates: np.ndarray) -> np.ndarray:
+    """The state after a word; update, reset and candidate are left in `gates` (lanes x 3 hidden)."""
     n = h.shape[1]
     x = net.table[word]
-    both = h @ net.gates[:, : 2 * n]
-    both += x[:, : 2 * n]
+    both, candidate = gates[:, : 2 * n], gates[:, 2 * n :]
+    np.add(h @ net.gates[:, : 2 * n], x[:, : 2 * n], out=both)
     np.negative(both, out=both)
     np.exp(both, out=both)
     both += 1
     np.reciprocal(both, out=both)
-    z, r = both[:, :n], both[:, n:]
-    candidate = np.tanh(x[:, 2 * n :] + (r * h) @ net.gates[:, 2 * n :])
-    return h + z * (candidate - h), z, r, candidate
+    np.add((gates[:, n : 2 * n] * h) @ net.gates[:, 2 * n :], x[:, 2 * n :], out=candidate)
+    candidate *= -2  # tanh by exponentials, which take half the time
+    np.exp(candidate, out=candidate)
+    candidate += 1
+    np.divide(2, candidate, out=candidate)
+    candidate -= 1
+    return h + gates[:, :n] * (candidate - h)
 
 
-def _shares(x: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Softmax of each row, and the log of the picked entry; works in place."""
-    x -= x.max(axis=1, keepdims=True)
-    rows = np.arange(len(x))
-    chosen = x[rows, pick]
-    np.exp(x, out=x)
-    total = x.sum(axis=1)
-    x /= total[:, None]
-    return x, chosen - np.log(total)
+def _tame(weights: np.ndarray) -> bool:
+    """Whether no state (its numbers lie within one) can drive a softmax out of range."""
+    reach, bias = np.abs(weights[..., :-1, :]).sum(axis=-2), weights[..., -1, :]
+    return bool((bias + reach).max() < 60 and (bias - reach).max(axis=-1).min() > -60)
 
 
-def _log_share(x: np.ndarray, pick: np.ndarray) -> np.ndarray:
-    """Log softmax of one entry of each row; works in place."""
-    x -= x.max(axis=1, keepdims=True)
+def _softmax(x: np.ndarray, pick: np.ndarray, tame: bool) -> tuple[np.ndarray, np.ndarray]:
+    """In place the exponentials of each row; their sums, and the log share of the picked entry."""
+    if not tame:
+        x -= x.max(axis=1, keepdims=True)
     chosen = x[np.arange(len(x)), pick]
     np.exp(x, out=x)
-    return chosen - np.log(x.sum(axis=1))
+    total = x @ np.ones(x.shape[1], np.float32)
+    return total, chosen - np.log(total)
 
 
-def _by_class(targets: np.ndarray, width: int):
-    kind = targets // width
-    order = np.argsort(kind, kind="stable")
-    edge = np.flatnonzero(np.diff(kind[order])) + 1
-    for own in np.split(order, edge):
-        yield int(kind[own[0]]), own
+@dataclass(frozen=True)
+class _Grouped:
+    """Targets in order of their class, with the ranges of each class that occurs."""
 
+    order: np.ndarray
+    within: np.ndarray
+    ranges: list[tuple[int, int, int]]
 
-def log_probabilities(net: Net, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """Natural log of P(target | state), row by row."""
-    width = net.word_bias.shape[1]
-    out = _log_share(states @ net.to_class + net.class_bias, targets // width).astype(float)
-    for c, own in _by_class(targets, width) if len(targets) else ():
-        out[own] += _log_share(states[own] @ net.to_word[c] + net.word_bias[c], targets[own] % width)
+    @staticmethod
+    def of(targets: np.ndarray, width: int) -> _Grouped:
+        kind = (targets // width).astype(np.uint16)
+        order = np.argsort(kind, kind="stable")
+        kind = kind[order]
+        edge = np.concatenate(([0], np.flatnonzero(np.diff(kind)) + 1, [len(kind)])).tolist() if len(kind) else [0]
+        ranges = [(int(kind[a]), a, b) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        return _Grouped(order, targets[order] % width, ranges)
+
+    def logits(self, net: Net, states: np.ndarray) -> np.ndarray:
+        out = np.empty((len(states), net.to_word.shape[2]), np.float32)
+        for c, a, b in self.ranges:
+            np.matmul(states[a:b], net.to_word[c], out=out[a:b])
+        return out
+
+
+def log_probabilities(net: Net, states: np.ndarray, targets: np.ndarray, tame: tuple[bool, bool] = (False, False)) -> np.ndarray:
+    """Natural log of P(target | state), row by row; states end in a one."""
+    width = net.to_word.shape[2]
+    out = _softmax(states @ net.to_class, targets // width, tame[0])[1].astype(float)
+    by = _Grouped.of(targets, width)
+    out[by.order] += _softmax(by.logits(net, states[by.order]), by.within, tame[1])[1]
     return out
 
 
-def score(net: Net, docs: list[np.ndarray], lanes: int = 128, window: int = 256) -> np.ndarray:
+def score(net: Net, docs: list[np.ndarray], lanes: int = 512, window: int = 64) -> np.ndarray:
     """Log-likelihood of each whole document, window by window."""
     total = np.zeros(len(docs))
     if not docs:
         return total
     packed, hidden = pack(docs, lanes), net.gates.shape[0]
+    tame = _tame(net.to_class), _tame(net.to_word)
     h = np.zeros((packed.inputs.shape[1], hidden), np.float32)
+    gates = np.empty((len(h), 3 * hidden), np.float32)
     for lo in range(0, len(packed.inputs), window):
         hi = min(lo + window, len(packed.inputs))
         h = h[: packed.used[lo]]
-        states = np.zeros((hi - lo, len(h), hidden), np.float32)
+        states = np.ones((hi - lo, len(h), hidden + 1), np.float32)
         for t in range(lo, hi):
             a = packed.used[t]
-            h = h[:a] * ~packed.fresh[t, :a, None]
-            h = _step(net, packed.inputs[t, :a], h)[0]
-            states[t - lo, :a] = h
+            h = _step(net, packed.inputs[t, :a], h[:a] * ~packed.fresh[t, :a, None], gates[:a])
+            states[t - lo, :a, :hidden] = h
         doc = packed.doc[lo:hi, : states.shape[1]]
         real = doc >= 0
-        logs = log_probabilities(net, states[real], packed.targets[lo:hi, : states.shape[1]][real])
+        logs = log_probabilities(net, states[real], packed.targets[lo:hi, : states.shape[1]][real], tame)
         total += np.bincount(doc[real], weights=logs, minlength=len(docs))
     return total
 
@@ -171,51 +186,61 @@ def gradients(net: Net, inputs, targets, fresh, real, h):
     """Of the mean negative log-likelihood of a window, truncated at its begin: (loss sum, tokens,
     gradients in the order of Net.parts, last state)."""
     steps, lanes = inputs.shape
-    n, width = h.shape[1], net.word_bias.shape[1]
-    kept, states = [], np.empty((steps, lanes, n), np.float32)
+    n, width = h.shape[1], net.to_word.shape[2]
+    keep = (~fresh).astype(np.float32)[:, :, None]
+    before, gates = np.empty((steps, lanes, n), np.float32), np.empty((steps, lanes, 3 * n), np.float32)
+    states = np.ones((steps, lanes, n + 1), np.float32)
     for t in range(steps):
-        h = h * ~fresh[t][:, None]
-        after, z, r, candidate = _step(net, inputs[t], h)
-        kept.append((h, z, r, candidate))
-        states[t] = h = after
-    flat, want, use = states.reshape(-1, n), targets.ravel(), np.flatnonzero(real.ravel())
-    s, w = flat[use], want[use]
-    d_class, logs = _shares(s @ net.to_class + net.class_bias, w // width)
+        np.multiply(h, keep[t], out=before[t])
+        h = _step(net, inputs[t], before[t], gates[t])
+        states[t, :, :n] = h
+    # the output layers
+    use = np.flatnonzero(real.ravel())
+    by = _Grouped.of(targets.ravel()[use], width)
+    use = use[by.order]
+    s, kind, rows = states.reshape(-1, n + 1)[use], np.repeat([c for c, _, _ in by.ranges], [b - a for _, a, b in by.ranges]), np.arange(len(use))
+    d = s @ net.to_class
+    total, logs = _softmax(d, kind, _tame(net.to_class))
     loss = -logs.sum(dtype=float)
-    d_class[np.arange(len(w)), w // width] -= 1
-    d_class /= len(w)
-    d_s = d_class @ net.to_class.T
-    g_word, g_word_bias = np.zeros_like(net.to_word), np.zeros_like(net.word_bias)
-    for c, own in _by_class(w, width):
-        d, logs = _shares(s[own] @ net.to_word[c] + net.word_bias[c], w[own] % width)
-        loss -= logs.sum(dtype=float)
-        d[np.arange(len(own)), w[own] % width] -= 1
-        d /= len(w)
-        g_word[c], g_word_bias[c] = s[own].T @ d, d.sum(axis=0)
-        d_s[own] += d @ net.to_word[c].T
-    d_states = np.zeros_like(flat)
+    d *= (1 / (total * len(use)))[:, None]
+    d[rows, kind] -= np.float32(1 / len(use))
+    g_class, d_s = s.T @ d, d @ net.to_class[:n].T
+    d = by.logits(net, s)
+    total, logs = _softmax(d, by.within, _tame(net.to_word))
+    loss -= logs.sum(dtype=float)
+    d *= (1 / (total * len(use)))[:, None]
+    d[rows, by.within] -= np.float32(1 / len(use))
+    g_word = np.zeros_like(net.to_word)
+    for c, a, b in by.ranges:
+        np.matmul(s[a:b].T, d[a:b], out=g_word[c])
+        d_s[a:b] += d[a:b] @ net.to_word[c, :n].T
+    d_states = np.zeros((steps * lanes, n), np.float32)
     d_states[use] = d_s
     d_states = d_states.reshape(steps, lanes, n)
-    d_x, g_gates, d_h = np.empty((steps, lanes, 3 * n), np.float32), np.zeros_like(net.gates), np.zeros_like(h)
+    # back through time; the factors of all steps at once
+    z, r, candidate = gates[..., :n], gates[..., n : 2 * n], gates[..., 2 * n :]
+    to_z, to_c, to_r = (candidate - before) * z * (1 - z), z * (1 - candidate * candidate), before * r * (1 - r)
+    stay, both, last = (1 - z) * keep, net.gates[:, : 2 * n].T.copy(), net.gates[:, 2 * n :].T.copy()
+    d_x, d_h = np.empty((steps, lanes, 3 * n), np.float32), np.zeros((lanes, n), np.float32)
     for t in range(steps - 1, -1, -1):
-        before, z, r, candidate = kept[t]
-        d_h = d_h + d_states[t]
-        d_c = d_h * z * (1 - candidate**2)
-        d_z = d_h * (candidate - before) * z * (1 - z)
-        d_rh = d_c @ net.gates[:, 2 * n :].T
-        d_r = d_rh * before * r * (1 - r)
-        d_x[t] = np.concatenate((d_z, d_r, d_c), axis=1)
-        g_gates[:, : 2 * n] += before.T @ d_x[t][:, : 2 * n]
-        g_gates[:, 2 * n :] += (r * before).T @ d_c
-        d_h = d_h * (1 - z) + d_rh * r + d_x[t][:, : 2 * n] @ net.gates[:, : 2 * n].T
-        d_h = d_h * ~fresh[t][:, None]
+        d_h += d_states[t]
+        np.multiply(d_h, to_z[t], out=d_x[t, :, :n])
+        d_c = np.multiply(d_h, to_c[t], out=d_x[t, :, 2 * n :])
+        d_rh = d_c @ last
+        np.multiply(d_rh, to_r[t], out=d_x[t, :, n : 2 * n])
+        d_rh *= r[t]
+        d_rh += d_x[t, :, : 2 * n] @ both
+        d_rh *= keep[t]
+        d_h *= stay[t]
+        d_h += d_rh
+    flat_x, flat_before = d_x.reshape(-1, 3 * n), before.reshape(-1, n)
+    g_gates = np.concatenate((flat_before.T @ flat_x[:, : 2 * n], (r.reshape(-1, n) * flat_before).T @ flat_x[:, 2 * n :]), axis=1)
     g_table = np.zeros_like(net.table)
     words = inputs.ravel()
-    order = np.argsort(words, kind="stable")
+    order = np.argsort(words.astype(np.uint16) if len(net.table) <= 1 << 16 else words, kind="stable")
     first = np.flatnonzero(np.concatenate(([True], np.diff(words[order]) > 0)))
-    g_table[words[order][first]] = np.add.reduceat(d_x.reshape(-1, 3 * n)[order], first, axis=0)
-    grads = [g_table, g_gates, s.T @ d_class, d_class.sum(axis=0), g_word, g_word_bias]
-    return loss, len(w), grads, h
+    g_table[words[order][first]] = np.add.reduceat(flat_x[order], first, axis=0)
+    return loss, len(use), [g_table, g_gates, g_class, g_word], h
 
 
 class Adam:
@@ -226,19 +251,29 @@ class Adam:
 
     def update(self, grads: list[np.ndarray]) -> None:
         self.t += 1
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
+        norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads))
         shrink = np.float32(min(1.0, 5.0 / max(norm, 1e-12)))
-        rate = self.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
+        rate = np.float32(self.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t))
         for p, g, m, v in zip(self.net.parts(), grads, self.mean, self.square, strict=True):
-            g = g * shrink
-            m += np.float32(0.1) * (g - m)
-            v += np.float32(0.001) * (g * g - v)
-            p -= np.float32(rate) * m / (np.sqrt(v) + np.float32(1e-8))
-
-
-def train(net: Net, optimiser: Adam, docs: list[np.ndarray], window: int, lanes: int, updates: int) -> tuple[float, int]:
-    """One pass of truncated back-propagation over whole documents; (loss sum, tokens). Lanes are
-    narrowed where the documents would otherwise give fewer than `updates` steps."""
+            g *= shrink
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * g
+            g *= g
+            g *= np.float32(0.001)
+            v *= np.float32(0.999)
+            v += g
+            np.sqrt(v, out=g)
+            g += np.float32(1e-8)
+            np.divide(m, g, out=g)
+            g *= rate
+            p -= g
+
+
+def train(net: Net, optimiser: Adam, docs: list[np.ndarray], window: int, lanes: int, updates: int, longest: int = 4096) -> tuple[float, int]:
+    """One pass of truncated back-propagation over whole documents; (loss sum, tokens). Documents of
+    more than `longest` tokens are taught in pieces, each from a zero state. Lanes are narrowed where
+    the documents would otherwise give fewer than `updates` steps."""
+    docs = [d[k : k + longest] for d in docs for k in range(0, len(d), longest)]
     if not docs:
         return 0.0, 0
     size = sum(map(len, docs))

@@ -5,10 +5,12 @@ cover all training documents.  The `vocabulary` most frequent are words of the n
 share its unknown word, whose probability is divided by count: P(w) = P(unknown | state) *
 (c + 1) / (N' + V' + 1), N' and V' being the tokens and distinct words outside the network.
 
-The network starts at the word frequencies.  In each round every task trains a copy by truncated
-back-propagation on its own part of that round's documents, and the copies are averaged, weighted
-by tokens, in two levels of grouped averages; only one network's worth of numbers ever reaches the
-driver.  The rounds share out all training documents, by hash of id, so each teaches once.
+The network starts at the word frequencies.  The rounds share out all training documents, by hash of
+id, so each teaches once; their number grows with the logarithm of the corpus.  A round's documents
+are dealt, by hash again, into shards of about `shard_tokens` tokens.  Each shard trains a copy by
+truncated back-propagation, and the copies are averaged, weighted by tokens, in two levels of grouped
+averages; only one network's worth of numbers ever reaches the driver.  Rounds and shards follow from
+ids and the count of tokens alone, so results do not depend on how files are split.
 
 Counts of the most frequent words (at most `listed`) are sent to all tasks; the other words of the
 documents are joined to the count table.
@@ -25,11 +27,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nivalis.llm import gru
-from nivalis.llm.tables import remainder, settle
+from nivalis.llm.tables import carried, remainder, settle
 from nivalis.llm.words import LOWER_AZ, SPACE_SEPARATORS, HashTable, by_bytes, split_words
 
 #: Stands for the end token among word hashes.
@@ -122,28 +124,46 @@ def _averaged(made: DataFrame, keys: list[str]) -> DataFrame:
     return made.groupBy(*keys).applyInPandas(run, "chunk int, weight long, data binary")
 
 
-def train_round(docs: DataFrame, known: Counts, net: gru.Net, rate: float, window: int, lanes: int, fan_in: int = 64) -> gru.Net:
-    """One copy of the network per task, trained on its documents; their average."""
+def _hashed(salt: str) -> Column:
+    """A number in [0, 1) drawn from the id."""
+    return F.pmod(F.xxhash64(F.col("doc_id"), F.lit(salt)), F.lit(1 << 20)) / (1 << 20)
+
+
+def train_round(docs: DataFrame, known: Counts, net: gru.Net, shards: int, rate: float, window: int, lanes: int, fan_in: int = 64) -> gru.Net:
+    """One copy of the network per shard, trained on its documents; their average."""
     context = docs.sparkSession.sparkContext
     sent, start = context.broadcast(known), context.broadcast(net)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def taught(shard: int, parts: list[tuple[int, np.ndarray]]) -> pd.DataFrame:
         own = start.value.filled(start.value.flat())
-        optimiser, tokens = gru.Adam(own, rate), 0
+        parts.sort(key=lambda part: part[0])
+        _, tokens = gru.train(own, gru.Adam(own, rate), [d for _, d in parts], window, lanes, updates=60)
+        flat = own.flat()
+        cut = [flat[k : k + _CHUNK].tobytes() for k in range(0, len(flat), _CHUNK)]
+        return pd.DataFrame({"some": shard // fan_in, "chunk": np.arange(len(cut), dtype=np.int32), "weight": tokens, "data": cut})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list[tuple[int, np.ndarray]]] = {}  # word numbers of the shards of this task
         for pdf in batches:
-            texts = pdf["text"].tolist()
-            for lo, hi in by_bytes(texts, 4_000_000):
-                tokens += gru.train(own, optimiser, _documents(texts[lo:hi], sent.value)[2], window, lanes, updates=60)[1]
-        if tokens:
-            flat = own.flat()
-            parts = [flat[k : k + _CHUNK].tobytes() for k in range(0, len(flat), _CHUNK)]
-            yield pd.DataFrame({"chunk": np.arange(len(parts), dtype=np.int32), "weight": tokens, "data": parts})
+            texts, shard, order = pdf["text"].tolist(), pdf["shard"].tolist(), pdf["order"].tolist()
+            for lo, hi in by_bytes(texts, 8_000_000):
+                for k, d in enumerate(_documents(texts[lo:hi], sent.value)[2], lo):
+                    held.setdefault(shard[k], []).append((order[k], d))
+        while held:
+            yield taught(*held.popitem())
+
+    rows = docs.select("text", F.floor(_hashed("shard") * shards).cast("int").alias("shard"), F.xxhash64("doc_id", "text").alias("order"))
+    made = rows.repartitionById(shards, F.col("shard")).mapInPandas(run, "some int, chunk int, weight long, data binary")
+    some = _averaged(made, ["chunk", "some"])
+    found = sorted(_averaged(some, ["chunk"]).collect(), key=lambda r: r["chunk"])
+    sent.destroy()
+    return net.filled(np.concatenate([np.frombuffer(r["data"], np.float32) for r in found])) if found else net
+
 
-    made = docs.select("text").mapInPandas(run, "chunk int, weight long, data binary")
-    tasks = F.floor(F.spark_partition_id() / fan_in)
-    some = _averaged(made.withColumn("some", tasks), ["chunk", "some"])
-    rows = sorted(_averaged(some, ["chunk"]).collect(), key=lambda r: r["chunk"])
-    return net.filled(np.concatenate([np.frombuffer(r["data"], np.float32) for r in rows])) if rows else net
+def plan_rounds(tokens: int, shard_tokens: int) -> tuple[int, int]:
+    """(rounds, shards a round): one round more for every doubling of the tokens."""
+    rounds = 2 + max(0, round(np.log2(max(tokens, 1) / (4 * shard_tokens))))
+    return rounds, max(1, round(tokens / (rounds * shard_tokens)))
 
 
 def fit(
@@ -152,22 +172,30 @@ def fit(
     width: int = 64,
     hidden: int = 16,
     listed: int = 1 << 18,
-    rounds: int = 2,
+    shard_tokens: int = 2_000_000,
     rate: float = 0.01,
     window: int = 16,
-    lanes: int = 256,
+    lanes: int = 512,
 ) -> tuple[DataFrame, Counts, gru.Net]:
     """Counts of all given documents, as a table and as what tasks need, and the trained network."""
     counts = settle(word_counts(docs), "counts")
     known = gather(counts, vocabulary, listed)
     net = initial_net(known, hidden, width)
-    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("round")), F.lit(1 << 20)) / (1 << 20)
+    rounds, shards = plan_rounds(known.tokens, shard_tokens)
+    place = F.floor(_hashed("round") * rounds)
     for k in range(rounds):
-        part = docs.filter((place >= k / rounds) & (place < (k + 1) / rounds))
-        net = train_round(part, known, net, rate, window, lanes)
+        net = train_round(docs.filter(place == k), known, net, shards, rate, window, lanes)
     return counts, known, net
 
 
+def _network_scores(net: gru.Net, docs: list[np.ndarray], most: int = 6_000_000) -> np.ndarray:
+    """log10 of the network's probability of each document, many at a time so that lanes are full."""
+    size = np.cumsum([0, *map(len, docs)])
+    edge = np.unique(np.searchsorted(size, np.arange(0, size[-1], most)))
+    parts = [gru.score(net, docs[a:b]) for a, b in zip(edge, [*edge[1:], len(docs)], strict=True)]
+    return np.concatenate(parts) / np.log(10) if parts else np.zeros(0)
+
+
 def score(docs: DataFrame, counts: DataFrame, known: Counts, net: gru.Net) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row."""
     context = docs.sparkSession.sparkContext
@@ -177,10 +205,10 @@ def score(docs: DataFrame, counts: DataFrame, known: Counts, net: gru.Net) -> Da
         known, net = sent.value, model.value
         counts = np.append(known.counts, 0).astype(float)
         for pdf in batches:
-            texts, out = pdf["text"].tolist(), []
+            texts, out, numbered = pdf["text"].tolist(), [], []
             for lo, hi in by_bytes(texts, 8_000_000):
                 words, listed, docs = _documents(texts[lo:hi], known)
-                logs = gru.score(net, docs)
+                numbered += docs
                 more = np.log10(counts[listed] + 1)
                 outside = np.append(known.number, gru.UNKNOWN)[listed] == gru.UNKNOWN
                 end = float(known.counts[known.number == gru.END].sum())
@@ -189,13 +217,15 @@ def score(docs: DataFrame, counts: DataFrame, known: Counts, net: gru.Net) -> Da
                     mine, apart = listed[own], outside[own]
                     rare, times = np.unique(words.hashes[own][mine < 0], return_counts=True)
                     base = more[own].sum() + np.log10(end + 1) - len(d) * np.log10(known.tokens + known.distinct + 1)
-                    full = logs[k] / np.log(10) + more[own][apart].sum() - apart.sum() * np.log10(known.outside)
+                    full = more[own][apart].sum() - apart.sum() * np.log10(known.outside)
                     out.append((len(d), int((mine >= 0).sum()) + int(end > 0), base, full, rare.view(np.int64), times))
             made = pd.DataFrame(out, columns=["n_tokens", "n_known", "base_score", "score", "rare", "times"])
+            made["score"] += _network_scores(net, numbered)
             yield made.assign(doc_id=pdf["doc_id"].to_numpy())
 
-    schema = "n_tokens long, n_known long, base_score double, score double, rare array<long>, times array<int>, doc_id long"
-    made = docs.select("doc_id", "text").mapInPandas(run, schema)
+    schema = "n_tokens long, n_known long, base_score double, score double, rare array<long>, times array<int>, doc_id string"
+    made = docs.select(carried("doc_id").alias("doc_id"), "text").mapInPandas(run, schema)
+    made = made.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
     made = settle(made.withColumn("row", F.monotonically_increasing_id()), "scores")
     rare = made.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select(
         "row", F.col("r.rare").alias("word"), F.col("r.times").alias("times")

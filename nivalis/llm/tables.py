@@ -17,9 +17,18 @@ def remainder(column: str, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
+def carried(column: str) -> Column:
+    """An id as text, for the way through Python tasks: pandas turns whole numbers beside a null into
+    floats, which lose digits."""
+    return F.col(column).cast("string")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else (as in tests) one under the warehouse."""
+    """The folder all executors share, spark.checkpoint.dir. Only a local session may go without one;
+    its tables lie under the warehouse."""
     given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return given or spark.conf.get("spark.sql.warehouse.dir") + "/nivalis-shared"
 
 

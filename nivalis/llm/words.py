@@ -123,37 +123,46 @@ def by_bytes(texts: list[str | None], limit: int = PIECE_BYTES) -> Iterator[tupl
 
 
 class HashTable:
-    """Membership and position of 64-bit keys in a fixed set, behind a one-byte filter that is not
-    sent along but made where the table is used."""
+    """Membership and position of 64-bit keys in a fixed set of distinct keys. Only the keys are sent
+    along; the slots are made where the table is used. Keys that share a slot with an earlier one are
+    found by binary search."""
 
     def __init__(self, keys: np.ndarray):
-        self.order = np.argsort(keys, kind="stable").astype(np.int32)
-        self.keys = keys[self.order]
-        self._sieve()
-
-    def _sieve(self) -> None:
-        bits = max(12, int(np.ceil(np.log2(max(1, len(self.keys)) * 8))))
-        self.mask = np.uint64((1 << min(bits, 23)) - 1)
-        self.filter = np.zeros(int(self.mask) + 1, dtype=bool)
-        self.filter[(self.keys & self.mask).astype(np.int64)] = True
+        self.keys = np.ascontiguousarray(keys)
+        self._deal()
+
+    def _deal(self) -> None:
+        bits = min(24, max(10, int(np.ceil(np.log2(max(1, len(self.keys)) * 4)))))
+        self.mask = np.uint64((1 << bits) - 1)
+        slot = (self.keys & self.mask).astype(np.int64)
+        self.slots = np.full(1 << bits, -1, dtype=np.int32)
+        self.slots[slot[::-1]] = np.arange(len(slot) - 1, -1, -1, dtype=np.int32)
+        late = np.flatnonzero(self.slots[slot] != np.arange(len(slot)))
+        self.late = late[np.argsort(self.keys[late], kind="stable")]
+        self.late_keys = self.keys[self.late]
+        self.crowded = np.zeros(1 << bits, dtype=bool)
+        self.crowded[slot[late]] = True
 
     def __getstate__(self):
-        return self.order, self.keys
+        return self.keys
 
-    def __setstate__(self, state):
-        self.order, self.keys = state
-        self._sieve()
+    def __setstate__(self, keys):
+        self.keys = keys
+        self._deal()
 
     def find(self, values: np.ndarray) -> np.ndarray:
         """Index into the given keys, or -1."""
-        out = np.full(len(values), -1, dtype=np.int64)
         if not len(self.keys) or not len(values):
-            return out
-        maybe = np.flatnonzero(self.filter[(values & self.mask).astype(np.int64)])
-        at = np.searchsorted(self.keys, values[maybe])
-        at[at == len(self.keys)] = 0
-        hit = self.keys[at] == values[maybe]
-        out[maybe[hit]] = self.order[at[hit]]
+            return np.full(len(values), -1, dtype=np.int64)
+        slot = (values & self.mask).astype(np.int64)
+        out = self.slots[slot].astype(np.int64)
+        out[self.keys[out] != values] = -1  # a free slot reads the last key, which is compared as well
+        if len(self.late):
+            open_ = np.flatnonzero((out < 0) & self.crowded[slot])
+            at = np.searchsorted(self.late_keys, values[open_])
+            at[at == len(self.late_keys)] = 0
+            hit = self.late_keys[at] == values[open_]
+            out[open_[hit]] = self.late[at[hit]]
         return out
 
 

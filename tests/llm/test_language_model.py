@@ -46,7 +46,7 @@ def test_probabilities_sum_to_one_and_windows_do_not_matter():
     rng = np.random.default_rng(3)
     net = gru.Net.create(np.arange(1.0, 11), 6, 4)
     net = net.filled(np.where(net.flat() < -100, net.flat(), rng.standard_normal(len(net.flat()))))
-    total = sum(np.exp(gru.log_probabilities(net, np.full((1, 6), 0.3, np.float32), np.array([w]))[0]) for w in range(10))
+    total = sum(np.exp(gru.log_probabilities(net, np.append(np.full(6, 0.3, np.float32), np.float32(1))[None], np.array([w]))[0]) for w in range(10))
     assert abs(total - 1) < 1e-4
     docs = [np.append(rng.integers(1, 10, n), 0) for n in (40, 3, 0, 17, 9)]
     whole = gru.score(net, docs, lanes=2, window=1000)
@@ -77,7 +77,45 @@ def test_query_counts_and_gain(spark):
 def test_every_training_document_teaches_once(documents, monkeypatch):
     seen = []
     monkeypatch.setattr(L, "train_round", lambda docs, known, net, *rest: seen.append([r.doc_id for r in docs.collect()]) or net)
-    for rounds in (1, 2, 3):
+    for shard_tokens in (10, 50, 1000):
         seen.clear()
-        L.fit(documents([(i, "a b", "en") for i in range(200)]), vocabulary=6, width=2, rounds=rounds)
-        assert len(seen) == rounds and sorted(sum(seen, [])) == list(range(200))
+        L.fit(documents([(i, "a b", "en") for i in range(200)]), vocabulary=6, width=2, shard_tokens=shard_tokens)
+        assert len(seen) == L.plan_rounds(600, shard_tokens)[0] and sorted(sum(seen, [])) == list(range(200))
+
+
+def test_scores_do_not_depend_on_how_rows_are_split(documents):
+    rows = [(i, f"the cat sat on mat {i % 7} and {i % 3}", "en") for i in range(300)]
+    one, many = (
+        {r.doc_id: r.score for r in L.held_out_scores(documents(rows).repartition(n), vocabulary=16, width=4, shard_tokens=500).collect()} for n in (1, 7)
+    )
+    assert all(abs(one[k] - many[k]) < 1e-3 for k in one)
+
+
+def brute_score(net, known, number, train, words):
+    """Word by word: the network's share of the word, and an unknown word's share of the counts."""
+    n, width = net.gates.shape[0], net.to_word.shape[2]
+    h, last, total = np.zeros(n), 0, 0.0
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    for w in words:
+        x = net.table[last].astype(float)
+        z, r = sigmoid(x[:n] + h @ net.gates[:, :n]), sigmoid(x[n : 2 * n] + h @ net.gates[:, n : 2 * n])
+        h = h + z * (np.tanh(x[2 * n :] + (r * h) @ net.gates[:, 2 * n :]) - h)
+        s, last = np.append(h, 1), 0 if w is None else number.get(w, 1)
+        classes, inside = s @ net.to_class, s @ net.to_word[last // width]
+        total += classes[last // width] - np.log(np.exp(classes).sum()) + inside[last % width] - np.log(np.exp(inside).sum())
+        if last == 1:
+            total += np.log((train[w] + 1) / known.outside)
+    return total / np.log(10)
+
+
+def test_score_equals_brute_force(documents):
+    rows = [(i, " ".join(f"w{(i * j) % 11}" for j in range(i % 13))) for i in range(80)] + [(200, None), (201, "w1 unseen W2 unseen")]
+    counts, known, net = L.fit(documents([(d, t, "en") for d, t in rows[:80]]), vocabulary=8, width=3, shard_tokens=200, listed=6)
+    train = Counter(w for _, t in rows[:80] for w in tokens(t))
+    names = sorted((w for w in train if w), key=lambda w: (-train[w], int(L.split_words([w]).hashes.view(np.int64)[0])))
+    number = {w: k + 2 for k, w in enumerate(names[:6])}
+    assert len(number) == len(known.vocabulary) or len(known.vocabulary) < 6  # fewer where ties do not fit the list
+    number = {w: k for w, k in number.items() if k < len(known.vocabulary) + 2}
+    got = {r.doc_id: r.score for r in L.score(documents([(d, t, "en") for d, t in rows]), counts, known, net).collect()}
+    for d, t in rows:
+        assert abs(got[d] - brute_score(net, known, number, train, tokens(t))) < 1e-3
