@@ -2,33 +2,48 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nivalis.operators.linepass import blackman_weights, box_weights, gaussian_weights, line_pass
+from nivalis.tables import settle
 
 KEYS = ("region", "iy", "ix")
 _TINY = 1e-12
 
 
-def _stats(df: DataFrame, by: str, **aggs: Column) -> DataFrame:
-    """Group statistics joined back: a partial aggregate and one row per region, where a window would
-    hold a whole region in a task."""
-    return df.join(df.groupBy(by).agg(*(c.alias(n) for n, c in aggs.items())), by)
+def with_stats(df: DataFrame, columns: Mapping[str, Column], by: str = "region") -> DataFrame:
+    """Adds each column under its name, and its mean, deviation, least and largest value per group as
+    <name>_m, _s, _lo, _hi. All are taken in one partial aggregate, whose table (a row a group) is
+    written: so a chain of levels computes the plan above it once a level, and no window holds a
+    whole region."""
+    named = df.withColumns(dict(columns))
+    aggs = [f(c).alias(f"{c}{end}") for c in columns for f, end in ((F.avg, "_m"), (F.stddev_pop, "_s"), (F.min, "_lo"), (F.max, "_hi"))]
+    return named.join(settle(named.groupBy(by).agg(*aggs), "stats"), by)
+
+
+def _z(name: str) -> Column:
+    return (F.col(name) - F.col(f"{name}_m")) / (F.col(f"{name}_s") + _TINY)
+
+
+def _n(name: str) -> Column:
+    return (F.col(name) - F.col(f"{name}_lo")) / (F.col(f"{name}_hi") - F.col(f"{name}_lo") + _TINY)
+
+
+def _without_stats(df: DataFrame, *names: str) -> DataFrame:
+    return df.drop(*(f"{n}{end}" for n in names for end in ("", "_m", "_s", "_lo", "_hi")))
 
 
 def zscore(df: DataFrame, value: Column | str, name: str, by: str = "region") -> DataFrame:
-    v = F.col(value) if isinstance(value, str) else value
-    out = _stats(df.withColumn("_v", v), by, _m=F.avg("_v"), _s=F.stddev_pop("_v"))
-    return out.withColumn(name, (F.col("_v") - F.col("_m")) / (F.col("_s") + _TINY)).drop("_v", "_m", "_s")
+    out = with_stats(df, {"_v": F.col(value) if isinstance(value, str) else value}, by)
+    return _without_stats(out.withColumn(name, _z("_v")), "_v")
 
 
 def norm01(df: DataFrame, value: Column | str, name: str, by: str = "region") -> DataFrame:
-    v = F.col(value) if isinstance(value, str) else value
-    out = _stats(df.withColumn("_v", v), by, _lo=F.min("_v"), _hi=F.max("_v"))
-    return out.withColumn(name, (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + _TINY)).drop("_v", "_lo", "_hi")
+    out = with_stats(df, {"_v": F.col(value) if isinstance(value, str) else value}, by)
+    return _without_stats(out.withColumn(name, _n("_v")), "_v")
 
 
 def _smoothed(df: DataFrame, values: Sequence[str], lo: int, weights: Sequence[float], mode: str) -> DataFrame:
@@ -138,38 +153,48 @@ def multiscale_contrasts(df: DataFrame, small: int = 3, large: int = 50) -> Data
     return df.withColumns(new) if new else df
 
 
-def cold_air_pooling(df: DataFrame, name: str = "capi") -> DataFrame:
-    """0..1 from low relative height, valley tendency and enclosure, those that are present."""
-    parts = []
-    for col in ("norm_height", "mbi", "svf"):
-        if col in df.columns:
-            if col == "svf":
-                df = norm01(df, "svf", "_svf")
-            df = zscore(df, 1 - F.col("_svf") if col == "svf" else -F.col(col), f"_z_{col}")
-            parts.append(f"_z_{col}")
+def _pooling(df: DataFrame, more: Mapping[str, Column]) -> DataFrame:
+    """Adds _p, the mean z-score of the pooling parts that are present, with its statistics and those
+    of the `more` columns: two levels of statistics."""
+    parts = [c for c in ("norm_height", "mbi", "svf") if c in df.columns]
     if not parts:
         raise ValueError("one of norm_height, mbi, svf is needed")
-    total = sum((F.col(p) for p in parts[1:]), F.col(parts[0])) / len(parts)
-    return norm01(df, total, name).drop(*parts, "_svf")
+    out = with_stats(df, {f"_{c}": F.col(c) for c in parts})
+    z = []
+    for c in parts:
+        if c == "svf":  # the z-score of one less the min-max of svf, from the statistics of svf
+            width = F.col("_svf_hi") - F.col("_svf_lo") + _TINY
+            z.append(-(F.col("_svf") - F.col("_svf_m")) / width / (F.col("_svf_s") / width + _TINY))
+        else:  # of the value with its sign changed
+            z.append(-_z(f"_{c}"))
+    total = sum(z[1:], z[0]) / len(z)
+    return with_stats(_without_stats(out.withColumn("_total", total), *(f"_{c}" for c in parts)), {"_p": F.col("_total"), **more}).drop("_total")
+
+
+def cold_air_pooling(df: DataFrame, name: str = "capi") -> DataFrame:
+    """0..1 from low relative height, valley tendency and enclosure, those that are present."""
+    return _without_stats(_pooling(df, {}).withColumn(name, _n("_p")), "_p")
 
 
 def openness(df: DataFrame, win: int = 25, elevation: str = "dem10m") -> DataFrame:
     if elevation not in df.columns:
         raise ValueError(f"{elevation} is needed")
     out = df.join(box_mean(df, [elevation], win).withColumnRenamed(elevation, "_m"), list(KEYS))
-    out = norm01(out, F.abs(F.col(elevation) - F.col("_m")), "_relief").drop("_m")
-    if "svf" in df.columns:
-        out = norm01(out, "svf", "_sky")
-    else:
-        out = out.withColumn("_sky", F.lit(0.5))
-    return out.withColumn(f"openness_proxy_w{win}", 0.5 * F.col("_sky") + 0.5 * F.col("_relief")).drop("_sky", "_relief")
+    wanted = {"_relief": F.abs(F.col(elevation) - F.col("_m"))} | ({"_sky": F.col("svf")} if "svf" in df.columns else {})
+    out = with_stats(out, wanted)
+    sky = _n("_sky") if "_sky" in wanted else F.lit(0.5)
+    return _without_stats(out.withColumn(f"openness_proxy_w{win}", 0.5 * sky + 0.5 * _n("_relief")).drop("_m"), *wanted)
 
 
 def cold_bias(df: DataFrame, elevation: str = "dem10m", name: str = "cold_bias_potential") -> DataFrame:
     if elevation not in df.columns:
         raise ValueError(f"{elevation} is needed")
-    out = zscore(zscore(cold_air_pooling(df, "_capi"), "_capi", "_za"), elevation, "_ze")
-    return norm01(out, F.col("_za") + 0.5 * F.col("_ze"), name).drop("_capi", "_za", "_ze")
+    out = _pooling(df, {"_e": F.col(elevation)})
+    width = F.col("_p_hi") - F.col("_p_lo") + _TINY  # the z-score of the pooling index is that of _p, but for its scale
+    za = (F.col("_p") - F.col("_p_m")) / width / (F.col("_p_s") / width + _TINY)
+    out = _without_stats(out.withColumn("_b", za + 0.5 * _z("_e")), "_p", "_e")
+    out = with_stats(out, {"_c": F.col("_b")})
+    return _without_stats(out.withColumn(name, _n("_c")).drop("_b"), "_c")
 
 
 def solar_factor(df: DataFrame, times: DataFrame, cell: Sequence[str] = KEYS) -> DataFrame:
@@ -193,9 +218,11 @@ def wind_on_slope(df: DataFrame, speed: str, direction: str, aspect: str) -> Dat
 def wind_exposure(df: DataFrame, index: str = "windexp500", name: str = "wind_shelter_exposure") -> DataFrame:
     """Min-max of the index, turned round first where less than half of the cells are above zero; null
     cells count as not above."""
-    share = F.avg(F.coalesce((F.col(index) > 0).cast("double"), F.lit(0.0)))
-    out = _stats(df, "region", _share=share)
-    return norm01(out, F.when(F.col("_share") < 0.5, -F.col(index)).otherwise(F.col(index)), name).drop("_share")
+    above = F.coalesce((F.col(index) > 0).cast("double"), F.lit(0.0))
+    out = with_stats(df, {"_i": F.col(index), "_a": above})
+    width = F.col("_i_hi") - F.col("_i_lo") + _TINY
+    turned = (F.col("_i_hi") - F.col("_i")) / width
+    return _without_stats(out.withColumn(name, F.when(F.col("_a_m") < 0.5, turned).otherwise(_n("_i"))), "_i", "_a")
 
 
 def effective_wind(df: DataFrame, speed: str, index: str = "windexp500", k: float = 0.6) -> DataFrame:
@@ -204,23 +231,24 @@ def effective_wind(df: DataFrame, speed: str, index: str = "windexp500", k: floa
 
 
 def static_predictors(df: DataFrame, scales: Sequence[int] = (3, 50)) -> DataFrame:
-    """All static features that the present columns allow."""
-    out = df
-    if "dem10m" in df.columns:
-        for w in scales:
-            out = ruggedness(out, w)
+    """All static features that the present columns allow. Each is made from the given columns alone
+    and joined to them by cell, so no feature's plan holds another's."""
+    base = multiscale_contrasts(df, *scales)
+    made = []
     for w in scales:
-        if {f"slope_degrees_w{w}", f"aspect_degrees_w{w}"} <= set(out.columns):
-            out = vector_ruggedness(out, w, f"slope_degrees_w{w}", f"aspect_degrees_w{w}")
-    out = multiscale_contrasts(out, *scales)
-    if {"norm_height", "mbi", "svf"} & set(df.columns):
-        out = cold_air_pooling(out)
-    if "dem10m" in df.columns:
-        for w in scales:
-            out = openness(out, w)
-        if "capi" in out.columns:
-            out = cold_bias(out)
-    return out
+        if "dem10m" in df.columns:
+            made += [ruggedness(df.select(*KEYS, "dem10m"), w), openness(df.select(*KEYS, *(c for c in ("dem10m", "svf") if c in df.columns)), w)]
+        slope, aspect = f"slope_degrees_w{w}", f"aspect_degrees_w{w}"
+        if {slope, aspect} <= set(df.columns):
+            made.append(vector_ruggedness(df.select(*KEYS, slope, aspect), w, slope, aspect))
+    pooling = [c for c in ("norm_height", "mbi", "svf") if c in df.columns]
+    if pooling:
+        made.append(cold_air_pooling(df.select(*KEYS, *pooling)))
+        if "dem10m" in df.columns:
+            made.append(cold_bias(df.select(*KEYS, "dem10m", *pooling)))
+    for feature in made:
+        base = base.join(feature.select(*KEYS, *(c for c in feature.columns if c not in base.columns)), list(KEYS))
+    return base
 
 
 def hourly_predictors(static: DataFrame, hourly: DataFrame, swdown: str | None = None, speed: str | None = None, direction: str | None = None, aspect: str | None = None) -> DataFrame:
