@@ -10,6 +10,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nivalis.operators.ranges import before_piece, with_piece
+
 C = Column | str
 
 
@@ -82,7 +84,8 @@ def compare_models(df: DataFrame, obs: str, models: Sequence[str], by: Sequence[
 
 
 def event_skill(df: DataFrame, obs: str, models: Sequence[str], threshold: float = 0.0, by: Sequence[str] = ()) -> DataFrame:
-    """Scores of the event value <= threshold; a score without a denominator is null."""
+    """Scores of the event value <= threshold; a score without a denominator is null, so F1 is null
+    where precision or recall is, and where both are zero."""
     long = long_models(df, obs, models, by).dropna(subset=[obs, "yhat"])
     o, m = F.col(obs) <= threshold, F.col("yhat") <= threshold
     counted = long.groupBy("model", *by).agg(
@@ -93,7 +96,7 @@ def event_skill(df: DataFrame, obs: str, models: Sequence[str], threshold: float
         "model", *by, "tp", "fp", "fn", "tn",
         d("tp", F.col("tp") + F.col("fp")).alias("precision"),
         d("tp", F.col("tp") + F.col("fn")).alias("recall"),
-        d(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"),
+        F.when(F.col("tp") > 0, d(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))).alias("f1"),
         d(F.col("tp") + F.col("tn"), F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("accuracy"),
         d("tn", F.col("tn") + F.col("fp")).alias("tnr"),
     )
@@ -109,10 +112,11 @@ def nse(df: DataFrame, obs: str, mod: str, by: Sequence[str] = (), standard: boo
 
 
 def average_rank(df: DataFrame, col: str, by: Sequence[str], name: str) -> DataFrame:
-    """Ranks with ties averaged."""
-    rank = F.rank().over(Window.partitionBy(*by).orderBy(col))
-    peers = F.count("*").over(Window.partitionBy(*by, col))
-    return df.withColumn(name, rank + (peers - 1) / 2.0)
+    """Ranks with ties averaged. A group is ranked range by range, so it may be large."""
+    placed = before_piece(with_piece(df, col, by), F.count("*"), F.sum("_part"), by)
+    rank = F.rank().over(Window.partitionBy(*by, "_piece").orderBy(col))
+    peers = F.count("*").over(Window.partitionBy(*by, "_piece", col))
+    return placed.withColumn(name, F.coalesce("_before", F.lit(0)) + rank + (peers - 1) / 2.0).drop("_piece", "_before")
 
 
 def spearman(df: DataFrame, obs: str, mod: str, by: Sequence[str]) -> DataFrame:

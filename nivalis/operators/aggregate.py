@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from nivalis.operators.ranges import before_piece, quantiles, with_piece
+
 from nivalis.functions.timecols import day_of_year, hour_of_year
 
 
@@ -140,8 +142,8 @@ def linear_fit(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFra
 
 
 def box_stats(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
-    q = lambda p: F.percentile(value, p)
-    return df.groupBy(*group).agg(F.count(value).alias("n"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"))
+    """Count and exact quartiles; groups may be large."""
+    return quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, group)
 
 
 def all_and_by_region(df: DataFrame, *aggs, by: str = "region") -> DataFrame:
@@ -176,8 +178,10 @@ def density_curve(df: DataFrame, group: str, metric: str, bins: int = 200, sigma
 def trial_summary(trials: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The best trial, and every trial with the best score so far."""
     best = trials.agg(F.min("value").alias("value"), F.min_by("number", F.struct("value", "number")).alias("number"))
-    order = Window.orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
-    return best, trials.withColumn("best_so_far", F.min("value").over(order))
+    placed = before_piece(with_piece(trials, "number"), F.min("value"), F.min("_part"))
+    order = Window.partitionBy("_piece").orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = F.least(F.min("value").over(order), "_before")
+    return best, placed.withColumn("best_so_far", so_far).drop("_piece", "_before")
 
 
 def time_coverage(df: DataFrame, by: str = "region") -> DataFrame:

@@ -54,26 +54,46 @@ INDICATORS = ("frost_hours", "degree_hours", "freeze_thaw", "episodes", "episode
 
 
 def indicators(df: DataFrame, value: str, by: Sequence[str], order: Sequence[str] = ("time",), base: float = 0.0, threshold: float = 0.0, lo: float = -2.0, hi: float = 2.0) -> DataFrame:
-    by = list(by)
-    out = df.groupBy(*by).agg(F.avg(value).alias("mean_temp"))
-    for made in (
-        frost_hours(df, value, by, threshold),
-        degree_hours(df, value, by, base),
-        freeze_thaw_cycles(df, value, by, order, threshold),
-        episodes_within(df, value, by, lo, hi, order),
-        diurnal_amplitude(df, value, by),
-        warmth_and_coldness(df, value, by),
-    ):  # all keyed alike, so the joins share one partitioning
-        out = out.join(made, by)
-    return out
+    """All indicators at once: one pass over each group's rows in order marks changes and episode
+    starts, then days, months and groups are aggregated one from the other. Null keys are a group."""
+    v, by, before = F.col(value), list(by), Window.partitionBy(*by).orderBy(*order)
+    frozen, inside = v <= threshold, F.coalesce(v.between(lo, hi), F.lit(False))
+    was = F.last(frozen, True).over(before.rowsBetween(Window.unboundedPreceding, -1))
+    number = lambda c: F.sum(F.coalesce(c.cast("long"), F.lit(0)))
+    marked = df.select(
+        *by, F.to_date("time").alias("_day"), v.alias("_v"), frozen.alias("_f"), inside.alias("_in"), (frozen != was).alias("_turn"),
+        (inside & ~F.coalesce(F.lag(inside).over(before), F.lit(False))).alias("_start"),
+    )
+    days = marked.groupBy(*by, "_day").agg(
+        F.sum("_v").alias("_sum"), F.count("_v").alias("_n"), (F.max("_v") - F.min("_v")).alias("_range"), number(F.col("_f")).alias("_frost"),
+        F.sum(F.when(F.col("_v").isNotNull(), F.greatest(F.col("_v") - base, F.lit(0.0)))).alias("_degrees"),
+        number(F.col("_turn")).alias("_turns"), number(F.col("_start")).alias("_starts"), number(F.col("_in")).alias("_ins"),
+    )
+    add = ["_sum", "_n", "_frost", "_degrees", "_turns", "_starts", "_ins"]
+    months = days.groupBy(*by, F.date_trunc("month", "_day").alias("_month")).agg(
+        *(F.sum(c).alias(c) for c in add), F.sum("_range").alias("_ranges"), F.count("_range").alias("_days")
+    )
+    mean = F.try_divide("_sum", "_n")
+    whole = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    return months.groupBy(*by).agg(
+        F.try_divide(F.sum("_sum"), F.sum("_n")).alias("mean_temp"),
+        F.sum("_frost").alias("frost_hours"),
+        whole("_degrees").alias("degree_hours"),
+        F.when(F.sum("_n") >= 2, F.sum("_turns")).alias("freeze_thaw"),
+        F.when(F.sum("_starts") >= 2, F.sum("_starts")).alias("episodes"),
+        F.try_divide(F.sum("_ins"), F.sum("_starts")).alias("episode_length"),
+        F.try_divide(F.sum("_ranges"), F.sum("_days")).alias("diurnal_amplitude"),
+        whole(F.when(mean > 0, mean)).alias("summer_warmth"),
+        (-whole(F.when(mean < 0, mean))).alias("winter_coldness"),
+    )
 
 
 def bioclim_summary(df: DataFrame, obs: str, models: Sequence[str], by: Sequence[str] = ("region", "site", "year"), months: Sequence[int] = tuple(range(1, 13)), **settings) -> DataFrame:
     """All indicators of the observation and of each model, and the models' biases (model less
-    observation), per group: one row per group and series."""
+    observation), per group: one row per group and series. Null keys are a group like others."""
     named = df.withColumn("year", F.year("time")).filter(F.month("time").isin(*months))
     long = named.unpivot([*by, "time"], [obs, *models], "series", "v")
     made = indicators(long, "v", [*by, "series"], **settings)
-    truth = made.filter(F.col("series") == obs).select(*by, *(F.col(i).alias(f"_{i}") for i in INDICATORS))
-    biases = {f"{i}_bias": F.when(F.col("series") != obs, F.col(i) - F.col(f"_{i}")) for i in INDICATORS}
-    return made.join(truth, list(by)).withColumns(biases).drop(*(f"_{i}" for i in INDICATORS))
+    series = Window.partitionBy(*by)  # a few rows a group
+    truth = lambda i: F.max(F.when(F.col("series") == obs, F.col(i))).over(series)
+    return made.withColumns({f"{i}_bias": F.when(F.col("series") != obs, F.col(i) - truth(i)) for i in INDICATORS})

@@ -7,14 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nivalis.tables import settle
+
 
 def axis(grid: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Origin, step and size of regular axes, per key: one small row each."""
-    aggs = []
+    """Origin, step and size of regular axes, per key: one small row each. Each axis is read off its
+    distinct coordinates; one whose steps differ is an error when the result is computed."""
+    out = None
     for c in cols:
-        n = F.count_distinct(c)
-        aggs += [F.min(c).alias(f"_o_{c}"), F.try_divide(F.max(c) - F.min(c), n - 1).alias(f"_s_{c}"), n.alias(f"_n_{c}")]
-    return grid.groupBy(*keys).agg(*aggs)
+        ordered = Window.partitionBy(*keys).orderBy(c)  # the coordinates of one axis
+        steps = grid.select(*keys, c).distinct().withColumn("_gap", F.col(c) - F.lag(c).over(ordered))
+        n, step = F.count(c), F.try_divide(F.max(c) - F.min(c), F.count(c) - 1)
+        uneven = F.max("_gap") - F.min("_gap") > 1e-6 * step
+        made = steps.groupBy(*keys).agg(
+            F.min(c).alias(f"_o_{c}"), F.when(uneven, F.raise_error(F.lit(f"the axis {c} is not regular"))).otherwise(step).alias(f"_s_{c}"), n.alias(f"_n_{c}")
+        )
+        out = made if out is None else out.join(made, list(keys)) if keys else out.crossJoin(made)  # one row without keys
+    return out
 
 
 def _with_axis(df: DataFrame, axes: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -23,7 +32,8 @@ def _with_axis(df: DataFrame, axes: DataFrame, keys: Sequence[str]) -> DataFrame
 
 def _place(c: str) -> Column:
     """Position along an axis in steps, free of rounding noise at grid lines."""
-    return F.round((F.col(c) - F.col(f"_o_{c}")) / F.col(f"_s_{c}"), 9)
+    exact = (F.col(c) - F.col(f"_o_{c}")) / F.col(f"_s_{c}")
+    return F.when(F.abs(exact - F.round(exact)) < 1e-9, F.round(exact)).otherwise(exact)
 
 
 def _cells(grid: DataFrame, axes: DataFrame, cols: Sequence[str], values: Sequence[str], keys: Sequence[str]) -> DataFrame:
@@ -45,7 +55,7 @@ def interp_linear(points: DataFrame, grid: DataFrame, values: Sequence[str], col
     """Linear in every axis from the 2^d corners; null outside the grid or where a corner with weight
     is missing. Points keep the columns keys and point_id."""
     own = [*dict.fromkeys([*keys, *point_id])]
-    axes = axis(grid, cols, keys)
+    axes = settle(axis(grid, cols, keys), "axes")  # used for the points and for the cells
     at = _with_axis(points.select(*dict.fromkeys([*own, *cols])), axes, keys)
     inside = F.lit(True)
     for c in cols:
@@ -98,10 +108,11 @@ def interp_trilinear(points: DataFrame, cube: DataFrame, values: Sequence[str],
         )).alias("e"),
     ).select(*point_id, *(c for c in cols if c not in point_id), F.col("e.at").alias("_at"), F.col("e.share").alias("_share")).filter("_share > 0")
     grid = cube.select(F.col("time").alias("_at"), *cols, *values)
-    axes_grid = grid.crossJoin(F.broadcast(axis(cube, cols)))  # one row: axes of the whole cube
+    axes = settle(axis(cube, cols), "axes")  # one row, used twice
+    axes_grid = grid.crossJoin(F.broadcast(axes))
     index = {f"_i_{c}": F.round(_place(c)).cast("int") for c in cols}
     cells = axes_grid.select("_at", *(v.alias(k) for k, v in index.items()), *values)
-    at = ends.crossJoin(F.broadcast(axis(cube, cols)))
+    at = ends.crossJoin(F.broadcast(axes))
     inside = F.lit(True)
     for c in cols:
         inside = inside & _place(c).between(0, F.col(f"_n_{c}") - 1)
@@ -136,7 +147,7 @@ def regrid(grid: DataFrame, lats: Sequence[float], lons: Sequence[float], values
 def align_to_template(layer: DataFrame, template: DataFrame, values: Sequence[str], keys: Sequence[str] = ("region",)) -> DataFrame:
     """A layer of other resolution on the template's cells (nearest). Equal axes need no work."""
     cols = ["x", "y"]
-    own, wanted = axis(layer, cols, keys), axis(template, cols, keys)
+    own, wanted = settle(axis(layer, cols, keys), "axes"), axis(template, cols, keys)
     if own.exceptAll(wanted).isEmpty() and wanted.exceptAll(own).isEmpty():
         return layer.select(*keys, *cols, *values)
     cells = _cells(layer, own, cols, values, keys)

@@ -9,23 +9,27 @@ from pyspark.sql import functions as F
 
 
 def _with_distance(pairs: DataFrame, prefer_xy: bool) -> DataFrame:
-    from nivalis.functions.physics import equirectangular, planar
+    from nivalis.functions.physics import haversine, planar
 
-    far = planar("x", "y", "x2", "y2") if prefer_xy else equirectangular("lon", "lat", "lon2", "lat2")
+    far = planar("x", "y", "x2", "y2") if prefer_xy else haversine("lon", "lat", "lon2", "lat2")
     return pairs.withColumn("distance", far)
 
 
-def same_hour_pairs(df: DataFrame, value: str, max_range: float, by_region: bool = False, prefer_xy: bool = True, key: str = "site") -> DataFrame:
-    """Pairs of sites in one hour closer than max_range, once each. Sites meet by hour and by cells as
-    wide as the range, so an hour with many sites is dealt over its cells."""
+def same_hour_pairs(df: DataFrame, value: str, max_range: float, by_region: bool = False, prefer_xy: bool = True, key: str = "site", other: str | None = None) -> DataFrame:
+    """Pairs of sites in one hour closer than max_range (planar if prefer_xy, else on the great circle),
+    once each, with their values e, e2. Sites meet by hour and by cells as wide as the range, so an hour
+    with many sites is dealt over its cells. Rows without a value are left out; with an `other` value
+    (o, o2), rows without both."""
     cols = ["x", "y"] if prefer_xy else ["lon", "lat"]
     # a degree of latitude is 111 km; cells of degrees are made wide enough for latitudes below 80
     step = {"x": max_range, "y": max_range, "lat": max_range / 111_000, "lon": max_range / 19_000}
     keys = ["hour", *(["region"] if by_region else [])]
-    base = df.dropna(subset=[value, *cols]).select(F.date_trunc("hour", "time").alias("hour"), *(["region"] if by_region else []), key, F.col(value).alias("e"), *cols)
+    carried = {"e": value} | ({"o": other} if other else {})
+    base = df.dropna(subset=cols).dropna("all", subset=list(carried.values()))
+    base = base.select(F.date_trunc("hour", "time").alias("hour"), *(["region"] if by_region else []), key, *(F.col(v).alias(c) for c, v in carried.items()), *cols)
     cell = lambda c: F.floor(F.col(c) / step[c])
     a, b = cols
-    right = base.select(*keys, F.col(key).alias("k2"), F.col("e").alias("e2"), *(F.col(c).alias(f"{c}2") for c in cols), cell(a).alias("ca"), cell(b).alias("cb"))
+    right = base.select(*keys, F.col(key).alias("k2"), *(F.col(c).alias(f"{c}2") for c in carried), *(F.col(c).alias(f"{c}2") for c in cols), cell(a).alias("ca"), cell(b).alias("cb"))
     around = F.array(*(F.struct((cell(a) + i).alias("ca"), (cell(b) + j).alias("cb")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
     left = base.withColumn("c", F.explode(around)).select(*base.columns, "c.ca", "c.cb")
     met = left.join(right, [*keys, "ca", "cb"]).filter(F.col(key) < F.col("k2"))
@@ -71,6 +75,21 @@ def attach_obs_variogram(err: DataFrame, obs: DataFrame, by: Sequence[str] = ())
     return names(err, "err").join(names(obs, "obs"), [*by, "bin"], "left")
 
 
+def error_and_obs_variograms(df: DataFrame, obs: str, model: str, max_range: float = 10_000, n_bins: int = 20, by_region: bool = False, prefer_xy: bool = True) -> DataFrame:
+    """What attach_obs_variogram gives for the residual and the observation of one table, from one
+    table of pairs: (bin, lag, gamma_err, gamma_obs, err_count, obs_count)."""
+    pairs = same_hour_pairs(df.withColumn("_residual", F.col(model) - F.col(obs)), "_residual", max_range, by_region, prefer_xy, other=obs)
+    width, by = max_range / n_bins, ["region"] if by_region else []
+    half = lambda c: (F.col(c) - F.col(f"{c}2")) * (F.col(c) - F.col(f"{c}2")) / 2.0
+    made = pairs.groupBy(*by, F.floor(F.col("distance") / width).cast("int").alias("bin")).agg(
+        F.avg(half("e")).alias("gamma_err"), F.avg(half("o")).alias("gamma_obs"), F.count(half("e")).alias("err_count"), F.count(half("o")).alias("obs_count")
+    )
+    frame = df.select(*by).distinct() if by else df.sparkSession.range(1).select()
+    every = frame.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))))
+    counts = {c: F.coalesce(c, F.lit(0)) for c in ("err_count", "obs_count")}
+    return every.join(made, [*by, "bin"], "left").withColumns(counts | {"lag": (F.col("bin") + 0.5) * width})
+
+
 def scale_skill(df: DataFrame) -> DataFrame:
     """Ratio of error to observed variance by scale, skill 1 - ratio, and the RMSE of pair differences."""
     ratio = F.when(F.col("gamma_obs") > 0, F.col("gamma_err") / F.col("gamma_obs"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import random
 from collections.abc import Mapping, Sequence
@@ -13,9 +14,11 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from nivalis.tables import settle
+
 OFFSETS = ("T1_offset", "T2_offset", "T3_offset")
 # Default settings of the boosted trees and of the bagged sparse linear model.
 TREES = {"maxIter": 500, "stepSize": 0.03, "maxDepth": 8, "maxBins": 256, "subsamplingRate": 0.65, "minInstancesPerNode": 2, "seed": 99}
@@ -52,6 +55,14 @@ def feature_vector(features: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
 
 
+def _note(spark: SparkSession, path: str, what: dict) -> None:
+    spark.createDataFrame([(json.dumps(what),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def _noted(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path).first()[0])
+
+
 @dataclass
 class OffsetModel:
     """Models of all targets, the features they need and the start value of each."""
@@ -68,6 +79,17 @@ class OffsetModel:
             df = model.transform(df).withColumn(f"predicted_{target}", F.col("prediction") + self.start.get(target, 0.0)).drop("prediction", "features")
         return df
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Write to a folder, over a model that is there."""
+        for target, model in self.stages.items():
+            model.write().overwrite().save(f"{path}/stages/{target}")
+        _note(spark, f"{path}/about", {"features": self.features, "targets": list(self.stages), "start": self.start})
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> OffsetModel:
+        about = _noted(spark, f"{path}/about")
+        return OffsetModel(about["features"], {t: PipelineModel.load(f"{path}/stages/{t}") for t in about["targets"]}, about["start"])
+
 
 def boosted_offsets(train: DataFrame, features: Sequence[str], targets: Sequence[str] = OFFSETS, **settings) -> OffsetModel:
     """Gradient-boosted trees for each target, started at its median."""
@@ -99,37 +121,57 @@ def to_normal(df: DataFrame, cols: Sequence[str], grid: int = 100) -> tuple[Data
 
 
 def apply_normal(df: DataFrame, grids: Mapping[str, Sequence[float]]) -> DataFrame:
-    new = {}
+    """Each column's place among its quantiles, then the normal quantile of that; two projections, so
+    that neither is computed anew wherever its result is used."""
+    places = {}
     for c, g in grids.items():
-        steps = F.array(*map(F.lit, g))
-        k = F.size(F.filter(steps, lambda x, c=c: x <= F.col(c)))
-        lo, hi = F.get(steps, k - 1), F.get(steps, k)
-        part = F.coalesce(F.try_divide(F.col(c) - lo, hi - lo), F.lit(0.0))
-        n = len(g) - 1
-        new[c] = normal_quantile(F.when(k == 0, 0.0).when(k > n, 1.0).otherwise((k - 1 + part) / n))
-    return df.withColumns(new)
+        n, value = len(g) - 1, F.col(c)
+        cells = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(a).alias("lo"), F.lit(b).alias("hi")) for k, (a, b) in enumerate(zip(g[:-1], g[1:], strict=True)) if b > a))
+        at = F.try_element_at(F.filter(cells, _reached(value)), F.lit(-1))
+        inside = (at["k"] + (value - at["lo"]) / (at["hi"] - at["lo"])) / n
+        places[f"_at_{c}"] = F.when(value < g[0], 0.0).when(value >= g[-1], 1.0).otherwise(inside) if g[-1] > g[0] else F.when(value.isNotNull(), 0.5)
+    placed = df.withColumns(places)
+    return placed.withColumns({c: normal_quantile(F.col(f"_at_{c}")) for c in grids}).drop(*places)
+
+
+def _reached(value: Column):
+    return lambda cell: cell["lo"] <= value
 
 
 @dataclass
 class BaggedLinear:
+    """Quantile grids of the features, and for each target its bags: features, weights, intercept."""
+
     grids: dict[str, list[float]]
-    models: dict[str, list[tuple[list[str], object]]]
+    models: dict[str, list[tuple[list[str], list[float], float]]]
 
     def transform(self, df: DataFrame) -> DataFrame:
-        out = apply_normal(df.fillna(0.0, subset=list(self.grids)), self.grids)
+        own = {f: f"_normal_{f}" for f in self.grids}  # the features themselves stay
+        out = df.withColumns({n: F.coalesce(F.nanvl(f, F.lit(None).cast("double")), F.lit(0.0)) for f, n in own.items()})
+        out = apply_normal(out, {own[f]: g for f, g in self.grids.items()})
         for target, bags in self.models.items():
-            parts = []
-            for names, m in bags:
-                terms = [F.col(f) * float(w) for f, w in zip(names, m.coefficients, strict=True) if w]
-                parts.append(sum(terms, F.lit(float(m.intercept))))
-            out = out.withColumn(f"predicted_{target}", sum(parts[1:], parts[0]) / len(parts))
-        return out
+            total: dict[str, float] = {}  # the mean of linear models is one
+            for names, weights, _ in bags:
+                for f, w in zip(names, weights, strict=True):
+                    total[f] = total.get(f, 0.0) + w / len(bags)
+            start = F.lit(sum(c for _, _, c in bags) / len(bags))
+            out = out.withColumn(f"predicted_{target}", sum((F.col(own[f]) * w for f, w in total.items() if w), start))
+        return out.drop(*own.values())
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Write to a folder, over a model that is there."""
+        _note(spark, f"{path}/about", {"grids": self.grids, "models": self.models})
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> BaggedLinear:
+        return BaggedLinear(**_noted(spark, f"{path}/about"))
 
 
 def bagged_lasso(train: DataFrame, features: Sequence[str], keys: Sequence[str], targets: Sequence[str] = OFFSETS, seed: int = 99, **settings) -> BaggedLinear:
     """Sparse linear models on hashed shares of rows and drawn shares of features, averaged."""
     s = BAGS | settings
-    shaped, grids = to_normal(train.fillna(0.0, subset=list(features)), features)
+    shaped, grids = to_normal(train.fillna(0.0, subset=list(features)).select(*dict.fromkeys([*keys, *features, *targets])), features)
+    shaped = settle(shaped, "shaped")  # all bags read it
     rng = random.Random(seed)
     models: dict[str, list] = {t: [] for t in targets}
     for b in range(s["bags"]):
@@ -138,7 +180,8 @@ def bagged_lasso(train: DataFrame, features: Sequence[str], keys: Sequence[str],
         bag = feature_vector(names).transform(shaped.filter(part))
         for t in targets:
             solver = LinearRegression(labelCol=t, elasticNetParam=1.0, regParam=s["alpha"])
-            models[t].append((names, solver.fit(bag.filter(F.col(t).isNotNull()))))
+            fitted = solver.fit(bag.filter(F.col(t).isNotNull()))
+            models[t].append((names, list(map(float, fitted.coefficients)), float(fitted.intercept)))
     return BaggedLinear(grids, models)
 
 
@@ -197,6 +240,37 @@ def model_for(registry: DataFrame, wanted: DataFrame, seed: int = 5) -> DataFram
     return wanted.join(registry, "region").withColumn("_k", F.row_number().over(order)).filter("_k = 1").drop("_k")
 
 
+def predictor_table(readings: DataFrame, sites: DataFrame, cube: DataFrame, dynamics: Sequence[str], static: Sequence[str], targets: Sequence[str] = ("T1", "T2", "T3"), base: str = "skt") -> tuple[DataFrame, list[str]]:
+    """Everything a fit needs, from raw tables: hourly medians of the readings (region, site, time,
+    targets), coarse fields (time, lat, lon, dynamics) with their lags interpolated to the sites in
+    space and time, static site columns, cycles, and the offsets of the targets from the base field.
+    Returns the table and the names of its features."""
+    from nivalis.functions.timecols import cyclical_features
+    from nivalis.operators.aggregate import hourly_median
+    from nivalis.operators.interpolate import interp_trilinear
+    from nivalis.operators.series import lag_features, lag_name, temperature_offsets
+
+    hourly = hourly_median(readings, list(targets), ["region", "site"]).join(sites.select("site", *dict.fromkeys(["lat", "lon", *static])), "site")
+    lagged = lag_features(cube.select("time", "lat", "lon", *dynamics), list(dynamics), ["lat", "lon"])
+    fields = [c for c in lagged.columns if c not in ("time", "lat", "lon", *dynamics)]
+    at = interp_trilinear(hourly.select("site", "time", "lat", "lon").distinct(), lagged, fields)
+    joined = cyclical_features(hourly.join(at, ["site", "time"]), ["ann", "diu", "chn"])
+    cycles = [c for c in joined.columns if c.startswith("Cycle_")]
+    return temperature_offsets(joined, targets, lag_name(base, 0)), [*fields, *static, *cycles]
+
+
+def held_out_skill(predicted: DataFrame, validation: DataFrame, target: str, base: str, by: Sequence[str] = ("region",), keys: Sequence[str] = ("region", "site", "time"), kelvin: bool = True) -> DataFrame:
+    """Correlation and RMSE of a prediction (predicted_<target>) and of the raw base field, per group."""
+    from nivalis.functions.skill import pearson, rmse
+
+    raw = F.col(base) - (273.15 if kelvin else 0.0)
+    both = validation.withColumn("_raw", raw).select(*keys, target, "_raw").join(predicted.select(*keys, f"predicted_{target}"), list(keys))
+    named = {"fit": f"predicted_{target}", "raw": "_raw"}
+    return both.groupBy(*by).agg(
+        F.count("*").alias("n"), *(f(target, c).alias(f"{k}_{n}") for n, c in named.items() for k, f in (("corr", pearson), ("rmse", rmse)))
+    )
+
+
 def linear_contributions(df: DataFrame, weights: Mapping[str, float]) -> DataFrame:
     """Exact contributions of a linear model: weight times distance from the mean."""
     means = df.agg(*(F.avg(f).alias(f"_m_{f}") for f in weights))

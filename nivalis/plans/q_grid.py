@@ -15,6 +15,7 @@ from nivalis.plans import modelling as L
 from nivalis.plans.registry import register
 from nivalis.sources import io
 from nivalis.streaming import readings as live
+from nivalis.tables import shared_folder
 
 DEM, REA = ["dem"], ["reanalysis"]
 
@@ -24,16 +25,16 @@ register(
     "i01_nearest_cell", lambda g: I.nearest_cell(g("sites"), g("reanalysis")),
     f"{AX}\n--\nSELECT site, a0 + 2 * least(greatest(ceil((lat - a0) / 2 - 0.5e0), 0), 4) AS cell_lat, b0 + 2 * least(greatest(ceil((lon - b0) / 2 - 0.5e0), 0), 4) AS cell_lon FROM sites, ax", ["sites", "reanalysis"], ints="site", vals="cell_lat cell_lon",
 )
-_points = lambda g: g("dem").filter("ix % 5 = 0 and iy % 3 = 1").select("region", F.concat_ws("_", "iy", "ix").alias("site"), (F.col("x") + 3.7).alias("x"), (F.col("y") - 4.2).alias("y"))
+_points = lambda g: g("dem").select("region", F.concat_ws("_", "iy", "ix").alias("site"), (F.col("x") + 3.7).alias("x"), (F.col("y") - 4.2).alias("y"))
 register(
     "i02_interp_bilinear", lambda g: I.interp_bilinear(_points(g), g("dem"), ["dem10m", "svf"], ["region"], ["region", "site"]),
-    """p AS (SELECT region, concat(iy, '_', ix) AS site, iy, ix FROM dem WHERE ix % 5 = 0 AND iy % 3 = 1),
+    """p AS (SELECT region, concat(iy, '_', ix) AS site, iy, ix FROM dem),
 ax AS (SELECT region AS r, count(DISTINCT x) AS nx, count(DISTINCT y) AS ny FROM dem GROUP BY 1),
 c AS (SELECT p.region, site, (CASE WHEN i = 1 THEN 0.37e0 ELSE 0.63e0 END) * (CASE WHEN j = 1 THEN 0.42e0 ELSE 0.58e0 END) AS w, d.dem10m, d.svf FROM p JOIN ax ON p.region = r CROSS JOIN (VALUES (0), (1)) a(i) CROSS JOIN (VALUES (0), (1)) b(j) LEFT JOIN dem d ON d.region = p.region AND d.ix = p.ix + i AND d.iy = p.iy + j WHERE nx > 1 AND ny > 1 AND p.ix < 49 AND p.iy < 19)
 --
 SELECT p.region, p.site, CASE WHEN count(dem10m) = 4 THEN sum(w * dem10m) END AS dem10m, CASE WHEN count(svf) = 4 THEN sum(w * svf) END AS svf FROM p LEFT JOIN c ON p.region = c.region AND p.site = c.site GROUP BY 1, 2""", DEM, keys="region site", vals="dem10m svf",
 )
-TRI = """q AS (SELECT DISTINCT site, time, lat, lon FROM skill WHERE day(time) % 5 = 0), ts AS (SELECT DISTINCT time AS t FROM reanalysis),
+TRI = """q AS (SELECT DISTINCT site, time, lat, lon FROM skill), ts AS (SELECT DISTINCT time AS t FROM reanalysis),
 b AS (SELECT q.site, q.time, lat, lon, (SELECT max(t) FROM ts WHERE t <= q.time) AS t0, (SELECT min(t) FROM ts WHERE t >= q.time) AS t1 FROM q),
 e AS (SELECT site, time, lat, lon, t0 AS t, CASE WHEN t0 = t1 THEN 1 ELSE 1 - (epoch(time) - epoch(t0)) / (epoch(t1) - epoch(t0)) END AS s FROM b WHERE t0 IS NOT NULL AND t1 IS NOT NULL UNION ALL SELECT site, time, lat, lon, t1, (epoch(time) - epoch(t0)) / (epoch(t1) - epoch(t0)) FROM b WHERE t0 < t1),
 f AS (SELECT *, least(floor((lat - 65) / 2), 3) AS la, least(floor((lon - 20) / 2), 3) AS lo FROM e WHERE lat BETWEEN 65 AND 73 AND lon BETWEEN 20 AND 28 AND s > 0),
@@ -41,22 +42,37 @@ k AS (SELECT site, time, t, 65 + 2 * (la + i) AS kla, 20 + 2 * (lo + j) AS klo,
 v AS (SELECT site, k.time, CASE WHEN count(skt) = count(*) THEN sum(w * skt) END AS skt FROM k LEFT JOIN reanalysis r ON r.time = t AND r.lat = kla AND r.lon = klo WHERE w > 1e-9 GROUP BY 1, 2)
 --
 SELECT q.site, q.time, skt FROM q LEFT JOIN v ON q.site = v.site AND q.time = v.time"""
-register("i03_interp_trilinear", lambda g: I.interp_trilinear(g("skill").filter("day(time) % 5 = 0").select("site", "time", "lat", "lon").distinct(), g("reanalysis"), ["skt"]), TRI, ["skill", "reanalysis"], times="time", ints="site", vals="skt")
+register("i03_interp_trilinear", lambda g: I.interp_trilinear(g("skill").select("site", "time", "lat", "lon").distinct(), g("reanalysis"), ["skt"]), TRI, ["skill", "reanalysis"], times="time", ints="site", vals="skt")
 MEANS = "m AS (SELECT lat, lon, avg(skt) AS skt FROM reanalysis GROUP BY 1, 2)"
 register(
     "i04_regrid", lambda g: I.regrid(g("reanalysis").groupBy("lat", "lon").agg(F.avg("skt").alias("skt")), [65.0, 66.5, 70.2, 73.0], [20.0, 23.4, 27.9], ["skt"]),
     f"{MEANS}\n--\nSELECT a AS lat, b AS lon, skt FROM (VALUES (65e0, 65e0), (66.5e0, 67e0), (70.2e0, 71e0), (73e0, 73e0)) x(a, na) CROSS JOIN (VALUES (20e0, 20e0), (23.4e0, 24e0), (27.9e0, 28e0)) y(b, nb) LEFT JOIN m ON lat = na AND lon = nb", REA, vals="lat lon skt",
 )
+# the layer: means of two by two cells, on the coordinates of their even rows and columns
+_coarse = lambda g: g("dem").groupBy("region", F.floor(F.col("iy") / 2).alias("by"), F.floor(F.col("ix") / 2).alias("bx")).agg(F.avg("svf").alias("svf")).select("region", (F.col("bx") * 20.0).alias("x"), (F.col("by") * -20.0).alias("y"), "svf")
 register(
-    "i05_align_to_template", lambda g: I.align_to_template(g("dem").filter("ix % 2 = 0 and iy % 2 = 0").select("region", "x", "y", "svf"), g("dem").filter("region = 'R1'"), ["svf"]),
-    "d AS (SELECT * FROM dem WHERE region = 'R1')\n--\nSELECT a.region, a.x, a.y, b.svf FROM d a LEFT JOIN d b ON b.ix = least(CAST(ceil(a.ix / 2e0 - 0.5e0) AS INT), 24) * 2 AND b.iy = CASE WHEN a.iy % 2 = 0 THEN a.iy ELSE least(a.iy + 1, 18) END", DEM, keys="region", vals="x y svf",
+    "i05_align_to_template", lambda g: I.align_to_template(_coarse(g), g("dem"), ["svf"]),
+    """c AS (SELECT region, CAST(floor(iy / 2e0) AS INT) AS by_, CAST(floor(ix / 2e0) AS INT) AS bx, avg(svf) AS svf FROM dem GROUP BY 1, 2, 3),
+n AS (SELECT region, max(bx) AS mx, max(by_) AS my FROM c GROUP BY 1)
+--
+SELECT a.region, a.x, a.y, c.svf FROM dem a JOIN n ON a.region = n.region LEFT JOIN c ON c.region = a.region AND mx > 0 AND my > 0 AND c.bx = least(CAST(ceil(a.ix / 2e0 - 0.5e0) AS INT), mx) AND c.by_ = CASE WHEN a.iy % 2 = 0 THEN a.iy / 2 ELSE least((a.iy + 1) / 2, my) END""", DEM, keys="region", vals="x y svf",
 )
 register(
     "i06_stack_layers", lambda g: I.stack_layers([g("dem").filter("svf > 0.5").select("region", "iy", "ix", "svf"), g("dem").filter("mbi < 1").select("region", "iy", "ix", "mbi")]),
     "SELECT region, iy, ix, CASE WHEN svf > 0.5 THEN svf END AS svf, CASE WHEN mbi < 1 THEN mbi END AS mbi FROM dem WHERE svf > 0.5 OR mbi < 1", DEM, keys="region", ints="iy ix", vals="svf mbi",
 )
 register("i07_interp_like", lambda g: I.interp_like(g("dem").withColumn("mask", F.lit(1.0)), g("dem").select("region", F.col("x"), F.col("y")), "mask"), "SELECT region, x, y, 1 AS mask FROM dem WHERE region NOT IN (SELECT region FROM dem GROUP BY 1 HAVING count(DISTINCT x) = 1) UNION ALL SELECT region, x, y, NULL FROM dem WHERE region IN (SELECT region FROM dem GROUP BY 1 HAVING count(DISTINCT x) = 1)", DEM, keys="region", vals="x y mask")
-register("s08_model_output_at_sites", lambda g: io.read_model_output_at_sites(g("dem").filter("region = 'R0'").select(F.timestamp_seconds(F.lit(788918400)).alias("time"), "x", "y", "dem10m").filter("iy > 0"), g("dem").filter("ix % 7 = 3").select((F.col("iy") * 50 + F.col("ix")).alias("site"), (F.col("x") + 2).alias("x"), (F.col("y") - 2).alias("y")).distinct(), g("skill"), "dem10m", "micro_T3"), None, ["skill"], times="time", ints="site", vals="T3 micro_T3")
+# each region's grid is the model field of a day of January 1995, cells are the sites
+_day = lambda: F.timestamp_seconds(F.lit(788918400) + F.regexp_extract("region", "[0-9]+", 0).cast("int") * 86400)
+register(
+    "s08_model_output_at_sites", lambda g: io.read_model_output_at_sites(g("dem").select(_day().alias("time"), "x", "y", "dem10m"), g("dem").select((F.col("iy") * 50 + F.col("ix")).alias("site"), (F.col("x") + 2).alias("x"), (F.col("y") - 2).alias("y")).distinct(), g("skill"), "dem10m", "micro_T3"),
+    """n AS (SELECT region, max(ix) AS mx, max(iy) AS my FROM dem GROUP BY 1),
+s AS (SELECT DISTINCT iy * 50 + ix AS site, iy, ix FROM dem),
+c AS (SELECT n.region, s.site, (CASE WHEN i = 1 THEN 0.2e0 ELSE 0.8e0 END) * (CASE WHEN j = 1 THEN 0.2e0 ELSE 0.8e0 END) AS w, d.dem10m FROM s JOIN n ON s.ix < mx AND s.iy < my CROSS JOIN (VALUES (0), (1)) a(i) CROSS JOIN (VALUES (0), (1)) b(j) LEFT JOIN dem d ON d.region = n.region AND d.ix = s.ix + i AND d.iy = s.iy + j),
+v AS (SELECT site, TIMESTAMP '1995-01-01' + to_days(CAST(substr(region, 2) AS INT)) AS at_, CASE WHEN count(dem10m) = 4 THEN sum(w * dem10m) END AS m FROM c GROUP BY 1, 2)
+--
+SELECT k.time, k.site, T3, v.m AS micro_T3 FROM skill k LEFT JOIN v ON k.site = v.site AND k.time = v.at_""", ["skill", "dem"], times="time", ints="site", vals="T3 micro_T3",
+)
 
 # ---- terrain
 FULL = """full_ AS (SELECT s.region, s.iy, s.ix, d.dem10m, d.svf, d.mbi, d.norm_height, d.windexp500, s.ix * 10e0 AS x, s.iy * -10e0 AS y
@@ -129,20 +145,20 @@ register("t12_cold_air_pooling", lambda g: T.cold_air_pooling(g("dem")), f"{CAPI
 register("t13_openness", lambda g: T.openness(_full(g), 3), f"{FULL}, {box('b', 'dem10m', 3)}, r3 AS (SELECT f.region, f.iy, f.ix, svf, abs(dem10m - m) AS v FROM full_ f JOIN b ON f.region = b.region AND f.iy = b.iy AND f.ix = b.ix)\n--\nSELECT region, iy, ix, 0.5e0 * {N('svf')} + 0.5e0 * {N('v')} AS openness_proxy_w3 FROM r3 {W}", vals="openness_proxy_w3", **CELL)
 register("t14_cold_bias", lambda g: T.cold_bias(g("dem")), f"{CAPI}, cb AS (SELECT region, iy, ix, {Z('capi')} + 0.5e0 * {Z('dem10m')} AS v FROM capi {W})\n--\nSELECT region, iy, ix, {N('v')} AS cold_bias_potential FROM cb {W}", vals="cold_bias_potential", **CELL)
 _pisr = lambda g: g("dem").withColumns({f"pisr_{m}": F.col("svf") * m + F.col("mbi") + 4 for m in range(1, 13)})
-_quarters = lambda g: g("reanalysis").select("time").distinct().filter("month(time) % 4 = 1 and year(time) = 1995")
-QT = "qt AS (SELECT DISTINCT time FROM reanalysis WHERE month(time) % 4 = 1 AND year(time) = 1995), sf AS (SELECT region, iy, ix, time, (svf * month(time) + mbi + 4) / (max(svf * month(time) + mbi + 4) OVER (PARTITION BY region, time) + 1e-12) AS solar_factor FROM dem, qt)"
-register("t15_solar_factor", lambda g: T.solar_factor(_pisr(g), _quarters(g)), f"{QT}\n--\nSELECT * FROM sf", ["dem", "reanalysis"], keys="region", times="time", ints="iy ix", vals="solar_factor")
+_times = lambda g: g("reanalysis").select("time").distinct()
+QT = "qt AS (SELECT DISTINCT time FROM reanalysis), sf AS (SELECT region, iy, ix, time, (svf * month(time) + mbi + 4) / (max(svf * month(time) + mbi + 4) OVER (PARTITION BY region, time) + 1e-12) AS solar_factor FROM dem, qt)"
+register("t15_solar_factor", lambda g: T.solar_factor(_pisr(g), _times(g)), f"{QT}\n--\nSELECT * FROM sf", ["dem", "reanalysis"], keys="region", times="time", ints="iy ix", vals="solar_factor")
 register("t16_wind_on_slope", lambda g: T.wind_on_slope(g("dem").withColumns({"ws": F.col("svf") * 10, "wd": F.col("ix") * 7.0, "as": F.col("iy") * 17.0}), "ws", "wd", "as"), "SELECT region, iy, ix, svf * 10 * cos(radians(ix * 7e0 - iy * 17e0)) AS wind_along_slope, svf * 10 * sin(radians(ix * 7e0 - iy * 17e0)) AS wind_cross_slope FROM dem", vals="wind_along_slope wind_cross_slope", **CELL)
 EXPO = f"x0_ AS (SELECT region, iy, ix, svf, CASE WHEN avg(CASE WHEN windexp500 - 10 > 0 THEN 1e0 ELSE 0e0 END) OVER w < 0.5 THEN -(windexp500 - 10) ELSE windexp500 - 10 END AS v FROM dem {W})"
 _wind = lambda g: g("dem").withColumn("windexp500", F.col("windexp500") - 10)
 register("t17_wind_exposure", lambda g: T.wind_exposure(_wind(g)), f"{EXPO}\n--\nSELECT region, iy, ix, {N('v')} AS wind_shelter_exposure FROM x0_ {W}", vals="wind_shelter_exposure", **CELL)
 register("t18_effective_wind", lambda g: T.effective_wind(_wind(g).withColumn("ws", F.col("svf") * 8), "ws"), f"{EXPO}\n--\nSELECT region, iy, ix, svf * 8 * (0.4e0 + 0.6e0 * {N('v')}) AS wind_speed_effective FROM x0_ {W}", vals="wind_speed_effective", **CELL)
 register(
-    "t19_static_predictors", lambda g: T.static_predictors(_full(g), (3, 5)),
-    f"{FULL}, {box('b', 'dem10m', 5)}, t AS (SELECT f.region, f.iy, f.ix, abs(dem10m - m) AS v FROM full_ f JOIN b ON f.region = b.region AND f.iy = b.iy AND f.ix = b.ix), {box('c', 'v', 5, 't')}, {CAPI.replace('FROM dem', 'FROM full_')}\n--\nSELECT c.region, c.iy, c.ix, c.m AS tri_w5, capi.capi FROM c JOIN capi USING (region, iy, ix)", vals="tri_w5 capi", **CELL,
+    "t19_static_predictors", lambda g: T.static_predictors(_full(g), (3, 50)),
+    f"{FULL}, {box('b', 'dem10m', 50)}, t AS (SELECT f.region, f.iy, f.ix, f.svf, abs(dem10m - m) AS v FROM full_ f JOIN b ON f.region = b.region AND f.iy = b.iy AND f.ix = b.ix), {box('c', 'v', 50, 't')}, o AS (SELECT region, iy, ix, 0.5e0 * {N('svf')} + 0.5e0 * {N('v')} AS open50 FROM t {W}), {CAPI.replace('FROM dem', 'FROM full_')}, cb AS (SELECT region, iy, ix, capi, {Z('capi')} + 0.5e0 * {Z('dem10m')} AS v FROM capi {W}), cn AS (SELECT region, iy, ix, capi, {N('v')} AS cold FROM cb {W})\n--\nSELECT c.region, c.iy, c.ix, c.m AS tri_w50, open50 AS openness_proxy_w50, cn.capi, cold AS cold_bias_potential FROM c JOIN o USING (region, iy, ix) JOIN cn USING (region, iy, ix)", vals="tri_w50 openness_proxy_w50 capi cold_bias_potential", **CELL,
 )
 register(
-    "t20_hourly_predictors", lambda g: T.hourly_predictors(_pisr(g).withColumn("as", F.col("iy") * 17.0), _quarters(g).crossJoin(g("dem").select("region").distinct()).withColumns({"sw": F.month("time") * 10.0, "ws": F.lit(5.0), "wd": F.month("time") * 20.0}), "sw", "ws", "wd", "as"),
+    "t20_hourly_predictors", lambda g: T.hourly_predictors(_pisr(g).withColumn("as", F.col("iy") * 17.0), _times(g).crossJoin(g("dem").select("region").distinct()).withColumns({"sw": F.month("time") * 10.0, "ws": F.lit(5.0), "wd": F.month("time") * 20.0}), "sw", "ws", "wd", "as"),
     f"{QT}, {EXPO.replace(' - 10', '')}, ex AS (SELECT region, iy, ix, {N('v')} AS e FROM x0_ {W})\n--\nSELECT sf.region, sf.iy, sf.ix, sf.time, month(time) * 10 * solar_factor AS swdown_effective, 5 * (0.4e0 + 0.6e0 * e) AS wind_speed_effective, 5 * cos(radians(month(time) * 20e0 - sf.iy * 17e0)) AS wind_along_slope FROM sf JOIN ex USING (region, iy, ix)", ["dem", "reanalysis"], keys="region", times="time", ints="iy ix", vals="swdown_effective wind_speed_effective wind_along_slope",
 )
 register("t21_gaussian_smooth_2d", lambda g: T.gaussian_smooth_2d(_full(g), "dem10m", 5.0), f"{FULL}, {gauss('s', 'dem10m', 5)}\n--\nSELECT region, iy, ix, m AS smooth FROM s", vals="smooth", **CELL)
@@ -188,8 +204,7 @@ def _streamed(g, build, schema_of):
     """Run a stream over a table's file to its end and read what it put out."""
     rows = g("readings").select("site", "time", "T1", "T2", "T3", "error_tomst", "row_id")
     spark = rows.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/nivalis-streams"
-    folder = f"{base}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     rows.write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
     query = build(stream).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out").trigger(availableNow=True).start()
@@ -207,7 +222,6 @@ register("w01_write_table", lambda g: _written(g), "SELECT region, site, time, T
 def _written(g):
     df = A.hourly_median(P.drop_incomplete(g("skill"), ["T3"]), ["T3"], ["region", "site"]).withColumns({"year": F.year("time"), "month": F.month("time")})
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/nivalis-tables"
-    path = f"{base}/written-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/written-{uuid.uuid4().hex}"
     io.write_table(df, path, ["region", "year", "month"])
     return spark.read.schema(df.schema).parquet(path)

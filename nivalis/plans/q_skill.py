@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from nivalis.functions import physics as D
@@ -11,6 +13,7 @@ from nivalis.operators import pairs as V
 from nivalis.operators import select as P
 from nivalis.plans import modelling as L
 from nivalis.plans.registry import register
+from nivalis.tables import settle, shared_folder
 
 K = ["skill"]
 MODELS = ["gbt_T3", "lasso_T3", "physical_T3", "coarse_T3"]
@@ -58,7 +61,7 @@ register("m10_summarize_regression", lambda g: M.summarize_regression(g("skill")
 EVENT = "e AS (SELECT model, region, count(*) FILTER (o <= -2 AND m <= -2) AS tp, count(*) FILTER (o > -2 AND m <= -2) AS fp, count(*) FILTER (o <= -2 AND m > -2) AS fn, count(*) FILTER (o > -2 AND m > -2) AS tn FROM long WHERE o IS NOT NULL AND m IS NOT NULL GROUP BY 1, 2)"
 register(
     "m11_event_skill", lambda g: M.event_skill(g("skill"), "T3", MODELS, -2.0, ["region"]),
-    f'{LONG}, {EVENT}\n--\nSELECT model, region, tp, fp, fn, tn, tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall, 2 * tp / nullif(2 * tp + fp + fn, 0) AS f1, (tp + tn) / nullif(tp + tn + fp + fn, 0) AS accuracy, tn / nullif(tn + fp, 0) AS tnr FROM e', K, keys="model region", ints="tp fp fn tn", vals="precision recall f1 accuracy tnr",
+    f'{LONG}, {EVENT}\n--\nSELECT model, region, tp, fp, fn, tn, tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall, 2 * (tp / nullif(tp + fp, 0)) * (tp / nullif(tp + fn, 0)) / nullif(tp / nullif(tp + fp, 0) + tp / nullif(tp + fn, 0), 0) AS f1, (tp + tn) / nullif(tp + tn + fp + fn, 0) AS accuracy, tn / nullif(tn + fp, 0) AS tnr FROM e', K, keys="model region", ints="tp fp fn tn", vals="precision recall f1 accuracy tnr",
 )
 register(
     "m12_compare_models", lambda g: M.compare_models(g("skill"), "T3", MODELS, ["region"]),
@@ -97,7 +100,7 @@ register("v02_sampled_semivariogram", lambda g: V.sampled_semivariogram(g("skill
 register("v03_field_variogram", lambda g: V.field_variogram(g("skill"), "T3", co_available="physical_T3"), f"{OBS.replace('FROM skill WHERE', 'FROM skill WHERE physical_T3 IS NOT NULL AND')}\n--\n{BINS}", K, ints="bin n_pairs", vals="gamma")
 BOTH = RES + ", ev AS (" + BINS + "), " + OBS.replace("e AS (", "oe AS (", 1).replace("p AS (", "op AS (", 1).replace("FROM e a JOIN e b", "FROM oe a JOIN oe b") + ", ov AS (" + BINS.replace("LEFT JOIN p", "LEFT JOIN op p") + ")"
 register("j04_attach_obs_variogram", lambda g: V.attach_obs_variogram(V.semivariogram(g("skill"), "T3", "gbt_T3"), V.field_variogram(g("skill"), "T3")), f"{BOTH}\n--\nSELECT bin, ev.gamma AS gamma_err, ov.gamma AS gamma_obs, ev.n_pairs AS err_count, ov.n_pairs AS obs_count FROM ev LEFT JOIN ov USING (bin)", K, ints="bin err_count obs_count", vals="gamma_err gamma_obs")
-register("v04_scale_skill", lambda g: V.scale_skill(V.attach_obs_variogram(V.semivariogram(g("skill"), "T3", "gbt_T3"), V.field_variogram(g("skill"), "T3"))), f"{BOTH}\n--\nSELECT bin, ev.gamma / ov.gamma AS ratio, 1 - ev.gamma / ov.gamma AS skill, sqrt(2 * ev.gamma) AS pair_rmse FROM ev LEFT JOIN ov USING (bin)", K, ints="bin", vals="ratio skill pair_rmse")
+register("v04_scale_skill", lambda g: V.scale_skill(V.error_and_obs_variograms(g("skill"), "T3", "gbt_T3")), f"{BOTH}\n--\nSELECT bin, ev.gamma / ov.gamma AS ratio, 1 - ev.gamma / ov.gamma AS skill, sqrt(2 * ev.gamma) AS pair_rmse FROM ev LEFT JOIN ov USING (bin)", K, ints="bin", vals="ratio skill pair_rmse")
 register("v05_site_demeaned_residuals", lambda g: V.site_demeaned_residuals(g("skill"), "T3", "gbt_T3", "demeaned"), "SELECT site, time, gbt_T3 - avg(gbt_T3 - T3) OVER (PARTITION BY site) AS demeaned FROM skill", K, times="time", ints="site", vals="demeaned")
 _pairs = lambda g: g("sites").alias("a").join(g("sites").alias("b"), F.col("a.region") == F.col("b.region")).filter("a.site < b.site").select(F.col("a.site").alias("s1"), F.col("b.site").alias("s2"), *(F.col(f"{t}.{c}").alias(f"{c}{k}") for t, k in (("a", 1), ("b", 2)) for c in ("lon", "lat", "x", "y")))
 HAV = "power(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lon - a.lon) / 2), 2)"
@@ -113,8 +116,8 @@ register("l01_holdout_split", lambda g: L.fold_roles(g("skill").withColumn("T1_o
 SELECT f.region AS fold_region, f.y AS fold_year, CASE WHEN f.region = c.region THEN 'validation' ELSE 'train' END AS role, sum(c.n) AS n FROM c f JOIN c ON (f.region = c.region AND f.y = c.y) OR (f.region <> c.region AND f.y <> c.y) GROUP BY 1, 2, 3""", K, keys="fold_region role", ints="fold_year n")
 register("l02_week_folds", lambda g: L.week_folds(g("skill")).groupBy("foldCol").agg(F.count("*").alias("n"), F.count_distinct(F.weekofyear("time")).alias("weeks")), "SELECT CAST(('0x' || substr(md5(concat(CAST(week(time) AS VARCHAR), '|33')), 1, 6)) AS INT) % 3 AS foldCol, count(*) AS n, count(DISTINCT week(time)) AS weeks FROM skill GROUP BY 1", K, ints="foldCol n weeks")
 register(
-    "l08_model_for", lambda g: L.model_for(g("skill").select("region", F.year("time").alias("model_year")).filter("model_year % 2 = 0").distinct().withColumn("model", F.concat_ws("_", "region", "model_year")), g("skill").select("region", F.year("time").alias("year")).distinct()),
-    "r AS (SELECT DISTINCT region, year(time) AS model_year FROM skill WHERE year(time) % 2 = 0), w AS (SELECT DISTINCT region, year(time) AS year FROM skill)\n--\nSELECT region, year, model_year, concat(region, '_', model_year) AS model FROM (SELECT w.region, w.year, model_year, row_number() OVER (PARTITION BY w.region, w.year ORDER BY CASE WHEN year = model_year THEN 0 ELSE 1 END, md5(concat(w.region, '|', year, '|', model_year, '|5')), model_year) AS k FROM w JOIN r ON w.region = r.region) WHERE k = 1", K, keys="region model", ints="year model_year",
+    "l08_model_for", lambda g: L.model_for(g("skill").withColumn("model_year", F.year("time")).groupBy("region", "model_year").agg(F.avg("gbt_T3").alias("m"), F.avg("T3").alias("t")).filter("m > t").select("region", "model_year").withColumn("model", F.concat_ws("_", "region", "model_year")), g("skill").select("region", F.year("time").alias("year")).distinct()),
+    "r AS (SELECT region, year(time) AS model_year FROM skill GROUP BY 1, 2 HAVING avg(gbt_T3) > avg(T3)), w AS (SELECT DISTINCT region, year(time) AS year FROM skill)\n--\nSELECT region, year, model_year, concat(region, '_', model_year) AS model FROM (SELECT w.region, w.year, model_year, row_number() OVER (PARTITION BY w.region, w.year ORDER BY CASE WHEN year = model_year THEN 0 ELSE 1 END, md5(concat(w.region, '|', year, '|', model_year, '|5')), model_year) AS k FROM w JOIN r ON w.region = r.region) WHERE k = 1", K, keys="region model", ints="year model_year",
 )
 WEIGHTS = {"E5_skt_+000": 0.5, "E5_skt_-003": -0.2, "Cycle_ann_sin": 1.5, "St_x": 0.001, "lat": 0.3}
 _linear = lambda g: L.linear_contributions(g("skill").select(F.col("coarse_T3").alias("E5_skt_+000"), F.col("gbt_T3").alias("E5_skt_-003"), F.sin("T3").alias("Cycle_ann_sin"), F.col("x").alias("St_x"), "lat"), WEIGHTS)
@@ -136,6 +139,19 @@ def _trees(g):
     return train, check, features
 
 
+def _fit_chain(g):
+    """Readings, coarse fields and sites to a saved model and its held-out skill."""
+    spark, targets = g("skill").sparkSession, ["T3"]
+    table, features = L.predictor_table(g("skill").select("region", "site", "time", "T3"), g("sites"), g("reanalysis"), ["skt", "t2m"], ["x", "y", "lat"], targets)
+    table = settle(table.dropna(subset=features), "predictors")  # fitted and predicted from
+    train, check = L.holdout_split(table, "ASIA", 1997, ["T3_offset"])
+    folder = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
+    L.boosted_offsets(train, features, ["T3_offset"], maxIter=5, maxDepth=4, stepSize=0.3).save(spark, folder)
+    predicted = L.predict_sites(L.OffsetModel.load(spark, folder), check, "skt_+000")
+    return L.held_out_skill(predicted, check, "T3", "skt_+000")
+
+
+register("l03_fit_chain", _fit_chain, None, ["skill", "reanalysis"], keys="region", ints="n", vals="corr_fit rmse_fit corr_raw rmse_raw")
 register("l03_l06_boosted_offsets", lambda g: (lambda t, c, f: L.predict_sites(L.boosted_offsets(t, f, ["T3_offset"], maxIter=5, maxDepth=4, stepSize=0.3), c, "coarse_T3", kelvin=False))(*_trees(g)), None, K, keys="region", times="time", ints="site", vals="predicted_T3_offset predicted_T3")
 register("l04_bagged_lasso", lambda g: (lambda t, c, f: L.bagged_lasso(t, f, ["site", "time"], ["T3_offset"], bags=3).transform(c))(*_trees(g)), None, K, keys="region", times="time", ints="site", vals="predicted_T3_offset")
 register("l05_tune", lambda g: (lambda t, c, f: L.tune(t, f, "T3_offset", {"maxDepth": [2, 4], "stepSize": [0.1, 0.3]}, 2, 2, base={"maxIter": 3, "maxDepth": 3})[1])(*_trees(g)), None, K, ints="number", vals="value")

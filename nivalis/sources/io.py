@@ -43,10 +43,13 @@ def read_many(spark: SparkSession, paths: Sequence[str], on_missing: str = "skip
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """Write a table, its rows gathered by partition so that each has few files."""
-    out = df.repartition(*partition_by) if partition_by else df
+    """Write a table, its rows gathered by partition so that each has few files; a large partition is
+    dealt over several tasks. Overwriting by partition leaves the other partitions alone."""
+    out = df.hint("rebalance", *(F.col(c) for c in partition_by)) if partition_by else df
     writer = out.write.mode(mode).format(fmt).option("header", True)
-    (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
+    if partition_by:
+        writer = writer.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic")
+    writer.save(path)
 
 
 def nan_to_null(df: DataFrame, cols: Sequence[str], inf: bool = True) -> DataFrame:
@@ -105,10 +108,11 @@ def cube_from_points(df: DataFrame, month: int, pivot: bool = False) -> DataFram
 
 
 def read_model_output_at_sites(cube: DataFrame, sites: DataFrame, evaluation: DataFrame, value: str, name: str) -> DataFrame:
-    """A model cube (time, y, x, value) interpolated to sites and left-joined to the evaluation table."""
+    """A model cube (time, y, x, value) interpolated to sites, at the sites and hours that the evaluation
+    table has, and left-joined to it."""
     from nivalis.operators.interpolate import interp_bilinear
 
-    times = cube.select("time").distinct()
-    points = sites.select("site", "x", "y").crossJoin(times)
+    wanted = evaluation.select("site", "time").distinct().join(cube.select("time").distinct(), "time", "left_semi")
+    points = wanted.join(sites.select("site", "x", "y"), "site")
     at = interp_bilinear(points, cube, value, keys=["time"], point_id=["site", "time"])
     return evaluation.join(at.select("site", "time", F.col(value).alias(name)), ["site", "time"], "left")
