@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nivalis.llm.tables import remainder
+from nivalis.llm.tables import carried, remainder
 from nivalis.llm.words import by_bytes, letter_table
 
 UNDETERMINED = "und"
@@ -105,9 +105,9 @@ def fit_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "ngram")
     ranked = (
         ngram_counts(docs, text_col, lang_col)
-        .withColumn("rank", F.row_number().over(order) - 1)
-        .filter(F.col("rank") < top)
-        .select("lang", "ngram", "rank")
+        .withColumn("place", F.row_number().over(order))
+        .filter(F.col("place") <= top)  # the optimiser keeps the first `top` of each task before the shuffle
+        .select("lang", "ngram", (F.col("place") - 1).alias("rank"))
         .toPandas()
     )
     langs = sorted(ranked["lang"].unique())
@@ -159,9 +159,9 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
             found = [closest(t, sent.value) for t in pdf["text"]]
             yield pd.DataFrame({"id": pdf["id"], "lang_pred": [x for x, _ in found], "score": [s for _, s in found]})
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(label, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    rows = docs.select(carried(id_col).alias("id"), F.col(text_col).alias("text"))
+    made = rows.mapInPandas(label, "id string, lang_pred string, score double")
+    return made.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "lang_pred", "score")
 
 
 def held_out_predictions(docs: DataFrame, top: int = 300) -> DataFrame:

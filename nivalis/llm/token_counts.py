@@ -15,7 +15,7 @@ units already encoded; units are cut before a single space between two visible c
 a pre-token always begins.
 
 Defined cases: null and empty texts have 0 bytes and 0 tokens.  Every input row gives one output
-row.  Special strings in a text count as the library counts them by default.
+row, repeated and null ids too; an empty table gives an empty table.  Special strings in a text count as the library counts them by default.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nivalis.llm.tables import carried
+
 #: Characters at a chunk's end where boundaries are not trusted.
 _GUARD = 64
 #: Units whose counts a task keeps.
@@ -127,11 +129,10 @@ def token_counts(
                 n += counter([t or "" for t in pdf["text"].iloc[lo : lo + 500]])
             yield pd.DataFrame({"id": pdf["id"], "n_bytes": pdf["n_bytes"], "n_tokens": n, "over_limit": [x > limit for x in n]})
 
-    kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(
-        F.col(id_col).alias("id"),
+        carried(id_col).alias("id"),
         F.col(text_col).alias("text"),
         F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"),
     )
-    out = rows.mapInPandas(count, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean")
-    return out.withColumnRenamed("id", id_col)
+    out = rows.mapInPandas(count, "id string, n_bytes long, n_tokens long, over_limit boolean")
+    return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "n_bytes", "n_tokens", "over_limit")

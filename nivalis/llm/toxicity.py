@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nivalis.llm.tables import remainder, settle
+from nivalis.llm.tables import carried, discard, remainder, settle
 from nivalis.llm.words import _BASE, _INVERSE, ALNUM_SEPARATORS, LOWER_AZ, HashTable, Words, _CODES, _power, by_bytes, mix, split_words
 
 #: Bytes of the prefixes that back a word up.
@@ -280,8 +280,9 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.3) -> DataF
             made = pd.DataFrame(out, columns=["score", "n_passages"])
             yield made.assign(doc_id=pdf["doc_id"].to_numpy(), predicted=(made["score"] >= threshold).astype(int))
 
-    rows = docs.select("doc_id", "text")
-    return rows.mapInPandas(run, "doc_id long, score double, predicted int, n_passages long")
+    rows = docs.select(carried("doc_id").alias("doc_id"), "text")
+    made = rows.mapInPandas(run, "doc_id string, score double, predicted int, n_passages long")
+    return made.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 def held_out_scores(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
