@@ -8,17 +8,30 @@ from pyspark.sql import functions as F
 from nivalis.llm.tables import discard, settle
 
 
+#: Parts into which the edges of one node are dealt; a hot node's edges lie in that many tasks.
+_PARTS = 32
+
+
+def with_least(edges: DataFrame) -> DataFrame:
+    """Edges (u, v, ...) with m, the smallest v of their u, and n, the edges of u. A node may have a
+    third of all edges: they are dealt by (u, part), and of each part only its smallest v and its
+    count meet the others."""
+    dealt = edges.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(_PARTS)))
+    parts = dealt.groupBy("u", "part").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    least = parts.groupBy("u").agg(F.min("m").alias("m"), F.sum("n").alias("n"), F.collect_list("part").alias("parts"))
+    back = least.select("u", "m", "n", F.explode("parts").alias("part"))
+    return dealt.join(back, ["u", "part"]).drop("part")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return with_least(both).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    moved = F.when(F.col("v") == F.col("m"), F.struct("u", F.col("m").alias("v"))).otherwise(F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+    return with_least(down).select(moved.alias("e")).select("e.u", "e.v").distinct()
 
 
 def _seal(edges: DataFrame) -> tuple[int, int]:

@@ -2,12 +2,15 @@
 
 A document's shingles are the hashes of its runs of `shingle` words (`[^\\x20\\x09-\\x0D]+`); a
 document of fewer words, but not none, has one shingle of all its words.  Documents of equal
-shingle sets form a class, and only one representative of it goes on.  Band and row counts follow
-from the wanted recall at the threshold.  Representatives that share a band are joined by edges
-to the smallest of the band, never pairwise; the components of these edges are the candidate
-groups.  Inside a group all pairs are verified exactly, in blocks of `block` documents: a block
-pair is one unit of work, which holds bit sets of its shingles and puts out only counts and a
-spanning forest, so work spreads however large a group is and no pair is ever a row.
+shingle sets form a class, and only one row of it goes on, as a node.  Band and row counts follow
+from the wanted recall at the threshold.  Nodes that share a band are joined by edges to the
+smallest of the band, never pairwise; the components of these edges are the candidate groups.
+
+Pairs are verified exactly on full shingle sets, unit by unit.  A unit is a candidate group, or,
+where a large group is only loosely chained, each band that its members share (a pair that shares
+several counts in the first); whichever takes fewer copies of sets.  A unit is cut into blocks of
+about `block` nodes: a block pair holds bit sets of its shingles and puts out only counts and a
+spanning forest, so work spreads however large a unit is and no pair is ever a row.
 
 Result, per input row: doc_id; class_id, the smallest doc_id that links of similarity >=
 `threshold` lead to; n_links, the number of other documents within the threshold (copies
@@ -28,8 +31,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nivalis.llm.components import components
-from nivalis.llm.tables import settle
+from nivalis.llm.components import components, with_least
+from nivalis.llm.tables import carried, discard, settle
 from nivalis.llm.words import by_bytes, mix, split_words, window_hashes
 
 _SEED = 77
@@ -93,7 +96,9 @@ def fingerprints(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFr
                     out.append((len(own), *set_digest(own), minhash.keys(own) if len(own) else np.zeros(0, np.int64)))
             yield pd.DataFrame(out, columns=["n", "d1", "d2", "bands"]).assign(doc_id=pdf["doc_id"].to_numpy())
 
-    return docs.mapInPandas(run, "n long, d1 long, d2 long, bands array<long>, doc_id long")
+    made = docs.select(carried("doc_id").alias("doc_id"), "text")
+    made = made.mapInPandas(run, "n long, d1 long, d2 long, bands array<long>, doc_id string")
+    return made.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _bits(sets: list[np.ndarray]) -> np.ndarray:
@@ -114,9 +119,10 @@ def _bits(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def verify_block_pair(ids, weights, sets, side, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """For each document its weighted links across the two sides (within the one side if there is
-    only one), and the smallest id that it is connected to there."""
+def verify_block_pair(ids, weights, sets, side, threshold: float, earlier: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each node its weighted links across the two sides (within the one side if there is only
+    one), and the smallest id that it is connected to there. Pairs with an equal key in the same
+    column of `earlier` do not count."""
     n = len(ids)
     bits, sizes = _bits(sets), np.array([len(s) for s in sets])
     rows, cols = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(n), np.arange(n))
@@ -124,6 +130,8 @@ def verify_block_pair(ids, weights, sets, side, threshold: float) -> tuple[np.nd
     for k, i in enumerate(rows):
         common = np.bitwise_count(bits[cols] & bits[i]).sum(axis=1, dtype=np.int64) if len(cols) < 64 else _common(bits, cols, i)
         linked[k] = common * (1 + threshold) >= threshold * (sizes[i] + sizes[cols]) - 1e-9
+        if earlier is not None:
+            linked[k] &= ~(earlier[cols] == earlier[i]).any(axis=1)
     linked &= ids[rows][:, None] != ids[cols][None, :]
     links = np.zeros(n, dtype=np.int64)
     links[rows] += linked @ weights[cols]
@@ -167,10 +175,9 @@ def _by_group(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.D
         yield pd.concat(held)
 
 
-def _sets(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
-    """Members (doc_id, d1, d2, ...) with their shingle sets, from the text of a row that has them."""
-    rows = docs.join(members, "doc_id")
-    kept = [c for c in members.columns if c not in ("d1", "d2")]
+def _sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """Nodes (node, rep, d1, d2, weight, bands) with their shingle sets, from the text of a row that has them."""
+    rows = docs.join(nodes.withColumnRenamed("rep", "doc_id"), "doc_id").drop("doc_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -179,34 +186,51 @@ def _sets(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
                 words = split_words(texts[lo:hi])
                 found += [shingle_set(words.hashes[words.doc(k)], shingle) for k in range(hi - lo)]
             same = [set_digest(s) == (a, b) for s, a, b in zip(found, pdf["d1"], pdf["d2"], strict=True)]
-            yield pdf[kept].assign(shingles=[s.tobytes() for s in found])[same]
+            yield pdf[["node", "weight", "bands"]].assign(shingles=[s.tobytes() for s in found])[same]
 
-    schema = ", ".join(f"{c} {members.schema[c].dataType.simpleString()}" for c in kept)
-    return rows.mapInPandas(run, f"{schema}, shingles binary")
+    return rows.mapInPandas(run, "node long, weight long, bands array<long>, shingles binary")
 
 
-def verified_links(docs: DataFrame, members: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """(doc_id, links, label) summed over block pairs. members: doc_id, d1, d2, weight, component, block, blocks."""
-    one = _sets(docs, members, shingle)
+def verified_links(sets: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
+    """(node, links, label) summed over block pairs. sets: node, weight, bands, shingles (a node may
+    come repeatedly); units: node, band (-1: a whole candidate group), unit, blocks."""
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda j: F.struct(
             F.least("block", j).alias("bi"), F.greatest("block", j).alias("bj"), (F.col("block") > j).cast("int").alias("side")
         ),
     )
-    dealt = one.select("*", F.explode(pairs).alias("p")).select("component", "p.bi", "p.bj", "p.side", "doc_id", "weight", "shingles")
+    dealt = units.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.join(sets, "node").select("*", F.explode(pairs).alias("p"))
+    dealt = dealt.select("band", "unit", "p.bi", "p.bj", "p.side", "node", "weight", F.when(F.col("band") > 0, F.slice("bands", 1, F.greatest("band", F.lit(1)))).alias("earlier"), "shingles")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in _by_group(batches, ["component", "bi", "bj"]):
-            group = group.drop_duplicates(["doc_id"])
-            ids, side = group["doc_id"].to_numpy(np.int64), group["side"].to_numpy()
+        for group in _by_group(batches, ["band", "unit", "bi", "bj"]):
+            group = group.drop_duplicates(["node"])
+            ids, side = group["node"].to_numpy(np.int64), group["side"].to_numpy()
             sets = [np.frombuffer(s, dtype=np.uint64) for s in group["shingles"]]
-            links, label = verify_block_pair(ids, group["weight"].to_numpy(np.int64), sets, side, threshold)
+            earlier = np.stack(group["earlier"].to_list()).astype(np.int64) if group["band"].iloc[0] > 0 else None
+            links, label = verify_block_pair(ids, group["weight"].to_numpy(np.int64), sets, side, threshold, earlier)
             linked = links > 0
-            yield pd.DataFrame({"doc_id": ids[linked], "links": links[linked], "label": label[linked]})
-
-    keys = ["component", "bi", "bj"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "doc_id long, links long, label long")
+            yield pd.DataFrame({"node": ids[linked], "links": links[linked], "label": label[linked]})
+
+    keys = ["band", "unit", "bi", "bj"]
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "node long, links long, label long")
+
+
+def _units(groups: DataFrame, shared: DataFrame, block: int) -> DataFrame:
+    """(node, band, unit, blocks) for verified_links. groups: node, component; shared: the bands of
+    nodes that others share (node, band, key, n)."""
+    blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
+    sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
+    large = groups.join(sizes.filter(F.col("size") > block), "component")
+    by_band = shared.join(large, "node").groupBy("component", "size").agg(F.sum(blocks("n")).alias("copies"))
+    loose = by_band.filter(F.col("copies") < F.col("size") * blocks("size")).select("component")
+    whole = groups.join(loose, "component", "left_anti").join(sizes, "component")
+    apart = shared.join(large.join(loose, "component", "left_semi").select("node"), "node", "left_semi")
+    return whole.select("node", F.lit(-1).alias("band"), F.col("component").alias("unit"), blocks("size").alias("blocks")).unionByName(
+        apart.select("node", "band", F.col("key").alias("unit"), blocks("n").alias("blocks"))
+    )
 
 
 def near_duplicates(
@@ -226,32 +250,24 @@ def near_duplicates(
     classes = filled.groupBy("d1", "d2").agg(
         F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.first("bands").alias("bands")
     )
-    classes = settle(classes, "classes")
-
-    met = classes.filter("rep is not null").select(F.col("rep").alias("u"), F.explode("bands").alias("band"))
-    first = met.groupBy("band").agg(F.min("u").alias("v"), F.count("*").alias("n")).filter("n > 1").select("band", "v")
-    groups = components(met.join(first, "band").select("u", "v"))
-    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    members = (
-        groups.join(sizes, "component")
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumnRenamed("node", "rep")
-        .join(classes.select("rep", "d1", "d2", "weight"), "rep")
-        .withColumnRenamed("rep", "doc_id")
-    )
-    links = settle(verified_links(docs, members, shingle, threshold), "links")
-    clusters = components(links.select(F.col("doc_id").alias("u"), F.col("label").alias("v")))
-    total = links.groupBy("doc_id").agg(F.sum("links").alias("links"))
-    known = (
-        classes.select("d1", "d2", "rep", "weight")
-        .join(total.withColumnRenamed("doc_id", "rep"), "rep", "left")
-        .join(clusters.withColumnsRenamed({"node": "rep", "component": "cluster"}), "rep", "left")
-    )
+    classes = settle(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+
+    met = classes.filter("rep is not null").select(F.col("node").alias("v"), F.posexplode("bands").alias("band", "u"))
+    shared = settle(with_least(met).filter("n > 1").withColumnsRenamed({"u": "key", "v": "node"}), "shared")
+    groups = settle(components(shared.select(F.col("node").alias("u"), F.col("m").alias("v"))), "groups")
+    units = _units(groups, shared, block)
+    nodes = classes.join(groups.select("node"), "node", "left_semi").select("node", "rep", "d1", "d2", "weight", "bands")
+    links = settle(verified_links(_sets(docs, nodes, shingle), units, threshold), "links")
+    discard(shared, groups)
+    clusters = components(links.select(F.col("node").alias("u"), F.col("label").alias("v"))).withColumnRenamed("component", "cluster")
+    least = clusters.join(classes.select("node", "rep"), "node").groupBy("cluster").agg(F.min("rep").alias("class"))
+    total = links.groupBy("node").agg(F.sum("links").alias("links"))
+    known = classes.select("d1", "d2", "node", "rep", "weight").join(total, "node", "left").join(clusters.join(least, "cluster"), "node", "left")
     out = prints.select("doc_id", "n", "d1", "d2").join(known, ["d1", "d2"], "left")
     empty = F.col("n") == 0
     return out.select(
         F.col("doc_id").alias(id_col),
-        F.when(empty, F.col("doc_id")).otherwise(F.coalesce("cluster", "rep")).alias("class_id"),
+        F.when(empty, F.col("doc_id")).otherwise(F.coalesce("class", "rep")).alias("class_id"),
         F.when(empty, 0).otherwise(F.coalesce("links", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"),
         F.when(empty, F.col("doc_id")).otherwise(F.col("rep")).alias("text_class"),
     )

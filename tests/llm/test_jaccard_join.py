@@ -66,6 +66,35 @@ def test_links_and_classes_equal_brute_force(documents):
         assert collected(J.near_duplicates(table, block=block)) == want
 
 
+def test_loose_groups_are_verified_band_by_band(documents, monkeypatch):
+    rng = random.Random(4)
+    chain, texts = [f"w{i}" for i in range(100)], []
+    for _ in range(60):  # each text shares much with the next, the first nothing with the last
+        chain = chain[3:] + [f"n{rng.random()}" for _ in range(3)]
+        texts.append(" ".join(chain))
+    rows = list(enumerate(texts + texts[::7]))
+    seen = []
+    units = J._units
+    monkeypatch.setattr(J, "_units", lambda *a: seen.append(units(*a)) or seen[-1])
+    got = collected(J.near_duplicates(documents([(i, t, "en") for i, t in rows]), block=4))
+    assert got == brute(rows)
+    assert seen and max(c for c, _ in got.values()) < 60
+
+
+def test_units_of_a_loose_group_are_its_bands(spark):
+    groups = spark.createDataFrame([(k, 0) for k in range(40)], "node long, component long")
+    shared = spark.createDataFrame([(k + j, 0, k, 2) for k in range(39) for j in (0, 1)], "node long, band int, key long, n long")
+    assert {r.band for r in J._units(groups, shared, 4).collect()} == {0}  # 78 copies of sets against 400
+    dense = spark.createDataFrame([(k, b, b, 40) for k in range(40) for b in range(18)], "node long, band int, key long, n long")
+    assert {r.band for r in J._units(groups, dense, 4).collect()} == {-1}
+
+
+def test_an_id_with_two_texts_keeps_the_links_of_both(documents):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    table = documents([(1, a, "en"), (1, b, "en"), (2, a + " more", "en"), (3, b + " more", "en")])
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in J.near_duplicates(table).collect()) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+
+
 def test_null_ids_repeated_rows_and_empty_tables(documents):
     text = " ".join(f"w{i}" for i in range(30))
     table = documents([(None, text, "en"), (5, text, "en"), (5, text, "en"), (None, "z", None), (9, text + " more", "en")])
