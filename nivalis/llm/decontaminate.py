@@ -3,9 +3,10 @@
 The corpus is cut into shards (consecutive documents of about two megabytes).  Each shard gets a
 suffix array over its words: suffix start positions sorted by the words that follow, `window`
 words deep.  Every suffix of every benchmark item is then binary-searched in it; the range found
-holds all places where its next `window` words occur verbatim.  Runs of such places on one
-diagonal are the longest verbatim matches.  Positions whose first words begin no benchmark
-suffix cannot be found by any search and are left out of the array.
+holds all places where its next `window` words occur verbatim.  Places that follow each other on
+one diagonal (same item, same distance between the place in the document and the place in the
+item) are joined, which gives the longest verbatim matches.  Positions whose first words begin no
+benchmark suffix cannot be found by any search and are left out of the array.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z.  A window is `window`
 consecutive words of an item; an item with fewer words, but not none, is one window.
@@ -14,8 +15,9 @@ Defined cases: a null or empty text has no words and no hits; an empty benchmark
 repeated documents are each reported; items that repeat are each named; null item ids are
 ignored.  Only the named columns are read.
 
-The benchmark is read in blocks of at most `block_bytes` of text, one pass over the documents
-per block, so what is sent to the executors is bounded however large the benchmark is.
+The benchmark is cut into blocks of about `block_bytes` of text, with one pass over the documents
+per block.  A task holds one block; the driver keeps the blocks it has sent until the result is
+written, so it must have room for the benchmark (not for anything of the corpus).
 """
 
 from __future__ import annotations
@@ -28,11 +30,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nivalis.llm.tables import settle
+from nivalis.llm.tables import carried, settle
 from nivalis.llm.words import ALNUM_SEPARATORS, LOWER_AZ, HashTable, by_bytes, split_words, window_hashes
 
 #: Leading words by which positions are admitted to a suffix array.
 _LEAD = 3
+_MATCH = ("item", "item_begin", "begin", "n_words")
+_MATCHES = "array<struct<item:string,item_begin:int,begin:int,n_words:int>>"
 
 
 @dataclass(frozen=True)
@@ -41,8 +45,11 @@ class TestSuffixes:
 
     words: HashTable  # vocabulary of the block; positions in it plus one are word numbers
     lead: dict[int, HashTable]  # by lead length: hashes of the first words of the suffixes
+    names: list[str]  # of the items
     keys: dict[int, np.ndarray]  # by suffix length: sorted distinct word numbers, as bytes
-    items: dict[int, list[list[str]]]  # the items that hold each key
+    edges: dict[int, np.ndarray]  # where each key's suffixes begin in the next two, and the end
+    item: dict[int, np.ndarray]  # the item of each suffix
+    place: dict[int, np.ndarray]  # and its place in it
 
 
 def _as_bytes(numbers: np.ndarray) -> np.ndarray:
@@ -54,26 +61,24 @@ def _as_bytes(numbers: np.ndarray) -> np.ndarray:
 
 def test_suffixes(items: list[tuple[str, str | None]], window: int) -> TestSuffixes:
     split = split_words([t for _, t in items], ALNUM_SEPARATORS, LOWER_AZ)
-    vocabulary = np.unique(split.hashes)
-    words = HashTable(vocabulary)
-    found: dict[int, dict[bytes, set[str]]] = {}
-    leads: dict[int, list[np.ndarray]] = {}
-    for k, (item, _) in enumerate(items):
-        own = split.hashes[split.doc(k)]
-        length = min(window, len(own))
-        if not length:
-            continue
-        numbers = np.lib.stride_tricks.sliding_window_view(words.find(own) + 1, length)
-        for key in _as_bytes(numbers):
-            found.setdefault(length, {}).setdefault(bytes(key), set()).add(item)
+    words = HashTable(np.unique(split.hashes))
+    sizes = np.diff(split.offsets)
+    leads, keys, edges, item, place = {}, {}, {}, {}, {}
+    for length in np.unique(np.minimum(sizes[sizes > 0], window)).tolist():
+        own = np.flatnonzero(np.minimum(sizes, window) == length)
+        counts = sizes[own] - length + 1
+        of = np.repeat(own, counts)
+        at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        starts = split.offsets[of] + at
+        numbers = words.find(split.hashes) + 1
+        keys[length], inverse = np.unique(_as_bytes(numbers[starts[:, None] + np.arange(length)]), return_inverse=True)
+        order = np.argsort(inverse, kind="stable")
+        edges[length] = np.searchsorted(inverse[order], np.arange(len(keys[length]) + 1))
+        item[length], place[length] = of[order].astype(np.int32), at[order].astype(np.int32)
         lead = min(_LEAD, length)
-        leads.setdefault(lead, []).append(window_hashes(own, lead)[: len(own) - length + 1])
-    keys = {n: np.array(sorted(x), dtype=f"S{4 * n}") for n, x in found.items()}
+        leads.setdefault(lead, []).append(window_hashes(split.hashes, lead)[starts])
     return TestSuffixes(
-        words,
-        {n: HashTable(np.unique(np.concatenate(x))) for n, x in leads.items()},
-        keys,
-        {n: [sorted(found[n][bytes(k)]) for k in keys[n]] for n in keys},
+        words, {n: HashTable(np.unique(np.concatenate(x))) for n, x in leads.items()}, [i for i, _ in items], keys, edges, item, place
     )
 
 
@@ -94,11 +99,35 @@ def _spans(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return begins[fresh], reach[np.append(np.flatnonzero(fresh)[1:] - 1, len(begins) - 1)]
 
 
-def search_shard(texts: list[str | None], test: TestSuffixes) -> list[tuple[int, np.ndarray, np.ndarray, list[str]]]:
-    """For each text: its words, begins and ends of hit words, and the items found in it."""
+Match = tuple[str, int, int, int]
+
+
+def _longest(test: TestSuffixes, hits: list[tuple[int, np.ndarray, np.ndarray]]) -> list[Match]:
+    """Longest matches (item, place in it, place in the document, words) of one document, from its
+    places in rising order and the keys found there, for each key length."""
+    out = []
+    for length, places, keys in hits:
+        edges, item, place = test.edges[length], test.item[length], test.place[length]
+        of = {k: list(zip(item[a:b].tolist(), place[a:b].tolist(), strict=True)) for k, a, b in ((k, edges[k], edges[k + 1]) for k in np.unique(keys).tolist())}
+        runs: dict[tuple[int, int], list[int]] = {}  # first and last place of the run open on each diagonal
+        done = []
+        for p, k in zip(places.tolist(), keys.tolist(), strict=True):
+            for i, q in of[k]:
+                run = runs.get((i, p - q))
+                if run is not None and run[1] == p - 1:
+                    run[1] = p
+                else:
+                    runs[i, p - q] = run = [p, p]
+                    done.append((i, p - q, run))
+        out += [(test.names[i], a - d, a, b - a + length) for i, d, (a, b) in done]
+    return sorted(out, key=lambda m: (m[2], -m[3], m[0], m[1]))
+
+
+def search_shard(texts: list[str | None], test: TestSuffixes) -> list[tuple[int, np.ndarray, np.ndarray, list[Match]]]:
+    """For each text: its words, begins and ends of hit words, and the longest matches."""
     split = split_words(texts, ALNUM_SEPARATORS, LOWER_AZ)
     owner_end = np.repeat(split.offsets[1:], np.diff(split.offsets))
-    hits: list[tuple[np.ndarray, int, np.ndarray, int]] = []
+    found: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in texts]
     numbers = None
     for length, keys in test.keys.items():
         lead = min(_LEAD, length)
@@ -110,27 +139,29 @@ def search_shard(texts: list[str | None], test: TestSuffixes) -> list[tuple[int,
             numbers = test.words.find(split.hashes) + 1
         places, following = suffix_array(numbers, admitted, length)
         low, high = np.searchsorted(following, keys, "left"), np.searchsorted(following, keys, "right")
-        for k in np.flatnonzero(high > low):
-            hits.append((places[low[k] : high[k]], length, test.items[length][k]))
-    places = np.concatenate([h[0] for h in hits]) if hits else np.zeros(0, np.int64)
-    lengths = np.concatenate([np.full(len(h[0]), h[1]) for h in hits]) if hits else places
-    names = np.concatenate([np.full(len(h[0]), k) for k, h in enumerate(hits)]) if hits else places
-    doc = np.searchsorted(split.offsets, places, side="right") - 1
-    order = np.argsort(doc, kind="stable")
-    places, lengths, names, doc = places[order], lengths[order], names[order], doc[order]
-    edge = np.searchsorted(doc, np.arange(len(texts) + 1))
-    out = []
-    for k in range(len(texts)):
-        own = slice(edge[k], edge[k + 1])
-        begins = places[own] - split.offsets[k]
-        items = sorted({x for h in np.unique(names[own]) for x in hits[h][2]})
-        begins, ends = _spans(begins, begins + lengths[own]) if len(begins) else (begins, begins)
-        out.append((int(split.offsets[k + 1] - split.offsets[k]), begins, ends, items))
+        hit = np.flatnonzero(high > low)
+        if not len(hit):
+            continue
+        places = np.concatenate([places[low[k] : high[k]] for k in hit])
+        of = np.repeat(hit, (high - low)[hit])
+        order = np.argsort(places)
+        places, of = places[order], of[order]
+        doc = np.searchsorted(split.offsets, places, side="right") - 1
+        edge = np.flatnonzero(np.diff(doc)) + 1
+        for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(doc)], strict=True):
+            found[doc[a]].append((length, places[a:b] - split.offsets[doc[a]], of[a:b]))
+    out, none = [], np.zeros(0, np.int64)
+    for k, hits in enumerate(found):
+        begins, ends = none, none
+        if hits:
+            begins = np.concatenate([p for _, p, _ in hits])
+            begins, ends = _spans(begins, begins + np.concatenate([np.full(len(p), n) for n, p, _ in hits]))
+        out.append((int(split.offsets[k + 1] - split.offsets[k]), begins, ends, _longest(test, hits)))
     return out
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[int, list[tuple[str, str | None]]]]:
-    """The number of blocks and a block of the benchmark each; only one block at a time is on the driver."""
+    """The number of blocks and a block of the benchmark each."""
     rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).dropna()
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     blocks = max(1, -(-int(total) // block_bytes))
@@ -149,10 +180,10 @@ def matches(
     item_text_col: str = "text",
     block_bytes: int = 32_000_000,
 ) -> DataFrame:
-    """One row per input row: (id, n_words, begins, ends, items), where words begins[i]..ends[i]-1
-    are the disjoint maximal matches. With several blocks, rows get a written key to be merged by."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.lit(0).cast("long").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    """One row per input row: (id, n_words, begins, ends, items, matches). Words begins[i]..ends[i]-1
+    are covered by matches; `matches` lists the longest ones, each with its item, its place in the
+    item and in the document, and its words. With several blocks, rows get a written key to be merged by."""
+    rows = docs.select(F.lit(0).cast("long").alias("row"), carried(id_col).alias("id"), F.col(text_col).alias("text"))
     passes = []
     for blocks, block in _blocks(benchmark, item_col, item_text_col, block_bytes):
         if blocks > 1 and not passes:
@@ -169,10 +200,11 @@ def matches(
                     "n_words": [x[0] for x in found],
                     "begins": [x[1].astype(np.int32) for x in found],
                     "ends": [x[2].astype(np.int32) for x in found],
-                    "items": [x[3] for x in found],
+                    "items": [sorted({m[0] for m in x[3]}) for x in found],
+                    "matches": [[dict(zip(_MATCH, m, strict=True)) for m in x[3]] for x in found],
                 })
 
-        passes.append(rows.mapInPandas(search, f"row long, id {kind}, n_words long, begins array<int>, ends array<int>, items array<string>"))
+        passes.append(rows.mapInPandas(search, f"row long, id string, n_words long, begins array<int>, ends array<int>, items array<string>, matches {_MATCHES}"))
     out = passes[0]
     for more in passes[1:]:
         out = out.unionByName(more)
@@ -182,6 +214,7 @@ def matches(
             F.first("n_words").alias("n_words"),
             F.array_sort(F.flatten(F.collect_list(F.arrays_zip("begins", "ends")))).alias("spans"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+            F.flatten(F.collect_list("matches")).alias("matches"),
         )
         empty = F.lit(None).cast("array<struct<begins:int,ends:int>>")
         last = lambda acc: F.element_at(acc, -1)
@@ -196,8 +229,8 @@ def matches(
                 ),
             ).otherwise(F.concat(acc, F.array(x))),
         )
-        out = merged.withColumn("spans", joined).select("id", "n_words", "spans.begins", "spans.ends", "items")
-    return out.select(F.col("id").alias(id_col), "n_words", "begins", "ends", "items")
+        out = merged.withColumn("spans", joined).select("id", "n_words", "spans.begins", "spans.ends", "items", "matches")
+    return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "n_words", "begins", "ends", "items", "matches")
 
 
 def report(found: DataFrame) -> DataFrame:

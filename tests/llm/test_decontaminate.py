@@ -69,3 +69,34 @@ def test_many_blocks_keep_repeated_and_null_ids_apart(spark, documents):
         found = D.matches(documents([(d, t, "en") for d, t in rows]), bench, block_bytes=block_bytes).collect()
         got = sorted((r.doc_id or 0, r.n_words, list(r["items"])) for r in found)
         assert got == [(0, 3, []), (0, 3, ["1"]), (0, 3, ["2"]), (1, 3, []), (1, 3, ["1"]), (1, 3, ["1"])]
+
+
+def brute_matches(doc, items, window):
+    """Longest runs on each diagonal, word by word."""
+    w, out = words(doc), set()
+    for i, t in items:
+        v = words(t)
+        least = min(window, len(v))
+        for diagonal in range(-len(v), len(w)) if least else ():
+            run = 0
+            for q in range(len(v) + 1):
+                p = q + diagonal
+                if q < len(v) and 0 <= p < len(w) and w[p] == v[q]:
+                    run += 1
+                else:
+                    if run >= least:
+                        out.add((str(i), q - run, p - run, run))
+                    run = 0
+    return out
+
+
+def test_longest_matches_and_places_equal_brute_force(spark, documents):
+    rng = random.Random(5)
+    say = lambda n: " ".join(rng.choice("abc") for _ in range(n))
+    items = [(i, say(rng.randrange(1, 14))) for i in range(6)] + [(50, "a a a a a a")]
+    docs = [(i, say(rng.randrange(0, 50))) for i in range(25)] + [(80, "a " * 30), (81, f"{items[0][1]} x {items[1][1]} {items[2][1]}")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for block_bytes in (32_000_000, 40):
+        for r in D.matches(documents([(d, t, "en") for d, t in docs]), bench, window=4, block_bytes=block_bytes).collect():
+            got = [(m["item"], m["item_begin"], m["begin"], m["n_words"]) for m in r["matches"]]
+            assert len(got) == len(set(got)) and set(got) == brute_matches(dict(docs)[r.doc_id], items, 4)
