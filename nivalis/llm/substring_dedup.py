@@ -6,12 +6,16 @@ judged on the input.
 
 1. Phrases.  In every window the run of `phrase` words with the smallest hash is its anchor.  Equal
    windows have equal anchors, and neighbouring windows share theirs, so there is about one anchor
-   in 22 words.  Anchors met in two different texts are the confirmed phrases.
-2. Automata.  The documents that hold confirmed phrases meet them by id.  Each shard (about two
-   megabytes of documents) compiles its phrases into one Aho-Corasick automaton and streams its
-   documents through it, which locates every occurrence.
-3. Windows whose anchor was located are compared by hash across all documents; those first seen in
-   a smaller id mark their words.
+   in 22 words.  Anchors met in two different texts are the confirmed phrases.  A phrase is written
+   with 16 bits a word; where in a document it was met is not kept.
+2. Automata.  Documents are dealt into shards of about `shard_words` words by hash.  A confirmed
+   phrase goes to every shard one of whose documents holds it.  Each shard compiles its phrases into
+   one Aho-Corasick automaton and streams all its documents through it, which locates every
+   occurrence.  (Streaming every document through the phrases of all shards would find the same, at a
+   cost that grows with the square of the corpus.)
+3. Windows whose anchor was located are compared by hash across all documents: each shard puts out
+   its distinct hashes with their smallest and largest id, and gets back, for each that a smaller id
+   has elsewhere, that id.  A second stream over the documents with such windows cuts the words.
 
 Documents whose words equal those of a smaller id are removed whole without further work, if they
 have a window at all.  Window hashes have 64 bits: with n windows compared, a false match is
@@ -19,7 +23,8 @@ expected about n^2 / 2^65 times.
 
 Defined cases: null, empty and blank texts have no words and stay as they are; a null id counts
 neither as smaller nor as larger, so nothing of it is removed and it is no source; rows that repeat
-an id are judged alike and not against each other; an empty table gives an empty table.
+an id are judged alike and not against each other; an empty table gives an empty table; only the
+named columns are read.
 """
 
 from __future__ import annotations
@@ -30,18 +35,59 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nivalis.llm.tables import settle
-from nivalis.llm.words import Words, by_bytes, split_words, window_hashes
+from nivalis.llm.tables import carried, settle
+from nivalis.llm.words import HashTable, Words, by_bytes, split_words, window_hashes
 
+#: Words that a phrase may have: 16 bits each, in two longs.
+_MOST = 8
+_PHRASE, _COPY, _DOC, _NO_ID = range(4)
 
-def _anchors(words: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all phrases, and for each window the place of its anchor."""
+
+def _anchors(words: np.ndarray, window: int, phrase: int) -> np.ndarray:
+    """For each window the place of its anchor."""
     grams = window_hashes(words, phrase)
-    span = window - phrase + 1
-    return grams, sliding_window_view(grams, span).argmin(axis=1) + np.arange(len(words) - window + 1)
+    return sliding_window_view(grams, window - phrase + 1).argmin(axis=1) + np.arange(len(words) - window + 1)
+
+
+def _written(words: np.ndarray, places: np.ndarray, phrase: int) -> np.ndarray:
+    """The distinct phrases at the places, as pairs of longs."""
+    codes = np.zeros((len(places), _MOST), dtype=">u2")
+    codes[:, :phrase] = (words & np.uint64(0xFFFF)).astype(np.uint16)[places[:, None] + np.arange(phrase)]
+    return np.unique(codes.view(">u8").astype(np.uint64), axis=0).view(np.int64)
+
+
+def _letters(codes: np.ndarray) -> str:
+    """Word codes as text, three letters a word; the alphabets of the three differ, so that a match
+    begins at a word, and are small, as the automaton looks through a node's letters one by one."""
+    out = np.empty((codes.size, 3), dtype="<u2")
+    flat = codes.ravel()
+    out[:, 0], out[:, 1], out[:, 2] = 0x100 + (flat >> 10), 0x200 + (flat >> 5 & 31), 0x300 + (flat & 31)
+    return out.tobytes().decode("utf-16-le")
+
+
+class PhraseAutomaton:
+    """Locates phrases, given as pairs of longs, in sequences of word hashes."""
+
+    def __init__(self, phrases: np.ndarray, phrase: int):
+        import ahocorasick
+
+        self.size, self.automaton = phrase, ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        codes = phrases.astype(">i8").view(">u2").reshape(-1, _MOST)[:, :phrase].astype(np.uint16)
+        text, step = _letters(codes), 3 * phrase
+        for k in range(0, len(text), step):
+            self.automaton.add_word(text[k : k + step])
+        self.automaton.make_automaton()
+
+    def places(self, words: np.ndarray) -> np.ndarray:
+        """Where a phrase begins."""
+        if len(self.automaton) == 0 or len(words) < self.size:
+            return np.zeros(0, np.int64)
+        text = _letters((words & np.uint64(0xFFFF)).astype(np.uint16))
+        ends = np.fromiter((end for end, _ in self.automaton.iter(text)), dtype=np.int64)
+        return (ends + 1) // 3 - self.size
 
 
 def _digest(words: np.ndarray) -> int:
@@ -56,7 +102,8 @@ def _joined(words: Words, k: int) -> list[bytes]:
 
 
 def anchor_table(docs: DataFrame, window: int, phrase: int) -> DataFrame:
-    """(doc_id, th, n_words, digest, anchors, places) of each (doc_id, th, text) row."""
+    """(doc_id, th, n_words, digest, first, second) of each (doc_id, th, text) row; the last two are
+    the halves of its anchor phrases."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         none = np.zeros(0, np.int64)
@@ -69,137 +116,180 @@ def anchor_table(docs: DataFrame, window: int, phrase: int) -> DataFrame:
                     if len(own) < window:
                         out.append((len(own), 0, none, none))
                         continue
-                    grams, places = _anchors(own, window, phrase)
-                    places = np.unique(places)
-                    out.append((len(own), _digest(own), grams[places].view(np.int64), places))
-            made = pd.DataFrame(out, columns=["n_words", "digest", "anchors", "places"])
+                    found = _written(own, np.unique(_anchors(own, window, phrase)), phrase)
+                    out.append((len(own), _digest(own), found[:, 0], found[:, 1]))
+            made = pd.DataFrame(out, columns=["n_words", "digest", "first", "second"])
             yield made.assign(doc_id=pdf["doc_id"].to_numpy(), th=pdf["th"].to_numpy())
 
-    return docs.mapInPandas(run, "n_words long, digest long, anchors array<long>, places array<int>, doc_id long, th long")
+    rows = docs.select(carried("doc_id").alias("doc_id"), "th", "text")
+    made = rows.mapInPandas(run, "n_words long, digest long, first array<long>, second array<long>, doc_id string, th long")
+    return made.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def _locate(texts: list[list[bytes]], places: list[np.ndarray], phrase: int) -> list[np.ndarray]:
-    """Word positions at which any of the shard's confirmed phrases occurs, for each document."""
-    import ahocorasick
+def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[bool, int, int, pd.DataFrame]]:
+    """Rows of one shard and kind each, in a stream sorted by them: whether the shard begins, the
+    shard, the kind and the rows."""
+    last = None
+    for pdf in batches:
+        shard, kind = pdf["shard"].to_numpy(), pdf["kind"].to_numpy()
+        edge = np.flatnonzero((shard[1:] != shard[:-1]) | (kind[1:] != kind[:-1])) + 1
+        for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(pdf)], strict=True):
+            if a < b:
+                yield shard[a] != last, int(shard[a]), int(kind[a]), pdf.iloc[a:b]
+                last = shard[a]
 
-    automaton = ahocorasick.Automaton()
-    for words, own in zip(texts, places, strict=True):
-        for p in own:
-            key = f" {b' '.join(words[p : p + phrase]).decode('utf-8', 'surrogatepass')} "
-            automaton.add_word(key, len(key))
-    automaton.make_automaton()
-    out = []
-    for words in texts:
-        parts = [w.decode("utf-8", "surrogatepass") for w in words]
-        begins = np.cumsum([1] + [len(w) + 1 for w in parts])
-        found = [end - size + 2 for end, size in automaton.iter(f" {' '.join(parts)} ")]
-        out.append(np.searchsorted(begins, np.array(found, dtype=np.int64)))
-    return out
+
+def _streamed(rows: DataFrame) -> DataFrame:
+    return rows.repartition("shard").sortWithinPartitions("shard", "kind")
 
 
 def located_windows(rows: DataFrame, window: int, phrase: int) -> DataFrame:
-    """rows: doc_id, text, first_id, places. Per row the hashes of the windows to be compared; a
-    row that needs no comparison gets its final result."""
+    """rows: shard, kind, a, b, text; phrases (a, b), copies (id a, hash of text b) and documents (the
+    same, and the text). Documents without a located window get their final result, the others keep
+    their text; other rows list the hashes of located windows with their smallest and largest id."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        none = np.zeros(0, np.int64)
-        for pdf in batches:
-            texts, out = pdf["text"].tolist(), []
-            ids, firsts, places = pdf["doc_id"].tolist(), pdf["first_id"].tolist(), pdf["places"].tolist()
+        phrases, copies, automaton = [], set(), None
+        for begins, shard, kind, pdf in _parts(batches):
+            if begins:
+                phrases, copies, automaton = [], set(), None
+            if kind == _PHRASE:
+                phrases.append(pdf[["a", "b"]].to_numpy(np.int64))
+                continue
+            if kind == _COPY:
+                copies.update(zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True))
+                continue
+            if automaton is None:
+                automaton = PhraseAutomaton(np.concatenate([np.zeros((0, 2), np.int64), *phrases]), phrase)
+            ids, hashes_of_text, texts = pdf["a"].tolist(), pdf["b"].tolist(), pdf["text"].tolist()
+            out, hashes, owners = [], [np.zeros(0, np.uint64)], []
             for lo, hi in by_bytes(texts):
                 words = split_words(texts[lo:hi])
-                split = [_joined(words, k) for k in range(hi - lo)]
-                busy = [k for k in range(hi - lo) if places[lo + k] is not None and len(places[lo + k])]
-                located = dict(zip(busy, _locate([split[k] for k in busy], [places[lo + k] for k in busy], phrase), strict=True)) if busy else {}
-                for k in range(hi - lo):
-                    own, n = words.hashes[words.doc(k)], len(split[k])
-                    copied = n >= window and not pd.isna(firsts[lo + k]) and firsts[lo + k] < ids[lo + k]
-                    if k in located and not copied:
-                        grams, at = _anchors(own, window, phrase)
-                        hit = np.zeros(len(grams), dtype=bool)
-                        hit[located[k]] = True
-                        starts = np.flatnonzero(hit[at])
-                        hashes = window_hashes(own, window)[starts].view(np.int64)
-                        out.append((n, 0, None, texts[lo + k], starts, hashes))
-                    else:
-                        kept = b"" if copied else b" ".join(split[k])
-                        out.append((n, n if copied else 0, hashlib.sha256(kept).hexdigest(), None, none, none))
-            made = pd.DataFrame(out, columns=["n_words", "n_removed", "kept_sha256", "open_text", "starts", "hashes"])
-            yield made.assign(doc_id=pdf["doc_id"].to_numpy(), th=pdf["th"].to_numpy())
-
-    return rows.mapInPandas(
+                for k in range(lo, hi):
+                    own = words.hashes[words.doc(k - lo)]
+                    if kind == _DOC and (ids[k], hashes_of_text[k]) in copies:
+                        out.append((kind, ids[k], len(own), len(own), hashlib.sha256(b"").hexdigest(), None))
+                        continue
+                    if kind == _DOC and len(own) >= window:
+                        hit = np.zeros(len(own), dtype=bool)
+                        hit[automaton.places(own)] = True
+                        starts = np.flatnonzero(hit[_anchors(own, window, phrase)])
+                        if len(starts):
+                            hashes.append(np.unique(window_hashes(own, window)[starts]))
+                            owners.append(np.full(len(hashes[-1]), ids[k]))
+                            out.append((kind, ids[k], len(own), 0, None, texts[k]))
+                            continue
+                    out.append((kind, ids[k], len(own), 0, hashlib.sha256(b" ".join(_joined(words, k - lo))).hexdigest(), None))
+            made = pd.DataFrame(out, columns=["kind", "id", "n_words", "n_removed", "kept_sha256", "open_text"])
+            yield made.assign(shard=shard, hashes=None, low=None, high=None)
+            if owners:
+                owner, value = np.concatenate(owners), np.concatenate(hashes)
+                order = np.lexsort((owner, value))
+                owner, value = owner[order], value[order]
+                first = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
+                last = np.append(first[1:] - 1, len(value) - 1)
+                yield pd.DataFrame({
+                    "kind": [_PHRASE], "id": 0, "n_words": 0, "n_removed": 0, "kept_sha256": None, "open_text": None, "shard": shard,
+                    "hashes": [value[first].view(np.int64)], "low": [owner[first]], "high": [owner[last]],
+                })
+
+    return _streamed(rows).mapInPandas(
         run,
-        "n_words long, n_removed long, kept_sha256 string, open_text string, starts array<int>, hashes array<long>, doc_id long, th long",
+        "kind int, id long, n_words long, n_removed long, kept_sha256 string, open_text string, shard int, "
+        "hashes array<long>, low array<long>, high array<long>",
     )
 
 
-def _cut(rows: DataFrame, window: int) -> DataFrame:
-    """rows: doc_id, n_words, open_text, marked starts; the words outside marked windows stay."""
+def cut_windows(rows: DataFrame, window: int) -> DataFrame:
+    """rows: shard, kind, a, b, text; windows (hash a, smallest id b) and documents (id a). The words
+    outside windows that a smaller id has stay."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        hashes, low, table = [], [], None
+        for begins, _, kind, pdf in _parts(batches):
+            if begins:
+                hashes, low, table = [], [], None
+            if kind == _PHRASE:
+                hashes.append(pdf["a"].to_numpy(np.int64))
+                low.append(pdf["b"].to_numpy(np.int64))
+                continue
+            if table is None:
+                table = HashTable(np.concatenate([np.zeros(0, np.int64), *hashes]).view(np.uint64))
+                least = np.append(np.concatenate([np.zeros(0, np.int64), *low]), np.iinfo(np.int64).max)
             out = []
-            for text, marked in zip(pdf["open_text"], pdf["marked"], strict=True):
+            for doc_id, text in zip(pdf["a"].tolist(), pdf["text"], strict=True):
                 words = split_words([text])
                 split = _joined(words, 0)
+                marked = np.flatnonzero(least[table.find(window_hashes(words.hashes, window))] < doc_id)
                 step = np.zeros(len(split) + 1, dtype=np.int64)
-                if marked is not None and len(marked):
-                    np.add.at(step, marked, 1)
-                    np.add.at(step, np.asarray(marked) + window, -1)
+                step[: len(step) - window] += np.bincount(marked, minlength=len(step) - window)
+                step[window:] -= np.bincount(marked, minlength=len(step) - window)
                 gone = np.cumsum(step)[:-1] > 0
-                kept = b" ".join(w for w, g in zip(split, gone, strict=True) if not g)
+                kept = b" ".join(w for w, g in zip(split, gone.tolist(), strict=True) if not g)
                 edge = np.diff(np.concatenate(([0], gone.astype(np.int8), [0])))
                 out.append((
-                    int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass") if gone.any() else None,
+                    doc_id, len(split), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass") if gone.any() else None,
                     np.flatnonzero(edge == 1), np.flatnonzero(edge == -1),
                 ))
-            made = pd.DataFrame(out, columns=["n_removed", "kept_sha256", "kept", "begins", "ends"])
-            yield made.assign(doc_id=pdf["doc_id"].to_numpy(), n_words=pdf["n_words"].to_numpy())
+            yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "begins", "ends"])
 
-    return rows.mapInPandas(
+    return _streamed(rows).mapInPandas(
         run,
         "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, begins array<int>, ends array<int>",
     )
 
 
+def _row(shard: Column | str, kind: int | Column, a: str, b: str, text: Column | None = None) -> list[Column]:
+    """The columns of a stream of several kinds of rows."""
+    kind = F.lit(kind) if isinstance(kind, int) else kind
+    shard = F.col(shard) if isinstance(shard, str) else shard
+    text = F.lit(None).cast("string") if text is None else text
+    return [shard.alias("shard"), kind.alias("kind"), F.coalesce(a, F.lit(0)).alias("a"), F.col(b).alias("b"), text.alias("text")]
+
+
 def strip_repeats(
-    docs: DataFrame, window: int = 50, phrase: int = 8, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, window: int = 50, phrase: int = 8, shard_words: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256, kept (the remaining words joined by one
     space; null where nothing was removed), and the removed words as begins[i]..ends[i]-1."""
+    if not 0 < phrase <= min(_MOST, window):
+        raise ValueError(f"a phrase has 1 to {min(_MOST, window)} words")
     docs = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th")
     )
     table = settle(anchor_table(docs, window, phrase), "anchors")
+    total = table.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    shards = max(1, -(-int(total) // shard_words))
+    shard = F.pmod(F.xxhash64("doc_id", "th"), F.lit(shards)).cast("int")
+
     long = table.filter(f"n_words >= {window} and doc_id is not null")
-    first = long.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    long = long.join(first, "digest").dropDuplicates(["doc_id", "th"])
-    apart = long.filter("doc_id = first_id").select("doc_id", "th", "digest", F.arrays_zip("anchors", "places").alias("found"))
-    apart = apart.select("doc_id", "th", "digest", F.explode("found").alias("f")).select(
-        "doc_id", "th", "digest", F.col("f.anchors").alias("anchor"), F.col("f.places").alias("place")
-    )
-    confirmed = (
-        apart.groupBy("anchor").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a != b").select("anchor")
+    first_ids = long.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
+    judged = long.join(first_ids, "digest")
+    copies = judged.filter("doc_id > first_id").select(*_row(shard, _COPY, "doc_id", "th")).distinct()
+    apart = judged.filter("doc_id = first_id").select(shard.alias("shard"), "digest", F.explode(F.arrays_zip("first", "second")).alias("p"))
+    met = apart.groupBy("shard", "p.first", "p.second").agg(F.min("digest").alias("a"), F.max("digest").alias("b"))
+    met = settle(met, "phrases")  # a phrase has a row a shard at most, however common it is
+    confirmed = met.groupBy("first", "second").agg(F.min("a").alias("least"), F.max("b").alias("most")).filter("least != most")
+    phrases = met.join(confirmed, ["first", "second"]).select(*_row("shard", _PHRASE, "first", "second"))
+
+    kind = F.when(F.col("doc_id").isNull(), _NO_ID).otherwise(_DOC)
+    stream = phrases.unionByName(copies).unionByName(docs.select(*_row(shard, kind, "doc_id", "th", F.col("text"))))
+    made = settle(located_windows(stream, window, phrase), "windows")
+    seen = made.filter(F.col("kind") == _PHRASE).select("shard", F.explode(F.arrays_zip("hashes", "low", "high")).alias("w")).select("shard", "w.*")
+    lowest = seen.groupBy("hashes").agg(F.min("low").alias("least"), F.max("high").alias("most")).filter("least < most")
+    marked = seen.join(lowest, "hashes").filter("least < high").select("shard", "hashes", "least").distinct()
+    documents = made.filter(F.col("kind") != _PHRASE)
+    cut = cut_windows(
+        marked.select(*_row("shard", _PHRASE, "hashes", "least")).unionByName(
+            documents.filter("open_text is not null").select(*_row("shard", _DOC, "id", "n_words", F.col("open_text")))
+        ),
+        window,
     )
-    places = apart.join(confirmed, "anchor").groupBy("doc_id", "th").agg(F.collect_list("place").alias("places"))
-    known = settle(long.select("doc_id", "th", "first_id").join(places, ["doc_id", "th"], "left"), "places")
-
-    made = settle(located_windows(docs.join(known, ["doc_id", "th"], "left"), window, phrase), "windows")
-    pairs = made.filter("open_text is not null").select("doc_id", "th", F.explode(F.arrays_zip("hashes", "starts")).alias("w"))
-    seen = pairs.groupBy(F.col("w.hashes").alias("hash")).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    marked = (
-        pairs.select("doc_id", "th", F.col("w.hashes").alias("hash"), F.col("w.starts").alias("start"))
-        .join(seen.filter("lo < hi").select("hash", "lo"), "hash")
-        .filter("lo < doc_id")
-        .groupBy("doc_id", "th")
-        .agg(F.collect_set("start").alias("marked"))
-    )
-    open_rows = made.filter("open_text is not null").select("doc_id", "th", "n_words", "open_text").join(marked, ["doc_id", "th"], "left")
-    closed = made.filter("open_text is null")
-    nowhere = F.array().cast("array<int>")
+    closed = documents.filter("open_text is null")
     gone = F.col("n_removed") > 0
+    nowhere = F.array().cast("array<int>")
     closed = closed.select(
-        "doc_id",
+        F.when(F.col("kind") == _DOC, F.col("id")).alias("doc_id"),
         "n_words",
         "n_removed",
         "kept_sha256",
@@ -207,5 +297,4 @@ def strip_repeats(
         F.when(gone, F.array(F.lit(0))).otherwise(nowhere).alias("begins"),
         F.when(gone, F.array(F.col("n_words").cast("int"))).otherwise(nowhere).alias("ends"),
     )
-    out = closed.unionByName(_cut(open_rows, window))
-    return out.withColumnRenamed("doc_id", id_col)
+    return closed.unionByName(cut).withColumnRenamed("doc_id", id_col)
