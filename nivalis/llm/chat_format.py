@@ -1,22 +1,21 @@
 """Chat formatting by prefix-target expansion.
 
-Every assistant turn becomes an example of its own: all turns before it are its context and only
-its text is trainable.  Written out, n replies need n contexts, which grows with the square of a
-conversation.  So an example row holds the formatted text that is new since the row before it
-(`lead`: the turns in between and the reply's opening mark; `reply`: the trainable text;
-`closing`), with `context_chars`, the length of everything before.  `with_context` writes the
-contexts out where a consumer wants them.
+Every assistant turn becomes an example of its own: `text` holds all turns before it as context, the
+reply and its closing mark, and only the reply, `text[loss_begin:loss_end]`, is trainable.  So n
+replies take n contexts, which is what the format asks for: the output grows with the square of a
+conversation's length (not with the number of conversations).
 
 A turn is `<|im_start|>role\\ntext<|im_end|>\\n`.  Inside texts `\\` becomes `\\\\` and `<|` becomes
 `<\\|`, in roles a line feed becomes `\\n` too, so no text can hold a mark and all is reversible.
 
-Rows stream through a task in order of (conversation, turn, role, text): no conversation is ever
-held as a whole, however long it is.
+Rows stream through a task in order of (conversation, turn, role, text); a task holds the text of
+one conversation and a few megabytes of examples.
 
 Defined cases: a null text or role is empty; null conversation ids form one conversation, null
 turn numbers come first; equal turn numbers are ordered by role and text; repeated rows are
-repeated turns; turns after the last reply, and long stretches between replies, give rows without
-a reply (`reply` null), which carry context only.
+repeated turns; turns after the last reply give a row without a trainable part (loss_begin and
+loss_end null), so that nothing of a conversation is lost; extra columns are left alone; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,14 +25,16 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nivalis.llm.tables import carried
+
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 _TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.DOTALL)
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
-#: Characters of turns without a reply after which a context row is put out.
-_STRETCH = 1_000_000
+#: Characters of examples that a task holds before it hands them on.
+_HELD = 4_000_000
 
 
 def escape(text: str) -> str:
@@ -52,115 +53,93 @@ def _unescape_role(role: str) -> str:
     return _ESCAPED.sub(lambda m: "\n" if m[1] == "n" else m[1], role)
 
 
-def _ordered(conversations: DataFrame) -> DataFrame:
-    rows = conversations.select(
-        "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
-    )
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-
-
 def _same(a, b) -> bool:
     return a == b or (pd.isna(a) and pd.isna(b))
 
 
 def prefix_examples(conversations: DataFrame, trainable: str = "assistant") -> DataFrame:
-    """(conv_id, part, context_chars, lead, reply, closing), a conversation's rows in order of part
-    and next to each other."""
+    """(conv_id, part, text, loss_begin, loss_end), a row for every trainable turn, numbered within
+    its conversation."""
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        conv, begun, part, chars, lead, held = None, False, 0, 0, [], 0
-        for pdf in batches:
-            out = []
+        conv, begun, part, context, open_ = None, False, 0, "", False
+        out, held = [], 0
+
+        def put(begin: int | None, end: int | None) -> None:
+            nonlocal part, held
+            out.append((conv, part, context, begin, end))
+            part, held = part + 1, held + len(context)
 
-            def put(reply: str | None) -> None:
-                nonlocal part, chars, lead, held
-                text = "".join(lead)
-                out.append((conv, part, chars, text, reply, "" if reply is None else CLOSE))
-                part, chars = part + 1, chars + len(text) + (0 if reply is None else len(reply) + len(CLOSE))
-                lead, held = [], 0
+        def made() -> pd.DataFrame:
+            nonlocal out, held
+            rows, out, held = out, [], 0
+            return pd.DataFrame(rows, columns=["conv_id", "part", "text", "loss_begin", "loss_end"]).astype({"loss_begin": "Int64", "loss_end": "Int64"})
 
+        for pdf in batches:
             for c, role, text in zip(pdf["conv_id"], pdf["role"], pdf["text"], strict=True):
                 if not begun or not _same(c, conv):
-                    if lead:
-                        put(None)
-                    conv, begun, part, chars = c, True, 0, 0
-                opening = f"{OPEN}{_escape_role(role)}\n"
-                if role == trainable:
-                    lead.append(opening)
-                    put(escape(text))
-                else:
-                    lead += [opening, escape(text), CLOSE]
-                    held += len(text)
-                    if held > _STRETCH:
-                        put(None)
-            yield pd.DataFrame(out, columns=["conv_id", "part", "context_chars", "lead", "reply", "closing"])
-        if lead:
-            yield pd.DataFrame(
-                [(conv, part, chars, "".join(lead), None, "")],
-                columns=["conv_id", "part", "context_chars", "lead", "reply", "closing"],
-            )
-
-    kind = conversations.schema["conv_id"].dataType.simpleString()
-    return _ordered(conversations).mapInPandas(
-        expand, f"conv_id {kind}, part long, context_chars long, lead string, reply string, closing string"
-    )
+                    if open_:
+                        put(None, None)
+                    conv, begun, part, context = c, True, 0, ""
+                begin = len(context) + len(opening := f"{OPEN}{_escape_role(role)}\n")
+                context = f"{context}{opening}{escape(text)}{CLOSE}"
+                open_ = role != trainable
+                if not open_:
+                    put(begin, len(context) - len(CLOSE))
+                if held > _HELD:
+                    yield made()
+        if open_:
+            put(None, None)
+        yield made()
 
-
-def with_context(examples: DataFrame) -> DataFrame:
-    """Examples written out: (conv_id, part, text, loss_begin, loss_end). As large as the task asks
-    for, the square of a conversation's length."""
-    before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    own = F.concat("lead", F.coalesce("reply", F.lit("")), "closing")
-    begin = F.col("context_chars") + F.length("lead")
-    return (
-        examples.withColumn("context", F.array_join(F.collect_list(own).over(before), ""))
-        .filter(F.col("reply").isNotNull())
-        .select(
-            "conv_id",
-            "part",
-            F.concat("context", own).alias("text"),
-            begin.alias("loss_begin"),
-            (begin + F.length("reply")).alias("loss_end"),
-        )
+    rows = conversations.select(
+        carried("conv_id").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
+    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
+    out = rows.mapInPandas(expand, "conv_id string, part long, text string, loss_begin long, loss_end long")
+    return out.withColumn("conv_id", F.col("conv_id").cast(conversations.schema["conv_id"].dataType))
 
 
 def read_back(examples: DataFrame) -> DataFrame:
-    """Per conversation, what its formatted rows say: turns, text under the loss mask, and the
-    characters of all examples with their contexts. Needs the row order of prefix_examples."""
+    """What the examples say of each conversation: the turns in the text of the last one, the text
+    under all loss masks in order, and the characters of all examples. Their row order is free."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        conv, begun = None, False
-        n = loss_chars = chars = 0
-        turns, loss = hashlib.sha256(), hashlib.sha256()
+        for pdf in batches:
+            out = []
+            for text, begin, end in zip(pdf["text"], pdf["loss_begin"], pdf["loss_end"], strict=True):
+                turns, n = hashlib.sha256(), 0
+                for m in _TURN.finditer(text):
+                    turns.update(f"{_unescape_role(m[1])}\n{unescape(m[2])}\n".encode())
+                    n += 1
+                out.append((n, turns.hexdigest(), "" if pd.isna(begin) else unescape(text[int(begin) : int(end)]), len(text)))
+            made = pd.DataFrame(out, columns=["n_turns", "turns_sha256", "said", "chars"])
+            yield made.assign(conv_id=pdf["conv_id"].to_numpy(), part=pdf["part"].to_numpy())
+
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        conv, begun, n, turns, loss_chars, loss, chars = None, False, 0, "", 0, hashlib.sha256(), 0
         columns = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
         for pdf in batches:
             out = []
-            for c, context, lead, reply, closing in zip(
-                pdf["conv_id"], pdf["context_chars"], pdf["lead"], pdf["reply"], pdf["closing"], strict=True
-            ):
+            for c, k, own, said, size in zip(pdf["conv_id"], pdf["n_turns"], pdf["turns_sha256"], pdf["said"], pdf["chars"], strict=True):
                 if not begun or not _same(c, conv):
                     if begun:
-                        out.append((conv, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars))
-                    conv, begun, n, loss_chars, chars = c, True, 0, 0, 0
-                    turns, loss = hashlib.sha256(), hashlib.sha256()
-                own = lead if reply is None else lead + reply + closing
-                for m in _TURN.finditer(own):
-                    turns.update(f"{_unescape_role(m[1])}\n{unescape(m[2])}\n".encode())
-                    n += 1
-                if reply is not None:
-                    text = unescape(reply)
-                    loss.update(text.encode())
-                    loss_chars += len(text)
-                chars += len(own) + (0 if reply is None else context)
+                        out.append((conv, n, turns, loss_chars, loss.hexdigest(), chars))
+                    conv, begun, loss_chars, loss, chars = c, True, 0, hashlib.sha256(), 0
+                n, turns = k, own  # the last part holds all turns
+                loss.update(said.encode())
+                loss_chars, chars = loss_chars + len(said), chars + size
             yield pd.DataFrame(out, columns=columns)
         if begun:
-            yield pd.DataFrame([(conv, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars)], columns=columns)
+            yield pd.DataFrame([(conv, n, turns, loss_chars, loss.hexdigest(), chars)], columns=columns)
 
-    kind = examples.schema["conv_id"].dataType.simpleString()
-    return examples.mapInPandas(
-        parse, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    rows = examples.select(carried("conv_id").alias("conv_id"), "part", "text", "loss_begin", "loss_end")
+    said = rows.mapInPandas(parse, "conv_id string, part long, n_turns long, turns_sha256 string, said string, chars long")
+    said = said.repartition("conv_id").sortWithinPartitions("conv_id", "part")
+    out = said.mapInPandas(
+        digest, "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     )
+    return out.withColumn("conv_id", F.col("conv_id").cast(examples.schema["conv_id"].dataType))
 
 
 def with_control_case(conversations: DataFrame) -> DataFrame:

@@ -30,25 +30,48 @@ def collected(df):
     return {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in df.collect()}
 
 
-def test_reads_back_what_went_in(spark, monkeypatch):
+def brute_examples(rows):
+    """(conversation, text, loss text) of every assistant turn, and the characters of each conversation."""
+    out, chars, convs = [], {}, {}
+    for c, turn, role, text in rows:
+        convs.setdefault(c, []).append((turn is not None, turn or 0, role or "", text or ""))
+    for c, turns in convs.items():
+        context, chars[c] = "", 0
+        for k, (_, _, role, text) in enumerate(sorted(turns)):
+            role = role.replace("\\", "\\\\").replace("<|", "<\\|").replace("\n", "\\n")
+            context += f"<|im_start|>{role}\n" + text.replace("\\", "\\\\").replace("<|", "<\\|") + "<|im_end|>\n"
+            if role == "assistant":
+                out.append((c, context, text))
+            if role == "assistant" or k == len(turns) - 1:
+                chars[c] += len(context)
+    return out, chars
+
+
+def test_reads_back_what_went_in(spark):
     table = spark.createDataFrame([(*r, "x") for r in ROWS], "conv_id long, turn long, role string, text string, part string")
     assert collected(C.read_back(C.prefix_examples(table))) == brute(ROWS)
     assert C.read_back(C.prefix_examples(table.limit(0))).count() == 0
-    examples = C.prefix_examples(table).cache()
-    whole = {(r.conv_id, r.part): r for r in C.with_context(examples).collect()}
-    assert len(whole) == 5
-    for r in whole.values():
-        assert C.unescape(r.text[r.loss_begin : r.loss_end]) in {"", "é\\n<\\|x", "z", "q"}
-        assert r.text.count(C.OPEN) == r.text.count(C.CLOSE)
-    total = {r.conv_id: r.formatted_chars for r in C.read_back(C.prefix_examples(table)).collect()}
-    assert total[1] == sum(len(r.text) for r in whole.values() if r.conv_id == 1)
-
-
-def test_long_stretches_without_a_reply(spark):
-    rows = [(1, k, "user", "x" * 700_000) for k in range(5)] + [(1, 9, "assistant", "y")]
+
+
+def test_every_reply_has_all_its_context_and_is_alone_trainable(spark):
+    table = spark.createDataFrame(ROWS, "conv_id long, turn long, role string, text string")
+    made = C.prefix_examples(table).collect()
+    want, chars = brute_examples(ROWS)
+    got = [(r.conv_id, r.text, C.unescape(r.text[r.loss_begin : r.loss_end])) for r in made if r.loss_begin is not None]
+    key = lambda x: (x[0] or -9, *x[1:])
+    assert sorted(got, key=key) == sorted(want, key=key)
+    assert {r.conv_id: r.formatted_chars for r in C.read_back(C.prefix_examples(table)).collect()} == chars
+
+
+def test_reads_back_in_any_row_order(spark):
+    table = spark.createDataFrame(ROWS, "conv_id long, turn long, role string, text string")
+    mixed = C.prefix_examples(table).repartition(5).orderBy("loss_end")
+    assert collected(C.read_back(mixed)) == brute(ROWS)
+
+
+def test_long_conversations_leave_in_pieces(spark):
+    rows = [(1, k, "assistant" if k % 2 else "user", "x" * 300_000) for k in range(12)]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    examples = C.prefix_examples(table).collect()
-    assert len(examples) == 3 and max(len(r.lead) for r in examples) < 1_500_000
     assert collected(C.read_back(C.prefix_examples(table))) == brute(rows)
 
 
