@@ -1,12 +1,12 @@
-"""Small helpers on tables: reading, seen columns, the shared folder for intermediate results."""
+"""Small helpers on tables: reading, ids, intermediate results."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nivalis.tables import settle, shared_folder  # noqa: F401  (used from here)
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,23 +23,6 @@ def carried(column: str) -> Column:
     return F.col(column).cast("string")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, spark.checkpoint.dir. Only a local session may go without one;
-    its tables lie under the warehouse."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if not given and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return given or spark.conf.get("spark.sql.warehouse.dir") + "/nivalis-shared"
-
-
-def settle(df: DataFrame, what: str) -> DataFrame:
-    """Write the table to the shared folder and read it again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def discard(*frames: DataFrame) -> None:
     """Delete tables made by settle() that no later plan reads."""
     for df in frames:

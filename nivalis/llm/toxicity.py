@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nivalis.llm.tables import carried, discard, remainder, settle
-from nivalis.llm.words import _BASE, _INVERSE, ALNUM_SEPARATORS, LOWER_AZ, HashTable, Words, _CODES, _power, by_bytes, mix, split_words
+from nivalis.llm.words import ALNUM_SEPARATORS, LOWER_AZ, HashTable, Words, by_bytes, prefix_hashes, split_words
 
 #: Bytes of the prefixes that back a word up.
 PREFIXES = (4, 5, 6, 7, 8)
@@ -61,20 +61,7 @@ class Model:
 
 def _features(words: Words) -> dict[int, np.ndarray]:
     """Per level the feature hash of every word, 0 where the word is too short for the level."""
-    size = words.ends - words.starts
-    out = {}
-    data = words.data
-    for n in PREFIXES:
-        long = size > n
-        at = words.starts[long]
-        acc = np.zeros(len(at), dtype=np.uint64)
-        for k in range(n):
-            acc += _CODES[data[at + k]] * _power(_BASE, n)[k]
-        made = np.zeros(len(size), dtype=np.uint64)
-        made[long] = mix(acc + np.uint64(n << 40))
-        out[n] = made
-    out[255] = words.hashes
-    return out
+    return {n: prefix_hashes(words, n) for n in PREFIXES} | {255: words.hashes}
 
 
 def _parents(features: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
@@ -255,9 +242,12 @@ def fit(
     if n > max_labelled:
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * max_labelled / n))
     labelled = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most about max_labelled rows
+    labelled = settle(labelled, "labelled")
     fold = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("fold")), F.lit(5))
     odds = fit_log_odds(labelled.filter(fold != 0), strength, margin, min_docs)
-    return None if odds is None else Model(odds, calibrate(labelled.filter(fold == 0), odds))
+    model = None if odds is None else Model(odds, calibrate(labelled.filter(fold == 0), odds))
+    discard(labelled)
+    return model
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = 0.3) -> DataFrame:

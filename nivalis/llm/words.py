@@ -110,6 +110,18 @@ def split_words(texts: list[str | None], separators=SPACE_SEPARATORS, case=SAME_
     return Words(hashes, starts, ends, offsets, data)
 
 
+def prefix_hashes(words: Words, size: int) -> np.ndarray:
+    """Hash of the first `size` bytes of every word that has more; 0 for the others."""
+    out = np.zeros(len(words.starts), dtype=np.uint64)
+    long = words.ends - words.starts > size
+    at, powers = words.starts[long], _power(_BASE, size)
+    total = np.zeros(len(at), dtype=np.uint64)
+    for k in range(size):
+        total += _CODES[words.data[at + k]] * powers[k]
+    out[long] = mix(total + np.uint64(size << 40))
+    return out
+
+
 def by_bytes(texts: list[str | None], limit: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
     """Consecutive index ranges whose texts hold about `limit` characters each."""
     lo, size = 0, 0
