@@ -38,6 +38,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nivalis.llm.components import with_least
 from nivalis.llm.tables import carried, settle
 from nivalis.llm.words import HashTable, Words, by_bytes, split_words, window_hashes
 
@@ -263,8 +264,7 @@ def strip_repeats(
     shard = F.pmod(F.xxhash64("doc_id", "th"), F.lit(shards)).cast("int")
 
     long = table.filter(f"n_words >= {window} and doc_id is not null")
-    first_ids = long.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    judged = long.join(first_ids, "digest")
+    judged = with_least(long.withColumnsRenamed({"digest": "u", "doc_id": "v"})).withColumnsRenamed({"u": "digest", "v": "doc_id", "m": "first_id"})
     copies = judged.filter("doc_id > first_id").select(*_row(shard, _COPY, "doc_id", "th")).distinct()
     apart = judged.filter("doc_id = first_id").select(shard.alias("shard"), "digest", F.explode(F.arrays_zip("first", "second")).alias("p"))
     met = apart.groupBy("shard", "p.first", "p.second").agg(F.min("digest").alias("a"), F.max("digest").alias("b"))
