@@ -1,4 +1,5 @@
 from collections import Counter
+from zlib import crc32
 
 from pyspark.sql import functions as F
 
@@ -50,3 +51,31 @@ def test_held_out_accuracy(spark):
     truth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
     right = out.join(truth, "doc_id").filter("held_out and lang is not null").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")))
     assert right.first()[0] > 0.97
+
+
+def test_query_equals_brute_force(spark):
+    """Profiles and predictions again by dictionaries, for all documents of the smallest tables."""
+    d, top = "/root/testdata/sf0.001", 300
+    rows = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    counts = {}
+    for i, t, lang in rows:
+        if t and lang and crc32(str(i).encode()) % 4 != 2:
+            counts.setdefault(lang, Counter()).update(brute_ngrams(t))
+    order = lambda c: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))][:top]
+    ranked = {lang: {g: k for k, g in enumerate(order(c))} for lang, c in sorted(counts.items())}
+    want = {}
+    for i, t, _ in rows:
+        if not any(c.isalpha() for c in t or ""):
+            want[i] = (crc32(str(i).encode()) % 4 == 2, "und", 0.0)
+            continue
+        own = order(brute_ngrams(t))
+        apart = {lang: sum(abs(r[g] - k) if g in r else top for k, g in enumerate(own)) for lang, r in ranked.items()}
+        best = min(apart, key=apart.get)
+        want[i] = (crc32(str(i).encode()) % 4 == 2, best, round(1 - apart[best] / (top * len(own)), 9))
+    assert {r.doc_id: (r.held_out, r.lang_pred, round(r.score, 9)) for r in op9_language_id(spark, d).collect()} == want
+
+
+def test_very_long_texts_and_repeated_rows(documents):
+    rows = [(1, "der hund und die katze " * 60_000, "de"), (3, "the dog and the cat " * 3, "en"), (4, "der die und " * 50, None), (4, "der die und " * 50, None)]
+    out = [(r.doc_id, r.lang_pred) for r in L.held_out_predictions(documents(rows)).collect()]
+    assert sorted(out) == [(1, "de"), (3, "en"), (4, "de"), (4, "de")]

@@ -1,4 +1,7 @@
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 
@@ -70,3 +73,54 @@ def test_calibration_sums_all_segments_of_a_document(spark):
     x, y = np.column_stack((np.ones(len(seen)), np.array(seen))), np.array([t for _, t in rows], dtype=float)
     slope = x.T @ (y - 1 / (1 + np.exp(-np.clip(x @ made.weights, -30, 30)))) - 1e-2 * made.weights
     assert max(x[:, 2]) > np.log(64) and np.abs(slope).max() < 1e-5
+
+
+def brute_features(text):
+    """Per word its features from short prefix to whole word, as (level, bytes)."""
+    words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "").encode())
+    return [[(n, w[:n]) for n in T.PREFIXES if len(w) > n] + [(255, w)] for w in words]
+
+
+def brute_model(rows, strength=3.0, margin=3.0, min_docs=3):
+    """Log-odds of all features, by dictionaries. rows: (text, toxic)."""
+    base = sum(t for _, t in rows) / len(rows)
+    seen, parent = {True: Counter(), False: Counter()}, {}
+    for text, toxic in rows:
+        own = set()
+        for chain in brute_features(text):
+            parent.update({f: chain[:k][::-1] for k, f in enumerate(chain)})
+            own.update(chain)
+        seen[toxic].update(own)
+    rate = {}
+    for f in sorted(parent, key=lambda f: f[0]):
+        bad, n = seen[True][f], seen[True][f] + seen[False][f]
+        if n >= min_docs:
+            prior = rate[parent[f][0]] if parent[f] else base
+            rate[f] = (bad + strength * prior) / (n + strength)
+    clipped = {f: min(max(r, 1e-6), 1 - 1e-6) for f, r in rate.items()}
+    return {f: min(max(math.log(r / (1 - r)) - math.log(base / (1 - base)), -2), 6) - margin for f, r in clipped.items()}
+
+
+def test_scores_equal_brute_force(spark, documents):
+    """Every document's score again, from features, segments and the fitted law, word by word."""
+    rng = random.Random(3)
+    plain = [f"{a}{b}{c}" for a in ("sun", "gar", "Wölk") for b in ("light", "den", "path") for c in ("", "s", "ing")]
+    say = lambda bad: " ".join(rng.choice(["vileness", "vilely", "scumbags"] if bad and k % 8 < 3 else plain) for k in range(rng.randrange(5, 40)))
+    rows = [(i, say(i % 4 == 0)) for i in range(300)] + [(900, None), (901, "vilest Wölkpath, unseen"), (5, say(True))]
+    table = documents([(i, t, "en") for i, t in rows])
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "doc_id long, toxic int")
+    known = table.join(labels.withColumn("toxic", labels.toxic > 0), "doc_id").select("text", "toxic")
+    odds = T.fit_log_odds(known, 3.0, 3.0, 3)
+    want = brute_model([(r.text, r.toxic) for r in known.collect()])
+    assert len(odds.scores) == len(want)
+    model = T.Model(odds, T.calibrate(known, odds))
+    cal = model.calibration
+    got = sorted((r.doc_id, round(r.score, 6), r.n_passages) for r in T.score(table, model).collect())
+    expect = []
+    for i, text in rows:
+        scores = [next((want[f] for f in reversed(chain) if f in want), -3.0) for chain in brute_features(text)]
+        x = [cal.lam * s - cal.log_k - math.log(len(scores)) for _, _, s in brute_segments([float(v) for v in scores])]
+        seen = (1.0, min(max(*x, -10), 60) if len(x) > 1 else min(max(x[0], -10), 60), math.log1p(sum(v for v in x if v > 0))) if x else (1.0, -10.0, 0.0)
+        z = sum(a * b for a, b in zip(cal.weights, seen, strict=True))
+        expect.append((i, round(1 / (1 + math.exp(-min(max(z, -30), 30))), 6), sum(v > 0 for v in x)))
+    assert got == sorted(expect)
