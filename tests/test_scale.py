@@ -102,3 +102,14 @@ def test_overwriting_a_partition_leaves_the_others(spark, tmp_path):
     io.write_table(spark.createDataFrame([("R", 1), ("S", 2)], "region string, v int"), path, ["region"])
     io.write_table(spark.createDataFrame([("S", 3)], "region string, v int"), path, ["region"])
     assert {(r.region, r.v) for r in spark.read.parquet(path).collect()} == {("R", 1), ("S", 3)}
+
+
+def test_sampled_variogram_with_room_for_all_pairs_is_the_whole_one(spark):
+    rng = np.random.default_rng(9)
+    rows = [(s, f"2020-01-01 0{h}:00:00", *map(float, rng.uniform(0, 20000, 2)), float(rng.normal()), float(rng.normal())) for h in range(4) for s in range(30)]
+    df = spark.createDataFrame(rows, "site int, t string, x double, y double, o double, m double").withColumn("time", F.to_timestamp("t"))
+    rounded = ["bin", "n_pairs", F.round("gamma", 9)]
+    whole, every = V.semivariogram(df, "o", "m").select(*rounded), V.sampled_semivariogram(df, "o", "m", n_hours=4, pairs_per_hour=5000).select(*rounded)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, every.collect()))
+    few = V.sampled_semivariogram(df, "o", "m", n_hours=2, pairs_per_hour=10)
+    assert few.agg(F.sum("n_pairs")).first()[0] == 20 and sorted(map(tuple, few.collect())) == sorted(map(tuple, V.sampled_semivariogram(df, "o", "m", n_hours=2, pairs_per_hour=10).collect()))
