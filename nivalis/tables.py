@@ -3,9 +3,19 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_recorded: ContextVar[list[str] | None] = ContextVar("recorded", default=None)
+
+
+def _files(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
 
 def shared_folder(spark: SparkSession) -> str:
     """A folder of this application in the one that spark.checkpoint.dir names; it is deleted when the
@@ -15,16 +25,38 @@ def shared_folder(spark: SparkSession) -> str:
     if not given and not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     folder = f"{given or spark.conf.get('spark.sql.warehouse.dir')}/nivalis-{spark.sparkContext.applicationId}"
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    path, files = _files(spark, folder)
     files.mkdirs(path)
     files.deleteOnExit(path)
     return folder
 
 
-def settle(df: DataFrame, what: str) -> DataFrame:
-    """Write and read again: cuts lineage, so that iterations stay cheap and lost executors do no harm."""
+def settle(df: DataFrame, what: str, tidy: bool = False) -> DataFrame:
+    """Write and read again: cuts lineage, so that iterations stay cheap and lost executors do no harm.
+    With `tidy`, Spark is made to drop the shuffle files that led to the table, which otherwise wait
+    for the driver's next garbage collection."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if (paths := _recorded.get()) is not None:
+        paths.append(path)
+    if tidy:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def recording(paths: list[str]) -> Iterator[None]:
+    """Within the block, the folders of settled tables are noted, for whoever knows when they may go."""
+    token = _recorded.set(paths)
+    try:
+        yield
+    finally:
+        _recorded.reset(token)
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete settled tables that no later plan reads."""
+    for folder in paths:
+        path, files = _files(spark, folder)
+        files.delete(path, True)
