@@ -24,7 +24,8 @@ of a task are told apart by 64-bit hashes. Both styles give the same ids.  Chara
 become their UTF-8 bytes' pieces.  Decoding joins nothing: a constant array maps ids to bytes.
 
 Defined cases: null and empty texts have no ids; repeated rows are encoded each; ids out of range
-and control ids decode to nothing; an empty table gives an empty table.
+and control ids decode to nothing; an empty table gives an empty table; only the named columns are
+read, so extra ones cannot clash.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nivalis.llm import chat_format, decontaminate, jaccard_join, language_id, language_model, media, pieces, substring_dedup, token_counts, toxicity
+from nivalis.llm import chat_format, decontaminate, jaccard_join, language_id, language_model, media, pieces, reference_sql, substring_dedup, token_counts, toxicity
 from nivalis.llm.tables import read
 
 
@@ -77,4 +77,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(reference_sql.ORACLES)
