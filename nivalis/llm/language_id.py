@@ -18,10 +18,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from nivalis.llm.tables import carried, remainder
+from nivalis.llm.tables import remainder
 from nivalis.llm.words import by_bytes, letter_table
 
 UNDETERMINED = "und"
@@ -44,12 +46,14 @@ def _code_points(text: str | None) -> np.ndarray:
 
 def _ngrams(points: np.ndarray, codes: np.ndarray, base: int) -> np.ndarray:
     """Keys of all 1-, 2- and 3-grams that hold a letter; `codes` are positive and below `base`,
-    and a shorter n-gram sorts before those that extend it."""
+    and a shorter n-gram sorts before those that extend it. Two pads in a row are the border of two
+    texts, over which no n-gram reaches."""
     letter = points != _PAD
+    whole = letter[:-1] | letter[1:]
     one = (codes * (base * base))[letter]
     two = codes[:-1] * (base * base) + codes[1:] * base
     three = two[:-1] + codes[2:]
-    return np.concatenate((one, two, three))
+    return np.concatenate((one, two[whole], three[whole[:-1] & whole[1:]]))
 
 
 def _wide(points: np.ndarray) -> np.ndarray:
@@ -150,18 +154,28 @@ def closest(text: str | None, profiles: Profiles) -> tuple[str, float]:
     return profiles.langs[best], float(1 - apart[best] / (profiles.top * len(grams)))
 
 
-def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score) for every row; no shuffle."""
+def labelled(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
+    """All columns of every row, with lang_pred and language_score added (columns of these names are
+    replaced); no shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast(profiles)  # languages x top entries
 
-    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [closest(t, sent.value) for t in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["id"], "lang_pred": [x for x, _ in found], "score": [s for _, s in found]})
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [closest(t, sent.value) for t in batch.column(text_col).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],
+                names=[*batch.schema.names, "lang_pred", "language_score"],
+            )
+
+    rows = docs.drop("lang_pred", "language_score")
+    schema = StructType([*rows.schema.fields, StructField("lang_pred", StringType()), StructField("language_score", DoubleType())])
+    return rows.mapInArrow(label, schema)
 
-    rows = docs.select(carried(id_col).alias("id"), F.col(text_col).alias("text"))
-    made = rows.mapInPandas(label, "id string, lang_pred string, score double")
-    return made.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "lang_pred", "score")
+
+def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, lang_pred, score) for every row; no shuffle."""
+    found = labelled(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), profiles)
+    return found.select(F.col("id").alias(id_col), "lang_pred", F.col("language_score").alias("score"))
 
 
 def held_out_predictions(docs: DataFrame, top: int = 300) -> DataFrame:

@@ -16,7 +16,7 @@ def brute_ngrams(text):
 
 
 def test_counts_and_distances_equal_brute_force(spark, documents):
-    rows = [(1, "Der Hund, der ABC!", "de"), (2, "the dog the THE", "en"), (3, "x ÿ œuf 中文", "fr"), (4, None, "fr"), (5, "the", None)]
+    rows = [(1, "Der Hund, der ABC!", "de"), (2, "the dog the THE", "en"), (3, "x ÿ œuf 中文", "fr"), (4, None, "fr"), (5, "the", None), (6, "Das", "de"), (7, "", "de"), (8, "ein!", "de")]
     table = documents(rows)
     want = {}
     for _, t, lang in rows:
