@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nivalis.llm.components import with_least
-from nivalis.llm.tables import carried, settle
+from nivalis.llm.tables import carried, discard, settle
 from nivalis.llm.words import HashTable, Words, by_bytes, split_words, window_hashes
 
 #: Words that a phrase may have: 16 bits each, in two longs.
@@ -268,13 +268,14 @@ def strip_repeats(
     copies = judged.filter("doc_id > first_id").select(*_row(shard, _COPY, "doc_id", "th")).distinct()
     apart = judged.filter("doc_id = first_id").select(shard.alias("shard"), "digest", F.explode(F.arrays_zip("first", "second")).alias("p"))
     met = apart.groupBy("shard", "p.first", "p.second").agg(F.min("digest").alias("a"), F.max("digest").alias("b"))
-    met = settle(met, "phrases")  # a phrase has a row a shard at most, however common it is
+    met = settle(met, "phrases", tidy=True)  # a phrase has a row a shard at most, however common it is
     confirmed = met.groupBy("first", "second").agg(F.min("a").alias("least"), F.max("b").alias("most")).filter("least != most")
     phrases = met.join(confirmed, ["first", "second"]).select(*_row("shard", _PHRASE, "first", "second"))
 
     kind = F.when(F.col("doc_id").isNull(), _NO_ID).otherwise(_DOC)
     stream = phrases.unionByName(copies).unionByName(docs.select(*_row(shard, kind, "doc_id", "th", F.col("text"))))
-    made = settle(located_windows(stream, window, phrase), "windows")
+    made = settle(located_windows(stream, window, phrase), "windows", tidy=True)
+    discard(table, met)
     seen = made.filter(F.col("kind") == _PHRASE).select("shard", F.explode(F.arrays_zip("hashes", "low", "high")).alias("w")).select("shard", "w.*")
     lowest = seen.groupBy("hashes").agg(F.min("low").alias("least"), F.max("high").alias("most")).filter("least < most")
     marked = seen.join(lowest, "hashes").filter("least < high").select("shard", "hashes", "least").distinct()
