@@ -17,11 +17,14 @@ END, UNKNOWN = 0, 1
 
 @dataclass
 class Net:
-    """`table` holds the input embeddings, already multiplied into the gates. The last row of the
+    """The tables hold the input embeddings, already multiplied into the gates (update, reset) and
+    the candidate, which are kept apart so that all arrays of a step are whole. The last row of the
     output weights is their bias: states carry a one behind their numbers."""
 
-    table: np.ndarray  # words x 3 hidden
-    gates: np.ndarray  # hidden x 3 hidden: update, reset, candidate
+    table: np.ndarray  # words x 2 hidden
+    table_new: np.ndarray  # words x hidden
+    gates: np.ndarray  # hidden x 2 hidden
+    gates_new: np.ndarray  # hidden x hidden
     to_class: np.ndarray  # hidden + 1 x classes
     to_word: np.ndarray  # classes x hidden + 1 x width
 
@@ -40,10 +43,11 @@ class Net:
         to_class = np.zeros((hidden + 1, classes), np.float32)
         to_word = np.zeros((classes, hidden + 1, width), np.float32)
         to_class[-1], to_word[:, -1] = np.log(total / total.sum()), word_bias
-        return Net(draw(classes * width, 3 * hidden), draw(hidden, 3 * hidden), to_class, to_word)
+        words = classes * width
+        return Net(draw(words, 2 * hidden), draw(words, hidden), draw(hidden, 2 * hidden), draw(hidden, hidden), to_class, to_word)
 
     def parts(self) -> list[np.ndarray]:
-        return [self.table, self.gates, self.to_class, self.to_word]
+        return [self.table, self.table_new, self.gates, self.gates_new, self.to_class, self.to_word]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.parts()])
@@ -90,23 +94,26 @@ def pack(docs: list[np.ndarray], lanes: int) -> Lanes:
     return Lanes(inputs, targets, fresh, doc, (loads[None, :] > np.arange(steps)[:, None]).sum(axis=1))
 
 
-def _step(net: Net, word: np.ndarray, h: np.ndarray, gates: np.ndarray) -> np.ndarray:
-    """The state after a word; update, reset and candidate are left in `gates` (lanes x 3 hidden)."""
+def _step(net: Net, word: np.ndarray, h: np.ndarray, both: np.ndarray, candidate: np.ndarray) -> np.ndarray:
+    """The state after a word; update and reset are left in `both` (lanes x 2 hidden)."""
     n = h.shape[1]
-    x = net.table[word]
-    both, candidate = gates[:, : 2 * n], gates[:, 2 * n :]
-    np.add(h @ net.gates[:, : 2 * n], x[:, : 2 * n], out=both)
+    np.matmul(h, net.gates, out=both)
+    both += net.table[word]
     np.negative(both, out=both)
     np.exp(both, out=both)
     both += 1
     np.reciprocal(both, out=both)
-    np.add((gates[:, n : 2 * n] * h) @ net.gates[:, 2 * n :], x[:, 2 * n :], out=candidate)
+    np.matmul(both[:, n:] * h, net.gates_new, out=candidate)
+    candidate += net.table_new[word]
     candidate *= -2  # tanh by exponentials, which take half the time
     np.exp(candidate, out=candidate)
     candidate += 1
     np.divide(2, candidate, out=candidate)
     candidate -= 1
-    return h + gates[:, :n] * (candidate - h)
+    after = candidate - h
+    after *= both[:, :n]
+    after += h
+    return after
 
 
 def _tame(weights: np.ndarray) -> bool:
@@ -166,14 +173,14 @@ def score(net: Net, docs: list[np.ndarray], lanes: int = 512, window: int = 64)
     packed, hidden = pack(docs, lanes), net.gates.shape[0]
     tame = _tame(net.to_class), _tame(net.to_word)
     h = np.zeros((packed.inputs.shape[1], hidden), np.float32)
-    gates = np.empty((len(h), 3 * hidden), np.float32)
+    both, candidate = np.empty((len(h), 2 * hidden), np.float32), np.empty((len(h), hidden), np.float32)
     for lo in range(0, len(packed.inputs), window):
         hi = min(lo + window, len(packed.inputs))
         h = h[: packed.used[lo]]
         states = np.ones((hi - lo, len(h), hidden + 1), np.float32)
         for t in range(lo, hi):
             a = packed.used[t]
-            h = _step(net, packed.inputs[t, :a], h[:a] * ~packed.fresh[t, :a, None], gates[:a])
+            h = _step(net, packed.inputs[t, :a], h[:a] * ~packed.fresh[t, :a, None], both[:a], candidate[:a])
             states[t - lo, :a, :hidden] = h
         doc = packed.doc[lo:hi, : states.shape[1]]
         real = doc >= 0
@@ -188,11 +195,12 @@ def gradients(net: Net, inputs, targets, fresh, real, h):
     steps, lanes = inputs.shape
     n, width = h.shape[1], net.to_word.shape[2]
     keep = (~fresh).astype(np.float32)[:, :, None]
-    before, gates = np.empty((steps, lanes, n), np.float32), np.empty((steps, lanes, 3 * n), np.float32)
+    before, candidate = np.empty((steps, lanes, n), np.float32), np.empty((steps, lanes, n), np.float32)
+    gates = np.empty((steps, lanes, 2 * n), np.float32)
     states = np.ones((steps, lanes, n + 1), np.float32)
     for t in range(steps):
         np.multiply(h, keep[t], out=before[t])
-        h = _step(net, inputs[t], before[t], gates[t])
+        h = _step(net, inputs[t], before[t], gates[t], candidate[t])
         states[t, :, :n] = h
     # the output layers
     use = np.flatnonzero(real.ravel())
@@ -218,29 +226,30 @@ def gradients(net: Net, inputs, targets, fresh, real, h):
     d_states[use] = d_s
     d_states = d_states.reshape(steps, lanes, n)
     # back through time; the factors of all steps at once
-    z, r, candidate = gates[..., :n], gates[..., n : 2 * n], gates[..., 2 * n :]
+    z, r = np.ascontiguousarray(gates[..., :n]), np.ascontiguousarray(gates[..., n:])
     to_z, to_c, to_r = (candidate - before) * z * (1 - z), z * (1 - candidate * candidate), before * r * (1 - r)
-    stay, both, last = (1 - z) * keep, net.gates[:, : 2 * n].T.copy(), net.gates[:, 2 * n :].T.copy()
-    d_x, d_h = np.empty((steps, lanes, 3 * n), np.float32), np.zeros((lanes, n), np.float32)
+    stay, both, last = (1 - z) * keep, net.gates.T.copy(), net.gates_new.T.copy()
+    d_x, d_c, d_h = np.empty((steps, lanes, 2 * n), np.float32), np.empty((steps, lanes, n), np.float32), np.zeros((lanes, n), np.float32)
     for t in range(steps - 1, -1, -1):
         d_h += d_states[t]
         np.multiply(d_h, to_z[t], out=d_x[t, :, :n])
-        d_c = np.multiply(d_h, to_c[t], out=d_x[t, :, 2 * n :])
-        d_rh = d_c @ last
-        np.multiply(d_rh, to_r[t], out=d_x[t, :, n : 2 * n])
+        np.multiply(d_h, to_c[t], out=d_c[t])
+        d_rh = d_c[t] @ last
+        np.multiply(d_rh, to_r[t], out=d_x[t, :, n:])
         d_rh *= r[t]
-        d_rh += d_x[t, :, : 2 * n] @ both
+        d_rh += d_x[t] @ both
         d_rh *= keep[t]
         d_h *= stay[t]
         d_h += d_rh
-    flat_x, flat_before = d_x.reshape(-1, 3 * n), before.reshape(-1, n)
-    g_gates = np.concatenate((flat_before.T @ flat_x[:, : 2 * n], (r.reshape(-1, n) * flat_before).T @ flat_x[:, 2 * n :]), axis=1)
-    g_table = np.zeros_like(net.table)
+    flat_x, flat_c, flat_before = d_x.reshape(-1, 2 * n), d_c.reshape(-1, n), before.reshape(-1, n)
+    g_gates, g_new = flat_before.T @ flat_x, (r.reshape(-1, n) * flat_before).T @ flat_c
     words = inputs.ravel()
     order = np.argsort(words.astype(np.uint16) if len(net.table) <= 1 << 16 else words, kind="stable")
     first = np.flatnonzero(np.concatenate(([True], np.diff(words[order]) > 0)))
-    g_table[words[order][first]] = np.add.reduceat(flat_x[order], first, axis=0)
-    return loss, len(use), [g_table, g_gates, g_class, g_word], h
+    g_table, g_table_new = np.zeros_like(net.table), np.zeros_like(net.table_new)
+    for g, d in ((g_table, flat_x), (g_table_new, flat_c)):
+        g[words[order][first]] = np.add.reduceat(d[order], first, axis=0)
+    return loss, len(use), [g_table, g_table_new, g_gates, g_new, g_class, g_word], h
 
 
 class Adam:

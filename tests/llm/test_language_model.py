@@ -93,13 +93,13 @@ def test_scores_do_not_depend_on_how_rows_are_split(documents):
 
 def brute_score(net, known, number, train, words):
     """Word by word: the network's share of the word, and an unknown word's share of the counts."""
-    n, width = net.gates.shape[0], net.to_word.shape[2]
+    n, width = len(net.gates), net.to_word.shape[2]
     h, last, total = np.zeros(n), 0, 0.0
     sigmoid = lambda x: 1 / (1 + np.exp(-x))
     for w in words:
-        x = net.table[last].astype(float)
-        z, r = sigmoid(x[:n] + h @ net.gates[:, :n]), sigmoid(x[n : 2 * n] + h @ net.gates[:, n : 2 * n])
-        h = h + z * (np.tanh(x[2 * n :] + (r * h) @ net.gates[:, 2 * n :]) - h)
+        x = np.concatenate((net.table[last], net.table_new[last])).astype(float)
+        z, r = sigmoid(x[:n] + h @ net.gates[:, :n]), sigmoid(x[n : 2 * n] + h @ net.gates[:, n:])
+        h = h + z * (np.tanh(x[2 * n :] + (r * h) @ net.gates_new) - h)
         s, last = np.append(h, 1), 0 if w is None else number.get(w, 1)
         classes, inside = s @ net.to_class, s @ net.to_word[last // width]
         total += classes[last // width] - np.log(np.exp(classes).sum()) + inside[last % width] - np.log(np.exp(inside).sum())
