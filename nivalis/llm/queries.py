@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nivalis.llm import chat_format, decontaminate, jaccard_join, language_id, language_model, media, pieces, reference_sql, substring_dedup, token_counts, toxicity
+from nivalis.llm import chat_format, decontaminate, jaccard_join, language_id, language_model, media, pieces, ranked_search, reference_sql, substring_dedup, token_counts, toxicity
 from nivalis.llm.tables import read
 
 
@@ -61,6 +61,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(found)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=20)
+
+
 def queries() -> dict:
     return {
         "op1_media_copies": op1_media_copies,
@@ -73,6 +77,7 @@ def queries() -> dict:
         "op8_chat_format": op8_chat_format,
         "op9_language_id": op9_language_id,
         "op10_decontaminate": op10_decontaminate,
+        "op11_ranked_search": op11_ranked_search,
     }
 
 

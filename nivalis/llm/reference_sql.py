@@ -73,10 +73,22 @@ apart AS (SELECT o.r, l.lang, sum(coalesce(abs(p.k - o.k), 300)) AS apart, count
 best AS (SELECT r, arg_min(lang, (apart, lang)) AS lang, min(apart) AS apart, max(n) AS n FROM apart GROUP BY 1)
 SELECT doc_id, held_out, coalesce(best.lang, 'und') AS lang_pred, coalesce(1e0 - CAST(apart AS DOUBLE) / CAST(300 * n AS DOUBLE), 0e0) AS score FROM docs LEFT JOIN best USING (r)"""
 
+RANKED = f"""WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_ALNUM} AS w FROM documents),
+sizes AS (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n FROM docs WHERE len(w) > 0),
+whole AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM sizes),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM docs) GROUP BY 1, 2),
+df AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight FROM tf, whole GROUP BY term, n_docs),
+asked AS (SELECT q, any_value(item_id) AS item_id, term, count(*) AS times FROM (SELECT q, item_id, unnest(w) AS term FROM (SELECT row_number() OVER () AS q, item_id, {_ALNUM} AS w FROM benchmark)) GROUP BY q, term),
+m AS (SELECT r, doc_id, 75 + (25 * n * n_docs) // n_terms AS m FROM sizes, whole),
+scored AS (SELECT q, any_value(item_id) AS item_id, any_value(doc_id) AS doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+    FROM asked JOIN tf USING (term) JOIN df USING (term) JOIN m USING (r) GROUP BY q, r)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 20"""
+
 ORACLES = {
     "op3_jaccard_join": JACCARD,
     "op4_substring_dedup": SUBSTRING,
     "op8_chat_format": CHAT,
     "op9_language_id": LANGUAGE,
     "op10_decontaminate": DECONTAMINATE,
+    "op11_ranked_search": RANKED,
 }
