@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nivalis.llm import chat_format, decontaminate, jaccard_join, language_id, language_model, media, pieces, ranked_search, reference_sql, substring_dedup, token_counts, toxicity
+from nivalis.llm import chat_format, decontaminate, jaccard_join, language_id, language_model, media, pieces, ranked_search, reference_sql, substring_dedup, token_counts, toxicity, vector_links
 from nivalis.llm.tables import read
 
 
@@ -65,6 +65,10 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=20)
 
 
+def op12_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links.near_vectors(read(spark, sf_dir, "embeddings"), threshold=0.9, recall=0.999)
+
+
 def queries() -> dict:
     return {
         "op1_media_copies": op1_media_copies,
@@ -78,6 +82,7 @@ def queries() -> dict:
         "op9_language_id": op9_language_id,
         "op10_decontaminate": op10_decontaminate,
         "op11_ranked_search": op11_ranked_search,
+        "op12_vector_links": op12_vector_links,
     }
 
 

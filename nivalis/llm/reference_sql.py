@@ -84,6 +84,14 @@ scored AS (SELECT q, any_value(item_id) AS item_id, any_value(doc_id) AS doc_id,
     FROM asked JOIN tf USING (term) JOIN df USING (term) JOIN m USING (r) GROUP BY q, r)
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 20"""
 
+VECTORS = """WITH v AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT *, sqrt(list_inner_product(e, e)) AS norm FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+l AS (SELECT a.r AS a, b.r AS b FROM u a JOIN u b ON a.r <> b.r AND len(a.e) = len(b.e) WHERE a.norm > 0 AND b.norm > 0 AND list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.9e0),
+reach AS (
+    WITH RECURSIVE reach(r, o) AS (SELECT r, r FROM v UNION SELECT l.b, reach.o FROM reach JOIN l ON l.a = reach.r)
+    SELECT reach.r, min(o.vec_id) AS component_id FROM reach JOIN v o ON o.r = reach.o GROUP BY 1)
+SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.a = v.r) AS n_links, component_id, coalesce(v.vec_id = component_id, false) AS kept FROM v JOIN reach USING (r)"""
+
 ORACLES = {
     "op3_jaccard_join": JACCARD,
     "op4_substring_dedup": SUBSTRING,
@@ -91,4 +99,5 @@ ORACLES = {
     "op9_language_id": LANGUAGE,
     "op10_decontaminate": DECONTAMINATE,
     "op11_ranked_search": RANKED,
+    "op12_vector_links": VECTORS,
 }
