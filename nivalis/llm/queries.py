@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nivalis.llm import chat_format, decontaminate, jaccard_join, language_id, language_model, media, pieces, ranked_search, reference_sql, substring_dedup, token_counts, toxicity, vector_links
+from nivalis.llm import chat_format, decontaminate, jaccard_join, language_id, language_model, media, pieces, ranked_search, reference_sql, substring_dedup, token_alignment, token_counts, toxicity, vector_links
 from nivalis.llm.tables import read
 
 
@@ -69,6 +69,10 @@ def op12_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_links.near_vectors(read(spark, sf_dir, "embeddings"), threshold=0.9, recall=0.999)
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignments(read(spark, sf_dir, "documents"), _tokenizer_path("byte_bpe_50k.json"), _tokenizer_path("piece_bpe_32k.model"))
+
+
 def queries() -> dict:
     return {
         "op1_media_copies": op1_media_copies,
@@ -83,6 +87,7 @@ def queries() -> dict:
         "op10_decontaminate": op10_decontaminate,
         "op11_ranked_search": op11_ranked_search,
         "op12_vector_links": op12_vector_links,
+        "op13_token_alignment": op13_token_alignment,
     }
 
 
