@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nivalis.operators.linepass import blackman_weights, box_weights, gaussian_weights, line_pass
+from nivalis.operators.linepass import blackman_weights, box_pass, gaussian_weights, line_pass
 from nivalis.tables import settle
 
 KEYS = ("region", "iy", "ix")
@@ -46,22 +46,23 @@ def norm01(df: DataFrame, value: Column | str, name: str, by: str = "region") ->
     return _without_stats(out.withColumn(name, _n("_v")), "_v")
 
 
-def _smoothed(df: DataFrame, values: Sequence[str], lo: int, weights: Sequence[float], mode: str) -> DataFrame:
-    """Both passes of a separable filter over numerators (0 for null) and presence; (keys, value...)."""
+def _smoothed(df: DataFrame, values: Sequence[str], along: Callable[[DataFrame, str, str, list[str]], DataFrame]) -> DataFrame:
+    """Both passes of a separable filter over numerators (0 for null) and presence; (keys, value...).
+    `along` is a pass over (cells, line, position, columns)."""
     cols = {c: e for v in values for c, e in ((f"_n_{v}", F.coalesce(F.col(v), F.lit(0.0))), (f"_d_{v}", F.col(v).isNotNull().cast("double")))}
     out = df.select(*KEYS, *(e.alias(c) for c, e in cols.items()))
-    out = line_pass(out, ["region", "iy"], "ix", list(cols), lo, weights, mode)
-    out = line_pass(out, ["region", "ix"], "iy", list(cols), lo, weights, mode)
+    out = along(along(out, "iy", "ix", list(cols)), "ix", "iy", list(cols))
     return out.select(*KEYS, *(F.try_divide(f"_n_{v}", f"_d_{v}").alias(v) for v in values))
 
 
-def box_mean(df: DataFrame, values: Sequence[str], win: int) -> DataFrame:
+def box_mean(df: DataFrame, values: Sequence[str], win: int, tile: int | None = None) -> DataFrame:
     """(keys, values): mean over win x win of what is present, edges repeated."""
-    return _smoothed(df, values, *box_weights(win), "nearest")
+    return _smoothed(df, values, lambda cells, line, pos, cols: box_pass(cells, ["region", line], pos, cols, win, tile))
 
 
 def gaussian_smooth_2d(df: DataFrame, value: str, sigma: float, name: str = "smooth") -> DataFrame:
-    made = _smoothed(df, [value], *gaussian_weights(sigma), "wrap").withColumnRenamed(value, name)
+    lo, weights = gaussian_weights(sigma)
+    made = _smoothed(df, [value], lambda cells, line, pos, cols: line_pass(cells, ["region", line], pos, cols, lo, weights, "wrap")).withColumnRenamed(value, name)
     return df.join(made, list(KEYS))
 
 
@@ -130,13 +131,20 @@ def ruggedness(df: DataFrame, win: int, elevation: str = "dem10m") -> DataFrame:
     return df.join(tri.withColumnRenamed("_t", f"tri_w{win}"), list(KEYS))
 
 
+def _normals(slope: str, aspect: str) -> dict[str, Column]:
+    s, a = F.radians(slope), F.radians(aspect)
+    return {"nx": F.sin(s) * F.cos(a), "ny": F.sin(s) * F.sin(a), "nz": F.when(F.col(aspect).isNotNull() | F.col(slope).isNotNull(), F.cos(s))}
+
+
+def _vrm() -> Column:
+    return 1 - F.sqrt(F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny") + F.col("nz") * F.col("nz"))
+
+
 def vector_ruggedness(df: DataFrame, win: int, slope: str, aspect: str) -> DataFrame:
     """Adds vrm_w: one less the length of the mean unit normal."""
-    s, a = F.radians(slope), F.radians(aspect)
-    normal = df.select(*KEYS, (F.sin(s) * F.cos(a)).alias("nx"), (F.sin(s) * F.sin(a)).alias("ny"), F.when(F.col(aspect).isNotNull() | F.col(slope).isNotNull(), F.cos(s)).alias("nz"))
-    mean = box_mean(normal, ["nx", "ny", "nz"], win)
-    length = F.sqrt(F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny") + F.col("nz") * F.col("nz"))
-    return df.join(mean.select(*KEYS, (1 - length).alias(f"vrm_w{win}")), list(KEYS))
+    normal = _normals(slope, aspect)
+    mean = box_mean(df.select(*KEYS, *(c.alias(n) for n, c in normal.items())), list(normal), win)
+    return df.join(mean.select(*KEYS, _vrm().alias(f"vrm_w{win}")), list(KEYS))
 
 
 def multiscale_contrasts(df: DataFrame, small: int = 3, large: int = 50) -> DataFrame:
@@ -153,13 +161,11 @@ def multiscale_contrasts(df: DataFrame, small: int = 3, large: int = 50) -> Data
     return df.withColumns(new) if new else df
 
 
-def _pooling(df: DataFrame, more: Mapping[str, Column]) -> DataFrame:
-    """Adds _p, the mean z-score of the pooling parts that are present, with its statistics and those
-    of the `more` columns: two levels of statistics."""
-    parts = [c for c in ("norm_height", "mbi", "svf") if c in df.columns]
-    if not parts:
-        raise ValueError("one of norm_height, mbi, svf is needed")
-    out = with_stats(df, {f"_{c}": F.col(c) for c in parts})
+_POOLING = ("norm_height", "mbi", "svf")
+
+
+def _pooled(parts: Sequence[str]) -> Column:
+    """Mean z-score of the pooling parts, whose statistics are there as _<part>."""
     z = []
     for c in parts:
         if c == "svf":  # the z-score of one less the min-max of svf, from the statistics of svf
@@ -167,8 +173,24 @@ def _pooling(df: DataFrame, more: Mapping[str, Column]) -> DataFrame:
             z.append(-(F.col("_svf") - F.col("_svf_m")) / width / (F.col("_svf_s") / width + _TINY))
         else:  # of the value with its sign changed
             z.append(-_z(f"_{c}"))
-    total = sum(z[1:], z[0]) / len(z)
-    return with_stats(_without_stats(out.withColumn("_total", total), *(f"_{c}" for c in parts)), {"_p": F.col("_total"), **more}).drop("_total")
+    return sum(z[1:], z[0]) / len(z)
+
+
+def _cold() -> Column:
+    """Cold bias before scaling, from the statistics of _p and _e; the z-score of the pooling index is
+    that of _p, but for its scale."""
+    width = F.col("_p_hi") - F.col("_p_lo") + _TINY
+    return (F.col("_p") - F.col("_p_m")) / width / (F.col("_p_s") / width + _TINY) + 0.5 * _z("_e")
+
+
+def _pooling(df: DataFrame, more: Mapping[str, Column]) -> DataFrame:
+    """Adds _p, the mean z-score of the pooling parts that are present, with its statistics and those
+    of the `more` columns: two levels of statistics."""
+    parts = [c for c in _POOLING if c in df.columns]
+    if not parts:
+        raise ValueError("one of norm_height, mbi, svf is needed")
+    out = with_stats(df, {f"_{c}": F.col(c) for c in parts})
+    return with_stats(_without_stats(out.withColumn("_total", _pooled(parts)), *(f"_{c}" for c in parts)), {"_p": F.col("_total"), **more}).drop("_total")
 
 
 def cold_air_pooling(df: DataFrame, name: str = "capi") -> DataFrame:
@@ -190,9 +212,7 @@ def cold_bias(df: DataFrame, elevation: str = "dem10m", name: str = "cold_bias_p
     if elevation not in df.columns:
         raise ValueError(f"{elevation} is needed")
     out = _pooling(df, {"_e": F.col(elevation)})
-    width = F.col("_p_hi") - F.col("_p_lo") + _TINY  # the z-score of the pooling index is that of _p, but for its scale
-    za = (F.col("_p") - F.col("_p_m")) / width / (F.col("_p_s") / width + _TINY)
-    out = _without_stats(out.withColumn("_b", za + 0.5 * _z("_e")), "_p", "_e")
+    out = _without_stats(out.withColumn("_b", _cold()), "_p", "_e")
     out = with_stats(out, {"_c": F.col("_b")})
     return _without_stats(out.withColumn(name, _n("_c")).drop("_b"), "_c")
 
@@ -231,24 +251,51 @@ def effective_wind(df: DataFrame, speed: str, index: str = "windexp500", k: floa
 
 
 def static_predictors(df: DataFrame, scales: Sequence[int] = (3, 50)) -> DataFrame:
-    """All static features that the present columns allow. Each is made from the given columns alone
-    and joined to them by cell, so no feature's plan holds another's."""
+    """All static features that the present columns allow: contrasts between the scales, ruggedness,
+    openness and vector ruggedness at each, cold-air pooling and cold bias. Of each scale all local
+    means are taken in one pass and written, then those of the distances from them; three levels of
+    statistics serve all features."""
     base = multiscale_contrasts(df, *scales)
-    made = []
+    high = "dem10m" in df.columns
+    means = None
     for w in scales:
-        if "dem10m" in df.columns:
-            made += [ruggedness(df.select(*KEYS, "dem10m"), w), openness(df.select(*KEYS, *(c for c in ("dem10m", "svf") if c in df.columns)), w)]
         slope, aspect = f"slope_degrees_w{w}", f"aspect_degrees_w{w}"
-        if {slope, aspect} <= set(df.columns):
-            made.append(vector_ruggedness(df.select(*KEYS, slope, aspect), w, slope, aspect))
-    pooling = [c for c in ("norm_height", "mbi", "svf") if c in df.columns]
-    if pooling:
-        made.append(cold_air_pooling(df.select(*KEYS, *pooling)))
-        if "dem10m" in df.columns:
-            made.append(cold_bias(df.select(*KEYS, "dem10m", *pooling)))
-    for feature in made:
-        base = base.join(feature.select(*KEYS, *(c for c in feature.columns if c not in base.columns)), list(KEYS))
-    return base
+        sloped = {slope, aspect} <= set(df.columns)
+        if not high and not sloped:
+            continue
+        normal = _normals(slope, aspect) if sloped else {}
+        made = box_mean(df.select(*KEYS, *(["dem10m"] if high else []), *(c.alias(n) for n, c in normal.items())), [*(["dem10m"] if high else []), *normal], w)
+        made = made.select(*KEYS, *([F.col("dem10m").alias(f"_m_w{w}")] if high else []), *([_vrm().alias(f"vrm_w{w}")] if sloped else []))
+        means = made if means is None else means.join(made, list(KEYS))
+    if means is not None:
+        base = base.join(settle(means, "means"), list(KEYS))
+    if high:
+        apart = {f"_t_w{w}": F.abs(F.col("dem10m") - F.col(f"_m_w{w}")) for w in scales}
+        base = base.withColumns(apart).drop(*(f"_m_w{w}" for w in scales))
+        tri = None
+        for w in scales:
+            made = box_mean(base.select(*KEYS, f"_t_w{w}"), [f"_t_w{w}"], w).withColumnRenamed(f"_t_w{w}", f"tri_w{w}")
+            tri = made if tri is None else tri.join(made, list(KEYS))
+        base = settle(base.join(tri, list(KEYS)), "rugged")
+    parts = [c for c in _POOLING if c in df.columns]
+    wanted = {f"_{c}": F.col(c) for c in parts}
+    if high:
+        wanted |= {f"_relief_w{w}": F.col(f"_t_w{w}") for w in scales} | ({"_svf": F.col("svf")} if "svf" in df.columns else {})
+    if wanted:
+        base = with_stats(base, wanted)
+    if high:
+        sky = _n("_svf") if "svf" in df.columns else F.lit(0.5)
+        base = base.withColumns({f"openness_proxy_w{w}": 0.5 * sky + 0.5 * _n(f"_relief_w{w}") for w in scales}).drop(*(f"_t_w{w}" for w in scales))
+    if parts:
+        base = base.withColumn("_total", _pooled(parts))
+    base = _without_stats(base, *wanted)
+    if not parts:
+        return base
+    base = with_stats(base, {"_p": F.col("_total")} | ({"_e": F.col("dem10m")} if high else {})).drop("_total").withColumn("capi", _n("_p"))
+    if not high:
+        return _without_stats(base, "_p")
+    base = _without_stats(base.withColumn("_b", _cold()), "_p", "_e")
+    return _without_stats(with_stats(base, {"_c": F.col("_b")}).withColumn("cold_bias_potential", _n("_c")).drop("_b"), "_c")
 
 
 def hourly_predictors(static: DataFrame, hourly: DataFrame, swdown: str | None = None, speed: str | None = None, direction: str | None = None, aspect: str | None = None) -> DataFrame:

@@ -153,10 +153,27 @@ EXPO = f"x0_ AS (SELECT region, iy, ix, svf, CASE WHEN avg(CASE WHEN windexp500
 _wind = lambda g: g("dem").withColumn("windexp500", F.col("windexp500") - 10)
 register("t17_wind_exposure", lambda g: T.wind_exposure(_wind(g)), f"{EXPO}\n--\nSELECT region, iy, ix, {N('v')} AS wind_shelter_exposure FROM x0_ {W}", vals="wind_shelter_exposure", **CELL)
 register("t18_effective_wind", lambda g: T.effective_wind(_wind(g).withColumn("ws", F.col("svf") * 8), "ws"), f"{EXPO}\n--\nSELECT region, iy, ix, svf * 8 * (0.4e0 + 0.6e0 * {N('v')}) AS wind_speed_effective FROM x0_ {W}", vals="wind_speed_effective", **CELL)
-register(
-    "t19_static_predictors", lambda g: T.static_predictors(_full(g), (3, 50)),
-    f"{FULL}, {box('b', 'dem10m', 50)}, t AS (SELECT f.region, f.iy, f.ix, f.svf, abs(dem10m - m) AS v FROM full_ f JOIN b ON f.region = b.region AND f.iy = b.iy AND f.ix = b.ix), {box('c', 'v', 50, 't')}, o AS (SELECT region, iy, ix, 0.5e0 * {N('svf')} + 0.5e0 * {N('v')} AS open50 FROM t {W}), {CAPI.replace('FROM dem', 'FROM full_')}, cb AS (SELECT region, iy, ix, capi, {Z('capi')} + 0.5e0 * {Z('dem10m')} AS v FROM capi {W}), cn AS (SELECT region, iy, ix, capi, {N('v')} AS cold FROM cb {W})\n--\nSELECT c.region, c.iy, c.ix, c.m AS tri_w50, open50 AS openness_proxy_w50, cn.capi, cold AS cold_bias_potential FROM c JOIN o USING (region, iy, ix) JOIN cn USING (region, iy, ix)", vals="tri_w50 openness_proxy_w50 capi cold_bias_potential", **CELL,
-)
+_scales = lambda g: _two(g).withColumns({f"aspect_degrees_w{w}": F.col("aspect_degrees") for w in (3, 50)})
+STATIC = [f"{f}_w{w}" for w in (3, 50) for f in ("tri", "vrm", "openness_proxy")]
+
+
+def _sql_static() -> str:
+    """All columns of the static predictors."""
+    ctes, last = [FULL, SLOPE, SA], []
+    for w in (3, 50):
+        half = "" if w == 3 else "0.5e0 * "
+        sb = f"sb{w} AS (SELECT region, iy, ix, {half}s AS s, a FROM sa)"
+        ctes += [sb, box(f"b{w}", "dem10m", w), f"d{w} AS (SELECT f.region, f.iy, f.ix, f.svf, abs(dem10m - m) AS v FROM full_ f JOIN b{w} b ON f.region = b.region AND f.iy = b.iy AND f.ix = b.ix)"]
+        ctes += [box(f"c{w}", "v", w, f"d{w}"), f"o{w} AS (SELECT region, iy, ix, 0.5e0 * {N('svf')} + 0.5e0 * {N('v')} AS o FROM d{w} {W})"]
+        ctes += [box(f"{n}{w}", e, w, f"sb{w}") for n, e in (("nx", "sin(s) * cos(a)"), ("ny", "sin(s) * sin(a)"), ("nz", "cos(s)"))]
+        last.append(f"c{w}.m AS tri_w{w}, 1 - sqrt(nx{w}.m * nx{w}.m + ny{w}.m * ny{w}.m + nz{w}.m * nz{w}.m) AS vrm_w{w}, o{w}.o AS openness_proxy_w{w}")
+    ctes += [CAPI.replace("FROM dem", "FROM full_"), f"cb AS (SELECT region, iy, ix, capi, {Z('capi')} + 0.5e0 * {Z('dem10m')} AS v FROM capi {W}), cn AS (SELECT region, iy, ix, capi, {N('v')} AS cold FROM cb {W})"]
+    joins = " ".join(f"JOIN {n}{w} USING (region, iy, ix)" for w in (3, 50) for n in ("c", "o", "nx", "ny", "nz"))
+    contrasts = "degrees(sl.s) / 2 AS slope_diff_w3_w50, CASE WHEN sl.a IS NOT NULL THEN 0.5e0 END AS aspect_vecdiff_w3_w50, f.dem10m - f.svf AS tpi_diff_w3_w50"
+    return f"{', '.join(ctes)}\n--\nSELECT region, iy, ix, {', '.join(last)}, {contrasts}, cn.capi, cold AS cold_bias_potential FROM full_ f {joins} JOIN cn USING (region, iy, ix) JOIN sa sl USING (region, iy, ix)"
+
+
+register("t19_static_predictors", lambda g: T.static_predictors(_scales(g), (3, 50)), _sql_static(), vals=" ".join([*STATIC, "slope_diff_w3_w50", "aspect_vecdiff_w3_w50", "tpi_diff_w3_w50", "capi", "cold_bias_potential"]), **CELL)
 register(
     "t20_hourly_predictors", lambda g: T.hourly_predictors(_pisr(g).withColumn("as", F.col("iy") * 17.0), _times(g).crossJoin(g("dem").select("region").distinct()).withColumns({"sw": F.month("time") * 10.0, "ws": F.lit(5.0), "wd": F.month("time") * 20.0}), "sw", "ws", "wd", "as"),
     f"{QT}, {EXPO.replace(' - 10', '')}, ex AS (SELECT region, iy, ix, {N('v')} AS e FROM x0_ {W})\n--\nSELECT sf.region, sf.iy, sf.ix, sf.time, month(time) * 10 * solar_factor AS swdown_effective, 5 * (0.4e0 + 0.6e0 * e) AS wind_speed_effective, 5 * cos(radians(month(time) * 20e0 - sf.iy * 17e0)) AS wind_along_slope FROM sf JOIN ex USING (region, iy, ix)", ["dem", "reanalysis"], keys="region", times="time", ints="iy ix", vals="swdown_effective wind_speed_effective wind_along_slope",
