@@ -11,6 +11,7 @@ from nivalis.functions import skill as M
 from nivalis.operators import aggregate as A
 from nivalis.operators import pairs as V
 from nivalis.operators import select as P
+from nivalis.plans import attribution as B
 from nivalis.plans import modelling as L
 from nivalis.plans.registry import register
 from nivalis.tables import settle, shared_folder
@@ -131,6 +132,37 @@ register(
 SELECT kind, variable, lag, avg(importance) AS importance, count(*) AS n FROM nm GROUP BY GROUPING SETS ((kind), (kind, variable), (kind, lag))""", K, keys="kind variable", ints="lag n", vals="importance",
 )
 
+# two fixed trees over three columns: (tree, weight, node, feature, threshold, left, right, value)
+TWO_TREES = [
+    (0, 1.0, 0, 0, 0.0, 1, 4, 0.0), (0, 1.0, 1, 1, -5.0, 2, 3, 0.0), (0, 1.0, 2, -1, None, -1, -1, -4.0), (0, 1.0, 3, -1, None, -1, -1, 1.0),
+    (0, 1.0, 4, 2, 3000.0, 5, 6, 0.0), (0, 1.0, 5, -1, None, -1, -1, 2.0), (0, 1.0, 6, -1, None, -1, -1, 5.0),
+    (1, 0.1, 0, 1, 2.0, 1, 2, 0.0), (1, 0.1, 1, -1, None, -1, -1, -1.0), (1, 0.1, 2, 0, 10.0, 3, 4, 0.0), (1, 0.1, 3, -1, None, -1, -1, 3.0), (1, 0.1, 4, -1, None, -1, -1, 8.0),
+]
+TREE_FEATURES = ["coarse_T3", "gbt_T3", "x"]
+
+
+def _two_trees(g):
+    rows = g("skill").select("region", "site", "time", *TREE_FEATURES)
+    trees = rows.sparkSession.createDataFrame(TWO_TREES, "tree int, weight double, node int, feature int, threshold double, left int, right int, value double")
+    return B.tree_contributions(rows, ["region", "site", "time"], TREE_FEATURES, B.with_expectations(rows, TREE_FEATURES, trees, 2), 2, 0.5)
+
+
+PATHS = """pt AS (SELECT region, site, time, coarse_T3 AS a, gbt_T3 AS b, x, CASE WHEN coarse_T3 <= 0 THEN CASE WHEN gbt_T3 <= -5 THEN -4 ELSE 1 END WHEN x <= 3000 THEN 2 ELSE 5 END AS l0, CASE WHEN gbt_T3 <= 2 THEN -1 WHEN coarse_T3 <= 10 THEN 3 ELSE 8 END AS l1 FROM skill WHERE coarse_T3 IS NOT NULL AND gbt_T3 IS NOT NULL AND x IS NOT NULL),
+ex AS (SELECT avg(l0) AS r0, avg(l0) FILTER (a <= 0) AS n1, avg(l0) FILTER (a > 0) AS n4, avg(l1) AS r1, avg(l1) FILTER (b > 2) AS n2 FROM pt),
+ct AS (SELECT region, site, time, CASE WHEN a <= 0 THEN n1 ELSE n4 END - r0 + CASE WHEN b > 2 THEN 0.1e0 * (l1 - n2) ELSE 0 END AS coarse_T3,
+CASE WHEN a <= 0 THEN l0 - n1 ELSE 0 END + 0.1e0 * (CASE WHEN b > 2 THEN n2 ELSE -1 END - r1) AS gbt_T3, CASE WHEN a > 0 THEN l0 - n4 ELSE 0 END AS x, 0.5e0 + r0 + 0.1e0 * r1 AS base FROM pt, ex)"""
+register("l09_tree_contributions", _two_trees, PATHS + "\n--\nSELECT * FROM ct", K, keys="region", times="time", ints="site", vals="coarse_T3 gbt_T3 x base")
+register(
+    "l09_tree_attribution_rank", lambda g: L.attribution_rank(_two_trees(g).select(*TREE_FEATURES)),
+    PATHS + "\n--\n" + " UNION ALL ".join(f"SELECT '{f}' AS feature, avg(abs({f})) AS importance FROM ct" for f in TREE_FEATURES), K, keys="feature", vals="importance",
+)
+
+
+def _boosted_rank(g):
+    train, check, features = _trees(g)
+    model = L.boosted_offsets(train, features, ["T3_offset"], maxIter=5, maxDepth=4, stepSize=0.3)
+    return L.attribution_rank(B.boosted_contributions(model, "T3_offset", train, check).select(*features))
+
 
 def _trees(g):
     df = g("skill").withColumn("T3_offset", F.col("T3") - F.col("coarse_T3")).select("region", "site", "time", "x", "lat", "gbt_T3", "coarse_T3", "T3_offset", "T3")
@@ -155,6 +187,7 @@ register("l03_fit_chain", _fit_chain, None, ["skill", "reanalysis"], keys="regio
 register("l03_l06_boosted_offsets", lambda g: (lambda t, c, f: L.predict_sites(L.boosted_offsets(t, f, ["T3_offset"], maxIter=5, maxDepth=4, stepSize=0.3), c, "coarse_T3", kelvin=False))(*_trees(g)), None, K, keys="region", times="time", ints="site", vals="predicted_T3_offset predicted_T3")
 register("l04_bagged_lasso", lambda g: (lambda t, c, f: L.bagged_lasso(t, f, ["site", "time"], ["T3_offset"], bags=3).transform(c))(*_trees(g)), None, K, keys="region", times="time", ints="site", vals="predicted_T3_offset")
 register("l05_tune", lambda g: (lambda t, c, f: L.tune(t, f, "T3_offset", {"maxDepth": [2, 4], "stepSize": [0.1, 0.3]}, 2, 2, base={"maxIter": 3, "maxDepth": 3})[1])(*_trees(g)), None, K, ints="number", vals="value")
+register("l09_boosted_attribution", _boosted_rank, None, K, keys="feature", vals="importance")
 register("l11_partial_dependence", lambda g: (lambda t, c, f: L.partial_dependence(L.boosted_offsets(t, f, ["T3_offset"], maxIter=4, maxDepth=3), P.row_sample(t, 2000, ["site", "time"]), "coarse_T3", "T3_offset", 20))(*_trees(g)), None, K, vals="coarse_T3 prediction")
 register("l12_pca", lambda g: L.components_of(L.pca(g("skill"), MODELS, 2)[0], 2).select("site", "time", F.abs("pc1").alias("pc1"), F.abs("pc2").alias("pc2")), None, K, times="time", ints="site", vals="pc1 pc2")
 register("l13_cluster_regimes", lambda g: L.cluster_regimes(g("skill"), ["T3", "gbt_T3", "coarse_T3"], 3).groupBy("region", "cluster").count(), None, K, keys="region", ints="cluster count")
