@@ -13,16 +13,17 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from nivalis.plans import lasso
 from nivalis.tables import settle
 
 OFFSETS = ("T1_offset", "T2_offset", "T3_offset")
 # Default settings of the boosted trees and of the bagged sparse linear model.
 TREES = {"maxIter": 500, "stepSize": 0.03, "maxDepth": 8, "maxBins": 256, "subsamplingRate": 0.65, "minInstancesPerNode": 2, "seed": 99}
-BAGS = {"bags": 50, "alpha": 0.01, "row_share": 0.6, "feature_share": 0.6}
+BAGS = {"bags": 50, "row_share": 0.6, "feature_share": 0.6}
 
 
 def holdout_split(df: DataFrame, region: str, year: int, targets: Sequence[str] = OFFSETS) -> tuple[DataFrame, DataFrame]:
@@ -140,10 +141,12 @@ def _reached(value: Column):
 
 @dataclass
 class BaggedLinear:
-    """Quantile grids of the features, and for each target its bags: features, weights, intercept."""
+    """Quantile grids of the features, and for each target its bags: features, weights, intercept; and the
+    penalty of each bag."""
 
     grids: dict[str, list[float]]
     models: dict[str, list[tuple[list[str], list[float], float]]]
+    penalties: dict[str, list[float]] = field(default_factory=dict)
 
     def transform(self, df: DataFrame) -> DataFrame:
         own = {f: f"_normal_{f}" for f in self.grids}  # the features themselves stay
@@ -160,29 +163,22 @@ class BaggedLinear:
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Write to a folder, over a model that is there."""
-        _note(spark, f"{path}/about", {"grids": self.grids, "models": self.models})
+        _note(spark, f"{path}/about", {"grids": self.grids, "models": self.models, "penalties": self.penalties})
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> BaggedLinear:
         return BaggedLinear(**_noted(spark, f"{path}/about"))
 
 
-def bagged_lasso(train: DataFrame, features: Sequence[str], keys: Sequence[str], targets: Sequence[str] = OFFSETS, seed: int = 99, **settings) -> BaggedLinear:
-    """Sparse linear models on hashed shares of rows and drawn shares of features, averaged."""
+def bagged_lasso(train: DataFrame, features: Sequence[str], keys: Sequence[str], targets: Sequence[str] = OFFSETS, seed: int = 99, alpha: float | None = None, groups: int = 60, folds: int = 3, penalties: int = 100, **settings) -> BaggedLinear:
+    """Sparse linear models on shares of the rows and of the features, averaged. Rows fall into hashed
+    groups, of which a bag takes a share; its penalty is chosen by folds of its groups, unless `alpha`
+    gives one. The rows are read twice: for the quantile grids, and for the statistics of all bags."""
     s = BAGS | settings
     shaped, grids = to_normal(train.fillna(0.0, subset=list(features)).select(*dict.fromkeys([*keys, *features, *targets])), features)
-    shaped = settle(shaped, "shaped")  # all bags read it
-    rng = random.Random(seed)
-    models: dict[str, list] = {t: [] for t in targets}
-    for b in range(s["bags"]):
-        names = sorted(rng.sample(list(features), max(1, round(len(features) * s["feature_share"]))))
-        part = F.pmod(F.xxhash64(*keys, F.lit(b), F.lit(seed)), F.lit(10_000)) < int(10_000 * s["row_share"])
-        bag = feature_vector(names).transform(shaped.filter(part))
-        for t in targets:
-            solver = LinearRegression(labelCol=t, elasticNetParam=1.0, regParam=s["alpha"])
-            fitted = solver.fit(bag.filter(F.col(t).isNotNull()))
-            models[t].append((names, list(map(float, fitted.coefficients)), float(fitted.intercept)))
-    return BaggedLinear(grids, models)
+    stats = lasso.group_statistics(shaped, list(features), list(targets), keys, groups, seed)
+    models, used = lasso.fit_bags(stats, list(features), list(targets), s["bags"], s["row_share"], s["feature_share"], folds, penalties, alpha, seed)
+    return BaggedLinear(grids, models, used)
 
 
 def tune(train: DataFrame, features: Sequence[str], target: str, space: Mapping[str, Sequence], trials: int = 20, folds: int = 3, seed: int = 33, base: Mapping | None = None) -> tuple[dict, DataFrame]:

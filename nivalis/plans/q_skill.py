@@ -185,7 +185,21 @@ def _fit_chain(g):
 
 register("l03_fit_chain", _fit_chain, None, ["skill", "reanalysis"], keys="region", ints="n", vals="corr_fit rmse_fit corr_raw rmse_raw")
 register("l03_l06_boosted_offsets", lambda g: (lambda t, c, f: L.predict_sites(L.boosted_offsets(t, f, ["T3_offset"], maxIter=5, maxDepth=4, stepSize=0.3), c, "coarse_T3", kelvin=False))(*_trees(g)), None, K, keys="region", times="time", ints="site", vals="predicted_T3_offset predicted_T3")
-register("l04_bagged_lasso", lambda g: (lambda t, c, f: L.bagged_lasso(t, f, ["site", "time"], ["T3_offset"], bags=3).transform(c))(*_trees(g)), None, K, keys="region", times="time", ints="site", vals="predicted_T3_offset")
+register("l04_bagged_lasso", lambda g: (lambda t, c, f: L.bagged_lasso(t, f, ["site", "time"], ["T3_offset"], bags=50).transform(c))(*_trees(g)), None, K, keys="region", times="time", ints="site", vals="predicted_T3_offset")
+def _lasso_moments(g):
+    """One bag of all rows at a given penalty: its weights leave no slope steeper than the penalty."""
+    train, _, features = _trees(g)
+    model = L.bagged_lasso(train, features, ["site", "time"], ["T3_offset"], bags=1, row_share=1.0, feature_share=1.0, alpha=0.05)
+    shaped = L.apply_normal(train, model.grids)
+    (names, weights, start), = model.models["T3_offset"]
+    rest = F.col("T3_offset") - start - sum((F.col(f) * w for f, w in zip(names, weights, strict=True)), F.lit(0.0))
+    slopes = shaped.withColumn("_rest", rest).agg(*((F.covar_pop("_rest", f) / F.stddev_samp(f)).alias(f) for f in names))
+    long = slopes.unpivot([], list(names), "feature", "slope")
+    zero = F.create_map(*(x for f, w in zip(names, weights, strict=True) for x in (F.lit(f), F.lit(float(w)))))
+    return long.select("feature", F.when(zero[F.col("feature")] == 0, F.abs("slope") <= 0.05 + 1e-6).otherwise(F.abs(F.abs("slope") - 0.05) < 1e-6).cast("int").alias("optimal"))
+
+
+register("l04_lasso_optimality", _lasso_moments, "SELECT unnest(['x', 'lat', 'gbt_T3', 'coarse_T3']) AS feature, 1 AS optimal FROM (SELECT count(*) AS n FROM skill)", K, keys="feature", ints="optimal")
 register("l05_tune", lambda g: (lambda t, c, f: L.tune(t, f, "T3_offset", {"maxDepth": [2, 4], "stepSize": [0.1, 0.3]}, 2, 2, base={"maxIter": 3, "maxDepth": 3})[1])(*_trees(g)), None, K, ints="number", vals="value")
 register("l09_boosted_attribution", _boosted_rank, None, K, keys="feature", vals="importance")
 register("l11_partial_dependence", lambda g: (lambda t, c, f: L.partial_dependence(L.boosted_offsets(t, f, ["T3_offset"], maxIter=4, maxDepth=3), P.row_sample(t, 2000, ["site", "time"]), "coarse_T3", "T3_offset", 20))(*_trees(g)), None, K, vals="coarse_T3 prediction")
