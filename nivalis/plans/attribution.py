@@ -24,10 +24,10 @@ from nivalis.tables import settle, shared_folder
 _NODE = ("node", "feature", "threshold", "left", "right", "value")
 
 
-def tree_table(model: OffsetModel, target: str, like: DataFrame) -> tuple[DataFrame, int]:
+def saved_trees(fitted, like: DataFrame) -> tuple[DataFrame, int]:
     """The trees of a fitted model as a table, and the steps that a path takes at most. Only splits by a
     threshold are known."""
-    spark, fitted = like.sparkSession, model.stages[target].stages[-1]
+    spark = like.sparkSession
     path = f"{shared_folder(spark)}/trees-{uuid.uuid4().hex}"
     fitted.write().save(path)
     nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
@@ -48,7 +48,7 @@ def _one_row(trees: DataFrame) -> DataFrame:
     return each.agg(F.sort_array(F.collect_list(F.struct("tree", "weight", "nodes"))).alias("_trees"))
 
 
-def _with_paths(df: DataFrame, features: Sequence[str], trees: DataFrame, depth: int) -> DataFrame:
+def paths_of(df: DataFrame, features: Sequence[str], trees: DataFrame, depth: int) -> DataFrame:
     """Adds _trees, and _paths: the nodes that the row passes in each of them. Rows with a missing
     feature go."""
     known = F.lit(True)
@@ -71,7 +71,7 @@ def _with_paths(df: DataFrame, features: Sequence[str], trees: DataFrame, depth:
 def with_expectations(train: DataFrame, features: Sequence[str], trees: DataFrame, depth: int) -> DataFrame:
     """The trees, with each node's value replaced by the mean of the leaves that training rows reach
     through it. Nodes that no row passes keep theirs."""
-    placed = _with_paths(train, features, trees, depth)
+    placed = paths_of(train, features, trees, depth)
 
     def passes(tree: Column, path: Column) -> Column:
         leaf = F.get(tree["nodes"], F.element_at(path, -1))["value"]
@@ -85,7 +85,7 @@ def with_expectations(train: DataFrame, features: Sequence[str], trees: DataFram
 
 def tree_contributions(df: DataFrame, keys: Sequence[str], features: Sequence[str], expected: DataFrame, depth: int, start: float = 0.0) -> DataFrame:
     """(keys, a column for each feature, base) from trees with expectations. Keys name a row."""
-    placed = _with_paths(df.select(*dict.fromkeys([*keys, *features])), features, expected, depth)
+    placed = paths_of(df.select(*dict.fromkeys([*keys, *features])), features, expected, depth)
 
     def steps(tree: Column, path: Column) -> Column:
         at = lambda k: F.get(tree["nodes"], F.get(path, k))
@@ -106,6 +106,6 @@ def tree_contributions(df: DataFrame, keys: Sequence[str], features: Sequence[st
 
 def boosted_contributions(model: OffsetModel, target: str, train: DataFrame, df: DataFrame, keys: Sequence[str] = ("region", "site", "time")) -> DataFrame:
     """Contributions to a model's predictions of one target; keys and features have names of their own."""
-    trees, depth = tree_table(model, target, df)
+    trees, depth = saved_trees(model.stages[target].stages[-1], df)
     expected = with_expectations(train, model.features, trees, depth)
     return tree_contributions(df, keys, model.features, expected, depth, model.start.get(target, 0.0))

@@ -3,14 +3,10 @@
 from __future__ import annotations
 
 import json
-import math
-import random
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
@@ -181,26 +177,6 @@ def bagged_lasso(train: DataFrame, features: Sequence[str], keys: Sequence[str],
     return BaggedLinear(grids, models, used)
 
 
-def tune(train: DataFrame, features: Sequence[str], target: str, space: Mapping[str, Sequence], trials: int = 20, folds: int = 3, seed: int = 33, base: Mapping | None = None) -> tuple[dict, DataFrame]:
-    """Random search, the defaults first; a trial's score is the mean RMSE over week folds. Returns the
-    best settings and the trial table (number, value, params)."""
-    rng = random.Random(seed)
-    tried = [dict(base or {})] + [dict(base or {}) | {k: rng.choice(list(v)) for k, v in space.items()} for _ in range(trials - 1)]
-    folded = feature_vector(features).transform(week_folds(train, folds, seed)).select("features", F.col(target).alias("label"), "foldCol").persist()
-    rows = []
-    for number, settings in enumerate(tried):
-        scores = []
-        for k in range(folds):
-            part, check = folded.filter(F.col("foldCol") != k), folded.filter(F.col("foldCol") == k)
-            if check.isEmpty() or part.isEmpty():
-                continue
-            scores.append(RegressionEvaluator(metricName="rmse").evaluate(GBTRegressor(**(TREES | settings)).fit(part).transform(check)))
-        rows.append((number, sum(scores) / len(scores) if scores else math.inf, {k: float(v) for k, v in settings.items()}))
-    folded.unpersist()
-    best = min(rows, key=lambda r: (r[1], r[0]))
-    return tried[best[0]], train.sparkSession.createDataFrame(rows, "number int, value double, params map<string,double>")
-
-
 def predict_sites(model, validation: DataFrame, base: str = "skt", keys: Sequence[str] = ("region", "site", "time"), kelvin: bool = True) -> DataFrame:
     """One row per key: predicted offsets and temperatures."""
     from nivalis.operators.series import add_base
@@ -315,23 +291,6 @@ def pca(df: DataFrame, features: Sequence[str], ncomp: int, fitted: PipelineMode
     return fitted.transform(df).drop("_raw", "_centred", *(f"_{f}" for f in features)), fitted
 
 
-def cluster_regimes(df: DataFrame, cols: Sequence[str], k: int = 3, least: int = 100, seed: int = 0, by: str = "region") -> DataFrame:
-    """k-means of standardised columns, region by region; regions with few complete rows are left out."""
-    whole = df.dropna(subset=list(cols))
-    names = [r[by] for r in whole.groupBy(by).count().filter(F.col("count") >= least).select(by).collect()]
-    out = None
-    for name in sorted(names):
-        stages = [
-            VectorAssembler(inputCols=list(cols), outputCol="_raw"),
-            StandardScaler(inputCol="_raw", outputCol="_std", withMean=True),
-            KMeans(featuresCol="_std", predictionCol="cluster", k=k, seed=seed),
-        ]
-        part = whole.filter(F.col(by) == name)
-        made = Pipeline(stages=stages).fit(part).transform(part).drop("_raw", "_std")
-        out = made if out is None else out.unionByName(made)
-    return out if out is not None else whole.withColumn("cluster", F.lit(0)).limit(0)
-
-
 def components_of(df: DataFrame, ncomp: int) -> DataFrame:
     """Components as plain columns."""
     return df.withColumns({f"pc{k + 1}": F.get(vector_to_array("components"), k) for k in range(ncomp)}).drop("components")

@@ -13,6 +13,8 @@ from nivalis.operators import pairs as V
 from nivalis.operators import select as P
 from nivalis.plans import attribution as B
 from nivalis.plans import modelling as L
+from nivalis.plans import regimes as G
+from nivalis.plans import tuning as U
 from nivalis.plans.registry import register
 from nivalis.tables import settle, shared_folder
 
@@ -200,8 +202,23 @@ def _lasso_moments(g):
 
 
 register("l04_lasso_optimality", _lasso_moments, "SELECT unnest(['x', 'lat', 'gbt_T3', 'coarse_T3']) AS feature, 1 AS optimal FROM (SELECT count(*) AS n FROM skill)", K, keys="feature", ints="optimal")
-register("l05_tune", lambda g: (lambda t, c, f: L.tune(t, f, "T3_offset", {"maxDepth": [2, 4], "stepSize": [0.1, 0.3]}, 2, 2, base={"maxIter": 3, "maxDepth": 3})[1])(*_trees(g)), None, K, ints="number", vals="value")
+register("l05_tune", lambda g: (lambda t, c, f: U.tune(t, f, "T3_offset", {"maxDepth": [2, 4], "stepSize": [0.1, 0.3]}, 3, 2, base={"maxIter": 4, "maxDepth": 3}, eta=2, least=2)[1])(*_trees(g)), None, K, ints="number rung rounds round", vals="value")
 register("l09_boosted_attribution", _boosted_rank, None, K, keys="feature", vals="importance")
 register("l11_partial_dependence", lambda g: (lambda t, c, f: L.partial_dependence(L.boosted_offsets(t, f, ["T3_offset"], maxIter=4, maxDepth=3), P.row_sample(t, 2000, ["site", "time"]), "coarse_T3", "T3_offset", 20))(*_trees(g)), None, K, vals="coarse_T3 prediction")
 register("l12_pca", lambda g: L.components_of(L.pca(g("skill"), MODELS, 2)[0], 2).select("site", "time", F.abs("pc1").alias("pc1"), F.abs("pc2").alias("pc2")), None, K, times="time", ints="site", vals="pc1 pc2")
-register("l13_cluster_regimes", lambda g: L.cluster_regimes(g("skill"), ["T3", "gbt_T3", "coarse_T3"], 3).groupBy("region", "cluster").count(), None, K, keys="region", ints="cluster count")
+register("l13_cluster_regimes", lambda g: G.cluster_regimes(g("skill"), ["T3", "gbt_T3", "coarse_T3"], 3).groupBy("region", "cluster").count(), None, K, keys="region", ints="cluster count")
+
+
+def _centred(g):
+    """Of all sites with rows enough: each row's own cluster mean is the nearest of its site's."""
+    cols = ["T3", "gbt_T3"]
+    found = G.cluster_regimes(g("skill").select("site", "time", *cols), cols, 2, 30, by="site")
+    stats = found.groupBy("site").agg(*(F.stddev_samp(c).alias(f"s_{c}") for c in cols))
+    means = found.groupBy("site", "cluster").agg(*(F.avg(c).alias(f"m_{c}") for c in cols))
+    met = found.select("site", "time", "cluster", *cols).join(means.withColumnRenamed("cluster", "other"), "site").join(stats, "site")
+    d = sum((F.pow((F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}"), 2) for c in cols), F.lit(0.0))
+    best = met.withColumn("d", d).groupBy("site", "time").agg(F.min("d").alias("least"), F.min(F.when(F.col("cluster") == F.col("other"), F.col("d"))).alias("own"))
+    return best.groupBy("site").agg(F.count("*").alias("n"), F.sum((F.col("own") > F.col("least") + 1e-2).cast("int")).alias("misplaced"))
+
+
+register("l13_site_regimes", _centred, "SELECT site, count(*) AS n, 0 AS misplaced FROM skill WHERE T3 IS NOT NULL AND gbt_T3 IS NOT NULL GROUP BY 1 HAVING count(*) >= 30", K, ints="site n misplaced")

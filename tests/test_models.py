@@ -74,13 +74,6 @@ def test_fit_beats_the_raw_field_on_held_out_rows(table):
         assert found.rmse_fit < 0.8 * found.rmse_raw and found.corr_fit > found.corr_raw
 
 
-def test_tuning_tries_defaults_first_and_keeps_the_best(table):
-    best, trials = L.tune(table, FEATURES, "T3_offset", {"maxDepth": [1, 4]}, 3, 2, base={"maxIter": 2, "maxDepth": 2})
-    rows = trials.orderBy("number").collect()
-    assert len(rows) == 3 and rows[0].params == {"maxIter": 2.0, "maxDepth": 2.0}
-    assert {k: float(v) for k, v in best.items()} == min(rows, key=lambda r: (r.value, r.number)).params
-
-
 def test_partial_dependence_follows_the_step(table):
     model = L.boosted_offsets(table, FEATURES, ["T3_offset"], maxIter=15, maxDepth=3, stepSize=0.3)
     found = {r.a: r.prediction for r in L.partial_dependence(model, table, "a", "T3_offset", 5).collect()}
@@ -97,13 +90,6 @@ def test_components_equal_numpy(spark):
     assert np.allclose(np.abs(made), np.abs(want), atol=1e-6)
 
 
-def test_regimes_separate_and_small_regions_are_left_out(spark):
-    rows = [("R", float(k % 2) * 10 + k / 1000, float(k % 2)) for k in range(200)] + [("S", 0.0, 0.0)] * 5
-    found = L.cluster_regimes(spark.createDataFrame(rows, "region string, u double, v double"), ["u", "v"], 2, 100)
-    groups = {(r.region, r.v, r.cluster) for r in found.select("region", "v", "cluster").distinct().collect()}
-    assert len(groups) == 2 and {g[0] for g in groups} == {"R"}
-
-
 def test_model_output_at_sites(spark):
     cube = spark.createDataFrame([(f"2020-01-0{d} 00:00:00", float(y), float(x), 100.0 * d + 10 * y + x) for d in (1, 2) for y in range(3) for x in range(4)], "t string, y double, x double, v double")
     cube = cube.withColumn("time", F.to_timestamp("t")).drop("t")
