@@ -12,6 +12,7 @@ from nivalis.operators import aggregate as A
 from nivalis.operators import pairs as V
 from nivalis.operators import select as P
 from nivalis.plans import attribution as B
+from nivalis.plans import folds as S
 from nivalis.plans import modelling as L
 from nivalis.plans import regimes as G
 from nivalis.plans import tuning as U
@@ -203,6 +204,21 @@ def _lasso_moments(g):
 
 register("l04_lasso_optimality", _lasso_moments, "SELECT unnest(['x', 'lat', 'gbt_T3', 'coarse_T3']) AS feature, 1 AS optimal FROM (SELECT count(*) AS n FROM skill)", K, keys="feature", ints="optimal")
 register("l05_tune", lambda g: (lambda t, c, f: U.tune(t, f, "T3_offset", {"maxDepth": [2, 4], "stepSize": [0.1, 0.3]}, 3, 2, base={"maxIter": 4, "maxDepth": 3}, eta=2, least=2)[1])(*_trees(g)), None, K, ints="number rung rounds round", vals="value")
+def _all_folds(g):
+    """Skill of a small model of every (region, year), beside the raw field."""
+    df = g("skill").withColumn("T3_offset", F.col("T3") - F.col("coarse_T3")).select("region", "site", "time", "x", "lat", "gbt_T3", "coarse_T3", "T3_offset", "T3")
+    table, features = settle(df, "table"), ["x", "lat", "gbt_T3", "coarse_T3"]
+    fit = {"boosted": lambda train: L.boosted_offsets(train, features, ["T3_offset"], maxIter=1, maxDepth=3, stepSize=0.3)}
+    return S.fit_folds(table, features, "T3", f"{shared_folder(df.sparkSession)}/folds-{uuid.uuid4().hex}", fit, "coarse_T3", kelvin=False)
+
+
+RAW = f"""m AS (SELECT region, year(time) AS y, coarse_T3 AS m, T3 AS o FROM skill WHERE T3 IS NOT NULL AND coarse_T3 IS NOT NULL),
+f AS (SELECT region, y, count(*) AS n, {sql_pearson('o', 'm')} AS corr_raw, sqrt(avg(power(m - o, 2))) AS rmse_raw FROM m GROUP BY 1, 2),
+t AS (SELECT a.region AS tr, a.y AS ty, sum(b.n) AS n_train FROM f a JOIN f b ON a.region <> b.region AND a.y <> b.y GROUP BY 1, 2)"""
+register(
+    "l06_all_folds", _all_folds, f"{RAW}\n--\nSELECT region, y AS model_year, 'boosted' AS kind, n_train, n, corr_raw, rmse_raw FROM f JOIN t ON region = tr AND y = ty",
+    K, keys="region kind", ints="model_year n_train n", vals="corr_raw rmse_raw",
+)
 register("l09_boosted_attribution", _boosted_rank, None, K, keys="feature", vals="importance")
 register("l11_partial_dependence", lambda g: (lambda t, c, f: L.partial_dependence(L.boosted_offsets(t, f, ["T3_offset"], maxIter=4, maxDepth=3), P.row_sample(t, 2000, ["site", "time"]), "coarse_T3", "T3_offset", 20))(*_trees(g)), None, K, vals="coarse_T3 prediction")
 register("l12_pca", lambda g: L.components_of(L.pca(g("skill"), MODELS, 2)[0], 2).select("site", "time", F.abs("pc1").alias("pc1"), F.abs("pc2").alias("pc2")), None, K, times="time", ints="site", vals="pc1 pc2")
