@@ -1,4 +1,6 @@
-"""Joins of points with grids. A regular axis gives the cell by arithmetic, so every join is an equi join."""
+"""Joins of points with grids. A place on a regular axis comes by arithmetic, on an irregular one by
+binary search in its sorted coordinates, so every join is an equi join. Axes of space are held in a row
+(a number a grid line); the times of points are bracketed range by range, however many there are."""
 
 from __future__ import annotations
 
@@ -7,12 +9,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nivalis.operators.ranges import PIECES, with_piece
 from nivalis.tables import settle
 
 
 def axis(grid: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Origin, step and size of regular axes, per key: one small row each. Each axis is read off its
-    distinct coordinates; one whose steps differ is an error when the result is computed."""
+    """Origin, step and size of each axis per key, and its sorted coordinates where their steps differ:
+    one small row each. Each axis is read off its distinct coordinates."""
     out = None
     for c in cols:
         ordered = Window.partitionBy(*keys).orderBy(c)  # the coordinates of one axis
@@ -20,7 +23,7 @@ def axis(grid: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> Data
         n, step = F.count(c), F.try_divide(F.max(c) - F.min(c), F.count(c) - 1)
         uneven = F.max("_gap") - F.min("_gap") > 1e-6 * step
         made = steps.groupBy(*keys).agg(
-            F.min(c).alias(f"_o_{c}"), F.when(uneven, F.raise_error(F.lit(f"the axis {c} is not regular"))).otherwise(step).alias(f"_s_{c}"), n.alias(f"_n_{c}")
+            F.min(c).alias(f"_o_{c}"), step.alias(f"_s_{c}"), n.alias(f"_n_{c}"), F.when(uneven, F.sort_array(F.collect_list(c))).alias(f"_a_{c}")
         )
         out = made if out is None else out.join(made, list(keys)) if keys else out.crossJoin(made)  # one row without keys
     return out
@@ -30,10 +33,25 @@ def _with_axis(df: DataFrame, axes: DataFrame, keys: Sequence[str]) -> DataFrame
     return df.join(axes, list(keys)) if keys else df.crossJoin(F.broadcast(axes))  # one row without keys
 
 
+def _searched(axis: Column, v: Column) -> Column:
+    """Position of a value between the coordinates of an axis, beyond its ends by the outer steps."""
+    last = F.size(axis) - 1
+    start = F.struct(F.lit(0).alias("lo"), (last - 1).alias("hi"))
+
+    def halve(s: Column, _) -> Column:
+        middle = F.floor((s["lo"] + s["hi"] + 1) / 2).cast("int")
+        up = F.get(axis, middle) <= v
+        return F.struct(F.when(up, middle).otherwise(s["lo"]).alias("lo"), F.when(up, s["hi"]).otherwise(F.greatest(middle - 1, s["lo"])).alias("hi"))
+
+    k = F.aggregate(F.sequence(F.lit(1), F.ceil(F.log2(F.size(axis) + 1.0)).cast("int")), start, halve)["lo"]
+    return k + (v - F.get(axis, k)) / (F.get(axis, k + 1) - F.get(axis, k))
+
+
 def _place(c: str) -> Column:
     """Position along an axis in steps, free of rounding noise at grid lines."""
     exact = (F.col(c) - F.col(f"_o_{c}")) / F.col(f"_s_{c}")
-    return F.when(F.abs(exact - F.round(exact)) < 1e-9, F.round(exact)).otherwise(exact)
+    even = F.when(F.abs(exact - F.round(exact)) < 1e-9, F.round(exact)).otherwise(exact)
+    return F.when(F.col(f"_a_{c}").isNull(), even).otherwise(_searched(F.col(f"_a_{c}"), F.col(c).cast("double")))
 
 
 def _cells(grid: DataFrame, axes: DataFrame, cols: Sequence[str], values: Sequence[str], keys: Sequence[str]) -> DataFrame:
@@ -42,12 +60,13 @@ def _cells(grid: DataFrame, axes: DataFrame, cols: Sequence[str], values: Sequen
 
 
 def nearest_cell(points: DataFrame, grid: DataFrame, cols: Sequence[str] = ("lat", "lon")) -> DataFrame:
-    """Nearest coordinate of a regular grid, each axis by itself (halves go down, ends hold)."""
+    """Nearest coordinate of a grid, each axis by itself (halves go down, ends hold)."""
     axes = axis(grid, cols)
     out = _with_axis(points, axes, ())
     for c in cols:
         i = F.least(F.greatest(F.ceil(_place(c) - 0.5), F.lit(0)), F.col(f"_n_{c}") - 1)
-        out = out.withColumn(f"cell_{c}", F.col(f"_o_{c}") + i * F.col(f"_s_{c}"))
+        even = F.col(f"_o_{c}") + i * F.col(f"_s_{c}")
+        out = out.withColumn(f"cell_{c}", F.when(F.col(f"_a_{c}").isNull(), even).otherwise(F.get(f"_a_{c}", i.cast("int"))))
     return out.drop(*axes.columns)
 
 
@@ -82,18 +101,23 @@ def interp_bilinear(points: DataFrame, grid: DataFrame, value: str | Sequence[st
     return interp_linear(points, grid, [value] if isinstance(value, str) else value, list(cols), keys, point_id)
 
 
-def bracket_times(points: DataFrame, cube: DataFrame, time_col: str = "time") -> DataFrame:
+def bracket_times(points: DataFrame, cube: DataFrame, time_col: str = "time", pieces: int = PIECES) -> DataFrame:
     """For each distinct point time the cube times before and after it and the weight of the later:
-    (time, t0, t1, wt). Works on irregular time axes; sorts the distinct times only."""
+    (time, t0, t1, wt). Time axes may be irregular. Times are cut into ranges; within one they are
+    sorted, and the last known time before it and the first behind it come from a row of all ranges."""
     known = cube.select(time_col).distinct().withColumn("_known", F.col(time_col))
     wanted = points.select(time_col).distinct().withColumn("_known", F.lit(None).cast("timestamp"))
-    both = known.unionByName(wanted).groupBy(time_col).agg(F.max("_known").alias("_known")).withColumn("_all", F.lit(1))
-    order = Window.partitionBy("_all").orderBy(time_col)
-    out = both.select(
-        time_col,
-        F.last("_known", True).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("t0"),
-        F.first("_known", True).over(order.rowsBetween(0, Window.unboundedFollowing)).alias("t1"),
-    )
+    both = known.unionByName(wanted).groupBy(time_col).agg(F.max("_known").alias("_known"))
+    placed = settle(with_piece(settle(both, "times"), time_col, pieces=pieces), "pieces")
+    ends = placed.groupBy("_piece").agg(F.min("_known").alias("lo"), F.max("_known").alias("hi"))
+    row = ends.agg(F.collect_list(F.struct("_piece", "lo", "hi")).alias("_ends"))  # `pieces` entries at most
+    order = Window.partitionBy("_piece").orderBy(time_col)
+    before = F.array_max(F.transform(F.filter("_ends", lambda e: e["_piece"] < F.col("_piece")), lambda e: e["hi"]))
+    after = F.array_min(F.transform(F.filter("_ends", lambda e: e["_piece"] > F.col("_piece")), lambda e: e["lo"]))
+    out = placed.withColumns({
+        "_t0": F.last("_known", True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
+        "_t1": F.first("_known", True).over(order.rowsBetween(0, Window.unboundedFollowing)),
+    }).crossJoin(F.broadcast(row)).select(time_col, F.coalesce("_t0", before).alias("t0"), F.coalesce("_t1", after).alias("t1"))
     seconds = lambda c: F.unix_timestamp(c)
     part = F.try_divide(seconds(time_col) - seconds("t0"), seconds("t1") - seconds("t0"))
     return out.withColumn("wt", F.coalesce(part, F.when(F.col("t0") == F.col("t1"), 0.0)))

@@ -2,38 +2,56 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from itertools import product
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nivalis.functions.physics import EARTH_RADIUS, haversine, planar
 
-def _with_distance(pairs: DataFrame, prefer_xy: bool) -> DataFrame:
-    from nivalis.functions.physics import haversine, planar
 
+def _with_distance(pairs: DataFrame, prefer_xy: bool) -> DataFrame:
     far = planar("x", "y", "x2", "y2") if prefer_xy else haversine("lon", "lat", "lon2", "lat2")
     return pairs.withColumn("distance", far)
 
 
+def _cells_of(max_range: float, prefer_xy: bool) -> list[Column]:
+    """Cells at least as wide as the range: of the plane, or of space around the unit sphere, which has
+    neither poles nor a date line."""
+    if prefer_xy:
+        return [F.floor(F.col(c) / max_range).alias(f"c{k}") for k, c in enumerate(("x", "y"))]
+    lon, lat = F.radians("lon"), F.radians("lat")
+    place = (F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat))
+    # the chord of the range, and a little more for rounding; beyond half the globe one cell holds all
+    chord = 2 * math.sin(max_range / EARTH_RADIUS / 2) * (1 + 1e-9) if max_range < math.pi * EARTH_RADIUS else 4.0
+    return [F.floor(p / chord).alias(f"c{k}") for k, p in enumerate(place)]
+
+
 def same_hour_pairs(df: DataFrame, value: str, max_range: float, by_region: bool = False, prefer_xy: bool = True, key: str = "site", other: str | None = None) -> DataFrame:
     """Pairs of sites in one hour closer than max_range (planar if prefer_xy, else on the great circle),
     once each, with their values e, e2. Sites meet by hour and by cells as wide as the range, so an hour
-    with many sites is dealt over its cells. Rows without a value are left out; with an `other` value
-    (o, o2), rows without both."""
+    with many sites is dealt over its cells. A site looks into its own cell and into those neighbours
+    that come after it, so each pair of cells meets once. Rows without a value are left out; with an
+    `other` value (o, o2), rows without both."""
     cols = ["x", "y"] if prefer_xy else ["lon", "lat"]
-    # a degree of latitude is 111 km; cells of degrees are made wide enough for latitudes below 80
-    step = {"x": max_range, "y": max_range, "lat": max_range / 111_000, "lon": max_range / 19_000}
     keys = ["hour", *(["region"] if by_region else [])]
     carried = {"e": value} | ({"o": other} if other else {})
     base = df.dropna(subset=cols).dropna("all", subset=list(carried.values()))
     base = base.select(F.date_trunc("hour", "time").alias("hour"), *(["region"] if by_region else []), key, *(F.col(v).alias(c) for c, v in carried.items()), *cols)
-    cell = lambda c: F.floor(F.col(c) / step[c])
-    a, b = cols
-    right = base.select(*keys, F.col(key).alias("k2"), *(F.col(c).alias(f"{c}2") for c in carried), *(F.col(c).alias(f"{c}2") for c in cols), cell(a).alias("ca"), cell(b).alias("cb"))
-    around = F.array(*(F.struct((cell(a) + i).alias("ca"), (cell(b) + j).alias("cb")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    left = base.withColumn("c", F.explode(around)).select(*base.columns, "c.ca", "c.cb")
-    met = left.join(right, [*keys, "ca", "cb"]).filter(F.col(key) < F.col("k2"))
-    return _with_distance(met, prefer_xy).filter(F.col("distance") < max_range)
+    cells = _cells_of(max_range, prefer_xy)
+    names = [f"c{k}" for k in range(len(cells))]
+    placed = base.select("*", *cells)
+    twice = {key: "k2"} | {c: f"{c}2" for c in (*carried, *cols)}
+    right = placed.select(*keys, *names, *(F.col(c).alias(d) for c, d in twice.items()))
+    after = [step for step in product((-1, 0, 1), repeat=len(cells)) if step >= (0,) * len(cells)]
+    around = F.array(*(F.struct(*((F.col(n) + d).alias(n) for n, d in zip(names, step, strict=True)), F.lit(any(step)).alias("_next")) for step in after))
+    left = placed.select(*base.columns, F.explode(around).alias("_c")).select(*base.columns, "_c.*")
+    met = left.join(right, [*keys, *names]).filter(F.when(F.col("_next"), F.col(key) != F.col("k2")).otherwise(F.col(key) < F.col("k2")))
+    turned = F.col(key) > F.col("k2")  # the smaller key comes first
+    out = met.select(*keys, *(F.when(turned, F.col(d)).otherwise(F.col(c)).alias(c) for c, d in twice.items()), *(F.when(turned, F.col(c)).otherwise(F.col(d)).alias(d) for c, d in twice.items()))
+    return _with_distance(out, prefer_xy).filter(F.col("distance") < max_range)
 
 
 def variogram_of_pairs(pairs: DataFrame, max_range: float, n_bins: int, by: Sequence[str] = ()) -> DataFrame:

@@ -106,10 +106,11 @@ def row_sample(df: DataFrame, n: int, keys: Sequence[str], seed: int = 99) -> Da
     return df.orderBy(hash_order(keys, seed), *keys).limit(n)
 
 
-def min_distance_sample(df: DataFrame, distance: float, key: str = "site", seed: int = 99, rounds: int = 50) -> DataFrame:
+def min_distance_sample(df: DataFrame, distance: float, key: str = "site", seed: int = 99) -> DataFrame:
     """Points thinned so that no two kept are closer than `distance`, and every dropped one is close
     to a kept one: in each round a point whose priority beats all undecided neighbours is kept and its
-    neighbours go. Neighbours meet by grid cell, so the join is an equi join."""
+    neighbours go, until none is undecided. Every round decides the best of all undecided points at
+    least. Neighbours meet by grid cell, so the join is an equi join."""
     from nivalis.tables import settle
 
     cell = lambda c: F.floor(F.col(c) / distance)
@@ -120,7 +121,7 @@ def min_distance_sample(df: DataFrame, distance: float, key: str = "site", seed:
     pairs = pairs.filter((F.col(key) != F.col("k2")) & (F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2")) < distance))
     pairs = settle(pairs.select(key, "p", "k2", "p2"), "pairs")
     open_, kept = points.select(key), None
-    for _ in range(rounds):
+    while True:
         live = pairs.join(open_, key, "left_semi").join(open_.withColumnRenamed(key, "k2"), "k2", "left_semi")
         beaten = live.filter(F.struct("p2", "k2") < F.struct("p", F.col(key))).select(key).distinct()
         won = settle(open_.join(beaten, key, "left_anti"), "won")

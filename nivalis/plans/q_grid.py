@@ -25,6 +25,22 @@ register(
     "i01_nearest_cell", lambda g: I.nearest_cell(g("sites"), g("reanalysis")),
     f"{AX}\n--\nSELECT site, a0 + 2 * least(greatest(ceil((lat - a0) / 2 - 0.5e0), 0), 4) AS cell_lat, b0 + 2 * least(greatest(ceil((lon - b0) / 2 - 0.5e0), 0), 4) AS cell_lon FROM sites, ax", ["sites", "reanalysis"], ints="site", vals="cell_lat cell_lon",
 )
+# the same cells on axes whose steps grow: squares of the coordinates
+_squared = lambda df, *cols: df.withColumns({c: F.col(c) * F.col(c) for c in cols})
+UNEVEN = """la AS (SELECT lat * lat AS a, row_number() OVER (ORDER BY lat) - 1 AS k FROM (SELECT DISTINCT lat FROM reanalysis)), lo AS (SELECT lon * lon AS b, row_number() OVER (ORDER BY lon) - 1 AS k FROM (SELECT DISTINCT lon FROM reanalysis)),
+s2 AS (SELECT site, lat * lat AS a, lon * lon AS b FROM sites)"""
+register(
+    "i01_nearest_uneven", lambda g: I.nearest_cell(_squared(g("sites"), "lat", "lon"), _squared(g("reanalysis"), "lat", "lon")),
+    f"{UNEVEN}\n--\nSELECT site, (SELECT arg_min(la.a, (abs(la.a - s2.a), la.a)) FROM la) AS cell_lat, (SELECT arg_min(lo.b, (abs(lo.b - s2.b), lo.b)) FROM lo) AS cell_lon FROM s2", ["sites", "reanalysis"], ints="site", vals="cell_lat cell_lon",
+)
+register(
+    "i02_bilinear_uneven", lambda g: I.interp_bilinear(_squared(g("sites"), "lat", "lon"), _squared(g("reanalysis").groupBy("lat", "lon").agg(F.avg("t2m").alias("t2m")), "lat", "lon"), "t2m", cols=("lat", "lon")),
+    f"""{UNEVEN}, m AS (SELECT lat * lat AS a, lon * lon AS b, avg(t2m) AS v FROM reanalysis GROUP BY 1, 2),
+e AS (SELECT site, x.a AS a0, y.a AS a1, u.b AS b0, v.b AS b1, (s2.a - x.a) / (y.a - x.a) AS p, (s2.b - u.b) / (v.b - u.b) AS q FROM s2 JOIN la x ON s2.a >= x.a JOIN la y ON y.k = x.k + 1 AND s2.a < y.a JOIN lo u ON s2.b >= u.b JOIN lo v ON v.k = u.k + 1 AND s2.b < v.b),
+i AS (SELECT site, (1 - p) * (1 - q) * m00.v + (1 - p) * q * m01.v + p * (1 - q) * m10.v + p * q * m11.v AS t2m FROM e JOIN m m00 ON m00.a = a0 AND m00.b = b0 JOIN m m01 ON m01.a = a0 AND m01.b = b1 JOIN m m10 ON m10.a = a1 AND m10.b = b0 JOIN m m11 ON m11.a = a1 AND m11.b = b1)
+--
+SELECT site, i.t2m FROM s2 LEFT JOIN i USING (site)""", ["sites", "reanalysis"], ints="site", vals="t2m",
+)
 _points = lambda g: g("dem").select("region", F.concat_ws("_", "iy", "ix").alias("site"), (F.col("x") + 3.7).alias("x"), (F.col("y") - 4.2).alias("y"))
 register(
     "i02_interp_bilinear", lambda g: I.interp_bilinear(_points(g), g("dem"), ["dem10m", "svf"], ["region"], ["region", "site"]),

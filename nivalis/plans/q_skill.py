@@ -99,6 +99,15 @@ RES = "e AS (SELECT region, site, time, x, y, gbt_T3 - T3 AS r FROM skill WHERE
 OBS = RES.replace("gbt_T3 - T3 AS r", "T3 AS r")
 BINS = "SELECT b AS bin, avg(power(e1 - e2, 2) / 2) AS gamma, count(e1) AS n_pairs FROM (SELECT unnest(range(20)) AS b) LEFT JOIN p ON CAST(floor(d / 500) AS INT) = b GROUP BY 1"
 register("v01_semivariogram", lambda g: V.semivariogram(g("skill"), "T3", "gbt_T3"), f"{RES}\n--\n{BINS}", K, ints="bin n_pairs", vals="gamma")
+GREAT = "6371000 * 2 * atan2(sqrt(h), sqrt(1 - h))"
+register(
+    "v03_variogram_on_the_globe", lambda g: V.field_variogram(g("skill").withColumns({"lon": F.pmod(F.col("site") * 97.3, F.lit(360.0)) - 180.0, "lat": 90 - F.pmod(F.col("site") * 1.7, F.lit(11.0))}), "T3", 300_000, 12, prefer_xy=False),
+    f"""e AS (SELECT site, time, T3, site * 97.3e0 - 360 * floor(site * 97.3e0 / 360) - 180 AS lon, 90 - (site * 1.7e0 - 11 * floor(site * 1.7e0 / 11)) AS lat FROM skill WHERE T3 IS NOT NULL),
+hv AS (SELECT a.T3 AS e1, b.T3 AS e2, power(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lon - a.lon) / 2), 2) AS h FROM e a JOIN e b ON a.time = b.time AND a.site < b.site),
+p AS (SELECT e1, e2, CAST(floor({GREAT} / 25000) AS INT) AS b FROM hv WHERE {GREAT} < 300000)
+--
+SELECT k AS bin, avg(power(e1 - e2, 2) / 2) AS gamma, count(e1) AS n_pairs FROM (SELECT unnest(range(12)) AS k) LEFT JOIN p ON b = k GROUP BY 1""", K, ints="bin n_pairs", vals="gamma",
+)
 register("v01_semivariogram_by_region", lambda g: V.semivariogram(g("skill"), "T3", "gbt_T3", by_region=True).filter("n_pairs > 0"), f"{RES}\n--\nSELECT ra AS region, CAST(floor(d / 500) AS INT) AS bin, avg(power(e1 - e2, 2) / 2) AS gamma, count(*) AS n_pairs FROM p WHERE ra = rb GROUP BY 1, 2", K, keys="region", ints="bin n_pairs", vals="gamma")
 register("v02_sampled_semivariogram", lambda g: V.sampled_semivariogram(g("skill"), "T3", "gbt_T3"), None, K, ints="bin n_pairs", vals="gamma")
 register("v03_field_variogram", lambda g: V.field_variogram(g("skill"), "T3", co_available="physical_T3"), f"{OBS.replace('FROM skill WHERE', 'FROM skill WHERE physical_T3 IS NOT NULL AND')}\n--\n{BINS}", K, ints="bin n_pairs", vals="gamma")

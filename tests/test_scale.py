@@ -1,7 +1,6 @@
 """What keeps plans sound on large tables, and cases that the reference SQL does not reach."""
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from nivalis.functions import physics as D
@@ -91,10 +90,69 @@ def test_both_variograms_from_one_table_of_pairs(spark):
     assert sorted(map(tuple, apart.select(*columns).collect())) == sorted(map(tuple, once.select(*columns).collect()))
 
 
-def test_an_irregular_axis_is_an_error(spark):
-    grid = spark.createDataFrame([(float(y), float(x), 1.0) for y in (0, 1, 2) for x in (0, 1, 3)], "lat double, lon double, v double")
-    with pytest.raises(Exception, match="not regular"):
-        I.nearest_cell(spark.createDataFrame([(1, 0.4, 0.6)], "site int, lat double, lon double"), grid).collect()
+def test_irregular_axes(spark):
+    ys, xs = [0.0, 1.0, 4.0, 4.5, 11.0], [-3.0, 0.0, 0.25, 9.0]
+    grid = spark.createDataFrame([(y, x, 2 * y - 3 * x + 1) for y in ys for x in xs], "lat double, lon double, v double")
+    rng = np.random.default_rng(3)
+    at = [(k, float(rng.uniform(0, 11)), float(rng.uniform(-3, 9))) for k in range(50)] + [(50, 0.0, -3.0), (51, 11.0, 9.0), (52, 4.25, 0.125), (53, 11.5, 0.0), (54, -1.0, 10.0)]
+    points = spark.createDataFrame(at, "site int, lat double, lon double")
+    near = {r.site: (r.cell_lat, r.cell_lon) for r in I.nearest_cell(points, grid).collect()}
+    line = {r.site: r.v for r in I.interp_bilinear(points, grid, "v", cols=("lat", "lon")).collect()}
+    for k, y, x in at:
+        assert near[k] == (min(ys, key=lambda c: (abs(c - y), c)), min(xs, key=lambda c: (abs(c - x), c)))
+        inside = 0 <= y <= 11 and -3 <= x <= 9
+        assert (line[k] is not None) == inside and (not inside or abs(line[k] - (2 * y - 3 * x + 1)) < 1e-9)
+
+
+def test_times_are_bracketed_range_by_range(spark):
+    rng = np.random.default_rng(5)
+    known, wanted = sorted(map(int, rng.choice(5000, 60, False))), sorted(map(int, rng.choice(6000, 300, False)))
+    frame = lambda t: spark.createDataFrame([(k,) for k in t], "s int").select(F.timestamp_seconds(F.col("s") * 60).alias("time"))
+    for pieces in (1, 7, 64):
+        out = I.bracket_times(frame(wanted), frame(known), pieces=pieces)
+        got = {r.t: (r.a, r.b, r.wt) for r in out.select(*((F.unix_timestamp(c) / 60).cast("int").alias(n) for c, n in (("time", "t"), ("t0", "a"), ("t1", "b"))), "wt").collect()}
+        assert set(got) == set(known) | set(wanted)
+        for t, (a, b, w) in got.items():
+            before, after = max((k for k in known if k <= t), default=None), min((k for k in known if k >= t), default=None)
+            assert (a, b) == (before, after)
+            assert w is None if None in (a, b) else abs(w - (0 if a == b else (t - a) / (b - a))) < 1e-9
+    assert "_all" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_near_the_pole_and_across_the_date_line(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, "2020-01-01 00:00:00", float((179.9 + d) % 360 - 360 * (((179.9 + d) % 360) > 180)), float(lat), 1.0) for k, (d, lat) in enumerate(zip(rng.uniform(0, 0.3, 60), rng.uniform(-1, 1, 60) * 0.1, strict=True))]
+    rows += [(100 + k, "2020-01-01 00:00:00", float(lon), float(lat), 2.0) for k, (lon, lat) in enumerate(zip(rng.uniform(-180, 180, 120), rng.uniform(84.5, 90, 120), strict=True))]
+    rows += [(300, "2020-01-01 00:00:00", 10.0, 90.0, 1.0), (301, "2020-01-01 00:00:00", -170.0, 90.0, 1.0), (302, "2020-01-01 00:00:00", 0.0, -90.0, 1.0)]
+    df = spark.createDataFrame(rows, "site int, t string, lon double, lat double, v double").withColumn("time", F.to_timestamp("t"))
+
+    def far(a, b):
+        h = np.sin(np.radians(b[3] - a[3]) / 2) ** 2 + np.cos(np.radians(a[3])) * np.cos(np.radians(b[3])) * np.sin(np.radians(b[2] - a[2]) / 2) ** 2
+        return 2 * 6371000 * np.arcsin(np.sqrt(h))
+
+    for limit in (10_000.0, 120_000.0, 3e7):
+        want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and far(a, b) < limit}
+        found = [(r.site, r.k2) for r in V.same_hour_pairs(df, "v", limit, prefer_xy=False).collect()]
+        assert len(found) == len(set(found)) and set(found) == want and len(want) > 30
+
+
+def test_a_long_chain_is_thinned_to_its_end(spark):
+    from nivalis.operators import select as P
+
+    n = 400  # every point is close to the next only
+    df = spark.range(n).select(F.col("id").cast("int").alias("site"), (F.col("id") * 10.0).alias("x"), F.lit(0.0).alias("y"))
+    kept = sorted(r.x for r in P.min_distance_sample(df, 15.0).collect())
+    gaps = np.diff([-20.0, *kept, n * 10.0 + 10])
+    assert gaps[1:-1].min() >= 15 and gaps.max() <= 30  # none too close, none left undecided
+
+
+def test_medians_of_large_groups_are_exact(spark):
+    df = spark.range(300_000).select((F.col("id") % 10 == 0).cast("int").alias("g"), F.pmod(F.xxhash64("id"), F.lit(100_003)).cast("double").alias("v"))
+    df = df.unionByName(spark.createDataFrame([(2, None), (None, 5.0), (3, 1.0)], "g int, v double"))
+    out = A.top_groups(df, "g", "v", 3)
+    own = df.toPandas()
+    got = {r.g: (r["count"], r.median) for r in out.collect()}
+    assert got == {0: (270_000, own[own["g"] == 0]["v"].median()), 1: (30_000, own[own["g"] == 1]["v"].median()), None: (1, 5.0)}
 
 
 def test_overwriting_a_partition_leaves_the_others(spark, tmp_path):
