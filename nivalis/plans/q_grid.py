@@ -11,6 +11,7 @@ from nivalis.operators import aggregate as A
 from nivalis.operators import interpolate as I
 from nivalis.operators import select as P
 from nivalis.operators import terrain as T
+from nivalis.plans import dense as DP
 from nivalis.plans import modelling as L
 from nivalis.plans.registry import register
 from nivalis.sources import io
@@ -77,7 +78,14 @@ register(
     "i06_stack_layers", lambda g: I.stack_layers([g("dem").filter("svf > 0.5").select("region", "iy", "ix", "svf"), g("dem").filter("mbi < 1").select("region", "iy", "ix", "mbi")]),
     "SELECT region, iy, ix, CASE WHEN svf > 0.5 THEN svf END AS svf, CASE WHEN mbi < 1 THEN mbi END AS mbi FROM dem WHERE svf > 0.5 OR mbi < 1", DEM, keys="region", ints="iy ix", vals="svf mbi",
 )
-register("i07_interp_like", lambda g: I.interp_like(g("dem").withColumn("mask", F.lit(1.0)), g("dem").select("region", F.col("x"), F.col("y")), "mask"), "SELECT region, x, y, 1 AS mask FROM dem WHERE region NOT IN (SELECT region FROM dem GROUP BY 1 HAVING count(DISTINCT x) = 1) UNION ALL SELECT region, x, y, NULL FROM dem WHERE region IN (SELECT region FROM dem GROUP BY 1 HAVING count(DISTINCT x) = 1)", DEM, keys="region", vals="x y mask")
+register(
+    "i07_interp_like", lambda g: I.interp_like(g("dem").withColumn("mask", F.col("svf")), g("dem").select("region", F.col("x") + 2.5, F.col("y") - 7.5).toDF("region", "x", "y"), "mask"),
+    """ax AS (SELECT region AS r, count(DISTINCT x) AS nx, count(DISTINCT y) AS ny FROM dem GROUP BY 1),
+c AS (SELECT p.region, p.ix, p.iy, (CASE WHEN i = 1 THEN 0.25e0 ELSE 0.75e0 END) * (CASE WHEN j = 1 THEN 0.75e0 ELSE 0.25e0 END) AS w, d.svf FROM dem p JOIN ax ON p.region = r CROSS JOIN (VALUES (0), (1)) a(i) CROSS JOIN (VALUES (0), (1)) b(j) LEFT JOIN dem d ON d.region = p.region AND d.ix = p.ix + i AND d.iy = p.iy + j WHERE nx > 1 AND ny > 1 AND p.ix < 49 AND p.iy < 19),
+v AS (SELECT region, ix, iy, CASE WHEN count(svf) = 4 THEN sum(w * svf) END AS mask FROM c GROUP BY 1, 2, 3)
+--
+SELECT p.region, p.x + 2.5e0 AS x, p.y - 7.5e0 AS y, v.mask FROM dem p LEFT JOIN v ON p.region = v.region AND p.ix = v.ix AND p.iy = v.iy""", DEM, keys="region", vals="x y mask",
+)
 # each region's grid is the model field of a day of January 1995, cells are the sites
 _day = lambda: F.timestamp_seconds(F.lit(788918400) + F.regexp_extract("region", "[0-9]+", 0).cast("int") * 86400)
 register(
@@ -143,9 +151,11 @@ register(
 ASPECT = "((degrees(atan2(sx, sy)) + 360) - 360 * floor((degrees(atan2(sx, sy)) + 360) / 360))"
 register("t06_slope_aspect", lambda g: T.slope_aspect(T.gradient_slope(_full(g))), f"{FULL}, {SLOPE}\n--\nSELECT region, iy, ix, degrees(atan(sqrt(sx * sx + sy * sy))) AS slope_degrees, sin(radians({ASPECT})) AS aspect_sin, cos(radians({ASPECT})) AS aspect_cos FROM sl", vals="slope_degrees aspect_sin aspect_cos", **CELL)
 register("t07_top_position_index", lambda g: T.top_position_index(_full(g), 3), f"{FULL}, {gauss('s', 'dem10m', 3)}\n--\nSELECT f.region, f.iy, f.ix, dem10m - m AS tpi FROM full_ f JOIN s ON f.region = s.region AND f.iy = s.iy AND f.ix = s.ix", vals="tpi", **CELL)
+# the kernel of three is 0, 1, 0: slopes stay, and nulls spread
+T08 = {"slope_degrees": "degrees(atan(sqrt(sx * sx + sy * sy)))", "slope_x_degrees": "degrees(sx)", "slope_y_degrees": "degrees(sy)", "aspect_sin": f"sin(radians({ASPECT}))", "aspect_cos": f"cos(radians({ASPECT}))"}
 register(
     "t08_terrain_features", lambda g: T.terrain_features(_full(g), 3),
-    f"{FULL}, {SLOPE}, {gauss('s', 'dem10m', 3)}, n3 AS (SELECT a.region, a.iy, a.ix, sum(CASE WHEN b.sx IS NULL OR b.sy IS NULL THEN 1 ELSE 0 END) AS holes FROM sl a JOIN sl b ON a.region = b.region AND abs(a.ix - b.ix) <= 1 AND abs(a.iy - b.iy) <= 1 GROUP BY 1, 2, 3)\n--\nSELECT f.region, f.iy, f.ix, CASE WHEN holes = 0 THEN degrees(atan(sqrt(sx * sx + sy * sy))) END AS slope_degrees_w3, dem10m - m AS top_posn_idx_w3 FROM full_ f JOIN s ON f.region = s.region AND f.iy = s.iy AND f.ix = s.ix JOIN sl ON f.region = sl.region AND f.iy = sl.iy AND f.ix = sl.ix JOIN n3 ON f.region = n3.region AND f.iy = n3.iy AND f.ix = n3.ix".replace("CASE WHEN holes = 0 THEN", "CASE WHEN holes = 0 AND dem10m IS NOT NULL THEN"), vals="slope_degrees_w3 top_posn_idx_w3", **CELL,
+    f"{FULL}, {SLOPE}, {gauss('s', 'dem10m', 3)}, n3 AS (SELECT a.region, a.iy, a.ix, sum(CASE WHEN b.sx IS NULL OR b.sy IS NULL THEN 1 ELSE 0 END) AS holes FROM sl a JOIN sl b ON a.region = b.region AND abs(a.ix - b.ix) <= 1 AND abs(a.iy - b.iy) <= 1 GROUP BY 1, 2, 3)\n--\nSELECT f.region, f.iy, f.ix, {', '.join(f'CASE WHEN holes = 0 THEN {e} END AS {n}_w3' for n, e in T08.items())}, dem10m - m AS top_posn_idx_w3 FROM full_ f JOIN s ON f.region = s.region AND f.iy = s.iy AND f.ix = s.ix JOIN sl ON f.region = sl.region AND f.iy = sl.iy AND f.ix = sl.ix JOIN n3 ON f.region = n3.region AND f.iy = n3.iy AND f.ix = n3.ix".replace("CASE WHEN holes = 0 THEN", "CASE WHEN holes = 0 AND dem10m IS NOT NULL THEN"), vals=" ".join(f"{n}_w3" for n in T08) + " top_posn_idx_w3", **CELL,
 )
 register("t09_ruggedness", lambda g: T.ruggedness(_full(g), 3), f"{FULL}, {box('b', 'dem10m', 3)}, t AS (SELECT f.region, f.iy, f.ix, abs(dem10m - m) AS v FROM full_ f JOIN b ON f.region = b.region AND f.iy = b.iy AND f.ix = b.ix), {box('c', 'v', 3, 't')}\n--\nSELECT region, iy, ix, m AS tri_w3 FROM c", vals="tri_w3", **CELL)
 _slopes = lambda g: T.slope_aspect(T.gradient_slope(_full(g)))
@@ -191,8 +201,8 @@ def _sql_static() -> str:
 
 register("t19_static_predictors", lambda g: T.static_predictors(_scales(g), (3, 50)), _sql_static(), vals=" ".join([*STATIC, "slope_diff_w3_w50", "aspect_vecdiff_w3_w50", "tpi_diff_w3_w50", "capi", "cold_bias_potential"]), **CELL)
 register(
-    "t20_hourly_predictors", lambda g: T.hourly_predictors(_pisr(g).withColumn("as", F.col("iy") * 17.0), _times(g).crossJoin(g("dem").select("region").distinct()).withColumns({"sw": F.month("time") * 10.0, "ws": F.lit(5.0), "wd": F.month("time") * 20.0}), "sw", "ws", "wd", "as"),
-    f"{QT}, {EXPO.replace(' - 10', '')}, ex AS (SELECT region, iy, ix, {N('v')} AS e FROM x0_ {W})\n--\nSELECT sf.region, sf.iy, sf.ix, sf.time, month(time) * 10 * solar_factor AS swdown_effective, 5 * (0.4e0 + 0.6e0 * e) AS wind_speed_effective, 5 * cos(radians(month(time) * 20e0 - sf.iy * 17e0)) AS wind_along_slope FROM sf JOIN ex USING (region, iy, ix)", ["dem", "reanalysis"], keys="region", times="time", ints="iy ix", vals="swdown_effective wind_speed_effective wind_along_slope",
+    "t20_hourly_predictors", lambda g: T.hourly_predictors(_pisr(g).withColumn("as", F.col("iy") * 17.0), _times(g).crossJoin(g("dem").select("region").distinct()).withColumns({"sw": F.month("time") * 10.0, "ws": F.month("time") * 1.5, "wd": F.month("time") * 20.0}), "sw", "ws", "wd", "as"),
+    f"{QT}, {EXPO.replace(' - 10', '')}, ex AS (SELECT region, iy, ix, {N('v')} AS e FROM x0_ {W})\n--\nSELECT sf.region, sf.iy, sf.ix, sf.time, month(time) * 10 * solar_factor AS swdown_effective, month(time) * 1.5e0 * (0.4e0 + 0.6e0 * e) AS wind_speed_effective, month(time) * 1.5e0 * cos(radians(month(time) * 20e0 - sf.iy * 17e0)) AS wind_along_slope, month(time) * 1.5e0 * sin(radians(month(time) * 20e0 - sf.iy * 17e0)) AS wind_cross_slope FROM sf JOIN ex USING (region, iy, ix)", ["dem", "reanalysis"], keys="region", times="time", ints="iy ix", vals="swdown_effective wind_speed_effective wind_along_slope wind_cross_slope",
 )
 register("t21_gaussian_smooth_2d", lambda g: T.gaussian_smooth_2d(_full(g), "dem10m", 5.0), f"{FULL}, {gauss('s', 'dem10m', 5)}\n--\nSELECT region, iy, ix, m AS smooth FROM s", vals="smooth", **CELL)
 
@@ -230,6 +240,37 @@ def _predict_grid(g):
     return L.predict_grid(model, grid.drop("region_id"), cube, points, 1996, 3, ["dem10m", "svf"], ["skt"], 400, 0.0, "skt_+000")
 
 
+class _Known:
+    """Predicts a function that SQL knows as well."""
+
+    def transform(self, df):
+        return df.withColumn("predicted_skt_offset", F.col("skt_+000") * 0.1 + F.col("dem10m"))
+
+
+def _predict_months(g):
+    """Every region in every month, written in tiles and read again."""
+    cube = g("reanalysis")
+    grid = g("dem").withColumns({"lat": 66.0 + F.col("iy") / 10.0, "lon": 21.0 + F.col("ix") / 10.0}).drop("region_id")
+    months = cube.select(F.year("time").alias("year"), F.month("time").alias("month")).distinct().crossJoin(g("dem").select("region").distinct())
+    made = DP.predict_months(_Known(), grid, cube, g("dem").select("region", "x", "y"), months, ["dem10m", "svf"], ["skt"], 130, 0.0, "skt_+000")
+    spark = made.sparkSession
+    path = f"{shared_folder(spark)}/dense-{uuid.uuid4().hex}"
+    tiled = made.withColumns({"year": F.year("time"), "month": F.month("time")})
+    DP.write_tiles(tiled, path)
+    return spark.read.schema(tiled.schema).parquet(path)
+
+
+MONTHS = """sp AS (SELECT region AS r, min(iy) AS y0, max(iy) - min(iy) + 1 AS ny, min(ix) AS x0, max(ix) - min(ix) + 1 AS nx FROM dem WHERE dem10m IS NOT NULL AND svf IS NOT NULL GROUP BY 1),
+st AS (SELECT r, y0, x0, min(k) AS k FROM sp, (SELECT unnest(range(1, 60)) AS k) WHERE ceil(ny / k) * ceil(nx / k) <= 130 GROUP BY 1, 2, 3),
+c AS (SELECT region, iy, ix, dem10m, 66e0 + iy / 10e0 AS lat, 21e0 + ix / 10e0 AS lon FROM dem JOIN st ON region = r WHERE dem10m IS NOT NULL AND svf IS NOT NULL AND (iy - y0) % k = 0 AND (ix - x0) % k = 0),
+ts AS (SELECT DISTINCT time FROM reanalysis),
+f AS (SELECT c.*, time, least(floor((lat - 65) / 2), 3) AS la, least(floor((lon - 20) / 2), 3) AS lo FROM c, ts),
+k AS (SELECT f.*, 65 + 2 * (la + i) AS kla, 20 + 2 * (lo + j) AS klo, (CASE WHEN i = 1 THEN (lat - 65) / 2 - la ELSE 1 - ((lat - 65) / 2 - la) END) * (CASE WHEN j = 1 THEN (lon - 20) / 2 - lo ELSE 1 - ((lon - 20) / 2 - lo) END) AS w FROM f CROSS JOIN (VALUES (0), (1)) x(i) CROSS JOIN (VALUES (0), (1)) y(j)),
+v AS (SELECT region, iy, ix, k.time, any_value(dem10m) AS dem10m, CASE WHEN count(skt) = count(*) THEN sum(w * skt) END AS skt FROM k LEFT JOIN reanalysis r ON r.time = k.time AND r.lat = kla AND r.lon = klo WHERE w > 1e-9 GROUP BY 1, 2, 3, 4)"""
+register(
+    "l07_predict_months", _predict_months, f"{MONTHS}\n--\nSELECT region, iy, ix, time, skt * 0.1e0 + dem10m AS predicted_skt_offset, skt * 0.1e0 + dem10m + skt - 273.15e0 AS predicted_skt FROM v",
+    ["dem", "reanalysis"], keys="region", times="time", ints="iy ix", vals="predicted_skt_offset predicted_skt",
+)
 register("l07_predict_grid", _predict_grid, None, ["dem"], keys="region", times="time", ints="iy ix", vals="predicted_skt_offset predicted_skt")
 
 
