@@ -153,9 +153,10 @@ register("t06_slope_aspect", lambda g: T.slope_aspect(T.gradient_slope(_full(g))
 register("t07_top_position_index", lambda g: T.top_position_index(_full(g), 3), f"{FULL}, {gauss('s', 'dem10m', 3)}\n--\nSELECT f.region, f.iy, f.ix, dem10m - m AS tpi FROM full_ f JOIN s ON f.region = s.region AND f.iy = s.iy AND f.ix = s.ix", vals="tpi", **CELL)
 # the kernel of three is 0, 1, 0: slopes stay, and nulls spread
 T08 = {"slope_degrees": "degrees(atan(sqrt(sx * sx + sy * sy)))", "slope_x_degrees": "degrees(sx)", "slope_y_degrees": "degrees(sy)", "aspect_sin": f"sin(radians({ASPECT}))", "aspect_cos": f"cos(radians({ASPECT}))"}
+HOLES = {"slope_x_degrees": "holes_x", "slope_y_degrees": "holes_y"}
 register(
     "t08_terrain_features", lambda g: T.terrain_features(_full(g), 3),
-    f"{FULL}, {SLOPE}, {gauss('s', 'dem10m', 3)}, n3 AS (SELECT a.region, a.iy, a.ix, sum(CASE WHEN b.sx IS NULL OR b.sy IS NULL THEN 1 ELSE 0 END) AS holes FROM sl a JOIN sl b ON a.region = b.region AND abs(a.ix - b.ix) <= 1 AND abs(a.iy - b.iy) <= 1 GROUP BY 1, 2, 3)\n--\nSELECT f.region, f.iy, f.ix, {', '.join(f'CASE WHEN holes = 0 THEN {e} END AS {n}_w3' for n, e in T08.items())}, dem10m - m AS top_posn_idx_w3 FROM full_ f JOIN s ON f.region = s.region AND f.iy = s.iy AND f.ix = s.ix JOIN sl ON f.region = sl.region AND f.iy = sl.iy AND f.ix = sl.ix JOIN n3 ON f.region = n3.region AND f.iy = n3.iy AND f.ix = n3.ix".replace("CASE WHEN holes = 0 THEN", "CASE WHEN holes = 0 AND dem10m IS NOT NULL THEN"), vals=" ".join(f"{n}_w3" for n in T08) + " top_posn_idx_w3", **CELL,
+    f"{FULL}, {SLOPE}, {gauss('s', 'dem10m', 3)}, n3 AS (SELECT a.region, a.iy, a.ix, sum(CASE WHEN b.sx IS NULL OR b.sy IS NULL THEN 1 ELSE 0 END) AS holes, sum(CASE WHEN b.sx IS NULL THEN 1 ELSE 0 END) AS holes_x, sum(CASE WHEN b.sy IS NULL THEN 1 ELSE 0 END) AS holes_y FROM sl a JOIN sl b ON a.region = b.region AND abs(a.ix - b.ix) <= 1 AND abs(a.iy - b.iy) <= 1 GROUP BY 1, 2, 3)\n--\nSELECT f.region, f.iy, f.ix, {', '.join(f'CASE WHEN {HOLES.get(n, "holes")} = 0 THEN {e} END AS {n}_w3' for n, e in T08.items())}, dem10m - m AS top_posn_idx_w3 FROM full_ f JOIN s ON f.region = s.region AND f.iy = s.iy AND f.ix = s.ix JOIN sl ON f.region = sl.region AND f.iy = sl.iy AND f.ix = sl.ix JOIN n3 ON f.region = n3.region AND f.iy = n3.iy AND f.ix = n3.ix".replace(" = 0 THEN", " = 0 AND dem10m IS NOT NULL THEN"), vals=" ".join(f"{n}_w3" for n in T08) + " top_posn_idx_w3", **CELL,
 )
 register("t09_ruggedness", lambda g: T.ruggedness(_full(g), 3), f"{FULL}, {box('b', 'dem10m', 3)}, t AS (SELECT f.region, f.iy, f.ix, abs(dem10m - m) AS v FROM full_ f JOIN b ON f.region = b.region AND f.iy = b.iy AND f.ix = b.ix), {box('c', 'v', 3, 't')}\n--\nSELECT region, iy, ix, m AS tri_w3 FROM c", vals="tri_w3", **CELL)
 _slopes = lambda g: T.slope_aspect(T.gradient_slope(_full(g)))
