@@ -5,6 +5,7 @@ binary search in its sorted coordinates, so every join is an equi join. Axes of
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,31 +71,50 @@ def nearest_cell(points: DataFrame, grid: DataFrame, cols: Sequence[str] = ("lat
     return out.drop(*axes.columns)
 
 
+def _packed(cells: DataFrame, cols: Sequence[str], values: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """For each place a row with the values of its 2^d corners, as <value>_<corner>, corners in the order
+    of their steps; so a point needs one join and no regrouping. Places that lack all are absent."""
+    index = [f"_i_{c}" for c in cols]
+    corners = F.array(*(
+        F.struct(*((F.col(i) - e).cast("int").alias(i) for i, e in zip(index, steps, strict=True)), F.lit(k).alias("_k"))
+        for k, steps in enumerate(product((0, 1), repeat=len(cols)))
+    ))
+    dealt = cells.select(*keys, *values, F.explode(corners).alias("_c")).select(*keys, *values, "_c.*")
+    return dealt.groupBy(*keys, *index).agg(*(F.max(F.when(F.col("_k") == k, F.col(v))).alias(f"_{k}_{v}") for v in values for k in range(2 ** len(cols))))
+
+
+def _placed(at: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Points with axes get _i_<col>, the grid line before them, _w_<col>, the share of the next one, and
+    _inside. The last grid line belongs to the cell before it."""
+    inside = F.lit(True)
+    for c in cols:
+        inside = inside & _place(c).between(0, F.col(f"_n_{c}") - 1)
+    at = at.withColumns({"_inside": F.coalesce(inside, F.lit(False))} | {f"_p_{c}": _place(c) for c in cols})
+    at = at.withColumns({f"_i_{c}": F.least(F.floor(f"_p_{c}"), F.greatest(F.col(f"_n_{c}") - 2, F.lit(0))).cast("int") for c in cols})
+    return at.withColumns({f"_w_{c}": F.col(f"_p_{c}") - F.col(f"_i_{c}") for c in cols})
+
+
+def _blended(value: str, cols: Sequence[str], prefix: str = "") -> Column:
+    """Sum of the corners by weight; null where a corner with weight is missing."""
+    out = F.lit(0.0)
+    for k, steps in enumerate(product((0, 1), repeat=len(cols))):
+        w = F.lit(1.0)
+        for c, e in zip(cols, steps, strict=True):
+            w = w * (F.col(f"_w_{c}") if e else 1 - F.col(f"_w_{c}"))
+        out = out + F.when(w > 0, w * F.col(f"{prefix}_{k}_{value}")).otherwise(0.0)
+    return out
+
+
 def interp_linear(points: DataFrame, grid: DataFrame, values: Sequence[str], cols: Sequence[str], keys: Sequence[str] = (), point_id: Sequence[str] = ("site",)) -> DataFrame:
     """Linear in every axis from the 2^d corners; null outside the grid or where a corner with weight
     is missing. Points keep the columns keys and point_id."""
     own = [*dict.fromkeys([*keys, *point_id])]
     axes = settle(axis(grid, cols, keys), "axes")  # used for the points and for the cells
-    at = _with_axis(points.select(*dict.fromkeys([*own, *cols])), axes, keys)
-    inside = F.lit(True)
-    for c in cols:
-        inside = inside & _place(c).between(0, F.col(f"_n_{c}") - 1)
-    for c in cols:  # the last grid line belongs to the cell before it
-        at = at.withColumn(f"_f_{c}", F.least(F.floor(_place(c)), F.greatest(F.col(f"_n_{c}") - 2, F.lit(0))))
-        at = at.withColumn(f"_w_{c}", _place(c) - F.col(f"_f_{c}"))
-    corners = [F.struct(F.lit(1.0).alias("w"))]
-    for c in cols:
-        corners = [
-            F.struct(*(k[f"_i_{d}"].alias(f"_i_{d}") for d in cols[: cols.index(c)]), (F.col(f"_f_{c}") + e).cast("int").alias(f"_i_{c}"), (k["w"] * (F.col(f"_w_{c}") if e else 1 - F.col(f"_w_{c}"))).alias("w"))
-            for k in corners
-            for e in (0, 1)
-        ]
-    dealt = at.filter(inside).select(*own, F.explode(F.array(*corners)).alias("_k")).select(*own, "_k.*").filter("w > 0")
-    met = dealt.join(_cells(grid, axes, cols, values, keys), [*keys, *(f"_i_{c}" for c in cols)], "left")
-    found = met.groupBy(*own).agg(
-        *(F.when(F.count(v) == F.count("*"), F.sum(F.col("w") * F.col(v))).alias(v) for v in values)
-    )
-    return points.select(*own).join(found, own, "left")
+    at = points.select(*dict.fromkeys([*own, *cols]))
+    at = _placed(at.join(axes, list(keys), "left") if keys else at.crossJoin(F.broadcast(axes)), cols)  # one row without keys
+    near = _packed(_cells(grid, axes, cols, values, keys), cols, values, keys)
+    met = at.select(*dict.fromkeys([*own, *cols]), "_inside", *(f"{p}{c}" for p in ("_i_", "_w_") for c in cols)).join(near, [*keys, *(f"_i_{c}" for c in cols)], "left")
+    return met.select(*own, *(F.when(F.col("_inside"), _blended(v, cols)).alias(v) for v in values))
 
 
 def interp_bilinear(points: DataFrame, grid: DataFrame, value: str | Sequence[str], keys: Sequence[str] = (), point_id: Sequence[str] = ("site",), cols: Sequence[str] = ("x", "y")) -> DataFrame:
@@ -125,35 +145,19 @@ def bracket_times(points: DataFrame, cube: DataFrame, time_col: str = "time", pi
 
 def interp_trilinear(points: DataFrame, cube: DataFrame, values: Sequence[str], point_id: Sequence[str] = ("site", "time"), cols: Sequence[str] = ("lat", "lon")) -> DataFrame:
     """Bilinear in space at the two bracketing times, linear between them."""
-    times = bracket_times(points, cube)
-    ends = points.join(times, "time").select(
-        *dict.fromkeys([*point_id, *cols]), F.explode(F.array(
-            F.struct(F.col("t0").alias("at"), (1 - F.col("wt")).alias("share")), F.struct(F.col("t1").alias("at"), F.col("wt").alias("share")),
-        )).alias("e"),
-    ).select(*point_id, *(c for c in cols if c not in point_id), F.col("e.at").alias("_at"), F.col("e.share").alias("_share")).filter("_share > 0")
-    grid = cube.select(F.col("time").alias("_at"), *cols, *values)
     axes = settle(axis(cube, cols), "axes")  # one row, used twice
-    axes_grid = grid.crossJoin(F.broadcast(axes))
-    index = {f"_i_{c}": F.round(_place(c)).cast("int") for c in cols}
-    cells = axes_grid.select("_at", *(v.alias(k) for k, v in index.items()), *values)
-    at = ends.crossJoin(F.broadcast(axes))
-    inside = F.lit(True)
-    for c in cols:
-        inside = inside & _place(c).between(0, F.col(f"_n_{c}") - 1)
-        at = at.withColumn(f"_f_{c}", F.least(F.floor(_place(c)), F.greatest(F.col(f"_n_{c}") - 2, F.lit(0))))
-        at = at.withColumn(f"_w_{c}", _place(c) - F.col(f"_f_{c}"))
-    a, b = cols
-    corners = F.array(*(
-        F.struct(
-            (F.col(f"_f_{a}") + i).cast("int").alias(f"_i_{a}"), (F.col(f"_f_{b}") + j).cast("int").alias(f"_i_{b}"),
-            (F.col("_share") * (F.col(f"_w_{a}") if i else 1 - F.col(f"_w_{a}")) * (F.col(f"_w_{b}") if j else 1 - F.col(f"_w_{b}"))).alias("w"),
-        )
-        for i in (0, 1) for j in (0, 1)
-    ))
-    dealt = at.filter(inside).select(*point_id, "_at", F.explode(corners).alias("_k")).select(*point_id, "_at", "_k.*").filter("w > 0")
-    met = dealt.join(cells, ["_at", *(f"_i_{c}" for c in cols)], "left")
-    found = met.groupBy(*point_id).agg(*(F.when(F.count(v) == F.count("*"), F.sum(F.col("w") * F.col(v))).alias(v) for v in values))
-    return points.select(*point_id).join(found, list(point_id), "left")
+    cells = _cells(cube.withColumnRenamed("time", "_at"), axes, cols, ["_at", *values], ())
+    near = settle(_packed(cells, cols, values, ["_at"]), "corners")  # joined at either time
+    own = [*dict.fromkeys([*point_id, *cols])]
+    at = _placed(points.join(bracket_times(points, cube), "time", "left").select(*own, "t0", "t1", "wt").crossJoin(F.broadcast(axes)), cols)
+    index = [f"_i_{c}" for c in cols]
+    at = at.select(*own, "t0", "t1", "wt", "_inside", *index, *(f"_w_{c}" for c in cols))
+    packed = [f"_{k}_{v}" for v in values for k in range(2 ** len(cols))]
+    for side, t in (("a", "t0"), ("b", "t1")):
+        at = at.join(near.select(F.col("_at").alias(t), *index, *(F.col(c).alias(f"{side}{c}") for c in packed)), [t, *index], "left")
+    here = F.col("_inside") & F.col("wt").isNotNull()
+    mixed = lambda v: F.when(F.col("wt") < 1, (1 - F.col("wt")) * _blended(v, cols, "a")).otherwise(0.0) + F.when(F.col("wt") > 0, F.col("wt") * _blended(v, cols, "b")).otherwise(0.0)
+    return at.select(*point_id, *(F.when(here, mixed(v)).alias(v) for v in values))
 
 
 def regrid(grid: DataFrame, lats: Sequence[float], lons: Sequence[float], values: Sequence[str], method: str = "nearest") -> DataFrame:
