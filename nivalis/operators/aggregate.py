@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nivalis.operators.ranges import before_piece, join_groups, quantiles, with_piece
+from nivalis.operators.ranges import LARGE, before_piece, join_groups, medians, quantiles, with_piece
 from nivalis.tables import settle
 
 from nivalis.functions.timecols import day_of_year, hour_of_year
@@ -73,20 +73,21 @@ def hour_of_year_summary(df: DataFrame, values: Sequence[str], by: str = "region
     return named.groupBy(by, "hoy").agg(*(f(v).alias(f"{v}_{s}") for v in values for s, f in stats.items()))
 
 
-def spatial_anomaly(df: DataFrame, value: str, time: Sequence[str] = ("time",)) -> DataFrame:
-    """Value less the median over all cells of its time."""
-    middle = df.groupBy(*time).agg(F.median(value).alias("_m"))
+def spatial_anomaly(df: DataFrame, value: str, time: Sequence[str] = ("time",), large: int = LARGE) -> DataFrame:
+    """Value less the median over all cells of its time. A time may have any number of cells."""
+    middle = medians(df, value, list(time), "_m", large)
     return df.join(middle, list(time)).withColumn("anomaly", F.col(value) - F.col("_m")).drop("_m")
 
 
-def median_anomaly_map(df: DataFrame, value: str, cell: Sequence[str], time: Sequence[str] = ("time",)) -> DataFrame:
-    return spatial_anomaly(df, value, time).groupBy(*cell).agg(F.median("anomaly").alias("anomaly"))
+def median_anomaly_map(df: DataFrame, value: str, cell: Sequence[str], time: Sequence[str] = ("time",), large: int = LARGE) -> DataFrame:
+    named = df.withColumn("anomaly", F.col(value))  # as many values, but for null times
+    return medians(spatial_anomaly(df, value, time, large), "anomaly", list(cell), "anomaly", large, named)
 
 
 def temporal_anomaly(df: DataFrame, value: str, cell: Sequence[str]) -> DataFrame:
     """Value less its cell's median of the calendar month."""
     named = df.withColumn("month", F.month("time"))
-    usual = named.groupBy(*cell, "month").agg(F.median(value).alias("_m"))
+    usual = medians(named, value, [*cell, "month"], "_m")
     return named.join(usual, [*cell, "month"]).withColumn("anomaly", F.col(value) - F.col("_m")).drop("_m")
 
 
@@ -95,7 +96,8 @@ def season(time: str = "time"):
 
 
 def seasonal_anomaly_map(df: DataFrame, value: str, cell: Sequence[str]) -> DataFrame:
-    return spatial_anomaly(df, value).groupBy(season().alias("season"), *cell).agg(F.median("anomaly").alias("anomaly"))
+    placed = spatial_anomaly(df, value).withColumn("season", season())
+    return medians(placed, "anomaly", ["season", *cell], "anomaly", like=df.withColumns({"season": season(), "anomaly": F.col(value)}))
 
 
 def monthly_site_error(df: DataFrame, obs: str, models: Sequence[str]) -> DataFrame:

@@ -146,6 +146,18 @@ def test_a_long_chain_is_thinned_to_its_end(spark):
     assert gaps[1:-1].min() >= 15 and gaps.max() <= 30  # none too close, none left undecided
 
 
+def test_medians_are_the_same_in_one_aggregate_and_range_by_range(spark):
+    rng = np.random.default_rng(11)
+    rows = [(f"2020-01-0{1 + k % 3} 00:00:00", int(c), None if rng.uniform() < 0.1 else float(rng.integers(0, 40))) for k in range(3) for c in range(200 - 80 * k)]
+    df = spark.createDataFrame(rows, "t string, cell int, v double").withColumn("time", F.to_timestamp("t"))
+    assert ranges.LARGE >= 100_000
+    want = sorted(map(tuple, df.groupBy("time").agg(F.median("v")).collect()))
+    for large in (0, 100, 10_000):
+        assert sorted(map(tuple, ranges.medians(df, "v", ["time"], "m", large).collect())) == want
+    maps = [sorted(map(tuple, A.median_anomaly_map(df, "v", ["cell"], large=n).collect()), key=str) for n in (1, 100, 10_000)]
+    assert maps[0] == maps[1] == maps[2] and len(maps[0]) == 200
+
+
 def test_medians_of_large_groups_are_exact(spark):
     df = spark.range(300_000).select((F.col("id") % 10 == 0).cast("int").alias("g"), F.pmod(F.xxhash64("id"), F.lit(100_003)).cast("double").alias("v"))
     df = df.unionByName(spark.createDataFrame([(2, None), (None, 5.0), (3, 1.0)], "g int, v double"))
