@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nivalis.plans import lasso
-from nivalis.tables import settle
 
 OFFSETS = ("T1_offset", "T2_offset", "T3_offset")
 # Default settings of the boosted trees and of the bagged sparse linear model.
