@@ -17,9 +17,9 @@ Result, per input row: doc_id; class_id, the smallest doc_id that links of simil
 included); text_class, the smallest doc_id of the same shingle set.
 
 Defined cases: null, empty and blank texts link to nothing (class_id is their own id); rows with a
-null id are compared by text but never represent a class, so they get a null class_id unless a
-document with an id has the same set; repeated rows are copies of each other; an empty table gives
-an empty table.  Only the named columns are read.
+null id are linked like others but never name a class, so class_id is null where no linked document
+has an id, and text_class where none of the same set has; repeated rows are copies of each other; an
+empty table gives an empty table.  Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nivalis.llm.components import components, with_least
@@ -82,8 +82,13 @@ class MinHash:
         return mix(joined + np.arange(self.bands, dtype=np.uint64)).view(np.int64)
 
 
+def _same_text() -> Column:
+    """128 bits that name a text."""
+    return F.unhex(F.md5("text")).alias("same")
+
+
 def fingerprints(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n, d1, d2, bands) of each (doc_id, text) row."""
+    """(doc_id, same, n, d1, d2, bands) of each (doc_id, text) row; `same` names the text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         minhash = MinHash(bands, rows)
@@ -94,10 +99,10 @@ def fingerprints(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFr
                 for k in range(hi - lo):
                     own = shingle_set(words.hashes[words.doc(k)], shingle)
                     out.append((len(own), *set_digest(own), minhash.keys(own) if len(own) else np.zeros(0, np.int64)))
-            yield pd.DataFrame(out, columns=["n", "d1", "d2", "bands"]).assign(doc_id=pdf["doc_id"].to_numpy())
+            yield pd.DataFrame(out, columns=["n", "d1", "d2", "bands"]).assign(doc_id=pdf["doc_id"].to_numpy(), same=pdf["same"].to_numpy())
 
-    made = docs.select(carried("doc_id").alias("doc_id"), "text")
-    made = made.mapInPandas(run, "n long, d1 long, d2 long, bands array<long>, doc_id string")
+    made = docs.select(carried("doc_id").alias("doc_id"), _same_text(), "text")
+    made = made.mapInPandas(run, "n long, d1 long, d2 long, bands array<long>, doc_id string, same binary")
     return made.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -176,8 +181,9 @@ def _by_group(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.D
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """Nodes (node, rep, d1, d2, weight, bands) with their shingle sets, from the text of a row that has them."""
-    rows = docs.join(nodes.withColumnRenamed("rep", "doc_id"), "doc_id").drop("doc_id")
+    """Nodes (node, same, weight, bands) with their shingle sets, each once: repeats of a text are
+    reduced to one before they are shuffled."""
+    rows = docs.select(_same_text(), "text").dropDuplicates(["same"]).join(nodes, "same").drop("same")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -185,15 +191,13 @@ def _sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
             for lo, hi in by_bytes(texts):
                 words = split_words(texts[lo:hi])
                 found += [shingle_set(words.hashes[words.doc(k)], shingle) for k in range(hi - lo)]
-            same = [set_digest(s) == (a, b) for s, a, b in zip(found, pdf["d1"], pdf["d2"], strict=True)]
-            yield pdf[["node", "weight", "bands"]].assign(shingles=[s.tobytes() for s in found])[same]
+            yield pdf[["node", "weight", "bands"]].assign(shingles=[s.tobytes() for s in found])
 
     return rows.mapInPandas(run, "node long, weight long, bands array<long>, shingles binary")
 
 
 def verified_links(sets: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
-    """(node, links, label) summed over block pairs. sets: node, weight, bands, shingles (a node may
-    come repeatedly); units: node, band (-1: a whole candidate group), unit, blocks."""
+    """(node, links, label) summed over block pairs. sets: node, weight, bands, shingles; units: node, band (-1: a whole candidate group), unit, blocks."""
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda j: F.struct(
@@ -206,7 +210,6 @@ def verified_links(sets: DataFrame, units: DataFrame, threshold: float) -> DataF
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in _by_group(batches, ["band", "unit", "bi", "bj"]):
-            group = group.drop_duplicates(["node"])
             ids, side = group["node"].to_numpy(np.int64), group["side"].to_numpy()
             sets = [np.frombuffer(s, dtype=np.uint64) for s in group["shingles"]]
             earlier = np.stack(group["earlier"].to_list()).astype(np.int64) if group["band"].iloc[0] > 0 else None
@@ -248,15 +251,15 @@ def near_duplicates(
     prints = settle(fingerprints(docs, shingle, bands, rows), "prints")
     filled = prints.filter("n > 0")
     classes = filled.groupBy("d1", "d2").agg(
-        F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.first("bands").alias("bands")
+        F.min("doc_id").alias("rep"), F.min("same").alias("same"), F.count("*").alias("weight"), F.first("bands").alias("bands")
     )
     classes = settle(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
-    met = classes.filter("rep is not null").select(F.col("node").alias("v"), F.posexplode("bands").alias("band", "u"))
+    met = classes.select(F.col("node").alias("v"), F.posexplode("bands").alias("band", "u"))
     shared = settle(with_least(met).filter("n > 1").withColumnsRenamed({"u": "key", "v": "node"}), "shared")
     groups = settle(components(shared.select(F.col("node").alias("u"), F.col("m").alias("v"))), "groups")
     units = _units(groups, shared, block)
-    nodes = classes.join(groups.select("node"), "node", "left_semi").select("node", "rep", "d1", "d2", "weight", "bands")
+    nodes = classes.join(groups.select("node"), "node", "left_semi").select("node", "same", "weight", "bands")
     links = settle(verified_links(_sets(docs, nodes, shingle), units, threshold), "links")
     discard(shared, groups)
     clusters = components(links.select(F.col("node").alias("u"), F.col("label").alias("v"))).withColumnRenamed("component", "cluster")

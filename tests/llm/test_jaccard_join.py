@@ -2,9 +2,11 @@ import random
 from itertools import combinations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from nivalis.llm import jaccard_join as J
 from nivalis.llm.queries import op3_jaccard_join
+from nivalis.llm.tables import settle
 
 
 def shingles(text, n=5):
@@ -103,6 +105,30 @@ def test_null_ids_repeated_rows_and_empty_tables(documents):
     assert J.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_rows_without_an_id_are_linked_to_near_texts(documents):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    texts = family(rng, base, 30, 4) + family(rng, [f"v{i}" for i in range(90)], 6, 1)
+    ids = [None if i % 3 == 0 or i >= 30 else i for i in range(36)]  # the second family has no id at all
+    want = brute(list(enumerate(texts)))
+    for block in (1024, 8):
+        got = J.near_duplicates(documents([(i, t, "en") for i, t in zip(ids, texts, strict=True)]), block=block).collect()
+        named = {c: min((ids[j] for j in range(36) if want[j][0] == c and ids[j] is not None), default=None) for c, _ in want.values()}
+        expected = [(ids[k], named[want[k][0]], want[k][1]) for k in range(36)]
+        assert sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in got) == sorted((str(a), str(b), c) for a, b, c in expected)
+
+
+def test_a_document_repeated_very_often_sends_its_set_once(spark, monkeypatch):
+    text, seen = " ".join(f"w{i}" for i in range(60)), []
+    sets = J._sets
+    monkeypatch.setattr(J, "_sets", lambda *a: seen.append(settle(sets(*a), "sets")) or seen[-1])
+    table = spark.range(100_000).select(F.when(F.col("id") > 10, 7).otherwise(F.col("id")).alias("doc_id"), F.lit(text).alias("text"))
+    table = table.unionByName(spark.createDataFrame([(100, text + " more")], table.schema))
+    got = J.near_duplicates(table).groupBy("class_id").agg(F.count("*").alias("rows"), F.min("n_links").alias("links")).collect()
+    assert [tuple(r) for r in got] == [(0, 100_001, 100_000)]
+    assert seen[0].count() == 2
+
+
 def test_bands_reach_the_recall():
     for recall in (0.9, 0.999, 0.9999):
         bands, rows = J.choose_bands(0.8, recall)
