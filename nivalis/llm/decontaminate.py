@@ -16,21 +16,28 @@ repeated documents are each reported; items that repeat are each named; null ite
 ignored.  Only the named columns are read.
 
 The benchmark is cut into blocks of about `block_bytes` of text, with one pass over the documents
-per block.  A task holds one block; the driver keeps the blocks it has sent until the result is
-written, so it must have room for the benchmark (not for anything of the corpus).
+per block.  A task and the driver hold one block at a time.  With several blocks the benchmark is
+written once, sorted by block; the hits of a pass are written and its block is destroyed before the
+next one is read.
+
+Words are told apart by 64 bits: that any of v words of a benchmark equals another one of V words of
+the corpus is expected v V / 2^64 times (5e-5 for 10^6 and 10^9), and the other words of the window
+must match as well.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nivalis.llm.tables import carried, settle
+from nivalis.llm.tables import carried, discard, settle
 from nivalis.llm.words import ALNUM_SEPARATORS, LOWER_AZ, HashTable, by_bytes, split_words, window_hashes
 
 #: Leading words by which positions are admitted to a suffix array.
@@ -160,14 +167,33 @@ def search_shard(texts: list[str | None], test: TestSuffixes) -> list[tuple[int,
     return out
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[int, list[tuple[str, str | None]]]]:
-    """The number of blocks and a block of the benchmark each."""
-    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).dropna()
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> tuple[int, DataFrame]:
+    """The number of blocks, and the benchmark as (block, item, text), by block if there are several."""
+    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).dropna().distinct()
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     blocks = max(1, -(-int(total) // block_bytes))
-    for k in range(blocks):
-        mine = rows if blocks == 1 else rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        yield blocks, [(r["item"], r["text"]) for r in mine.toLocalIterator()]
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)).cast("int"))
+    return blocks, settle(rows.orderBy("block"), "blocks") if blocks > 1 else rows
+
+
+def _searched(rows: DataFrame, sent: Broadcast) -> DataFrame:
+    """Rows (row, id, text) searched for a block of suffixes."""
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = pdf["text"].tolist()
+            found = [x for lo, hi in by_bytes(texts) for x in search_shard(texts[lo:hi], sent.value)]
+            yield pd.DataFrame({
+                "row": pdf["row"],
+                "id": pdf["id"],
+                "n_words": [x[0] for x in found],
+                "begins": [x[1].astype(np.int32) for x in found],
+                "ends": [x[2].astype(np.int32) for x in found],
+                "items": [sorted({m[0] for m in x[3]}) for x in found],
+                "matches": [[dict(zip(_MATCH, m, strict=True)) for m in x[3]] for x in found],
+            })
+
+    return rows.mapInPandas(search, f"row long, id string, n_words long, begins array<int>, ends array<int>, items array<string>, matches {_MATCHES}")
 
 
 def matches(
@@ -178,37 +204,28 @@ def matches(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
-    block_bytes: int = 32_000_000,
+    block_bytes: int = 8_000_000,
 ) -> DataFrame:
     """One row per input row: (id, n_words, begins, ends, items, matches). Words begins[i]..ends[i]-1
     are covered by matches; `matches` lists the longest ones, each with its item, its place in the
     item and in the document, and its words. With several blocks, rows get a written key to be merged by."""
     rows = docs.select(F.lit(0).cast("long").alias("row"), carried(id_col).alias("id"), F.col(text_col).alias("text"))
-    passes = []
-    for blocks, block in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        if blocks > 1 and not passes:
-            rows = settle(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-        sent = docs.sparkSession.sparkContext.broadcast(test_suffixes(block, window))
-
-        def search(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                texts = pdf["text"].tolist()
-                found = [x for lo, hi in by_bytes(texts) for x in search_shard(texts[lo:hi], sent.value)]
-                yield pd.DataFrame({
-                    "row": pdf["row"],
-                    "id": pdf["id"],
-                    "n_words": [x[0] for x in found],
-                    "begins": [x[1].astype(np.int32) for x in found],
-                    "ends": [x[2].astype(np.int32) for x in found],
-                    "items": [sorted({m[0] for m in x[3]}) for x in found],
-                    "matches": [[dict(zip(_MATCH, m, strict=True)) for m in x[3]] for x in found],
-                })
-
-        passes.append(rows.mapInPandas(search, f"row long, id string, n_words long, begins array<int>, ends array<int>, items array<string>, matches {_MATCHES}"))
-    out = passes[0]
-    for more in passes[1:]:
-        out = out.unionByName(more)
-    if len(passes) > 1:
+    context = docs.sparkSession.sparkContext
+    blocks, items = _blocks(benchmark, item_col, item_text_col, block_bytes)
+    if blocks == 1:
+        block = [(r["item"], r["text"]) for r in items.toLocalIterator()]
+        out = _searched(rows, context.broadcast(test_suffixes(block, window))).drop("row")
+    else:
+        rows = settle(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+        passes = []
+        for k in range(blocks):
+            block = [(r["item"], r["text"]) for r in items.filter(F.col("block") == k).toLocalIterator()]
+            sent = context.broadcast(test_suffixes(block, window))
+            found = _searched(rows, sent)  # the first pass keeps all rows, the others those with hits
+            passes.append(settle(found.filter(F.size("items") > 0) if k else found, "found"))
+            sent.destroy()
+        discard(rows, items)
+        out = reduce(DataFrame.unionByName, passes)
         merged = out.groupBy("row").agg(
             F.first("id").alias("id"),
             F.first("n_words").alias("n_words"),

@@ -100,3 +100,25 @@ def test_longest_matches_and_places_equal_brute_force(spark, documents):
         for r in D.matches(documents([(d, t, "en") for d, t in docs]), bench, window=4, block_bytes=block_bytes).collect():
             got = [(m["item"], m["item_begin"], m["begin"], m["n_words"]) for m in r["matches"]]
             assert len(got) == len(set(got)) and set(got) == brute_matches(dict(docs)[r.doc_id], items, 4)
+
+
+def test_many_blocks_are_sent_one_after_the_other(spark, documents, monkeypatch):
+    rng = random.Random(6)
+    say = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    items = [(i, say(rng.randrange(1, 60))) for i in range(300)] * 2
+    docs = [(i, say(20) + " " + " ".join(items[rng.randrange(300)][1] for _ in range(2))) for i in range(80)]
+    live, most = set(), []
+    send, kind = spark.sparkContext.broadcast, D.Broadcast
+
+    def counted(value):
+        live.add(sent := send(value))
+        most.append(len(live))
+        return sent
+
+    destroy = kind.destroy
+    monkeypatch.setattr(spark.sparkContext, "broadcast", counted)
+    monkeypatch.setattr(kind, "destroy", lambda self, *a: live.discard(self) or destroy(self, *a))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = collected(D.report(D.matches(documents([(d, t, "en") for d, t in docs]), bench, block_bytes=8_000)))
+    assert got == brute(docs, items, 10)
+    assert len(most) >= 5 and max(most) == 1 and not live
