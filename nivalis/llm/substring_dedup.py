@@ -18,8 +18,9 @@ judged on the input.
    has elsewhere, that id.  A second stream over the documents with such windows cuts the words.
 
 Documents whose words equal those of a smaller id are removed whole without further work, if they
-have a window at all.  Window hashes have 64 bits: with n windows compared, a false match is
-expected about n^2 / 2^65 times.
+have a window at all.  Windows are told apart by 96 bits, a hash and a check: with n windows compared,
+a false match is expected about n^2 / 2^97 times (6e-4 for 10^13).  128 bits would write more than the
+disk this is allowed.  Texts that are copies as wholes are told by 128 bits.
 
 Defined cases: null, empty and blank texts have no words and stay as they are; a null id counts
 neither as smaller nor as larger, so nothing of it is removed and it is no source; rows that repeat
@@ -30,6 +31,7 @@ named columns are read.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,10 +42,11 @@ from pyspark.sql import functions as F
 
 from nivalis.llm.components import with_least
 from nivalis.llm.tables import carried, discard, settle
-from nivalis.llm.words import HashTable, Words, by_bytes, split_words, window_hashes
+from nivalis.llm.words import HashTable, Words, by_bytes, mix, split_words, window_hashes
 
 #: Words that a phrase may have: 16 bits each, in two longs.
 _MOST = 8
+_CHECK = np.uint64(0xD6E8FEB86659FD93)
 _PHRASE, _COPY, _DOC, _NO_ID = range(4)
 
 
@@ -91,8 +94,36 @@ class PhraseAutomaton:
         return (ends + 1) // 3 - self.size
 
 
-def _digest(words: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(words.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _named(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and check of each window."""
+    return window_hashes(words, window).view(np.int64), (window_hashes(mix(words ^ _CHECK), window) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+class Sources:
+    """The smallest id that has a window, by its hash and check. Windows of one hash but different checks
+    lie in tables of their own."""
+
+    def __init__(self, hashes: np.ndarray, checks: np.ndarray, least: np.ndarray):
+        order = np.argsort(hashes, kind="stable")
+        hashes, checks, least = hashes[order], checks[order], least[order]
+        nth = np.arange(len(hashes)) - np.searchsorted(hashes, hashes)
+        self.tables = []
+        for k in range(int(nth.max(initial=-1)) + 1):
+            own = nth == k
+            self.tables.append((HashTable(hashes[own].view(np.uint64)), checks[own], least[own]))
+
+    def find(self, hashes: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """Per window the id, or the largest number."""
+        out = np.full(len(hashes), np.iinfo(np.int64).max)
+        for table, own, least in self.tables:
+            at = table.find(hashes.view(np.uint64))
+            hit = np.flatnonzero((at >= 0) & (own[at] == checks))
+            out[hit] = least[at[hit]]
+        return out
+
+
+def _digest(words: np.ndarray) -> tuple[int, int]:
+    return struct.unpack("<2q", hashlib.blake2b(words.tobytes(), digest_size=16).digest())
 
 
 def _joined(words: Words, k: int) -> list[bytes]:
@@ -103,8 +134,8 @@ def _joined(words: Words, k: int) -> list[bytes]:
 
 
 def anchor_table(docs: DataFrame, window: int, phrase: int) -> DataFrame:
-    """(doc_id, th, n_words, digest, first, second) of each (doc_id, th, text) row; the last two are
-    the halves of its anchor phrases."""
+    """(doc_id, th, n_words, digest, digest_more, first, second) of each (doc_id, th, text) row; the last
+    two are the halves of its anchor phrases."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         none = np.zeros(0, np.int64)
@@ -115,15 +146,15 @@ def anchor_table(docs: DataFrame, window: int, phrase: int) -> DataFrame:
                 for k in range(hi - lo):
                     own = words.hashes[words.doc(k)]
                     if len(own) < window:
-                        out.append((len(own), 0, none, none))
+                        out.append((len(own), 0, 0, none, none))
                         continue
                     found = _written(own, np.unique(_anchors(own, window, phrase)), phrase)
-                    out.append((len(own), _digest(own), found[:, 0], found[:, 1]))
-            made = pd.DataFrame(out, columns=["n_words", "digest", "first", "second"])
+                    out.append((len(own), *_digest(own), found[:, 0], found[:, 1]))
+            made = pd.DataFrame(out, columns=["n_words", "digest", "digest_more", "first", "second"])
             yield made.assign(doc_id=pdf["doc_id"].to_numpy(), th=pdf["th"].to_numpy())
 
     rows = docs.select(carried("doc_id").alias("doc_id"), "th", "text")
-    made = rows.mapInPandas(run, "n_words long, digest long, first array<long>, second array<long>, doc_id string, th long")
+    made = rows.mapInPandas(run, "n_words long, digest long, digest_more long, first array<long>, second array<long>, doc_id string, th long")
     return made.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -163,7 +194,7 @@ def located_windows(rows: DataFrame, window: int, phrase: int) -> DataFrame:
             if automaton is None:
                 automaton = PhraseAutomaton(np.concatenate([np.zeros((0, 2), np.int64), *phrases]), phrase)
             ids, hashes_of_text, texts = pdf["a"].tolist(), pdf["b"].tolist(), pdf["text"].tolist()
-            out, hashes, owners = [], [np.zeros(0, np.uint64)], []
+            out, hashes, checks, owners = [], [], [], []
             for lo, hi in by_bytes(texts):
                 words = split_words(texts[lo:hi])
                 for k in range(lo, hi):
@@ -176,52 +207,53 @@ def located_windows(rows: DataFrame, window: int, phrase: int) -> DataFrame:
                         hit[automaton.places(own)] = True
                         starts = np.flatnonzero(hit[_anchors(own, window, phrase)])
                         if len(starts):
-                            hashes.append(np.unique(window_hashes(own, window)[starts]))
-                            owners.append(np.full(len(hashes[-1]), ids[k]))
+                            value, check = _named(own, window)
+                            hashes.append(value[starts])
+                            checks.append(check[starts])
+                            owners.append(np.full(len(starts), ids[k]))
                             out.append((kind, ids[k], len(own), 0, None, texts[k]))
                             continue
                     out.append((kind, ids[k], len(own), 0, hashlib.sha256(b" ".join(_joined(words, k - lo))).hexdigest(), None))
             made = pd.DataFrame(out, columns=["kind", "id", "n_words", "n_removed", "kept_sha256", "open_text"])
-            yield made.assign(shard=shard, hashes=None, low=None, high=None)
+            yield made.assign(shard=shard, hashes=None, checks=None, low=None, high=None)
             if owners:
-                owner, value = np.concatenate(owners), np.concatenate(hashes)
-                order = np.lexsort((owner, value))
-                owner, value = owner[order], value[order]
-                first = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
+                owner, check, value = np.concatenate(owners), np.concatenate(checks), np.concatenate(hashes)
+                order = np.lexsort((owner, check, value))
+                owner, check, value = owner[order], check[order], value[order]
+                first = np.flatnonzero(np.concatenate(([True], (value[1:] != value[:-1]) | (check[1:] != check[:-1]))))
                 last = np.append(first[1:] - 1, len(value) - 1)
                 yield pd.DataFrame({
                     "kind": [_PHRASE], "id": 0, "n_words": 0, "n_removed": 0, "kept_sha256": None, "open_text": None, "shard": shard,
-                    "hashes": [value[first].view(np.int64)], "low": [owner[first]], "high": [owner[last]],
+                    "hashes": [value[first]], "checks": [check[first]], "low": [owner[first]], "high": [owner[last]],
                 })
 
     return _streamed(rows).mapInPandas(
         run,
         "kind int, id long, n_words long, n_removed long, kept_sha256 string, open_text string, shard int, "
-        "hashes array<long>, low array<long>, high array<long>",
+        "hashes array<long>, checks array<int>, low array<long>, high array<long>",
     )
 
 
 def cut_windows(rows: DataFrame, window: int) -> DataFrame:
-    """rows: shard, kind, a, b, text; windows (hash a, smallest id b) and documents (id a). The words
+    """rows: shard, kind, a, b, text, check; windows (hash a, check, smallest id b) and documents (id a). The words
     outside windows that a smaller id has stay."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, low, table = [], [], None
+        held, sources = [], None
         for begins, _, kind, pdf in _parts(batches):
             if begins:
-                hashes, low, table = [], [], None
+                held, sources = [], None
             if kind == _PHRASE:
-                hashes.append(pdf["a"].to_numpy(np.int64))
-                low.append(pdf["b"].to_numpy(np.int64))
+                held.append([pdf[c].to_numpy(t) for c, t in (("a", np.int64), ("check", np.int32), ("b", np.int64))])
                 continue
-            if table is None:
-                table = HashTable(np.concatenate([np.zeros(0, np.int64), *hashes]).view(np.uint64))
-                least = np.append(np.concatenate([np.zeros(0, np.int64), *low]), np.iinfo(np.int64).max)
+            if sources is None:
+                none = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)]
+                sources = Sources(*(np.concatenate(x) for x in zip(none, *held, strict=True)))
             out = []
             for doc_id, text in zip(pdf["a"].tolist(), pdf["text"], strict=True):
                 words = split_words([text])
                 split = _joined(words, 0)
-                marked = np.flatnonzero(least[table.find(window_hashes(words.hashes, window))] < doc_id)
+                marked = np.flatnonzero(sources.find(*_named(words.hashes, window)) < doc_id)
                 step = np.zeros(len(split) + 1, dtype=np.int64)
                 step[: len(step) - window] += np.bincount(marked, minlength=len(step) - window)
                 step[window:] -= np.bincount(marked, minlength=len(step) - window)
@@ -264,7 +296,7 @@ def strip_repeats(
     shard = F.pmod(F.xxhash64("doc_id", "th"), F.lit(shards)).cast("int")
 
     long = table.filter(f"n_words >= {window} and doc_id is not null")
-    judged = with_least(long.withColumnsRenamed({"digest": "u", "doc_id": "v"})).withColumnsRenamed({"u": "digest", "v": "doc_id", "m": "first_id"})
+    judged = with_least(long.withColumn("u", F.struct("digest", "digest_more")).withColumnRenamed("doc_id", "v")).withColumnsRenamed({"v": "doc_id", "m": "first_id"})
     copies = judged.filter("doc_id > first_id").select(*_row(shard, _COPY, "doc_id", "th")).distinct()
     apart = judged.filter("doc_id = first_id").select(shard.alias("shard"), "digest", F.explode(F.arrays_zip("first", "second")).alias("p"))
     met = apart.groupBy("shard", "p.first", "p.second").agg(F.min("digest").alias("a"), F.max("digest").alias("b"))
@@ -276,13 +308,13 @@ def strip_repeats(
     stream = phrases.unionByName(copies).unionByName(docs.select(*_row(shard, kind, "doc_id", "th", F.col("text"))))
     made = settle(located_windows(stream, window, phrase), "windows", tidy=True)
     discard(table, met)
-    seen = made.filter(F.col("kind") == _PHRASE).select("shard", F.explode(F.arrays_zip("hashes", "low", "high")).alias("w")).select("shard", "w.*")
-    lowest = seen.groupBy("hashes").agg(F.min("low").alias("least"), F.max("high").alias("most")).filter("least < most")
-    marked = seen.join(lowest, "hashes").filter("least < high").select("shard", "hashes", "least").distinct()
+    seen = made.filter(F.col("kind") == _PHRASE).select("shard", F.explode(F.arrays_zip("hashes", "checks", "low", "high")).alias("w")).select("shard", "w.*")
+    lowest = seen.groupBy("hashes", "checks").agg(F.min("low").alias("least"), F.max("high").alias("most")).filter("least < most")
+    marked = seen.join(lowest, ["hashes", "checks"]).filter("least < high").select("shard", "hashes", "checks", "least").distinct()
     documents = made.filter(F.col("kind") != _PHRASE)
     cut = cut_windows(
-        marked.select(*_row("shard", _PHRASE, "hashes", "least")).unionByName(
-            documents.filter("open_text is not null").select(*_row("shard", _DOC, "id", "n_words", F.col("open_text")))
+        marked.select(*_row("shard", _PHRASE, "hashes", "least"), F.col("checks").alias("check")).unionByName(
+            documents.filter("open_text is not null").select(*_row("shard", _DOC, "id", "n_words", F.col("open_text")), F.lit(0).alias("check"))
         ),
         window,
     )

@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+
 from nivalis.llm import substring_dedup as S
 from nivalis.llm.queries import op4_substring_dedup
 
@@ -62,3 +64,11 @@ def test_query_equals_brute_force(spark):
     d = "/root/testdata/sf0.01"
     rows = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
     assert collected(op4_substring_dedup(spark, d)) == brute(rows, 50)
+
+
+def test_windows_of_one_hash_are_told_apart_by_their_check():
+    hashes, checks, least = np.array([7, 7, 9, -4, 7]), np.array([1, 2, 1, -3, -1], np.int32), np.array([10, 20, 30, 40, 50])
+    sources, none = S.Sources(hashes, checks, least), np.iinfo(np.int64).max
+    assert sources.find(np.array([7, 7, 7, 7, 9, 9, -4, 8]), np.array([2, 1, -1, 3, 1, 2, -3, 1], np.int32)).tolist() == [20, 10, 50, none, 30, none, 40, none]
+    empty = np.zeros(0, np.int64)
+    assert S.Sources(empty, empty.astype(np.int32), empty).find(hashes, checks).tolist() == [none] * 5
