@@ -37,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nivalis.llm.components import with_least
@@ -309,8 +309,8 @@ def strip_repeats(
     made = settle(located_windows(stream, window, phrase), "windows", tidy=True)
     discard(table, met)
     seen = made.filter(F.col("kind") == _PHRASE).select("shard", F.explode(F.arrays_zip("hashes", "checks", "low", "high")).alias("w")).select("shard", "w.*")
-    lowest = seen.groupBy("hashes", "checks").agg(F.min("low").alias("least"), F.max("high").alias("most")).filter("least < most")
-    marked = seen.join(lowest, ["hashes", "checks"]).filter("least < high").select("shard", "hashes", "checks", "least").distinct()
+    least = F.min("low").over(Window.partitionBy("hashes", "checks"))  # a shard has few rows of a window
+    marked = seen.withColumn("least", least).filter("least < high").select("shard", "hashes", "checks", "least").distinct()
     documents = made.filter(F.col("kind") != _PHRASE)
     cut = cut_windows(
         marked.select(*_row("shard", _PHRASE, "hashes", "least"), F.col("checks").alias("check")).unionByName(
