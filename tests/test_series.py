@@ -11,6 +11,7 @@ from nivalis.operators import aggregate as A
 from nivalis.operators import bioclim as B
 from nivalis.operators import select as P
 from nivalis.operators import series as S
+from nivalis.plans import catalog, registry
 from nivalis.sources import io
 
 H = dt.datetime(2024, 1, 1)
@@ -118,3 +119,11 @@ def test_season_and_padded_month(spark):
     assert [r[0] for r in t.select(A.season()).collect()] == ["DJF", "MAM", "JJA", "SON", "DJF"]
     hours = [r.time for r in P.padded_month_range(spark, 2024, 2).collect()]
     assert len(hours) == 29 * 24 + 8 and min(hours) == dt.datetime(2024, 1, 31, 20)
+
+
+def test_rounding_is_no_warmer_model_and_regions_do_not_mix(spark, monkeypatch):
+    rows = [("R", 1, H, 0.3, 0.1 + 0.2), ("R", 2, H, 1.0, 1.5), ("S", 2, H, 2.0, 2.5)]  # 0.1 + 0.2 > 0.3 by rounding
+    df = spark.createDataFrame(rows, "region string, site long, time timestamp, T3 double, gbt_T3 double")
+    monkeypatch.setattr(registry, "table", lambda *a: df)
+    found = sorted((r.site, r.T3, r.m) for r in catalog.queries()["j02_attach_model"](spark, "").collect())
+    assert found == [(1, 0.3, None), (2, 1.0, 1.5), (2, 2.0, 2.5)]
