@@ -44,3 +44,16 @@ def test_jobs_do_not_follow_the_number_of_regions(spark):
     found = {}
     few, many = (jobs_of(spark, lambda n=n: found.update({n: clustered(n)})) for n in (3, 1000))
     assert found == {3: 3, 1000: 1000} and many <= 3 * few < 400
+
+
+def test_groups_go_on_until_each_row_lies_with_the_mean_of_its_own(spark):
+    """A dense square of rows moves its border for more than 20 rounds."""
+    rng = np.random.default_rng(5)
+    rows = [(g, *map(float, rng.uniform(size=2))) for g in range(40) for _ in range(300)]
+    df = spark.createDataFrame(rows, "site int, u double, v double")
+    found = G.cluster_regimes(df, ["u", "v"], 2, 30, by="site", rounds=None, tolerance=1e-9).toPandas()
+    for g, own in found.groupby("site"):
+        z = own[["u", "v"]].to_numpy()
+        z = (z - z.mean(0)) / z.std(0, ddof=1)
+        d = ((z[:, None] - np.array([z[own["cluster"] == c].mean(0) for c in range(2)])) ** 2).sum(2)
+        assert len(own) == 300 and np.all(d[np.arange(len(z)), own["cluster"]] <= d.min(1) + 1e-9)
