@@ -12,7 +12,8 @@ from nivalis.operators import bioclim as B
 from nivalis.operators import select as P
 from nivalis.operators import series as S
 from nivalis.plans import catalog, registry
-from nivalis.sources import io
+from nivalis.sources import adapters, io
+from nivalis.tables import size_of
 
 H = dt.datetime(2024, 1, 1)
 
@@ -136,3 +137,15 @@ def test_both_variograms_come_from_one_table_of_pairs(spark, monkeypatch):
     found = {r.bin: r for r in catalog.queries()["j04_attach_obs_variogram"](spark, "").collect()}
     assert asked == ["skill"] and len(found) == 20
     assert (found[1].err_count, found[1].gamma_err, found[1].gamma_obs) == (2, 0.5, 0.5) and found[2].obs_count == 1 and found[0].gamma_obs is None
+
+
+def test_skill_table_is_dealt_by_the_size_of_the_lines_and_keeps_its_rows(spark, monkeypatch):
+    folder = "/root/testdata/sf0.001"
+    monkeypatch.setattr(adapters, "_SHARE", 10_000)
+    found = adapters.table(spark, folder, "skill")
+    assert found.rdd.getNumPartitions() == size_of(spark, f"{folder}/lineitem.parquet") // 10_000 > 4
+    parts = {b: adapters.table(spark, folder, b) for b in ("lineitem", "sites")}
+    plain = spark.sql(adapters.TEXTS["skill"], **parts)
+    rounded = lambda df: df.select(*(F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    assert found.columns == plain.columns
+    assert rounded(found).exceptAll(rounded(plain)).isEmpty() and rounded(plain).exceptAll(rounded(found)).isEmpty()
