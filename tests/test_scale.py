@@ -183,3 +183,12 @@ def test_sampled_variogram_with_room_for_all_pairs_is_the_whole_one(spark):
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, every.collect()))
     few = V.sampled_semivariogram(df, "o", "m", n_hours=2, pairs_per_hour=10)
     assert few.agg(F.sum("n_pairs")).first()[0] == 20 and sorted(map(tuple, few.collect())) == sorted(map(tuple, V.sampled_semivariogram(df, "o", "m", n_hours=2, pairs_per_hour=10).collect()))
+
+
+def test_pairs_of_sites_are_dealt_over_tasks(spark):
+    from nivalis.plans import q_skill
+
+    sites = spark.createDataFrame([(s, "A" if s % 3 else "B", 1.0 * s, 2.0 * s, 3.0 * s, 4.0 * s) for s in range(60)], "site int, region string, lon double, lat double, x double, y double").coalesce(1)
+    pairs = q_skill._pairs(lambda _: sites)
+    sizes = [n for n in pairs.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    assert len(sizes) >= 4 and sum(sizes) == 40 * 39 // 2 + 20 * 19 // 2
