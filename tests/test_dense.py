@@ -76,3 +76,14 @@ def test_interleaving_and_strides(spark):
     assert all(z == sum(((x >> b & 1) << 2 * b) + ((y >> b & 1) << (2 * b + 1)) for b in range(3)) for (y, x), z in got.items())
     grid = spark.createDataFrame([(r, i, j) for r, n in (("A", 20), ("B", 3)) for i in range(n) for j in range(n)], "region string, iy int, ix int")
     assert {r.region: r["count"] for r in D.thin_by_region(grid, 50).groupBy("region").count().collect()} == {"A": 49, "B": 9}
+
+
+def test_tiles_of_a_new_folder_are_moved_by_tasks_and_later_ones_keep_the_rest(spark, tmp_path):
+    from nivalis.plans import dense
+
+    path = str(tmp_path / "tiles")
+    rows = lambda r, v: spark.createDataFrame([(r, 2020, 1, i, j, v) for i in range(3) for j in range(3)], "region string, year int, month int, iy int, ix int, v double")
+    dense.write_tiles(rows("A", 1.0).unionByName(rows("B", 2.0)), path)
+    assert (tmp_path / "tiles" / "_SUCCESS").exists()  # not written to one side and moved folder by folder
+    dense.write_tiles(rows("B", 3.0), path)
+    assert sorted((r["region"], r["v"], r["count"]) for r in spark.read.parquet(path).groupBy("region", "v").count().collect()) == [("A", 1.0, 9), ("B", 3.0, 9)]
