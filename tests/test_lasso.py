@@ -79,3 +79,18 @@ def test_the_chosen_penalty_keeps_what_matters(rows):
     assert out[0] > 0.85 and out[1] == 500
     assert all(w[FEATURES.index("flat")] == 0 for _, w, _ in model.models["u"])
     assert len(set(model.penalties["u"])) > 1
+
+
+def test_places_among_quantiles_are_searched_not_filtered(spark):
+    from nivalis.plans import modelling
+
+    grid = [0.0, 0.0, 1.0, 2.0, 2.0, 5.0]
+    values = [-1.0, 0.0, 0.5, 1.0, 1.999, 2.0, 3.5, 5.0, 9.0, float("nan"), None]
+    df = spark.createDataFrame([(i, v, v) for i, v in enumerate(values)], "i int, a double, flat double")
+    out = modelling.apply_normal(df, {"a": grid, "flat": [3.0, 3.0]})
+    assert out.columns == ["i", "a", "flat"] and "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+    at = [0, 0.2, 0.3, 0.4, 0.5998, 0.8, 0.9, 1, 1, 1, None]
+    want = spark.createDataFrame([(i, None if p is None else float(p)) for i, p in enumerate(at)], "i int, p double").select(modelling.normal_quantile(modelling.F.col("p"))).orderBy("i")
+    got = [r["a"] for r in out.orderBy("i").collect()]
+    assert np.allclose(got, [w[0] for w in want.collect()], atol=1e-9, rtol=0)
+    assert out.filter("flat is null").count() == 0
