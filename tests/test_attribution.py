@@ -35,3 +35,23 @@ def test_expectations_are_means_over_the_given_rows(spark, rows):
     root = share * 1 + (1 - share) * 4
     assert np.allclose(out["base"], 1 + 2 * root + 3) and np.allclose(out["a"], 2 * (np.where(out["v"] <= 0, 1, 4) - root)) and np.allclose(out["b"], 0)
     assert B.tree_contributions(rows.limit(0), ["site"], ["a", "b"], trees, 2).count() == 0
+
+
+def test_leaves_are_counted_alike_by_the_model_and_by_its_table(rows):
+    model = L.boosted_offsets(rows, ["a", "b", "c"], ["T3_offset"], maxIter=5, maxDepth=4, stepSize=0.2)
+    stages = model.stages["T3_offset"]
+    trees, depth = B.saved_trees(stages.stages[-1], rows)
+    gone = rows.withColumn("b", F.when(F.col("site") != 7, F.col("b")))
+    one, other = (sorted(map(tuple, c.select("tree", "leaf", "n").collect())) for c in (B.fitted_counts(stages, gone, trees), B.leaf_counts(gone, model.features, trees, depth)))
+    assert one == other and sum(n for t, _, n in one if t == 0) == 599
+    assert not stages.stages[-1].getLeafCol()
+
+
+def test_rows_of_a_fit_are_dealt_by_their_number(spark, monkeypatch):
+    """A file of many rows is one task; its fit must not be."""
+    monkeypatch.setattr(L, "TASK_ROWS", 100)
+    df = spark.range(2000).coalesce(1).select((F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("y"))
+    fits, fit = [], L.GBTRegressor.fit
+    monkeypatch.setattr(L.GBTRegressor, "fit", lambda self, d: fits.append(d.groupBy(F.spark_partition_id()).count().collect()) or fit(self, d))
+    L.boosted_offsets(df, ["a"], ["y"], maxIter=1, maxDepth=2)
+    assert max(r["count"] for r in fits[0]) <= 150
