@@ -97,3 +97,22 @@ def test_model_output_at_sites(spark):
     evaluation = spark.createDataFrame([(1, "2020-01-02 00:00:00"), (1, "2020-01-03 00:00:00"), (2, "2020-01-01 00:00:00"), (7, "2020-01-01 00:00:00")], "site int, t string").withColumn("time", F.to_timestamp("t"))
     got = {(r.site, r.t): r.m for r in io.read_model_output_at_sites(cube, sites, evaluation, "v", "m").collect()}
     assert got == {(1, "2020-01-02 00:00:00"): 215.5, (1, "2020-01-03 00:00:00"): None, (2, "2020-01-01 00:00:00"): None, (7, "2020-01-01 00:00:00"): None}
+
+
+def test_hours_of_a_predictor_table_are_made_once(spark):
+    """Values are linear in the cube; no medians are left in the plan."""
+    hours = [f"2020-01-01 {h:02d}:00:00" for h in range(12)]
+    stamp = lambda df: df.withColumn("time", F.to_timestamp("t")).drop("t")
+    cube = stamp(spark.createDataFrame([(t, 60.0 + i, 20.0 + j, 270.0 + h + 2 * i + 3 * j) for h, t in enumerate(hours) for i in (0, 1) for j in (0, 1)], "t string, lat double, lon double, skt double"))
+    sites = spark.createDataFrame([(1, 60.25, 20.5), (2, 60.0, 21.0), (3, 70.0, 20.5)], "site int, lat double, lon double")
+    readings = stamp(spark.createDataFrame([("R", s, t[:-5] + m, float(v)) for s in (1, 2, 3) for t in hours for m, v in (("00:00", 1), ("10:00", 5), ("20:00", 2))], "region string, site int, t string, T3 double"))
+    table, features = L.predictor_table(readings, sites, cube, ["skt"], ["lat"], ["T3"])
+    rows = {(r["site"], r["time"].hour): r for r in table.collect()}
+    assert len(rows) == 36 and all(r["T3"] == 2.0 for r in rows.values())
+    for (s, h), r in rows.items():
+        want = None if s == 3 else 270.0 + h + {1: 2.0, 2: 3.0}[s]
+        assert r["skt_+000"] == want if want is None else np.isclose(r["skt_+000"], want)
+        assert want is None or np.isclose(r["T3_offset"], 2.0 - want + 273.15)
+    assert {"skt_+000", "skt_-003", "lat"} <= set(features)
+    plan = table._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "median" not in plan and "percentile" not in plan
