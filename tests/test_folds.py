@@ -61,3 +61,30 @@ def test_all_folds_are_fitted_judged_and_not_fitted_again(spark, table, tmp_path
 def test_an_empty_registry(spark, table, tmp_path):
     assert S.registry(spark, str(tmp_path / "none")).count() == 0
     assert S.folds_of(table.filter("region = 'S' and year(time) = 2020"), ["T3_offset"]) == []
+
+
+def test_a_fold_reads_no_files_of_other_folds(spark, table, tmp_path):
+    """Each file that a fold learns from holds rows it learns from only, so its time does not grow by those of others."""
+    seen = []
+
+    def boosted(train):
+        files = [r[0] for r in train.select(F.input_file_name()).distinct().collect()]
+        seen.append((spark.read.parquet(*files).count(), train.count()))
+        return L.boosted_offsets(train, FEATURES, ["T3_offset"], maxIter=2, maxDepth=2)
+
+    known = S.fit_folds(L.put_together(table, FEATURES), FEATURES, "T3", str(tmp_path / "folds"), {"boosted": boosted})
+    assert seen == [(60, 60)] * 4 and {r.n_train for r in known.collect()} == {60}
+
+
+def test_rows_without_a_feature_count_but_are_not_fitted(spark, table):
+    rows = [(1.0, 2.0, 0.5), (None, 2.0, 0.5), (float("nan"), 2.0, 0.5), (1.0, 0.0, None)]
+    made = L.put_together(spark.createDataFrame(rows, "a double, b double, T3_offset double"), ["a", "b"])
+    assert [r._vector is None for r in made.orderBy(F.col("T3_offset").isNull(), F.col("_vector").isNull()).collect()] == [False, True, True, False]
+    gap = table.filter("T3_offset is not null").withColumn("a", F.when(F.col("site") > 5, F.col("a")))
+    plain, put = (L.boosted_offsets(x, FEATURES, ["T3_offset"], maxIter=2, maxDepth=2, subsamplingRate=1.0) for x in (gap, L.put_together(gap, FEATURES)))
+    assert plain.start == put.start
+    assert plain.transform(gap).exceptAll(put.transform(gap)).count() == 0
+
+
+def test_large_folds_are_fitted_one_by_one(spark):
+    assert S._side_by_side(spark, [1000, 10], 3) == 3 and S._side_by_side(spark, [10**12], 4) == 1
