@@ -87,3 +87,23 @@ def test_tiles_of_a_new_folder_are_moved_by_tasks_and_later_ones_keep_the_rest(s
     assert (tmp_path / "tiles" / "_SUCCESS").exists()  # not written to one side and moved folder by folder
     dense.write_tiles(rows("B", 3.0), path)
     assert sorted((r["region"], r["v"], r["count"]) for r in spark.read.parquet(path).groupBy("region", "v").count().collect()) == [("A", 1.0, 9), ("B", 3.0, 9)]
+
+
+def test_small_regions_share_the_files_of_their_month_and_can_be_told_apart(spark, tmp_path):
+    path = str(tmp_path / "tiles")
+    rows = spark.range(200 * 3 * 4).select(F.format_string("R%03d", F.floor(F.col("id") / 12)).alias("region"), F.lit(2020).alias("year"), (F.col("id") % 3 + 1).cast("int").alias("month"), (F.floor(F.col("id") / 3) % 4).cast("int").alias("iy"), F.lit(0).alias("ix"))
+    D.write_tiles(rows, path, ["year", "month"], cells_per_file=100, within=["region"])
+    files = list(ds.dataset(path, format="parquet", partitioning="hive").get_fragments())
+    assert len(files) <= 3 * (8 + 4)  # months x hundreds of cells and cuts, not x 200 regions
+    touched = [f for f in files if f.subset(ds.field("region") == "R100").row_groups]
+    assert 3 <= len(touched) <= 6
+    assert sorted(map(tuple, spark.read.parquet(path).select(*rows.columns).collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_the_months_query_makes_no_folder_for_each_region(spark, monkeypatch):
+    from nivalis.plans import catalog
+
+    made, write = [], D.write_tiles
+    monkeypatch.setattr(D, "write_tiles", lambda df, path, *a, **b: (write(df, path, *a, **b), made.append(path)))
+    catalog.queries()["l07_predict_months"](spark, "/root/testdata/sf0.001").count()
+    assert not list(ds.dataset(made[0].removeprefix("file:"), format="parquet").files[0].split("/region=")[1:])
