@@ -49,3 +49,22 @@ def test_scores_are_the_best_rounds_and_rungs_drop_the_worse(rows):
         mse = model.evaluateEachIteration(folded.filter(F.col("foldCol") == k), "squared")
         curves.append(np.sqrt(mse))
     assert np.isclose(winner.value, np.mean([c.min() for c in curves])) and winner.round == int(np.argmin(np.mean(curves, axis=0))) + 1
+
+
+def test_rows_go_down_the_trees_without_a_row_for_each_round(rows, monkeypatch):
+    shaped = L.feature_vector(FEATURES).transform(rows)
+    model = GBTRegressor(labelCol="y", **(L.TREES | {"maxDepth": 3, "stepSize": 0.3, "maxIter": 5})).fit(shaped)
+    lacking = rows.sparkSession.createDataFrame([(None, 0.1, 1.0), (float("nan"), 0.1, 1.0), (0.1, 0.1, None)], "a double, b double, y double")
+    monkeypatch.setattr(F, "posexplode", lambda *a: pytest.fail("a row for each round"))
+    curve = U.validation_curve(model, FEATURES, rows.select("a", "b", "y").unionByName(lacking), "y")
+    assert np.allclose(curve, np.sqrt(model.evaluateEachIteration(shaped, "squared")))
+    assert U.validation_curve(model, FEATURES, rows.filter("a > 5"), "y") == []
+
+
+def test_the_defaults_are_fitted_once_and_rows_lie_by_fold(rows, monkeypatch):
+    fits, laid, settle, fit = [], [], U.settle, GBTRegressor.fit
+    monkeypatch.setattr(U, "settle", lambda df, what, **k: laid.append((df.columns, k)) or settle(df, what, **k))
+    monkeypatch.setattr(GBTRegressor, "fit", lambda self, df: fits.append((self.getMaxDepth(), self.getMaxIter())) or fit(self, df))
+    U.tune(rows, FEATURES, "y", {"maxDepth": [1]}, 3, 2, base={"maxIter": 4, "maxDepth": 2}, eta=2, least=1)
+    assert [x for x in fits if x[0] == 2] == [(2, 4)] * 2  # a fit for each fold, in none of the three rungs again
+    assert laid == [(["a", "b", "label", "foldCol"], {"by": ["foldCol"]})]
