@@ -88,3 +88,19 @@ def test_rows_without_a_feature_count_but_are_not_fitted(spark, table):
 
 def test_large_folds_are_fitted_one_by_one(spark):
     assert S._side_by_side(spark, [1000, 10], 3) == 3 and S._side_by_side(spark, [10**12], 4) == 1
+
+
+def test_predictions_are_judged_without_a_join_and_written_by_the_tasks_that_made_them(spark, table, tmp_path, monkeypatch):
+    monkeypatch.setattr(L, "held_out_skill", lambda *a, **b: pytest.fail("predictions are joined to their rows"))
+    monkeypatch.setattr(S, "held_out_skill", L.held_out_skill, raising=False)
+    lay = S._laid
+    monkeypatch.setattr(S, "_laid", lambda *a: (lambda laid, numbers: (laid.repartition(4, "site"), numbers))(*lay(*a)))
+    folder = str(tmp_path / "folds")
+    twice = table.filter("region = 'S' and site < 5")  # equal keys are rows of their own
+    known = S.fit_folds(table.unionByName(twice), FEATURES, "T3", folder, {"boosted": lambda train: L.boosted_offsets(train, FEATURES, ["T3_offset"], maxIter=2, maxDepth=2)})
+    assert {(r.region, r.model_year): r.n for r in known.collect()} == {("R/1", 2020): 60, ("R/1", 2021): 60, ("S", 2020): 65, ("S", 2021): 65}
+    files = list((tmp_path / "folds" / "predictions" / "S-2020").glob("part-*.parquet"))
+    assert len(files) > 1 and S.predictions(spark, folder).count() == 250
+    own = S.predictions(spark, folder).dropDuplicates(["region", "site", "time"]).join(table, ["region", "site", "time"]).filter("region = 'R/1' and year(time) = 2020")
+    rmse = own.agg(F.sqrt(F.avg(F.pow(F.col("boosted_T3") - F.col("T3"), 2)))).first()[0]
+    assert known.filter("region = 'R/1' and model_year = 2020").first().rmse_fit == pytest.approx(rmse)
