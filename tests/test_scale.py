@@ -192,3 +192,17 @@ def test_pairs_of_sites_are_dealt_over_tasks(spark):
     pairs = q_skill._pairs(lambda _: sites)
     sizes = [n for n in pairs.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
     assert len(sizes) >= 4 and sum(sizes) == 40 * 39 // 2 + 20 * 19 // 2
+
+
+def test_pairs_of_sites_are_dealt_by_two_ranges_of_sites(spark, monkeypatch):
+    from nivalis.plans import q_skill
+
+    monkeypatch.setattr(q_skill, "_RANGE", 4, raising=False)
+    rows = [(k, "AB"[k % 7 == 0], 10.0 + k, 60.0, 100.0 * k, 0.0) for k in range(0, 120, 2)] + [(None, "A", 1.0, 1.0, 1.0, 1.0), (9, None, 1.0, 1.0, 1.0, 1.0)]
+    sites = spark.createDataFrame(rows, "site long, region string, lon double, lat double, x double, y double")
+    made = q_skill._pairs(lambda name: sites)
+    found = sorted((r.s1, r.s2, r.x1, r.x2) for r in made.collect())
+    known = [r for r in rows if r[0] is not None and r[1] is not None]
+    assert found == sorted((a[0], b[0], a[4], b[4]) for a in known for b in known if a[1] == b[1] and a[0] < b[0])
+    sizes = [r["count"] for r in made.withColumn("p", F.spark_partition_id()).groupBy("p", "s1").count().collect()]
+    assert max(sizes) <= 8  # a site meets no more than a range or two of its region in a task, not all 51
